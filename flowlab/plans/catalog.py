@@ -2,6 +2,8 @@
 
 from flowlab.plans import (  # noqa: F401
     q_audit,
+    q_metrics,
+    q_sampling,
     q_functions,
     q_ingest,
 )
