@@ -254,6 +254,32 @@ def class_list(df, label):
     return [r["label"] for r in settled(label_codes(df, label)).orderBy("code").collect()]
 
 
+@dataclass
+class Fitted:
+    """A fitted Spark ML classifier that can score any frame with the same features."""
+    model: object
+    task: Task
+
+    def predict(self, df):
+        return _named(self.model.transform(vector_of(df, self.task.features, "_features")), self.task)
+
+    def importances(self, features):
+        return [float(v) for v in self.model.featureImportances.toArray()][:len(features)]
+
+
+TREES = {"decision_tree": _tree, "random_forest": _forest}
+
+
+def fit_model(name, train, label, ids, features, classes=None, **options):
+    """Fit a tree model on prepared rows and keep it, for repeated scoring."""
+    task = Task(train, None, list(features), label, list(ids), classes or class_list(train, label))
+    rows = _coded(train, task).persist()
+    try:
+        return Fitted(TREES[name](task, {**REGISTRY[name].options, **options}).fit(rows), task)
+    finally:
+        rows.unpersist()
+
+
 def fit_predict(name, train, test, label, ids, features, classes=None, class_weight=False,
                 prepared=False, **options):
     """Test rows with a ``prediction`` column.

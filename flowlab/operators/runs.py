@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.scalars import GAMMA_KERNELS, gamma_label, ordinal
-from flowlab.tables import ref, value_of
+from flowlab.tables import all_of, ref, value_of
 
 
 def runs_todo(plan, done, keys):
@@ -78,8 +78,9 @@ def pivot_metric(df, rows, column, values, metric, agg="avg", digits=None):
 
 def complete_pivot(df, rows, column, values, metric):
     """Pivot restricted to complete rows, with mean, lowest, highest and span."""
-    wide = pivot_metric(df, rows, column, values, metric).dropna()
     cells = [ref(str(v)) for v in values]
+    wide = pivot_metric(df, rows, column, values, metric).where(
+        all_of([c.isNotNull() for c in cells]))
     mean = reduce(lambda a, b: a + b, cells) / len(cells)
     low, high = F.least(*cells), F.greatest(*cells)
     return wide.withColumns({"mean": mean, "lowest": low, "highest": high, "span": high - low})
