@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from flowlab.tables import numeric_matrix, ref, tree_sum
+from flowlab.tables import numeric_matrix, ref, struct_of, ticks, tree_sum
 
 # Shrinkage steps tried in order, and the rank tolerance.
 SHRINKAGE_LADDER = (0.1, 0.25, 0.5, 0.8, 0.95)
@@ -39,7 +39,7 @@ def class_moments(df, label, features):
     """Rows, mean and scatter matrix per class. Features must not be missing."""
     features = list(features)
     p = len(features)
-    shift = np.array([float(v or 0.0) for v in df.agg(*[F.avg(ref(c)) for c in features]).first()])
+    shift = np.array([float(v or 0.0) for v in df.selectExpr(*[f"avg({t})" for t in ticks(features)]).first()])
 
     def sums(pdf):
         x = numeric_matrix(pdf, features) - shift
@@ -50,7 +50,7 @@ def class_moments(df, label, features):
             out[name] = np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part).ravel()])
         return out
 
-    kept = df.select(*[ref(c) for c in features], ref(label).cast("string").alias("_label")).where(
+    kept = df.select(*ticks(features), ref(label).cast("string").alias("_label")).where(
         "_label is not null")
     totals = tree_sum(kept, [*features, "_label"], sums)
     classes = sorted(totals)
@@ -150,7 +150,7 @@ def predict_class(df, features, model, name="prediction"):
         names = np.array(shipped.value.classes, dtype=object)
         return pd.Series(names[shipped.value.scores(x).argmax(axis=1)])
 
-    return df.withColumn(name, best(F.struct(*[ref(c) for c in features])))
+    return df.withColumn(name, best(struct_of(features)))
 
 
 def project(df, features, model, k=None, name="projected"):
@@ -162,7 +162,7 @@ def project(df, features, model, k=None, name="projected"):
     def axes(batch: pd.DataFrame) -> pd.Series:
         return pd.Series(list(shipped.value.project(numeric_matrix(batch, features), k)))
 
-    return df.withColumn(name, axes(F.struct(*[ref(c) for c in features])))
+    return df.withColumn(name, axes(struct_of(features)))
 
 
 def lda_reduce(train, frames, label, features, k=15, name="projected"):

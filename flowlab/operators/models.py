@@ -15,7 +15,7 @@ from flowlab.operators.neighbors import knn_join, knn_vote
 from flowlab.operators.prep import label_codes, prepare, vector_of, with_class_weight
 from flowlab.operators.reduce import KernelMap, apply_blocks, landmark_rows
 from flowlab.session import checkpointed, shared_dir
-from flowlab.tables import ref, settled
+from flowlab.tables import ref, settled, ticks
 
 
 @dataclass
@@ -39,9 +39,12 @@ class Task:
     weight: str = None
 
 
+def _code(task):
+    return (F.array_position(F.array(*[F.lit(c) for c in task.classes]), ref(task.label)) - 1).cast("double")
+
+
 def _coded(df, task):
-    codes = F.array_position(F.array(*[F.lit(c) for c in task.classes]), ref(task.label)) - 1
-    return vector_of(df.withColumn("_code", codes.cast("double")), task.features, "_features")
+    return vector_of(df.withColumn("_code", _code(task)), task.features, "_features")
 
 
 def _named(df, task):
@@ -99,9 +102,12 @@ def _forest(task, options):
 
 def _boosted(task, options):
     shared_dir(task.train.sparkSession)
-    return _one_vs_rest(C.GBTClassifier(
+    booster = C.GBTClassifier(
         maxIter=options["rounds"], maxDepth=options["max_depth"], stepSize=options["step"],
-        maxBins=options["max_bins"], seed=options["seed"]), task, options)
+        maxBins=options["max_bins"], seed=options["seed"])
+    booster.set(booster.rawPredictionCol, "_raw")
+    booster.set(booster.probabilityCol, "_p")
+    return _one_vs_rest(booster, task, options)
 
 
 def _logistic(task, options):
@@ -111,16 +117,40 @@ def _logistic(task, options):
         **_with_weight(task, dict(COLUMNS)))
 
 
+class LinearScores:
+    """Class scores from one weight vector per class, on mapped features if there is a map."""
+
+    def __init__(self, classes, coefficients, intercepts, mapping=None):
+        self.classes, self.mapping = classes, mapping
+        self.coefficients, self.intercepts = coefficients, intercepts
+
+    def scores(self, x):
+        x = x if self.mapping is None else self.mapping.project(x)
+        return x @ self.coefficients.T + self.intercepts
+
+
+def _fit_hinge(rows, task, options, strength, mapping=None):
+    """One linear hinge classifier per class; all of them score in one matrix product."""
+    rows = rows.persist()
+    try:
+        fitted = _one_vs_rest(C.LinearSVC(
+            rawPredictionCol="_raw", regParam=strength, maxIter=options["max_iter"],
+            standardization=False), task, options).fit(rows)
+    finally:
+        rows.unpersist()
+    model = LinearScores(task.classes[:len(fitted.models)],
+                         np.array([m.coefficients.toArray() for m in fitted.models]),
+                         np.array([m.intercept for m in fitted.models]), mapping)
+    return discriminant.predict_class(task.test, task.features, model)
+
+
 def _hinge(task, options):
-    return _one_vs_rest(C.LinearSVC(
-        regParam=options["alpha"], maxIter=options["max_iter"], standardization=False), task, options)
+    return _fit_hinge(_coded(task.train, task), task, options, options["alpha"])
 
 
 def _linear_svm(task, options):
-    rows = task.train.count()
-    return _one_vs_rest(C.LinearSVC(
-        regParam=1.0 / (options["c"] * rows), maxIter=options["max_iter"],
-        standardization=False), task, options)
+    strength = 1.0 / (options["c"] * task.train.count())
+    return _fit_hinge(_coded(task.train, task), task, options, strength)
 
 
 def _network(task, options):
@@ -146,7 +176,7 @@ def _qda(task, options):
 
 
 def _knn(task, options):
-    vector = F.array(*[ref(c) for c in task.features])
+    vector = F.expr("array(" + ", ".join(ticks(task.features)) + ")")
     row = F.concat_ws(":", *[ref(c).cast("string") for c in task.ids])
     near = knn_join(task.test.select(row.alias("id"), vector.alias("vector")),
                     task.train.select(row.alias("id"), vector.alias("vector"), ref(task.label).alias("label")),
@@ -162,60 +192,64 @@ def _rbf_svm(task, options):
         spread = marks.var()
         gamma = 1.0 / (len(task.features) * spread) if spread > 0 else 1.0
     mapping = KernelMap(marks, "rbf", gamma)
-    rows = task.train.count()
-    train, test = (
-        apply_blocks(f, task.features, mapping, name="_map").withColumn(
-            "_features", array_to_vector("_map")).withColumn(
-            "_code", (F.array_position(F.array(*[F.lit(c) for c in task.classes]),
-                                       ref(task.label)) - 1).cast("double"))
-        for f in (task.train, task.test))
-    train = train.persist()
-    try:
-        model = _one_vs_rest(C.LinearSVC(
-            regParam=1.0 / (options["c"] * rows), maxIter=options["max_iter"],
-            standardization=False), task, options).fit(train)
-    finally:
-        train.unpersist()
-    return _named(model.transform(test), task)
+    mapped = apply_blocks(task.train, task.features, mapping, name="_map").withColumn(
+        "_features", array_to_vector("_map")).withColumn("_code", _code(task))
+    strength = 1.0 / (options["c"] * task.train.count())
+    return _fit_hinge(mapped, task, options, strength, mapping)
+
+
+def _stump_rule(stump, task):
+    """(condition or None, class code if it holds, class code otherwise) of a stump."""
+    root = stump._java_obj.rootNode()
+    if stump.depth == 0:
+        code = int(root.prediction())
+        return None, code, code
+    split = root.split()
+    column = ref(task.features[split.featureIndex()])
+    return (column <= F.lit(float(split.threshold())),
+            int(root.leftChild().prediction()), int(root.rightChild().prediction()))
 
 
 def _adaboost(task, options):
     """Boosted stumps, multi-class exponential loss: a row's weight grows by the
-    weight of every stump that got it wrong. Lineage is cut every few rounds."""
+    weight of every stump that got it wrong. A stump is one comparison, so weights
+    and votes are plain column expressions; lineage is cut every few rounds."""
     k = len(task.classes)
-    state = checkpointed(_coded(task.train, task).select("_features", "_code").withColumn(
-        "_w", F.lit(1.0)))
+    state = checkpointed(_coded(task.train, task).select(
+        *ticks(task.features), "_features", "_code").withColumn("_w", F.lit(1.0)))
     stumps = []
     for round_ in range(options["rounds"]):
         stump = C.DecisionTreeClassifier(
             maxDepth=1, weightCol="_w", maxBins=options["max_bins"], seed=options["seed"],
             rawPredictionCol="_raw", probabilityCol="_p", **COLUMNS).fit(state)
-        scored = stump.transform(state)
-        miss = F.col("_prediction") != F.col("_code")
-        sums = scored.agg(F.sum("_w"), F.sum(F.when(miss, F.col("_w")).otherwise(0.0))).first()
+        condition, yes, no = _stump_rule(stump, task)
+        guess = F.lit(yes) if condition is None else F.when(condition, yes).otherwise(no)
+        miss = F.col("_code") != guess
+        sums = state.agg(F.sum("_w"), F.sum(F.when(miss, F.col("_w")).otherwise(0.0))).first()
         error = sums[1] / sums[0]
         if error <= 0:
-            stumps.append((stump, 1.0))
+            stumps.append((condition, yes, no, 1.0))
             break
         if error >= 1.0 - 1.0 / k:
             break
         alpha = float(np.log((1 - error) / error) + np.log(k - 1))
-        stumps.append((stump, alpha))
-        state = scored.select("_features", "_code", (
-            F.col("_w") * F.when(miss, F.lit(float(np.exp(alpha)))).otherwise(1.0)
-            / F.lit(float(sums[0]))).alias("_w"))
+        stumps.append((condition, yes, no, alpha))
+        state = state.withColumn("_w", F.col("_w") / F.lit(float(sums[0])) * F.when(
+            miss, F.lit(float(np.exp(alpha)))).otherwise(1.0))
         if (round_ + 1) % options["checkpoint_every"] == 0:
             state = checkpointed(state)
     if not stumps:
         raise ValueError("no stump beats guessing")
-    out = _coded(task.test, task).withColumn("_votes", F.array(*[F.lit(0.0)] * k))
-    kept = out.columns
-    for stump, alpha in stumps:
-        vote = F.transform("_votes", lambda v, i, a=alpha: v + F.when(
-            i == F.col("_prediction").cast("int"), F.lit(a)).otherwise(0.0))
-        out = stump.transform(out).withColumn("_votes", vote).select(*kept)
+    votes = [F.lit(0.0)] * k
+    for condition, yes, no, alpha in stumps:
+        if condition is None or yes == no:
+            votes[yes] = votes[yes] + F.lit(alpha)
+        else:
+            votes[yes] = votes[yes] + F.when(condition, alpha).otherwise(0.0)
+            votes[no] = votes[no] + F.when(condition, 0.0).otherwise(alpha)
+    scored = task.test.withColumn("_votes", F.array(*votes))
     best = F.array_position("_votes", F.array_max("_votes")) - 1
-    return _named(out.withColumn("_prediction", best.cast("double")), task)
+    return _named(scored.withColumn("_prediction", best.cast("double")), task)
 
 
 # Boosting presets: rounds, depth and step size the four boosted variants start from.
@@ -224,7 +258,7 @@ REGISTRY = {
     "naive_bayes": Spec(_spark_ml(_naive_bayes)),
     "lda": Spec(_lda),
     "qda": Spec(_qda, options=dict(shrinkage=0.5)),
-    "sgd": Spec(_spark_ml(_hinge), options=dict(alpha=1e-4, max_iter=100)),
+    "sgd": Spec(_hinge, options=dict(alpha=1e-4, max_iter=100)),
     "decision_tree": Spec(_spark_ml(_tree), scaled=False,
                           options=dict(max_depth=20, max_bins=64, seed=0)),
     "lightgbm": Spec(_spark_ml(_boosted), scaled=False,
@@ -240,7 +274,7 @@ REGISTRY = {
     "adaboost": Spec(_adaboost, scaled=False,
                      options=dict(rounds=100, max_bins=64, seed=0, checkpoint_every=10)),
     "mlp": Spec(_spark_ml(_network), options=dict(hidden=[64, 32], max_iter=60, seed=42)),
-    "linear_svm": Spec(_spark_ml(_linear_svm), options=dict(c=1.0, max_iter=2000)),
+    "linear_svm": Spec(_linear_svm, options=dict(c=1.0, max_iter=2000)),
     "logistic": Spec(_spark_ml(_logistic), options=dict(max_iter=1000, reg=1e-6)),
     "knn": Spec(_knn, heavy=True, options=dict(k=5)),
     "svm": Spec(_rbf_svm, heavy=True, options=dict(c=1.0, gamma=None, landmarks=1000, max_iter=100)),

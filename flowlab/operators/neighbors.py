@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlab.operators.sampling import class_counts, undersample
-from flowlab.tables import SMALL_ROWS, local_table, numeric_matrix, ref
+from flowlab.tables import SMALL_ROWS, local_table, numeric_matrix, ref, tick, ticks
 
 # A base table of at most this many numbers is shipped to the tasks in one piece.
 SHIPPED_VALUES = 16_000_000
@@ -132,7 +132,7 @@ def smote(df, label, features, target=5_000, k=5, seed=0, flag="synthetic"):
     A class that needs filling has fewer than ``target`` rows by definition, so one
     task per class is bounded by the target, whatever the table size."""
     rows = smote_targets(df, label, target).limit(SMALL_ROWS + 1).collect()
-    kept = df.select(*[ref(f).cast("double").alias(f) for f in features], ref(label)).withColumn(
+    kept = df.selectExpr(*[f"cast({t} as double) as {t}" for t in ticks(features)], tick(label)).withColumn(
         flag, F.lit(False))
     if not rows:
         return kept

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlab.tables import ref, settled
+from flowlab.tables import number, ref, settled, tick, ticks
 
 
-def column_statistics(train, features):
-    """Mean and population deviation of every feature, as plain
-    Python numbers: one aggregate over the training rows, 2 values per feature."""
-    row = train.agg(*[F.avg(ref(c)) for c in features],
-                    *[F.stddev_pop(ref(c)) for c in features]).first()
-    p = len(features)
-    return dict(zip(features, row[:p])), dict(zip(features, row[p:]))
+def column_statistics(train, features, filled=False):
+    """Mean and population deviation of every feature, as plain Python numbers: one
+    aggregate over the training rows, a few values per feature.
+
+    With ``filled`` the deviation is the one after missing values were replaced by
+    the mean: they then add rows, but nothing to the squared distances."""
+    cells = [f"struct(avg({t}) AS mean, stddev_pop({t}) AS spread, count({t}) AS n)" for t in ticks(features)]
+    row = train.selectExpr("count(1) AS rows", *cells).first()
+    means, spreads = {}, {}
+    for c, cell in zip(features, row[1:]):
+        means[c], spread = cell["mean"], cell["spread"]
+        spreads[c] = spread * (cell["n"] / row["rows"]) ** 0.5 if filled and spread else spread
+    return means, spreads
 
 
 def fill_values(train, features, strategy="mean"):
@@ -31,26 +37,42 @@ def fill_values(train, features, strategy="mean"):
     return {c: 0.0 if values.get(c) is None else float(values[c]) for c in features}
 
 
+def replaced(df, texts):
+    """Replace columns by SQL texts: {column: text}; all other columns stay."""
+    return df.selectExpr(*[f"{texts[c]} AS {tick(c)}" if c in texts else tick(c) for c in df.columns])
+
+
+def _filled(c, value):
+    return f"coalesce(cast({tick(c)} AS double), {number(value)})"
+
+
+def _scaled(text, mean, spread):
+    return f"({text} - {number(mean)}) / {number(spread)}" if spread else number(0)
+
+
 def impute(df, fills):
     """Replace missing values by fixed numbers."""
-    return df.withColumns({c: F.coalesce(ref(c).cast("double"), F.lit(v)) for c, v in fills.items()})
+    return replaced(df, {c: _filled(c, v) for c, v in fills.items()})
 
 
-def scale(df, means, deviations):
+def scale(df, means, spreads):
     """(x - mean) / population deviation; a constant feature becomes 0."""
-    return df.withColumns({
-        c: F.lit(0.0) if not deviations[c]
-        else (ref(c) - F.lit(means[c])) / F.lit(deviations[c]) for c in means})
+    return replaced(df, {c: _scaled(tick(c), m, spreads[c]) for c, m in means.items()})
 
 
 def prepare(train, frames, features, scaled=True, strategy="mean"):
     """Impute, and optionally standardise, several frames with statistics of ``train``."""
-    fills = fill_values(train, features, strategy)
-    ready = [impute(f, fills) for f in frames]
+    if strategy == "mean":
+        means, spreads = column_statistics(train, features, filled=True)
+        fills = {c: 0.0 if m is None else float(m) for c, m in means.items()}
+    else:
+        fills = fill_values(train, features, strategy)
+        means, spreads = column_statistics(impute(train, fills), features) if scaled else (None, None)
     if not scaled:
-        return ready
-    means, deviations = column_statistics(impute(train, fills), features)
-    return [scale(f, means, deviations) for f in ready]
+        return [impute(f, fills) for f in frames]
+    centres = fills if strategy == "mean" else means
+    texts = {c: _scaled(_filled(c, fills[c]), centres[c], spreads[c]) for c in features}
+    return [replaced(f, texts) for f in frames]
 
 
 def vector_of(df, features, name="features"):
@@ -94,4 +116,4 @@ def ablation_sets(features, drop_lists):
 
 
 def downcast(df, features):
-    return df.withColumns({c: ref(c).cast("float") for c in features})
+    return replaced(df, {c: f"cast({tick(c)} AS float)" for c in features})

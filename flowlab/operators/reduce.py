@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from flowlab.operators.sampling import stratified_sample
-from flowlab.tables import numeric_matrix, ref
+from flowlab.tables import numeric_matrix, ref, struct_of, ticks
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid", "cosine")
 # Kernel methods hold a matrix of this many rows squared; fits on more rows are
@@ -136,7 +136,7 @@ def landmark_rows(train, label, ids, features, most=MAX_LANDMARKS, seed=0):
     chosen = train
     if train.count() > most:
         chosen = stratified_sample(train, label, ids, n=most, floor=1, seed=f"landmark{seed}")
-    rows = chosen.select(*[ref(c) for c in features]).limit(2 * most + 1).toPandas()
+    rows = chosen.select(*ticks(features)).limit(2 * most + 1).toPandas()
     if len(rows) > 2 * most:
         raise ValueError("more classes than landmark rows; raise the landmark limit")
     matrix = numeric_matrix(rows, list(features))
@@ -154,7 +154,7 @@ def apply_blocks(df, features, model, k=None, name="projected"):
         parts = [shipped.value.project(x[i:i + BLOCK], k) for i in range(0, len(x), BLOCK)]
         return pd.Series([row for part in parts for row in part])
 
-    return df.withColumn(name, axes(F.struct(*[ref(c) for c in features])))
+    return df.withColumn(name, axes(struct_of(features)))
 
 
 def kernel_pca(train, frames, label, ids, features, kernel="rbf", k=15, gamma=None,
@@ -188,5 +188,5 @@ def pca(train, frames, features, k=15, name="projected"):
 def spread_axes(df, column="projected", k=None, prefix="z"):
     """Array column to one double column per axis."""
     names = [f"{prefix}{i + 1}" for i in range(k)]
-    return df.withColumns({n: F.try_element_at(F.col(column), F.lit(i + 1))
-                           for i, n in enumerate(names)}), names
+    axes = [f"get({column}, {i}) AS {n}" for i, n in enumerate(names)]
+    return df.selectExpr("*", *axes), names

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowlab.operators.audit import identical_pairs
 from flowlab.operators.quantiles import group_medians, pair_rank_sums
 from flowlab.operators.sampling import mark_smallest, class_counts, order_key
-from flowlab.tables import local_table, numeric_matrix, ref, tree_sum
+from flowlab.tables import local_table, numeric_matrix, ref, ticks, tree_sum
 
 # A capped base sample of at most this many values is shipped to the tasks.
 SHIPPED_VALUES = 20_000_000
@@ -30,7 +30,7 @@ def correlation_pairs(df, features, threshold=0.99):
     offsets do not cancel digits); the pair table is p*(p-1)/2 rows."""
     features = list(features)
     p = len(features)
-    means = df.agg(*[F.avg(ref(c)) for c in features]).first()
+    means = df.selectExpr(*[f"avg({t})" for t in ticks(features)]).first()
     shift = np.array([0.0 if m is None else float(m) for m in means])
 
     def sums(pdf):

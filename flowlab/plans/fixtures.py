@@ -101,7 +101,7 @@ def vector_columns(spark, sf):
     t = vectors(spark, sf)
     dims = t.select(F.max(F.size("vector"))).first()[0]
     names = [f"x{i}" for i in range(dims)]
-    return t.select("id", "label", *[F.col("vector")[i].alias(n) for i, n in enumerate(names)]), names
+    return t.selectExpr("id", "label", *[f"vector[{i}] AS {n}" for i, n in enumerate(names)]), names
 
 
 def runs(spark, sf):

@@ -25,13 +25,16 @@ def split_vectors(spark, sf, test_size=0.4):
     return parts.where("is_train"), parts.where("not is_train"), names
 
 
+NB = ["quantity", "price", "discount", "tax", "rate"]
+
+
 def predictions(name, spark, sf):
-    train, test, names = split_vectors(spark, sf)
-    return models.fit_predict(name, train, test, "label", ["id"], names, **QUICK.get(name, {})).select(
-        "id", "label", "prediction")
+    """Predictions of one classifier for the test rows of the records."""
+    parts = sampling.stratified_split(X.flows(spark, sf), "label", ["flow_id"], 0.4)
+    return models.fit_predict(name, parts.where("is_train"), parts.where("not is_train"), "label",
+                              ["flow_id"], NB, **QUICK.get(name, {})).select("flow_id", "label", "prediction")
 
 
-NB = ["quantity", "price", "discount", "tax", "rate"]
 # Gaussian naive Bayes in SQL: scale and fill from the training rows, add 1e-9 of the
 # largest variance to every variance, pick the class with the largest log posterior.
 NB_SQL = (
@@ -54,20 +57,14 @@ NB_SQL = (
     "guessed AS (SELECT flow_id, label, first(class ORDER BY score DESC, class) AS prediction FROM posterior GROUP BY 1, 2)")
 
 
-def naive_bayes_flows(spark, sf):
-    parts = sampling.stratified_split(X.flows(spark, sf), "label", ["flow_id"], 0.4)
-    return models.fit_predict("naive_bayes", parts.where("is_train"), parts.where("not is_train"),
-                              "label", ["flow_id"], NB)
-
-
 @query("clf_gaussian_nb", X.with_sql(*NB_SQL, "SELECT flow_id, label, prediction FROM guessed"))
 def _(spark, sf):
-    return naive_bayes_flows(spark, sf).select("flow_id", "label", "prediction")
+    return predictions("naive_bayes", spark, sf)
 
 
-for _key, _model in (("clf_naive_bayes_vectors", "naive_bayes"), ("clf_lda", "lda"), ("clf_qda", "qda"),
+for _key, _model in (("clf_lda", "lda"), ("clf_qda", "qda"),
                      ("clf_sgd_hinge", "sgd"), ("clf_decision_tree", "decision_tree"),
-                     ("clf_random_forest", "random_forest"), ("clf_gbt_ovr", "hist_gb"),
+                     ("clf_random_forest", "random_forest"), ("clf_gbt_ovr", "hist_gb"), ("clf_gbt_deep", "xgboost"),
                      ("clf_adaboost", "adaboost"), ("clf_mlp", "mlp"), ("clf_linear_svm", "linear_svm"),
                      ("clf_logistic", "logistic"), ("clf_rbf_svm", "svm")):
     @query(_key)

@@ -8,7 +8,7 @@ from flowlab.operators import leakage, metrics, models, runs
 from flowlab.plans import fixtures as X
 from flowlab.plans import studies
 from flowlab.plans.q_metrics import METRICS, ROUNDED_SQL, rounded, tallies_sql
-from flowlab.plans.q_models import NB_SQL, QUICK, naive_bayes_flows
+from flowlab.plans.q_models import NB_SQL, QUICK, predictions
 from flowlab.plans.registry import query
 
 LIVE = ["quantity", "price", "discount", "tax", "rate"]
@@ -17,7 +17,7 @@ LIVE = ["quantity", "price", "discount", "tax", "rate"]
 @query("naive_bayes_summary", X.with_sql(*NB_SQL, *tallies_sql("guessed"), f"""
 SELECT n, {ROUNDED_SQL} FROM summary"""))
 def _(spark, sf):
-    counts = metrics.confusion_counts(naive_bayes_flows(spark, sf))
+    counts = metrics.confusion_counts(predictions("naive_bayes", spark, sf))
     return rounded(metrics.classification_summary(counts), METRICS)
 
 
@@ -73,7 +73,7 @@ SELECT class, round(f1, 6) AS f1, support, CAST(row_number() OVER (ORDER BY supp
 def _(spark, sf):
     from pyspark.sql import Window
 
-    report = metrics.per_class_report(metrics.confusion_counts(naive_bayes_flows(spark, sf)))
+    report = metrics.per_class_report(metrics.confusion_counts(predictions("naive_bayes", spark, sf)))
     order = Window.partitionBy().orderBy(F.col("support").desc(), "class")  # one row per class
     return report.select("class", F.round("f1", 6).alias("f1"), "support", F.row_number().over(order).alias("place"))
 

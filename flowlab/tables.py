@@ -18,9 +18,28 @@ SMALL_ROWS = 100_000
 FAN_IN = 64
 
 
+def tick(name):
+    """Column name as SQL text that survives dots and blanks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ticks(names):
+    return [tick(n) for n in names]
+
+
 def ref(name):
     """Column reference that survives dots and blanks in names."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(tick(name))
+
+
+def struct_of(names):
+    """All columns as one struct, written as one SQL text: wide tables have hundreds."""
+    return F.expr("struct(" + ", ".join(ticks(names)) + ")")
+
+
+def number(value):
+    """A double as SQL text."""
+    return f"({float(value)!r}D)"
 
 
 def settled(df, max_rows=SMALL_ROWS):
@@ -74,7 +93,7 @@ def tree_sum(df, columns, batch_sums):
             {key: np.asarray(part, dtype=np.float64)}
             for pdf in batches for key, part in zip(pdf["key"], pdf["total"])))
 
-    parts = df.select(*[ref(c) for c in columns]).mapInPandas(first, _PARTS)
+    parts = df.select(*ticks(columns)).mapInPandas(first, _PARTS)
     merged = parts.repartition("lane", "key").mapInPandas(again, _PARTS)
     return _add_up({r["key"]: np.asarray(r["total"])} for r in merged.toLocalIterator())
 
