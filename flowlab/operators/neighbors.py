@@ -96,9 +96,9 @@ def knn_join(queries, base, k, query_id="id", base_id="id", vector="vector", car
         n_base = -(-size["n"] // block_rows)
         n_query = -(-queries.count() // block_rows)
         left = (probe.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(n_query)))
-                .withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1))).cast("bigint")))
+                .withColumn("bb", F.explode(_numbers(n_base))))
         right = (distinct.withColumn("bb", F.pmod(F.xxhash64("neighbour"), F.lit(n_base)))
-                 .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).cast("bigint")))
+                 .withColumn("qb", F.explode(_numbers(n_query))))
 
         def block(query_pdf, base_pdf):
             if not len(query_pdf) or not len(base_pdf):
@@ -112,6 +112,10 @@ def knn_join(queries, base, k, query_id="id", base_id="id", vector="vector", car
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def _numbers(n):
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def knn_vote(neighbours):
     """Most frequent neighbour class per query; the smallest class wins ties."""
     votes = neighbours.groupBy("query", ref("carry").alias("class")).agg(F.count(F.lit(1)).alias("n"))
