@@ -3,8 +3,7 @@
 One distributed pass gives rows, sums and products per class; everything after
 that happens on p*p matrices. Scoring is a vectorised function of the features."""
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from flowlab.tables import numeric_matrix, ref, struct_of, ticks, tree_sum
+from flowlab.tables import numeric_matrix, ref, ship, struct_of, ticks, tree_sum, unpack
 
 # Shrinkage steps tried in order, and the rank tolerance.
 SHRINKAGE_LADDER = (0.1, 0.25, 0.5, 0.8, 0.95)
@@ -142,13 +141,14 @@ def fit_on_ladder(moments, ladder=SHRINKAGE_LADDER, tolerance=RANK_TOLERANCE):
 def predict_class(df, features, model, name="prediction"):
     """Class with the highest score; Arrow batches, nothing is shuffled."""
     features = list(features)
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(df.sparkSession, model)
 
     @pandas_udf("string")
-    def best(batch: pd.DataFrame) -> pd.Series:
-        x = numeric_matrix(batch, features)
-        names = np.array(shipped.value.classes, dtype=object)
-        return pd.Series(names[shipped.value.scores(x).argmax(axis=1)])
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        fitted = unpack(shipped)
+        names = np.array(fitted.classes, dtype=object)
+        for batch in batches:
+            yield pd.Series(names[fitted.scores(numeric_matrix(batch, features)).argmax(axis=1)])
 
     return df.withColumn(name, best(struct_of(features)))
 
@@ -156,11 +156,13 @@ def predict_class(df, features, model, name="prediction"):
 def project(df, features, model, k=None, name="projected"):
     """Array column with the model's projection of the features."""
     features = list(features)
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(df.sparkSession, model)
 
     @pandas_udf("array<double>")
-    def axes(batch: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(shipped.value.project(numeric_matrix(batch, features), k)))
+    def axes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        fitted = unpack(shipped)
+        for batch in batches:
+            yield pd.Series(list(fitted.project(numeric_matrix(batch, features), k)))
 
     return df.withColumn(name, axes(struct_of(features)))
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from flowlab.operators.metrics import classification_summary, confusion_counts
 from flowlab.operators.sampling import order_key, rank_by_key
-from flowlab.tables import ref, value_of
+from flowlab.session import materialised
+from flowlab.tables import ref, tick, ticks, value_of
 
 
 def shuffled_copies(df, ids, features, repeats, seed=0):
@@ -25,7 +26,7 @@ def shuffled_copies(df, ids, features, repeats, seed=0):
     keyed = pairs.withColumn("_key", F.concat_ws(":", F.md5(text), *[ref(c).cast("string") for c in ids]))
     ranked = rank_by_key(keyed, "_key", by=["feature", "repeat"], name="_rank", rows=rows).drop("_key")
     pick = F.coalesce(*[F.when(F.col("feature") == F.lit(f), ref(f).cast("double")) for f in features])
-    donors = base.select("_rank", *[ref(f) for f in features])
+    donors = base.select("_rank", *ticks(features))
     moved = ranked.join(donors, "_rank").select(*ids, "feature", "repeat", pick.alias("_moved"))
     out = moved.join(base.drop("_rank"), list(ids))
     return out.withColumns({
@@ -38,6 +39,8 @@ def permutation_importance(df, ids, features, label, score, repeats=3, seed=0):
 
     ``score(DataFrame)`` adds a ``prediction`` column; all shuffled copies are
     scored in one pass."""
+    # read once per pass below, so written once
+    df = materialised(df.select(*ids, *ticks(features), tick(label)))
     base = classification_summary(confusion_counts(score(df), label))
     shuffled = score(shuffled_copies(df, ids, features, repeats, seed))
     runs = classification_summary(confusion_counts(shuffled, label, by=["feature", "repeat"]),

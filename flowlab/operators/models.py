@@ -15,7 +15,7 @@ from flowlab.operators.neighbors import knn_join, knn_vote
 from flowlab.operators.prep import label_codes, prepare, vector_of, with_class_weight
 from flowlab.operators.reduce import KernelMap, apply_blocks, landmark_rows
 from flowlab.session import checkpointed, shared_dir
-from flowlab.tables import ref, settled, ticks
+from flowlab.tables import ref, settled, spread, ticks
 
 
 @dataclass
@@ -57,12 +57,12 @@ def _named(df, task):
 def _spark_ml(make):
     """Fit a Spark ML estimator made by ``make(task, options)``."""
     def fit(task, options):
-        train = _coded(task.train, task).persist()
+        train = spread(_coded(task.train, task).select("_features", "_code", *[task.weight] * bool(task.weight))).persist()
         try:
             model = make(task, options).fit(train)
         finally:
             train.unpersist()
-        return _named(model.transform(_coded(task.test, task)), task)
+        return _named(model.transform(_coded(spread(task.test), task)), task)
     return fit
 
 
@@ -131,7 +131,7 @@ class LinearScores:
 
 def _fit_hinge(rows, task, options, strength, mapping=None):
     """One linear hinge classifier per class; all of them score in one matrix product."""
-    rows = rows.persist()
+    rows = spread(rows.select("_features", "_code", *[task.weight] * bool(task.weight))).persist()
     try:
         fitted = _one_vs_rest(C.LinearSVC(
             rawPredictionCol="_raw", regParam=strength, maxIter=options["max_iter"],
@@ -215,7 +215,7 @@ def _adaboost(task, options):
     weight of every stump that got it wrong. A stump is one comparison, so weights
     and votes are plain column expressions; lineage is cut every few rounds."""
     k = len(task.classes)
-    state = checkpointed(_coded(task.train, task).select(
+    state = checkpointed(spread(_coded(task.train, task)).select(
         *ticks(task.features), "_features", "_code").withColumn("_w", F.lit(1.0)))
     stumps = []
     for round_ in range(options["rounds"]):
@@ -307,7 +307,7 @@ TREES = {"decision_tree": _tree, "random_forest": _forest}
 def fit_model(name, train, label, ids, features, classes=None, **options):
     """Fit a tree model on prepared rows and keep it, for repeated scoring."""
     task = Task(train, None, list(features), label, list(ids), classes or class_list(train, label))
-    rows = _coded(train, task).persist()
+    rows = spread(_coded(train, task)).persist()
     try:
         return Fitted(TREES[name](task, {**REGISTRY[name].options, **options}).fit(rows), task)
     finally:

@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlab.tables import ref, settled
+from flowlab.tables import ref, settled, spread, tick, ticks
 
 # Rows a single bucket may hold on average before features are cut into value ranges.
 ROWS_PER_BUCKET = 1_000_000
@@ -106,7 +106,8 @@ def pair_rank_sums(df, label, base, features, rows_per_bucket=ROWS_PER_BUCKET):
     the wins, an exact whole number), lowest, highest."""
     rows = df.count()
     ranges = value_ranges(df, features, rows_per_bucket, rows)
-    values = long_form(df, [ref(label).alias("class")], features, ranges)
+    values = long_form(spread(df.select(tick(label), *ticks(features))), [ref(label).alias("class")],
+                       features, ranges)
     is_base = F.col("class") == F.lit(base)
     counts = (values.groupBy("class", "feature", "bucket", "value")
               .agg(F.count(F.lit(1)).alias("n")))

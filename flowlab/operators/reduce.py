@@ -1,6 +1,6 @@
 """Linear and kernel principal components, kernel values, kernel feature maps."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from flowlab.operators.sampling import stratified_sample
-from flowlab.tables import numeric_matrix, ref, struct_of, ticks
+from flowlab.tables import numeric_matrix, ref, ship, struct_of, ticks, unpack
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid", "cosine")
 # Kernel methods hold a matrix of this many rows squared; fits on more rows are
@@ -146,13 +146,15 @@ def landmark_rows(train, label, ids, features, most=MAX_LANDMARKS, seed=0):
 def apply_blocks(df, features, model, k=None, name="projected"):
     """Project all rows in blocks; the fitted model travels to the rows."""
     features = list(features)
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(df.sparkSession, model)
 
     @pandas_udf("array<double>")
-    def axes(batch: pd.DataFrame) -> pd.Series:
-        x = numeric_matrix(batch, features)
-        parts = [shipped.value.project(x[i:i + BLOCK], k) for i in range(0, len(x), BLOCK)]
-        return pd.Series([row for part in parts for row in part])
+    def axes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        fitted = unpack(shipped)
+        for batch in batches:
+            x = numeric_matrix(batch, features)
+            parts = [fitted.project(x[i:i + BLOCK], k) for i in range(0, len(x), BLOCK)]
+            yield pd.Series([row for part in parts for row in part])
 
     return df.withColumn(name, axes(struct_of(features)))
 

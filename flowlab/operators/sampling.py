@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from flowlab.tables import SMALL_ROWS, local_table, ref, settled
 
-# Hex digits resolved by one counting pass (4096 buckets per class).
+# Hex digits of the first count (256 runs per class) and of every further one.
+FIRST_DIGITS = 2
 DIGITS_PER_PASS = 3
 # Stop narrowing once the run holding the cut-off has at most this many rows.
 RUN_ROWS = 65_536
@@ -33,10 +34,14 @@ def with_stable_id(df, name="row_id"):
         "#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
 
 
-def sample_quotas(df, label, n, floor=50):
-    """Rows to draw per class for a sample of about ``n`` rows: proportional, but at
-    least ``floor`` rows of every class (all of it when it is smaller)."""
-    counts = class_counts(df, label)
+def class_counts(df, label):
+    return (df.where(ref(label).isNotNull()).groupBy(ref(label).alias("label"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def sample_quotas(counts, n, floor=50):
+    """Rows to draw per class (label, n, take) for a sample of about ``n`` rows:
+    proportional, but at least ``floor`` rows of every class, or all of a smaller one."""
     if n is None:
         return counts.withColumn("take", F.col("n"))
     everything = F.sum("n").over(Window.partitionBy())  # one row per class
@@ -45,16 +50,10 @@ def sample_quotas(df, label, n, floor=50):
     return counts.withColumn("take", F.least(F.col("n"), wanted))
 
 
-def class_counts(df, label):
-    return (df.where(ref(label).isNotNull()).groupBy(ref(label).alias("label"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
-def split_quotas(df, label, test_size):
+def split_quotas(counts, test_size):
     """Training rows per class of a stratified split: the training total is
     N - ceil(N * test_size), shared out proportionally with largest remainders;
     ties go to the class that sorts first."""
-    counts = class_counts(df, label)
     whole = Window.partitionBy()  # one row per class
     total = F.sum("n").over(whole)
     train = total - F.ceil(total * F.lit(float(test_size)))
@@ -68,34 +67,47 @@ def split_quotas(df, label, test_size):
         "label", "n", (F.col("base") + F.when(place <= short, 1).otherwise(0)).alias("take"))
 
 
-def mark_smallest(df, label, quotas, key, flag, others=False):
+def mark_smallest(df, label, quota, key, flag, among=None, others=False):
     """Add boolean ``flag``: is the row among the ``take`` smallest keys of its class?
 
-    ``quotas``: label, n, take. ``others`` is the flag of classes without a quota."""
-    spark = df.sparkSession
-    rows = quotas.limit(SMALL_ROWS + 1).collect()
-    if len(rows) > SMALL_ROWS:
-        return _mark_by_rank(df, label, quotas, key, flag, others)
+    ``quota`` turns class counts (label, n) into (label, n, take); ``among`` limits
+    the classes that get one, ``others`` is the flag of the remaining rows."""
     keyed = df.withColumn("_key", key)
+    drawn = keyed.where(ref(label).isNotNull() if among is None else among)
+    # one pass: rows per class and leading digits give the class counts, the quotas
+    # and the run of keys that holds each cut-off
+    parts = (drawn.groupBy(ref(label).alias("_class"), F.substring("_key", 1, FIRST_DIGITS).alias("_bucket"))
+             .agg(F.count(F.lit(1)).alias("_n")))
+    quotas = quota(parts.groupBy(F.col("_class").alias("label")).agg(F.sum("_n").alias("n")))
+    upto = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    place = F.greatest(F.lit(1), F.least("take", "n"))
+    runs = (parts.withColumn("_upto", F.sum("_n").over(upto))
+            .join(quotas, F.col("_class") == F.col("label"))
+            .where((F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place))
+            .select("label", "n", "take", "_bucket", "_n", (F.col("_upto") - F.col("_n")).alias("_before")))
+    rows = runs.limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        return _mark_by_rank(keyed, drawn, label, quotas, flag, others)
     cuts = [(r["label"], "~" if r["take"] >= r["n"] else "") for r in rows
             if r["take"] >= r["n"] or r["take"] <= 0]
-    cuts += _cutoffs(keyed, label, [r for r in rows if 0 < r["take"] < r["n"]])
+    cuts += _cutoffs(drawn, label, [(r["label"], r["_bucket"], int(r["take"] - r["_before"]), r["_n"])
+                                    for r in rows if 0 < r["take"] < r["n"]])
     label_type = df.schema[label].dataType.simpleString()
-    table = local_table(spark, cuts, f"_class {label_type}, _cut string")
+    table = local_table(df.sparkSession, cuts, f"_class {label_type}, _cut string")
     marked = keyed.join(table, ref(label) == F.col("_class"), "left")
     hit = F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(others))
     return marked.withColumn(flag, hit).drop("_key", "_class", "_cut")
 
 
-def _cutoffs(keyed, label, rows):
-    """(label, take-th smallest key) for classes that are cut somewhere inside."""
-    if not rows:
+def _cutoffs(keyed, label, runs):
+    """(label, cut-off key) from runs (label, key prefix, place in the run, rows)."""
+    if not runs:
         return []
     spark = keyed.sparkSession
     label_type = keyed.schema[label].dataType.simpleString()
     schema = f"_class {label_type}, _prefix string, _need bigint"
-    runs = [(r["label"], "", r["take"], r["n"]) for r in rows]
-    width = 0
+    width = FIRST_DIGITS
     while max(n for *_, n in runs) > RUN_ROWS:
         width += DIGITS_PER_PASS
         bucket = F.substring("_key", 1, width)
@@ -120,13 +132,15 @@ def _inside(keyed, label, runs):
         F.col("_key").startswith(F.col("_prefix")))
 
 
-def _mark_by_rank(df, label, quotas, key, flag, others):
+def _mark_by_rank(keyed, drawn, label, quotas, flag, others):
     """Same result for label columns with very many classes: rank within classes."""
-    ranked = rank_by_key(df.withColumn("_key", key), "_key", by=[label], name="_rank")
     table = quotas.select(F.col("label").alias("_class"), F.col("take").alias("_take"))
-    marked = ranked.join(table, ref(label) == F.col("_class"), "left")
-    hit = F.coalesce(F.col("_rank") <= F.col("_take"), F.lit(others))
-    return marked.withColumn(flag, hit).drop("_key", "_rank", "_class", "_take")
+    ranked = rank_by_key(drawn, "_key", by=[label], name="_rank").join(table, ref(label) == F.col("_class"))
+    cut = ranked.groupBy("_class").agg(F.coalesce(
+        F.max(F.when(F.col("_rank") <= F.col("_take"), F.col("_key"))), F.lit("")).alias("_cut"))
+    marked = keyed.join(cut, ref(label) == F.col("_class"), "left")
+    return marked.withColumn(flag, F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(others))).drop(
+        "_key", "_class", "_cut")
 
 
 def rank_by_key(df, key, by=(), name="rank", rows=None):
@@ -163,7 +177,7 @@ def stratified_sample(df, label, ids, n, floor=50, seed=0):
     """About ``n`` rows, every class in proportion but with at least ``floor`` rows."""
     if n is None:
         return df
-    marked = mark_smallest(df, label, sample_quotas(df, label, n, floor),
+    marked = mark_smallest(df, label, lambda counts: sample_quotas(counts, n, floor),
                            order_key(seed, ids), "_drawn")
     return marked.where("_drawn").drop("_drawn")
 
@@ -172,7 +186,7 @@ def stratified_split(df, label, ids, test_size, seed=0, flag="is_train"):
     """Mark every row as training or test row; both parts keep the class mix.
     Rows without a label belong to neither part and are left out."""
     labelled = df.where(ref(label).isNotNull())
-    return mark_smallest(labelled, label, split_quotas(df, label, test_size),
+    return mark_smallest(labelled, label, lambda counts: split_quotas(counts, test_size),
                          order_key(f"split{seed}", ids), flag)
 
 
@@ -185,12 +199,15 @@ def cap_per_class(df, label, ids, cap, seed=0):
 
 def undersample(df, label, ids, target, keep, seed=0):
     """Cut one class down to exactly ``keep`` rows if it has more; others stay whole."""
-    quota = (class_counts(df.where(ref(label) == F.lit(target)), label)
-             .withColumn("take", F.least(F.col("n"), F.lit(keep).cast("bigint"))))
-    marked = mark_smallest(df, label, quota, order_key(seed, ids), "_kept", others=True)
+    marked = mark_smallest(df, label, lambda counts: at_most(counts, keep), order_key(seed, ids), "_kept",
+                           among=ref(label) == F.lit(target), others=True)
     return marked.where("_kept").drop("_kept")
 
 
+def at_most(counts, cap):
+    return counts.withColumn("take", F.least(F.col("n"), F.lit(cap).cast("bigint")))
+
+
 def take_rows(df, chosen, ids):
     """Keep the rows whose id is in ``chosen``."""
     return df.join(chosen.select(*ids), list(ids), "left_semi")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from flowlab.operators.audit import identical_pairs
 from flowlab.operators.quantiles import group_medians, pair_rank_sums
-from flowlab.operators.sampling import mark_smallest, class_counts, order_key
-from flowlab.tables import local_table, numeric_matrix, ref, ticks, tree_sum
+from flowlab.operators.sampling import undersample
+from flowlab.tables import local_table, numeric_matrix, ref, spread, ticks, tree_sum
 
 # A capped base sample of at most this many values is shipped to the tasks.
 SHIPPED_VALUES = 20_000_000
@@ -77,10 +77,7 @@ def base_sample(df, label, ids, base, cap, seed=0):
     rows = df.where(ref(label) == F.lit(base))
     if cap is None:
         return rows
-    quota = class_counts(rows, label).withColumn(
-        "take", F.least(F.col("n"), F.lit(cap).cast("bigint")))
-    return mark_smallest(rows, label, quota, order_key(seed, ids), "_drawn").where(
-        "_drawn").drop("_drawn")
+    return undersample(rows, label, ids, base, cap, seed)
 
 
 def capped_auc(df, label, ids, features, base, cap, seed=0):
@@ -121,7 +118,7 @@ def capped_auc(df, label, ids, features, base, cap, seed=0):
             out["class"] = names.to_numpy()[out["code"]] if hasattr(names, "to_numpy") else names[out["code"]]
             yield out[["class", "feature", "n", "wins2", "lowest", "highest"]]
 
-    sums = (others.select(ref(label).alias("class"), *[ref(f) for f in features])
+    sums = (spread(others.select(ref(label).alias("class"), *[ref(f) for f in features]))
             .mapInPandas(wins, "class string, feature string, n bigint, wins2 bigint, "
                                "lowest double, highest double")
             .groupBy("class", "feature").agg(

@@ -10,7 +10,7 @@ from flowlab.plans import fixtures as X
 from flowlab.plans.registry import query
 from flowlab.session import scratch_path
 from flowlab.sources import results
-from flowlab.tables import ref
+from flowlab.tables import ref, settled, spread
 
 
 @query("rows_per_source", X.with_sql(X.EVENTS_SQL, """
@@ -132,12 +132,12 @@ def _flagship(spark, sf):
     features = X.FLOW_FEATURES
     clean = raw.select(*[finite_or_null(ref(c)).cast("float").alias(c) for c in features],
                        clean_label(F.col("label")).alias("label"), "day")
-    profile = audit.column_profile(clean, features)
+    profile = settled(audit.column_profile(clean, features))
     constant = [r["column"] for r in profile.where("constant").collect()]
     live = clean.drop(*constant)
     zero = F.lit(None).cast("double")
     # one shuffle of the records serves the copies and the class counts
-    per_label = audit.copy_counts(live, live.columns).groupBy("label").agg(
+    per_label = audit.copy_counts(spread(live), live.columns).groupBy("label").agg(
         F.sum(F.col("copies") - 1).alias("duplicates"), F.count(F.lit(1)).alias("kept"))
     cells = per_label.rollup("label").agg(
         F.sum("duplicates").alias("duplicates"), F.sum("kept").alias("kept"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowlab.operators import discriminant, metrics, models, prep, reduce, sampling
 from flowlab.plans import fixtures as X
 from flowlab.plans.registry import query
+from flowlab.session import materialised
 
 # Smaller than the registry defaults, so that every classifier can run in a check.
 QUICK = {
@@ -21,7 +22,7 @@ QUICK = {
 def split_vectors(spark, sf, test_size=0.4):
     """Vector rows with one column per dimension, split into train and test."""
     t, names = X.vector_columns(spark, sf)
-    parts = sampling.stratified_split(t, "label", ["id"], test_size)
+    parts = materialised(sampling.stratified_split(t, "label", ["id"], test_size))
     return parts.where("is_train"), parts.where("not is_train"), names
 
 
@@ -30,7 +31,8 @@ NB = ["quantity", "price", "discount", "tax", "rate"]
 
 def predictions(name, spark, sf):
     """Predictions of one classifier for the test rows of the records."""
-    parts = sampling.stratified_split(X.flows(spark, sf), "label", ["flow_id"], 0.4)
+    parts = materialised(sampling.stratified_split(
+        X.flows(spark, sf).select("flow_id", "label", *NB), "label", ["flow_id"], 0.4))
     return models.fit_predict(name, parts.where("is_train"), parts.where("not is_train"), "label",
                               ["flow_id"], NB, **QUICK.get(name, {})).select("flow_id", "label", "prediction")
 
@@ -74,7 +76,8 @@ for _key, _model in (("clf_lda", "lda"), ("clf_qda", "qda"),
 
 @query("clf_decision_tree_weighted")
 def _(spark, sf):
-    parts = sampling.stratified_split(X.flows(spark, sf), "label", ["flow_id"], 0.4)
+    parts = materialised(sampling.stratified_split(
+        X.flows(spark, sf).select("flow_id", "label", *NB), "label", ["flow_id"], 0.4))
     return models.fit_predict("decision_tree", parts.where("is_train"), parts.where("not is_train"), "label",
                               ["flow_id"], NB, class_weight=True, max_depth=8).select(
         "flow_id", "label", "prediction")

@@ -39,7 +39,7 @@ def _(spark, sf):
 @query("sample_quotas", X.with_sql(X.FLOWS_SQL, X.sample_sql("flows", "flow_id", 5000, 100), """
 SELECT label, n, CAST(take AS BIGINT) AS take FROM drawn_quota"""))
 def _(spark, sf):
-    return sampling.sample_quotas(X.flows(spark, sf), "label", 5000, 100)
+    return sampling.sample_quotas(sampling.class_counts(X.flows(spark, sf), "label"), 5000, 100)
 
 
 @query("cap_per_class", X.with_sql(X.FLOWS_SQL, """
@@ -66,7 +66,7 @@ SELECT flow_id, label, is_train FROM parts"""))
 @query("split_quotas", X.with_sql(X.EVENTS_SQL, X.split_sql("events_t", "event_id", 0.6), """
 SELECT label, n, CAST(take AS BIGINT) AS take FROM parts_quota"""))
 def _(spark, sf):
-    q = sampling.split_quotas(X.events(spark, sf), "label", 0.6)
+    q = sampling.split_quotas(sampling.class_counts(X.events(spark, sf), "label"), 0.6)
     return q.withColumn("take", F.col("take").cast("bigint"))
 
 

@@ -13,6 +13,7 @@ from flowlab.operators import (importance, leakage, metrics, models, neighbors,
                                runs, sampling, separability)
 from flowlab.operators.discriminant import lda_reduce
 from flowlab.operators.audit import dedupe, duplicate_share_features
+from flowlab.session import materialised
 from flowlab.tables import SMALL_ROWS, local_table, ref
 
 RUN_METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision",
@@ -71,7 +72,7 @@ def compare_classifiers(df, label, ids, features, names, test_sizes=(0.2, 0.4, 0
         todo = [n for n in names if (n, test_size) not in finished]
         if not todo:
             continue
-        parts = sampling.stratified_split(drawn, label, ids, test_size).persist()
+        parts = materialised(sampling.stratified_split(drawn, label, ids, test_size))
         train, test = parts.where("is_train"), parts.where("not is_train")
         sizes = parts.agg(F.count_if("is_train").alias("train"), F.count_if(~F.col("is_train")).alias("test")).first()
         classes = models.class_list(train, label)
@@ -93,7 +94,6 @@ def compare_classifiers(df, label, ids, features, names, test_sizes=(0.2, 0.4, 0
                         "flows_per_sec": int(sizes["test"] / seconds) if seconds > 0 else 0}
 
             rows.append(attempt(record, work))
-        parts.unpersist()
     fresh = spark.createDataFrame(rows, RUN_SCHEMA)
     return fresh if done is None else runs.upsert_runs(done, fresh, ["model", "split", "sample"])
 
@@ -116,7 +116,7 @@ def reduction_grid(df, label, ids, features, plan, classifiers, sample=10_000, f
     for step in plan:
         by_size.setdefault(step["test_size"], []).append(step)
     for test_size, steps in by_size.items():
-        parts = sampling.stratified_split(drawn, label, ids, test_size).persist()
+        parts = materialised(sampling.stratified_split(drawn, label, ids, test_size))
         train, test = parts.where("is_train"), parts.where("not is_train")
         n_train, n_test = train.count(), test.count()
         classes = models.class_list(train, label)
@@ -154,7 +154,6 @@ def reduction_grid(df, label, ids, features, plan, classifiers, sample=10_000, f
                                      "reduction_seconds": round(took, 1)}, work))
             for f in frames:
                 f.unpersist()
-        parts.unpersist()
     return spark.createDataFrame(rows, GRID_SCHEMA)
 
 
@@ -191,9 +190,9 @@ def feature_study(df, label, ids, features, base, sample=300_000, floor=2_000, r
                   model="random_forest", options=None, seed=0):
     """Redundant pairs, permutation importance of a forest on held-out rows, and class
     signatures of one stratified sample, as three tables."""
-    drawn = sampling.stratified_sample(df, label, ids, sample, floor, seed).persist()
+    drawn = materialised(sampling.stratified_sample(df, label, ids, sample, floor, seed))
     pairs = separability.correlation_pairs(drawn, features)
-    parts = sampling.stratified_split(drawn, label, ids, 0.3)
+    parts = materialised(sampling.stratified_split(drawn, label, ids, 0.3))
     train, test = prep.prepare(parts.where("is_train"), [parts.where("is_train"), parts.where("not is_train")],
                                features, scaled=False)
     fitted = models.fit_model(model, train, label, ids, features, **(options or {}))
@@ -214,7 +213,7 @@ def imbalance_study(df, label, ids, features, majority, names=("decision_tree",
     spark = df.sparkSession
     options = options or {}
     drawn = sampling.stratified_sample(df, label, ids, sample, floor, seed)
-    parts = sampling.stratified_split(drawn, label, ids, test_size)
+    parts = materialised(sampling.stratified_split(drawn, label, ids, test_size))
     train, test = prep.prepare(parts.where("is_train"), [parts.where("is_train"), parts.where("not is_train")],
                                features, scaled=False)
     keep_columns = [*ids, *features, label]
@@ -260,11 +259,10 @@ def ablation_study(df, label, ids, features, drop_lists, names, test_size=0.4, s
     """The same models without certain features."""
     spark = df.sparkSession
     drawn = sampling.stratified_sample(df, label, ids, sample, floor, seed)
-    parts = sampling.stratified_split(drawn, label, ids, test_size).persist()
+    parts = materialised(sampling.stratified_split(drawn, label, ids, test_size))
     classes = models.class_list(parts, label)
     rows = [(title, len(columns), name, *_evaluate(spark, parts, label, ids, columns, name, classes, options or {}))
             for title, columns in prep.ablation_sets(features, drop_lists).items() for name in names]
-    parts.unpersist()
     return spark.createDataFrame(rows, ABLATION_SCHEMA)
 
 
@@ -277,12 +275,11 @@ def duplicate_effect_study(df, label, ids, features, names, test_size=0.4, sampl
     for condition, table in (("duplicates removed", _one_copy(df, keys, ids)), ("duplicates kept", df)):
         drawn = sampling.stratified_sample(table, label, ids, sample, floor, seed)
         share = duplicate_share_features(drawn, features).first()["share"] if condition == "duplicates kept" else 0.0
-        parts = sampling.stratified_split(drawn, label, ids, test_size).persist()
+        parts = materialised(sampling.stratified_split(drawn, label, ids, test_size))
         classes = models.class_list(parts, label)
         for name in names:
             rows.append((condition, name, share, *_evaluate(spark, parts, label, ids, features, name, classes,
                                                             options or {})))
-        parts.unpersist()
     return spark.createDataFrame(rows, "condition string, model string, duplicate_share double, accuracy double, "
                                        "macro_f1 double, weighted_f1 double, fit_seconds double")
 
@@ -299,7 +296,7 @@ def _one_copy(df, keys, ids):
 def leakage_study(df, label, ids, features, score, test_size=0.4, seed=0):
     """Split, find test records that also occur in training, score, and compare
     leaked with unseen rows. ``score(train, rows)`` adds a prediction to the rows."""
-    parts = sampling.stratified_split(df, label, ids, test_size, seed)
+    parts = materialised(sampling.stratified_split(df, label, ids, test_size, seed))
     scored = score(parts.where("is_train"), parts)
     segments = leakage.scored_segments(scored, [*features, label], label)
     return segments
@@ -309,7 +306,7 @@ def baseline(df, label, ids, features, test_size=0.4, model="sgd", options=None)
     """The starting point the other studies are measured against: copies kept, means
     taken from all rows, hinge loss, weighted averages."""
     fills = prep.fill_values(df, features)
-    parts = sampling.stratified_split(prep.impute(df, fills), label, ids, test_size)
+    parts = materialised(sampling.stratified_split(prep.impute(df, fills), label, ids, test_size))
     scored = models.fit_predict(model, parts.where("is_train"), parts.where("not is_train"), label, ids, features,
                                 prepared=True, **(options or {}))
     counts = metrics.confusion_counts(scored, label)

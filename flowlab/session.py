@@ -15,6 +15,8 @@ def local_session(cores="*", shuffle_partitions=8, app="flowlab"):
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small files should still occupy all local cores
+        .config("spark.sql.files.openCostInBytes", "1048576")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
@@ -52,6 +54,16 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
+def materialised(df, name="table"):
+    """Write ``df`` once to the shared folder and read it back: later passes see a
+    narrow Parquet table, which outlives lost executors."""
+    from flowlab.tables import spread
+
+    path = scratch_path(df.sparkSession, name)
+    spread(df).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark, name):
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

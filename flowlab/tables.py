@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +68,14 @@ def value_of(df, *columns):
     return df.select(F.struct(*columns)).scalar()
 
 
+def spread(df):
+    """Spread rows over all cores when they come from fewer files than there are
+    cores, ahead of iterative or CPU-heavy work. Tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def all_of(conditions):
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
@@ -93,7 +101,7 @@ def tree_sum(df, columns, batch_sums):
             {key: np.asarray(part, dtype=np.float64)}
             for pdf in batches for key, part in zip(pdf["key"], pdf["total"])))
 
-    parts = df.select(*ticks(columns)).mapInPandas(first, _PARTS)
+    parts = spread(df.select(*ticks(columns))).mapInPandas(first, _PARTS)
     merged = parts.repartition("lane", "key").mapInPandas(again, _PARTS)
     return _add_up({r["key"]: np.asarray(r["total"])} for r in merged.toLocalIterator())
 
@@ -116,6 +124,15 @@ def _as_frames(totals):
         yield pd.DataFrame({"lane": [lane], "key": [key], "total": [total]})
 
 
+def ship(spark, model):
+    """Broadcast a fitted model with its code, so that executors need no package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def unpack(shipped):
+    return cloudpickle.loads(shipped.value)
+
+
 def require_columns(df: DataFrame, names):
     absent = [n for n in names if n not in df.columns]
     if absent:

@@ -25,14 +25,14 @@ def flows(spark):
     (10_000, 50, 10_336), (100_000, 50, 100_089), (400_000, 50, 400_055),
     (300_000, 2_000, 310_160), (400_000, 2_000, 408_831)])
 def test_published_sample_sizes(flows, n, floor, expected):
-    assert sampling.sample_quotas(flows, "label", n, floor).agg(F.sum("take")).first()[0] == expected
+    assert sampling.sample_quotas(sampling.class_counts(flows, "label"), n, floor).agg(F.sum("take")).first()[0] == expected
 
 
 def test_published_split_supports(flows):
-    got = {r["label"]: r["n"] - r["take"] for r in sampling.split_quotas(flows, "label", 0.2).collect()}
+    got = {r["label"]: r["n"] - r["take"] for r in sampling.split_quotas(sampling.class_counts(flows, "label"), 0.2).collect()}
     assert sum(got.values()) == 514_812
     assert [got[c] for c in names()] == SUPPORT_20
-    assert sum(r["n"] - r["take"] for r in sampling.split_quotas(flows, "label", 0.4).collect()) == 1_029_624
+    assert sum(r["n"] - r["take"] for r in sampling.split_quotas(sampling.class_counts(flows, "label"), 0.4).collect()) == 1_029_624
 
 
 def people(spark, n=4000):
@@ -48,6 +48,7 @@ def by_hash(ids, seed):
 def test_narrowing_finds_the_same_rows(spark, monkeypatch, run_rows):
     monkeypatch.setattr(sampling, "RUN_ROWS", run_rows)
     monkeypatch.setattr(sampling, "DIGITS_PER_PASS", 1)
+    monkeypatch.setattr(sampling, "FIRST_DIGITS", 1)
     df = people(spark)
     drawn = sampling.stratified_sample(df, "label", ["id"], 500, 100, seed=7)
     expected = set()
