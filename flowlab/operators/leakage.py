@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlab.operators.audit import copy_counts
 from flowlab.operators.metrics import classification_summary
-from flowlab.tables import ref
+from flowlab.tables import all_of, ref, settled
+
+# Copies from which a record of the test side is answered without a shuffle.
+HOT_ROWS = 100_000
 
 
 def record_sides(df, key_columns, is_train="is_train", carry=()):
@@ -27,24 +31,36 @@ def leaked_share(df, key_columns, is_train="is_train"):
         F.coalesce(F.try_divide("n_leaked", "n_test"), F.lit(0.0)).alias("leaked_share"))
 
 
-def flag_leaked(test, train, key_columns, flag="leaked"):
+def _same(left_names, right_names):
+    return all_of([ref(a).eqNullSafe(ref(b)) for a, b in zip(left_names, right_names)])
+
+
+def flag_leaked(test, train, key_columns, flag="leaked", hot_rows=HOT_ROWS):
     """Row-level flag: does the test row occur among the training rows?
 
     The training side is reduced to distinct records first. The join runs on a
     64-bit hash, and all columns are compared as well, so a hash collision cannot
-    count. A hot record on the test side is split by adaptive skew handling,
-    since the training side holds it only once."""
-    mark = F.xxhash64(*[ref(c) for c in key_columns])
+    count. Records that fill a large part of the test side are answered from a
+    broadcast list and scattered over the join's partitions: at most 1000 records
+    can hold a thousandth of the rows, which bounds the list."""
     names = [f"_k{i}" for i in range(len(key_columns))]
     known = train.select(*[ref(c).alias(n) for c, n in zip(key_columns, names)]).distinct()
+    limit = max(hot_rows, test.count() // 1000)
+    spots = [f"_h{i}" for i in range(len(key_columns))]
+    often = settled(copy_counts(test, key_columns).where(F.col("copies") >= limit).select(
+        *[ref(c).alias(s) for c, s in zip(key_columns, spots)]))
+    seen = known.join(often, _same(names, spots), "left_semi").withColumn("_seen", F.lit(True))
+    hot = settled(often.join(seen, _same(spots, names), "left").select(
+        *spots, F.coalesce("_seen", F.lit(False)).alias("_hot")))
     known = known.withColumn("_mark", F.xxhash64(*names)).withColumn("_hit", F.lit(True))
-    probe = test.withColumn("_probe", mark)
-    same = F.col("_probe") == F.col("_mark")
-    for c, n in zip(key_columns, names):
-        same = same & ref(c).eqNullSafe(F.col(n))
+    mark = F.xxhash64(*[ref(c) for c in key_columns])
+    probe = test.join(hot, _same(key_columns, spots), "left").withColumn(
+        "_probe", F.when(F.col("_hot").isNull(), mark).otherwise(
+            F.xxhash64(F.monotonically_increasing_id()))).drop(*spots)
+    same = (F.col("_probe") == F.col("_mark")) & _same(key_columns, names)
     return (probe.join(known, same, "left")
-            .withColumn(flag, F.coalesce("_hit", F.lit(False)))
-            .drop("_probe", "_mark", "_hit", *names))
+            .withColumn(flag, F.coalesce("_hot", "_hit", F.lit(False)))
+            .drop("_probe", "_mark", "_hit", "_hot", *names))
 
 
 def scored_segments(scored, key_columns, label="label", prediction="prediction",

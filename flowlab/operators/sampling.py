@@ -191,10 +191,10 @@ def stratified_split(df, label, ids, test_size, seed=0, flag="is_train"):
 
 
 def cap_per_class(df, label, ids, cap, seed=0):
-    """At most ``cap`` rows of every class. With a literal cap Spark keeps the best
-    ``cap`` rows per class in every task before the shuffle."""
-    place = F.row_number().over(Window.partitionBy(ref(label)).orderBy(order_key(seed, ids)))
-    return df.withColumn("_place", place).where(F.col("_place") <= cap).drop("_place")
+    """At most ``cap`` rows of every class, all rows of smaller ones."""
+    labelled = df.where(ref(label).isNotNull())
+    marked = mark_smallest(labelled, label, lambda counts: at_most(counts, cap), order_key(seed, ids), "_kept")
+    return marked.where("_kept").drop("_kept")
 
 
 def undersample(df, label, ids, target, keep, seed=0):

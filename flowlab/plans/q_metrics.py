@@ -177,8 +177,8 @@ GAP = ["accuracy_overall", "accuracy_leaked", "accuracy_unseen", "leaked_share",
 @query("leakage_summary", X.with_sql(X.COPIES_ID_SQL, SPLIT_SQL, *LEAK_SQL, SEGMENT_SQL, """sums AS (
   SELECT count(*) AS n_test, count(*) FILTER (segment = 'leaked') AS n_leaked,
     count(*) FILTER (label = prediction) / count(*) AS accuracy_overall,
-    count(*) FILTER (label = prediction AND segment = 'leaked') / count(*) FILTER (segment = 'leaked') AS accuracy_leaked,
-    count(*) FILTER (label = prediction AND segment = 'unseen') / count(*) FILTER (segment = 'unseen') AS accuracy_unseen
+    count(*) FILTER (label = prediction AND segment = 'leaked') / nullif(count(*) FILTER (segment = 'leaked'), 0) AS accuracy_leaked,
+    count(*) FILTER (label = prediction AND segment = 'unseen') / nullif(count(*) FILTER (segment = 'unseen'), 0) AS accuracy_unseen
   FROM scored)""", """
 SELECT n_test, n_leaked, round(accuracy_overall, 6) AS accuracy_overall, round(accuracy_leaked, 6) AS accuracy_leaked,
   round(accuracy_unseen, 6) AS accuracy_unseen, round(n_leaked / n_test, 6) AS leaked_share,

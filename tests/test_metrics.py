@@ -96,6 +96,15 @@ def test_leak_treats_missing_as_equal_and_ignores_other_columns(spark):
     assert (share["n_test"], share["n_leaked"], share["leaked_share"]) == (2, 1, 0.5)
 
 
+def test_hot_records_get_the_same_flag(spark):
+    rows = [(i, None if i % 3 == 0 else float(i % 5), "a" if i % 2 else "b", i % 4 == 0) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, x double, label string, is_train boolean")
+    train = df.where("is_train and (x is null or x < 3)")
+    plain, split = ({r["id"]: r["leaked"] for r in leakage.flag_leaked(
+        df.where("not is_train"), train, ["x", "label"], hot_rows=h).collect()} for h in (100_000, 100))
+    assert plain == split and len(plain) == 675 and set(plain.values()) == {True, False}
+
+
 def test_segment_without_rows_is_absent(spark):
     df = spark.createDataFrame([(1.0, "a", "a", True), (2.0, "a", "b", False)],
                                "x double, label string, prediction string, is_train boolean")
