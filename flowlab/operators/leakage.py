@@ -8,8 +8,10 @@ from flowlab.operators.audit import copy_counts
 from flowlab.operators.metrics import classification_summary
 from flowlab.tables import all_of, ref, settled
 
-# Copies from which a record of the test side is answered without a shuffle.
+# Copies from which a record of the test side is answered without a shuffle, and the
+# most records handled that way.
 HOT_ROWS = 100_000
+HOT_RECORDS = 1_000
 
 
 def record_sides(df, key_columns, is_train="is_train", carry=()):
@@ -40,23 +42,25 @@ def flag_leaked(test, train, key_columns, flag="leaked", hot_rows=HOT_ROWS):
 
     The training side is reduced to distinct records first. The join runs on a
     64-bit hash, and all columns are compared as well, so a hash collision cannot
-    count. Records that fill a large part of the test side are answered from a
-    broadcast list and scattered over the join's partitions: at most 1000 records
-    can hold a thousandth of the rows, which bounds the list."""
+    count. The records with most copies on the test side are answered from a
+    broadcast list of at most ``HOT_RECORDS`` rows, and their rows are scattered
+    over the join's partitions; all other records take the join."""
     names = [f"_k{i}" for i in range(len(key_columns))]
-    known = train.select(*[ref(c).alias(n) for c, n in zip(key_columns, names)]).distinct()
-    limit = max(hot_rows, test.count() // 1000)
     spots = [f"_h{i}" for i in range(len(key_columns))]
-    often = settled(copy_counts(test, key_columns).where(F.col("copies") >= limit).select(
-        *[ref(c).alias(s) for c, s in zip(key_columns, spots)]))
-    seen = known.join(often, _same(names, spots), "left_semi").withColumn("_seen", F.lit(True))
-    hot = settled(often.join(seen, _same(spots, names), "left").select(
-        *spots, F.coalesce("_seen", F.lit(False)).alias("_hot")))
+    known = train.select(*[ref(c).alias(n) for c, n in zip(key_columns, names)]).distinct()
+    often = settled(copy_counts(test, key_columns).where(F.col("copies") >= hot_rows)
+                    .orderBy(F.col("copies").desc()).limit(HOT_RECORDS)
+                    .select(*[ref(c).alias(s) for c, s in zip(key_columns, spots)]))
+    probe = test.withColumn("_probe", F.xxhash64(*[ref(c) for c in key_columns])).withColumn("_hot", F.lit(None).cast("boolean"))
+    if not often.isEmpty():
+        seen = known.join(often, _same(names, spots), "left_semi").withColumn("_seen", F.lit(True))
+        hot = settled(often.join(seen, _same(spots, names), "left").select(
+            *spots, F.coalesce("_seen", F.lit(False)).alias("_answer")))
+        probe = (probe.drop("_hot").join(hot, _same(key_columns, spots), "left")
+                 .withColumn("_probe", F.when(F.col("_answer").isNull(), F.col("_probe")).otherwise(
+                     F.xxhash64(F.monotonically_increasing_id())))
+                 .withColumnRenamed("_answer", "_hot").drop(*spots))
     known = known.withColumn("_mark", F.xxhash64(*names)).withColumn("_hit", F.lit(True))
-    mark = F.xxhash64(*[ref(c) for c in key_columns])
-    probe = test.join(hot, _same(key_columns, spots), "left").withColumn(
-        "_probe", F.when(F.col("_hot").isNull(), mark).otherwise(
-            F.xxhash64(F.monotonically_increasing_id()))).drop(*spots)
     same = (F.col("_probe") == F.col("_mark")) & _same(key_columns, names)
     return (probe.join(known, same, "left")
             .withColumn(flag, F.coalesce("_hot", "_hit", F.lit(False)))

@@ -96,13 +96,15 @@ def _(spark, sf):
     return audit.complete_sources(expected, t.select(F.col("label").alias("name")))
 
 
-@query("source_check")
+@query("source_check", X.with_sql(X.FLOWS_SQL, """
+SELECT day AS source, true AS found, true AS has_bytes FROM flows GROUP BY day UNION ALL SELECT 'absent', false, NULL"""))
 def _(spark, sf):
     path = raw_csv(spark, sf)
     names, _ = by_source(spark, path)
     expected = {source: (files[0], source + "-renamed.csv") for source, files in names.items()}
     expected["absent"] = ("absent.csv", "absent-renamed.csv")
-    return src.source_check(spark, expected, path)
+    return src.source_check(spark, expected, path).select(
+        "source", F.col("name").isNotNull().alias("found"), (F.col("mb") > 0).alias("has_bytes"))
 
 
 @query("sink_parquet", X.with_sql(X.FLOWS_SQL, "SELECT * FROM flows"))

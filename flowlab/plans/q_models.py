@@ -37,26 +37,36 @@ def predictions(name, spark, sf):
                               ["flow_id"], NB, **QUICK.get(name, {})).select("flow_id", "label", "prediction")
 
 
-# Gaussian naive Bayes in SQL: scale and fill from the training rows, add 1e-9 of the
-# largest variance to every variance, pick the class with the largest log posterior.
-NB_SQL = (
-    X.FLOWS_SQL, X.split_sql("flows", "flow_id", 0.4),
-    "fills AS (SELECT " + ", ".join(f"avg({f}) AS f_{f}" for f in NB) + " FROM parts WHERE is_train)",
-    "filled AS (SELECT flow_id, label, is_train, " + ", ".join(
-        f"coalesce({f}, f_{f}) AS {f}" for f in NB) + " FROM parts, fills)",
-    "spreads AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in NB)
-    + " FROM filled WHERE is_train)",
-    "scaled AS (SELECT flow_id, label, is_train, " + ", ".join(
-        f"({f} - m_{f}) / s_{f} AS {f}" for f in NB) + " FROM filled, spreads)",
-    "widest AS (SELECT 1e-9 * greatest(" + ", ".join(f"var_pop({f})" for f in NB)
-    + ") AS eps FROM scaled WHERE is_train)",
-    "fitted AS (SELECT label AS class, ln(count(*) / (SELECT count(*) FROM scaled WHERE is_train)) AS prior, " + ", ".join(
-        f"avg({f}) AS m_{f}, var_pop({f}) + max(eps) AS v_{f}" for f in NB)
-    + " FROM scaled, widest WHERE is_train GROUP BY label)",
-    "posterior AS (SELECT flow_id, label, class, prior " + " ".join(
-        f"- 0.5 * ln(2 * pi() * v_{f}) - pow({f} - m_{f}, 2) / (2 * v_{f})" for f in NB)
-    + " AS score FROM scaled, fitted WHERE NOT is_train)",
-    "guessed AS (SELECT flow_id, label, first(class ORDER BY score DESC, class) AS prediction FROM posterior GROUP BY 1, 2)")
+def nb_sql(source, row_id, features, test_size=0.4, tag="", columns=""):
+    """Gaussian naive Bayes in SQL: fill and scale from the training rows, add 1e-9 of
+    the largest variance to every variance, pick the class with the largest log
+    posterior. Ends in ``{tag}guessed``(row id, label, prediction, columns...)."""
+    t = tag
+    extra = f", {columns}" if columns else ""
+
+    def each(text, sep=", "):
+        return sep.join(text.format(f=f) for f in features)
+
+    return (
+        X.split_sql(source, row_id, test_size, name=f"{t}parts"),
+        f"{t}fills AS (SELECT {each('avg({f}) AS f_{f}')} FROM {t}parts WHERE is_train)",
+        f"{t}filled AS (SELECT {row_id}, label, is_train{extra}, "
+        f"{each('coalesce({f}, f_{f}) AS n_{f}')} FROM {t}parts, {t}fills)",
+        f"{t}spreads AS (SELECT {each('avg(n_{f}) AS m_{f}, stddev_pop(n_{f}) AS s_{f}')} FROM {t}filled WHERE is_train)",
+        f"{t}scaled AS (SELECT {row_id}, label, is_train{extra}, {each('(n_{f} - m_{f}) / s_{f} AS z_{f}')} "
+        f"FROM {t}filled, {t}spreads)",
+        f"{t}widest AS (SELECT 1e-9 * greatest({each('var_pop(z_{f})')}) AS eps FROM {t}scaled WHERE is_train)",
+        f"{t}fitted AS (SELECT label AS class, ln(count(*) / (SELECT count(*) FROM {t}scaled WHERE is_train)) AS prior, "
+        f"{each('avg(z_{f}) AS m_{f}, var_pop(z_{f}) + max(eps) AS v_{f}')} "
+        f"FROM {t}scaled, {t}widest WHERE is_train GROUP BY label)",
+        f"{t}posterior AS (SELECT {row_id}, label{extra}, class, prior "
+        f"{each('- 0.5 * ln(2 * pi() * v_{f}) - pow(z_{f} - m_{f}, 2) / (2 * v_{f})', ' ')} AS score "
+        f"FROM {t}scaled, {t}fitted WHERE NOT is_train)",
+        f"{t}guessed AS (SELECT {row_id}, label{extra}, first(class ORDER BY score DESC, class) AS prediction "
+        f"FROM {t}posterior GROUP BY ALL)")
+
+
+NB_SQL = (X.FLOWS_SQL, *nb_sql("flows", "flow_id", NB))
 
 
 @query("clf_gaussian_nb", X.with_sql(*NB_SQL, "SELECT flow_id, label, prediction FROM guessed"))

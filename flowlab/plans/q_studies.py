@@ -8,7 +8,7 @@ from flowlab.operators import leakage, metrics, models, runs
 from flowlab.plans import fixtures as X
 from flowlab.plans import studies
 from flowlab.plans.q_metrics import METRICS, ROUNDED_SQL, rounded, tallies_sql
-from flowlab.plans.q_models import NB_SQL, QUICK, predictions
+from flowlab.plans.q_models import NB_SQL, QUICK, nb_sql, predictions
 from flowlab.plans.registry import query
 
 LIVE = ["quantity", "price", "discount", "tax", "rate"]
@@ -78,38 +78,46 @@ def _(spark, sf):
     return report.select("class", F.round("f1", 6).alias("f1"), "support", F.row_number().over(order).alias("place"))
 
 
-@query("ablation_study")
-def _(spark, sf):
-    drops = {"all": [], "no quantity": ["quantity"], "neither": ["quantity", "discount"]}
-    return studies.ablation_study(X.flows(spark, sf), "label", ["flow_id"], LIVE, drops, ["naive_bayes"])
+ABLATION = {"all": [], "no quantity": ["quantity"], "neither": ["quantity", "discount"]}
+KEPT = {name: [f for f in LIVE if f not in gone] for name, gone in ABLATION.items()}
+TAGS = {name: f"a{i}_" for i, name in enumerate(ABLATION)}
+SCORES = ["accuracy", "macro_f1", "weighted_f1"]
+SCORES_SQL = ", ".join(f"round({m}, 6)::DOUBLE AS {m}" for m in SCORES)
 
 
-@query("dup_effect_study")
+@query("ablation_study", X.with_sql(
+    X.FLOWS_SQL, *[part for name, tag in TAGS.items() for part in nb_sql("flows", "flow_id", KEPT[name], tag=tag)],
+    "every AS (" + " UNION ALL ".join(
+        f"SELECT '{name}|{len(KEPT[name])}' AS run, label, prediction FROM {tag}guessed" for name, tag in TAGS.items()) + ")",
+    *tallies_sql("every", "run"), f"""
+SELECT split_part(run, '|', 1) AS feature_set, CAST(split_part(run, '|', 2) AS INTEGER) AS n_features, 'naive_bayes' AS model,
+  {SCORES_SQL} FROM summary"""))
 def _(spark, sf):
-    return studies.duplicate_effect_study(X.copies_with_id(spark, sf), "label", ["flow_id"],
-                                          ["quantity", "discount", "tax"], ["naive_bayes"])
+    return rounded(studies.ablation_study(X.flows(spark, sf), "label", ["flow_id"], LIVE, ABLATION, ["naive_bayes"])
+                   .drop("fit_seconds"), SCORES)
 
 
 LEAK_FEATURES = ["quantity", "discount", "tax"]
+
+
+@query("dup_effect_study", X.with_sql(
+    X.COPIES_ID_SQL, "once AS (SELECT quantity, discount, tax, label, min(flow_id) AS flow_id FROM copies GROUP BY ALL)",
+    *nb_sql("copies", "flow_id", LEAK_FEATURES, tag="k_"), *nb_sql("once", "flow_id", LEAK_FEATURES, tag="r_"),
+    """every AS (SELECT 'duplicates kept' AS run, label, prediction FROM k_guessed
+  UNION ALL SELECT 'duplicates removed', label, prediction FROM r_guessed)""", *tallies_sql("every", "run"), f"""
+SELECT run AS condition, 'naive_bayes' AS model, CASE WHEN run = 'duplicates kept' THEN (SELECT round(1 - count(DISTINCT (quantity, discount, tax)) / count(*), 6) FROM copies)
+  ELSE 0 END AS duplicate_share, {SCORES_SQL} FROM summary"""))
+def _(spark, sf):
+    return rounded(studies.duplicate_effect_study(X.copies_with_id(spark, sf), "label", ["flow_id"], LEAK_FEATURES,
+                                                  ["naive_bayes"]).drop("fit_seconds"),
+                   ["duplicate_share", *SCORES])
+
+
 LEAK_NB_SQL = (
-    X.COPIES_ID_SQL, X.split_sql("copies", "flow_id", 0.4),
-    "spreads AS (SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in LEAK_FEATURES)
-    + " FROM parts WHERE is_train)",
-    "scaled AS (SELECT flow_id, label, is_train, " + ", ".join(
-        f"({f} - m_{f}) / s_{f} AS {f}, {f} AS raw_{f}" for f in LEAK_FEATURES) + " FROM parts, spreads)",
-    "widest AS (SELECT 1e-9 * greatest(" + ", ".join(f"var_pop({f})" for f in LEAK_FEATURES)
-    + ") AS eps FROM scaled WHERE is_train)",
-    "fitted AS (SELECT label AS class, ln(count(*) / (SELECT count(*) FROM scaled WHERE is_train)) AS prior, " + ", ".join(
-        f"avg({f}) AS m_{f}, var_pop({f}) + max(eps) AS v_{f}" for f in LEAK_FEATURES)
-    + " FROM scaled, widest WHERE is_train GROUP BY label)",
-    "posterior AS (SELECT flow_id, label, " + ", ".join(f"raw_{f}" for f in LEAK_FEATURES) + ", class, prior " + " ".join(
-        f"- 0.5 * ln(2 * pi() * v_{f}) - pow({f} - m_{f}, 2) / (2 * v_{f})" for f in LEAK_FEATURES)
-    + " AS score FROM scaled, fitted WHERE NOT is_train)",
-    "guessed AS (SELECT flow_id, label, " + ", ".join(f"raw_{f}" for f in LEAK_FEATURES)
-    + ", first(class ORDER BY score DESC, class) AS prediction FROM posterior GROUP BY ALL)",
-    "known AS (SELECT DISTINCT label, " + ", ".join(f"raw_{f}" for f in LEAK_FEATURES) + ", true AS hit FROM scaled WHERE is_train)",
+    X.COPIES_ID_SQL, *nb_sql("copies", "flow_id", LEAK_FEATURES, columns=", ".join(LEAK_FEATURES)),
+    "known AS (SELECT DISTINCT label, " + ", ".join(LEAK_FEATURES) + ", true AS hit FROM parts WHERE is_train)",
     """scored AS (SELECT g.label, prediction, CASE WHEN hit THEN 'leaked' ELSE 'unseen' END AS segment FROM guessed g
-  LEFT JOIN known k ON g.label = k.label AND """ + " AND ".join(f"g.raw_{f} = k.raw_{f}" for f in LEAK_FEATURES) + ")",
+  LEFT JOIN known k ON g.label = k.label AND """ + " AND ".join(f"g.{f} = k.{f}" for f in LEAK_FEATURES) + ")",
     "every AS (SELECT * FROM scored UNION ALL SELECT label, prediction, 'overall' FROM scored)")
 
 

@@ -75,12 +75,14 @@ def files_below(spark, path, pattern="*"):
 
 
 def source_check(spark, sources, path):
-    """Which file serves which source, and its size in MB."""
+    """Which file serves which source, and its size in MB; of files with the same name
+    in several folders the first folder counts."""
     from flowlab.operators.audit import complete_sources
 
     files = files_below(spark, path)
     hits = complete_sources(expected_sources(spark, sources), files)
-    return hits.join(files.select("name", "bytes"), "name", "left").select(
+    sizes = files.groupBy("name").agg(F.min_by("bytes", "path").alias("bytes"))
+    return hits.join(sizes, "name", "left").select(
         "source", "name", (F.col("bytes") / 1e6).alias("mb"))
 
 
