@@ -151,3 +151,59 @@ for _kernel in reduce.KERNELS:
 @query("clf_summary_logistic")
 def _(spark, sf):
     return metrics.classification_summary(metrics.confusion_counts(predictions("logistic", spark, sf)))
+
+
+# With full shrinkage every class covariance is a sphere, which SQL can score.
+@query("clf_qda_spherical", X.with_sql(*NB_SQL[:6], """sphere AS (
+  SELECT label AS class, ln(count(*) / (SELECT count(*) FROM scaled WHERE is_train)) AS prior, """ + ", ".join(
+    f"avg(z_{f}) AS m_{f}" for f in NB) + ", (" + " + ".join(f"var_pop(z_{f})" for f in NB) + f") / {len(NB)} AS v"
+    + " FROM scaled WHERE is_train GROUP BY label)", "votes AS (SELECT flow_id, label, class, prior - 0.5 * ("
+    + f"{len(NB)} * ln(v) + (" + " + ".join(f"pow(z_{f} - m_{f}, 2)" for f in NB) + """) / v) AS score
+  FROM scaled, sphere WHERE NOT is_train)""", """
+SELECT flow_id, label, first(class ORDER BY score DESC, class) AS prediction FROM votes GROUP BY 1, 2"""))
+def _(spark, sf):
+    parts = materialised(sampling.stratified_split(
+        X.flows(spark, sf).select("flow_id", "label", *NB), "label", ["flow_id"], 0.4))
+    return models.fit_predict("qda", parts.where("is_train"), parts.where("not is_train"), "label", ["flow_id"],
+                              NB, shrinkage=1.0).select("flow_id", "label", "prediction")
+
+
+# With a single feature the pooled covariance is one number.
+@query("clf_lda_single", X.with_sql(X.FLOWS_SQL, *nb_sql("flows", "flow_id", ["quantity"])[:5], """means AS (
+  SELECT label AS class, count(*) AS n, avg(z_quantity) AS m, var_pop(z_quantity) * count(*) AS scatter
+  FROM scaled WHERE is_train GROUP BY label)""", """pooled AS (SELECT sum(scatter) / (sum(n) - count(*)) AS v, sum(n) AS total FROM means)""",
+    """votes AS (SELECT flow_id, label, class, ln(n / total) - pow(z_quantity - m, 2) / (2 * v) AS score
+  FROM scaled, means, pooled WHERE NOT is_train)""", """
+SELECT flow_id, label, first(class ORDER BY score DESC, class) AS prediction FROM votes GROUP BY 1, 2"""))
+def _(spark, sf):
+    parts = materialised(sampling.stratified_split(
+        X.flows(spark, sf).select("flow_id", "label", "quantity"), "label", ["flow_id"], 0.4))
+    return models.fit_predict("lda", parts.where("is_train"), parts.where("not is_train"), "label", ["flow_id"],
+                              ["quantity"]).select("flow_id", "label", "prediction")
+
+
+# All axes together keep the length of a row: its squared distance from the training mean.
+NORMS_SQL = X.with_sql(
+    X.VECTORS_SQL, X.split_sql("vectors", "id", 0.4),
+    "cells AS (SELECT id, is_train, unnest(range(len(vector))) AS i, CAST(unnest(vector) AS DOUBLE) AS x FROM parts)",
+    "stats AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM cells WHERE is_train GROUP BY i)", """
+SELECT id, round(sum(pow((x - m) / s, 2)), 6) AS norm FROM cells JOIN stats USING (i) WHERE NOT is_train GROUP BY id""")
+
+
+def _norms(frame):
+    return frame.select("id", F.round(F.aggregate(
+        "projected", F.lit(0.0), lambda total, z: total + z * z), 6).alias("norm"))
+
+
+@query("pca_norms", NORMS_SQL)
+def _(spark, sf):
+    train, test, names = _prepared(spark, sf)
+    (out,), _ = reduce.pca(train, [test], names, len(names))
+    return _norms(out)
+
+
+@query("kpca_linear_norms", NORMS_SQL)
+def _(spark, sf):
+    train, test, names = _prepared(spark, sf)
+    (out,), _ = reduce.kernel_pca(train, [test], "label", ["id"], names, "linear", len(names))
+    return _norms(out)
