@@ -91,4 +91,4 @@ def report_text(counts, by=()):
     return per_class_report(counts, by).select(
         *[ref(c) for c in by], F.col("class").cast("string").alias("class"),
         F.format_string("%26s %12.4f %9.4f %9.4f %9d", F.col("class").cast("string"),
-                        "precision", "recall", "f1", "support").alias("line"))
+                        F.round("precision", 4), F.round("recall", 4), F.round("f1", 4), "support").alias("line"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -144,8 +142,3 @@ def _with_base(sums, base):
         "class", "feature", "n", "n_base", "wins2",
         F.least("lowest", "base_low").alias("lowest"),
         F.greatest("highest", "base_high").alias("highest"))
-
-
-def split_point(cuts, value):
-    """Range number a value falls into (what Bucketizer does, for tests)."""
-    return bisect.bisect_right(cuts, value)

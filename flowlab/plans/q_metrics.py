@@ -98,6 +98,12 @@ def _(spark, sf):
     return rounded(metrics.per_class_report(counts).drop("correct"), ["precision", "recall", "f1"])
 
 
+@query("report_text", X.with_sql(X.FLOWS_SQL, COUNTS_SQL, *tallies_sql("scored", "day"), """
+SELECT day, class, printf('%26s %12.4f %9.4f %9.4f %9d', class, round(precision, 4), round(recall, 4), round(f1, 4), support) AS line FROM report"""))
+def _(spark, sf):
+    return metrics.report_text(metrics.confusion_counts(X.rule(X.flows(spark, sf)), by=["day"]), by=["day"])
+
+
 @query("classification_summary", X.with_sql(X.FLOWS_SQL, COUNTS_SQL, *tallies_sql("scored"), f"""
 SELECT n, {ROUNDED_SQL} FROM summary"""))
 def _(spark, sf):

@@ -23,9 +23,9 @@ def _(spark, sf):
 
 @query("compare_classifiers")
 def _(spark, sf):
-    t, names = X.vector_columns(spark, sf)
-    done = studies.compare_classifiers(t, "label", ["id"], names, ["lda"], [0.4])
-    return studies.compare_classifiers(t, "label", ["id"], names, ["naive_bayes", "lda", "decision_tree"],
+    t = X.flows(spark, sf).select("flow_id", "label", *LIVE)
+    done = studies.compare_classifiers(t, "label", ["flow_id"], LIVE, ["lda"], [0.4])
+    return studies.compare_classifiers(t, "label", ["flow_id"], LIVE, ["naive_bayes", "lda", "decision_tree"],
                                        [0.2, 0.4], done=done, options=QUICK)
 
 

@@ -14,26 +14,23 @@ from flowlab.operators import (importance, leakage, metrics, models, neighbors,
 from flowlab.operators.discriminant import lda_reduce
 from flowlab.operators.audit import dedupe, duplicate_share_features
 from flowlab.session import materialised
-from flowlab.tables import SMALL_ROWS, local_table, ref
+from flowlab.tables import local_table, ref, settled
 
 RUN_METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision",
                "weighted_recall", "weighted_f1")
 
 
 def score_run(scored, label):
-    """Confusion counts of a run as plain rows, and the seconds it took to get them."""
+    """Confusion counts of a run, evaluated once, and the seconds that took. They are
+    at most classes x classes rows."""
     start = time.time()
-    rows = metrics.confusion_counts(scored, label).limit(SMALL_ROWS).collect()
-    return rows, time.time() - start
+    counts = settled(metrics.confusion_counts(scored, label))
+    return counts, time.time() - start
 
 
-def summarise(spark, rows):
-    """Metric numbers and per-class rows from collected confusion counts."""
-    counts = local_table(spark, [(r["label"], r["prediction"], r["n"]) for r in rows],
-                         "label string, prediction string, n bigint")
-    summary = metrics.classification_summary(counts).first().asDict()
-    classes = [r.asDict() for r in metrics.per_class_report(counts).collect()]
-    return summary, classes
+def summarise(counts):
+    """Metric numbers of a run."""
+    return metrics.classification_summary(counts).first().asDict()
 
 
 def attempt(record, work):
@@ -52,12 +49,13 @@ RUN_SCHEMA = ("model string, split string, test_size double, sample string, n_tr
               + ", fit_seconds double, pred_seconds double, flows_per_sec bigint, status string")
 
 
-def compare_classifiers(df, label, ids, features, names, test_sizes=(0.2, 0.4, 0.6), sample=None,
+def compare_classifiers(df, label, ids, features, names=None, test_sizes=(0.2, 0.4, 0.6), sample=None,
                         floor=50, done=None, options=None, seed=0):
     """Every model on every test size, on the same splits. Runs found in ``done``
     (a run table) are skipped; new rows replace old rows of the same run."""
     spark = df.sparkSession
     options = options or {}
+    names = models.SWEEP if names is None else names
     unknown = [n for n in names if n not in models.REGISTRY]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
@@ -88,7 +86,7 @@ def compare_classifiers(df, label, ids, features, names, test_sizes=(0.2, 0.4, 0
                                             **options.get(name, {}))
                 fit = time.time() - start
                 counts, seconds = score_run(scored, label)
-                summary, _ = summarise(spark, counts)
+                summary = summarise(counts)
                 return {**{m: summary[m] for m in RUN_METRICS}, "fit_seconds": round(fit, 2),
                         "pred_seconds": round(seconds, 2),
                         "flows_per_sec": int(sizes["test"] / seconds) if seconds > 0 else 0}
@@ -146,7 +144,7 @@ def reduction_grid(df, label, ids, features, plan, classifiers, sample=10_000, f
                     scored = models.fit_predict(clf, *frames, label, ids, names, classes, prepared=True,
                                                 **options.get(clf, {}))
                     counts, _ = score_run(scored, label)
-                    summary, _ = summarise(spark, counts)
+                    summary = summarise(counts)
                     return {**{m: round(summary[m], 4) for m in RUN_METRICS},
                             "clf_seconds": round(time.time() - begin, 1)}
 
@@ -229,8 +227,8 @@ def imbalance_study(df, label, ids, features, majority, names=("decision_tree",
                                         class_weight=strategy == "class_weight", **options.get(name, {}))
             fit = time.time() - start
             counts, _ = score_run(scored, label)
-            summary, per_class = summarise(spark, counts)
-            for c in per_class:
+            summary = summarise(counts)
+            for c in metrics.per_class_report(counts).toLocalIterator():
                 rows.append((name, strategy, n_train, c["class"], c["recall"], c["f1"], summary["accuracy"],
                              summary["macro_f1"], summary["weighted_f1"], round(fit, 1)))
         balanced.unpersist()
@@ -245,12 +243,12 @@ ABLATION_SCHEMA = ("feature_set string, n_features int, model string, accuracy d
                    "weighted_f1 double, fit_seconds double")
 
 
-def _evaluate(spark, parts, label, ids, features, name, classes, options):
+def _evaluate(parts, label, ids, features, name, classes, options):
     start = time.time()
     scored = models.fit_predict(name, parts.where("is_train"), parts.where("not is_train"), label, ids,
                                 features, classes, **options.get(name, {}))
     counts, _ = score_run(scored, label)
-    summary, _ = summarise(spark, counts)
+    summary = summarise(counts)
     return (summary["accuracy"], summary["macro_f1"], summary["weighted_f1"], round(time.time() - start, 1))
 
 
@@ -261,7 +259,7 @@ def ablation_study(df, label, ids, features, drop_lists, names, test_size=0.4, s
     drawn = sampling.stratified_sample(df, label, ids, sample, floor, seed)
     parts = materialised(sampling.stratified_split(drawn, label, ids, test_size))
     classes = models.class_list(parts, label)
-    rows = [(title, len(columns), name, *_evaluate(spark, parts, label, ids, columns, name, classes, options or {}))
+    rows = [(title, len(columns), name, *_evaluate(parts, label, ids, columns, name, classes, options or {}))
             for title, columns in prep.ablation_sets(features, drop_lists).items() for name in names]
     return spark.createDataFrame(rows, ABLATION_SCHEMA)
 
@@ -278,7 +276,7 @@ def duplicate_effect_study(df, label, ids, features, names, test_size=0.4, sampl
         parts = materialised(sampling.stratified_split(drawn, label, ids, test_size))
         classes = models.class_list(parts, label)
         for name in names:
-            rows.append((condition, name, share, *_evaluate(spark, parts, label, ids, features, name, classes,
+            rows.append((condition, name, share, *_evaluate(parts, label, ids, features, name, classes,
                                                             options or {})))
     return spark.createDataFrame(rows, "condition string, model string, duplicate_share double, accuracy double, "
                                        "macro_f1 double, weighted_f1 double, fit_seconds double")

@@ -26,13 +26,6 @@ def write_summary_tables(tables, folder):
     return paths
 
 
-def write_report_lines(lines, path):
-    """Report lines in order, as text. One report is a few hundred lines, so the
-    ordered write is a single small partition."""
-    lines.orderBy("section", "ord").select("line").coalesce(1).write.mode("overwrite").text(path)
-    return path
-
-
 def write_report_texts(reports, path):
     """One text per row (report, text), filed under its report name."""
     reports.select("report", "text").write.mode("overwrite").partitionBy("report").text(path)

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,9 +130,3 @@ def ship(spark, model):
 
 def unpack(shipped):
     return cloudpickle.loads(shipped.value)
-
-
-def require_columns(df: DataFrame, names):
-    absent = [n for n in names if n not in df.columns]
-    if absent:
-        raise ValueError(f"columns not found: {absent}")
