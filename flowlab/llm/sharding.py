@@ -28,7 +28,8 @@ def in_group_order(rows):
     """The rows with the smallest doc_id of their group, and with running sums of bytes and rows
     in the order of groups. Null ids sort before all others."""
     rows = stored(rows, "sized")
-    first = rows.groupBy("_digest").agg(F.min("doc_id").alias("_first"))
+    # a table of its own, so that the join below deals out both sides and can split a hot group
+    first = stored(rows.groupBy("_digest").agg(F.min("doc_id").alias("_first")), "firsts")
     grouped = rows.join(first, "_digest")
     # the digest keeps groups whole when ids repeat; a range may end inside a group
     return running(grouped, ["_first", "_digest", "doc_id"], {"_bytes": F.col("size"), "_rows": F.lit(1)}, "ordered")
