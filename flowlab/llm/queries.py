@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlab.llm import chat, idfiles, importance, packing, quality_rules, sharding, simhash, tiling
+from flowlab.llm import (
+    chat, idfiles, importance, packing, quality_rules, sharding, simhash, suffix_tree, templates, tiling)
 from flowlab.llm.frames import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -93,3 +94,16 @@ def op5(spark, sf):
 def op9(spark, sf):
     """All documents: importance weight and whether the sample has them."""
     return importance.resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_template_text")
+def op7(spark, sf):
+    """The main text of all pages."""
+    return templates.main_text(table(spark, sf, "pages"))
+
+
+@query("op1_suffix_tree_scores")
+def op1(spark, sf):
+    """All documents scored by a suffix tree learnt from six sevenths of them."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return suffix_tree.score(table(spark, sf, "documents"), held)
