@@ -49,8 +49,8 @@ class Tree:
 
     least: int = 16
     divergence: float = 3.0
-    smooth_one: float = 30.0
-    smooth_two: float = 6.0
+    smooth_one: float = 1000.0
+    smooth_two: float = 50.0
 
 
 def blocks_of(docs):
