@@ -23,7 +23,7 @@ FINGERPRINTS = "doc_id long, fp long, sketch binary"
 BINS = 256
 # Fan-out of index nodes, rows that a routing task gets, and the size from which a route is split.
 FAN, TASK_ROWS, HOT = 16, 1 << 15, 1 << 16
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE, SKETCHES_AT_ONCE = 1 << 16, 1 << 14
 
 
 def _rotl(x, r):
@@ -111,10 +111,14 @@ def sketches(h, n):
     return out
 
 
-def similarity(a, b):
+def similarity(drawn, i, j):
     """Estimated share of common shingles of pairs of sketches; two texts without words are equal."""
-    either = ((a | b) > 0).sum(1)
-    return np.where(either == 0, 1.0, ((a == b) & (a > 0)).sum(1) / np.maximum(either, 1))
+    out = np.empty(len(i))
+    for k in range(0, len(i), SKETCHES_AT_ONCE):
+        a, b = drawn[i[k: k + SKETCHES_AT_ONCE]], drawn[j[k: k + SKETCHES_AT_ONCE]]
+        either = ((a | b) > 0).sum(1)
+        out[k: k + len(a)] = np.where(either == 0, 1.0, ((a == b) & (a > 0)).sum(1) / np.maximum(either, 1))
+    return out
 
 
 def fingerprints(docs, width=3, sketch_width=None):
@@ -174,7 +178,7 @@ class GrayIndex:
     def pairs(self, most, must=U64(0)):
         """Yield arrays (i, j), i < j in Gray order, of rows within ``most`` bits that agree in ``must``."""
         n = len(self.leaves)
-        step = max(1, PAIRS_AT_ONCE // (FAN * 8))
+        step = max(1, PAIRS_AT_ONCE // FAN)
         for a in range(0, n, step):
             yield from self._search(np.arange(a, min(a + step, n)), most, must)
 
@@ -184,7 +188,7 @@ class GrayIndex:
         frontier = [(query, np.zeros(len(query), np.int64), np.zeros(len(query), np.uint8), 0)]
         while frontier:
             q, node, spent, level = frontier.pop()
-            if len(q) > PAIRS_AT_ONCE:
+            if len(q) > PAIRS_AT_ONCE:  # depth first, so that little waits
                 half = len(q) // 2
                 frontier += [(q[:half], node[:half], spent[:half], level), (q[half:], node[half:], spent[half:], level)]
                 continue
@@ -302,7 +306,7 @@ def _linked(routed, most, similar, tasks):
             at = np.flatnonzero(mask == m)
             index = GrayIndex(_led(fp[at], m))
             agree = None if similar is None else (
-                lambda i, j, at=at: similarity(drawn[at[i]], drawn[at[j]]) >= similar)
+                lambda i, j, at=at: similarity(drawn, at[i], at[j]) >= similar)
             u, v = forest(index, most, _led(np.array([m]), m)[0], agree)
             yield pa.RecordBatch.from_arrays([pa.array(node[at[x]]) for x in (u, v)], names=["u", "v"])
 
