@@ -28,7 +28,7 @@ from flowlab.llm.text import U64, combine, hashed_words, slices
 from flowlab.tables import ship, unpack
 
 # Tokens of a block, and requested keys that a shard gets, roughly.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 20
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 WORD, PAIR, TRIPLE, GAIN = 0, 1, 2, 3
 # Bytes of a key behind the bits that its shard implies: words are told apart by nearly all 64 bits,
