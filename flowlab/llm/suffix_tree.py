@@ -31,6 +31,7 @@ from flowlab.tables import ship, unpack
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 20
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 WORD, PAIR, TRIPLE, GAIN = 0, 1, 2, 3
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Bytes of a key behind the bits that its shard implies: words are told apart by nearly all 64 bits,
 # the rest by 40 bits within a shard, whose size doesn't depend on the corpus.
 KEY_BYTES = {WORD: 7, PAIR: 5, TRIPLE: 5, GAIN: 5}
@@ -96,6 +97,12 @@ def planes(values, width):
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)[:, :width].T.tobytes()
 
 
+def totals_packed(values):
+    """Planes of as many bytes as the largest total needs, behind one byte that says how many."""
+    width = values.itemsize if values.dtype.kind == "f" else max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + planes(values, width)
+
+
 def from_planes(raw, width, kind):
     n = len(raw) // width
     out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
@@ -129,7 +136,7 @@ def answered(asked, buckets):
         ends = np.cumsum([len(k) for k in keys])
         return pd.DataFrame({
             "kind": rows["kind"], "shard": rows["shard"], "block": rows["block"],
-            "totals": [planes(x, x.itemsize) for x in np.split(total[inverse], ends[:-1])],
+            "totals": [totals_packed(x) for x in np.split(total[inverse], ends[:-1])],
             "positive": [int((total > 0).sum()) if kind == WORD else 0] + [0] * (len(rows) - 1)})
 
     rows = asked.groupBy("kind", "shard").applyInPandas(
@@ -142,8 +149,7 @@ def totals_of(answers, kind):
     """A block's totals of one kind in the order of its keys."""
     rows = sorted((r["shard"], r["totals"]) for r in answers if r["kind"] == kind)
     number = "<f4" if kind == GAIN else "<i8"
-    width = np.dtype(number).itemsize
-    return np.concatenate([from_planes(raw, width, number) for _, raw in rows] or [np.zeros(0, number)])
+    return np.concatenate([from_planes(raw[1:], raw[0], number) for _, raw in rows] or [np.zeros(0, number)])
 
 
 # ---- what a block knows
@@ -273,6 +279,9 @@ def score(docs, held_out, tree=Tree()):
         F.coalesce(F.sum(F.octet_length("codes")), F.lit(0)) / 4).first()
     shards = 1 << max(0, int(tokens) // SHARD_TOKENS).bit_length()
     known = {"n": n, "docs": docs_train, "tree": tree, "shards": shards}
+    # rows are blocks of some megabytes: one at a time is enough for a Python worker
+    batch_rows = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, "1")
 
     def step(state, rounds, schema):
         shipped = ship(spark, known)
@@ -297,13 +306,16 @@ def score(docs, held_out, tree=Tree()):
 
         return state.mapInArrow(work, schema)
 
-    state = blocks
-    for rounds, name in enumerate(("counts_of", "states_of", "deep_of")):
-        answers = bucketed(answered(step(state, rounds, REQUESTS), buckets), name)
-        if rounds == 0:
-            known["v"] = answers.agg(F.coalesce(F.sum("positive"), F.lit(0))).first()[0]
-        state = state.join(answers.select("block", F.col("answers").alias(name)), "block", "left")
-    result = stored(step(state, 3, SCORES), "scores")
+    try:
+        state = blocks
+        for rounds, name in enumerate(("counts_of", "states_of", "deep_of")):
+            answers = bucketed(answered(step(state, rounds, REQUESTS), buckets), name)
+            if rounds == 0:
+                known["v"] = answers.agg(F.coalesce(F.sum("positive"), F.lit(0))).first()[0]
+            state = state.join(answers.select("block", F.col("answers").alias(name)), "block", "left")
+        result = stored(step(state, 3, SCORES), "scores")
+    finally:
+        spark.conf.set(BATCH_ROWS, batch_rows)
     for table in tables:
         spark.sql(f"DROP TABLE {table.label}")
     removed(spark, *tables)
