@@ -28,7 +28,7 @@ from flowlab.llm.text import U64, combine, hashed_words, slices
 from flowlab.tables import ship, unpack
 
 # Tokens of a block, and requested keys that a shard gets, roughly.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 20
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 WORD, PAIR, TRIPLE, GAIN = 0, 1, 2, 3
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -45,10 +45,12 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 @dataclass(frozen=True)
 class Tree:
-    """Parameters: a state needs this many occurrences and this divergence (in nats, over all of its
-    occurrences); smoothing adds so many occurrences of the shorter state's distribution."""
+    """Parameters: a state of one word or of two needs this many occurrences and this divergence (in
+    nats, over all of its occurrences); smoothing adds so many occurrences of the shorter state's
+    distribution."""
 
     least: int = 16
+    least_two: int = 32
     divergence: float = 3.0
     smooth_one: float = 1000.0
     smooth_two: float = 50.0
@@ -202,7 +204,7 @@ class Block:
         self.deep = np.ones(len(self.codes), bool)
         self.deep[self.start] = False
         self.past[self.start] = 0
-        self.deep &= self.pair_total[self.past] >= tree.least
+        self.deep &= self.pair_total[self.past] >= tree.least_two
         at = np.flatnonzero(self.deep)
         self.deep_at = at
         self.triples, self.triple = np.unique(
