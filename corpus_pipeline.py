@@ -21,8 +21,7 @@ def _only(docs, kept):
 
 def rules(spark, docs, sf_dir):
     """Documents that pass the quality rules."""
-    verdict = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, verdict.where("kept"))
+    return quality_rules.passing(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def classifier(spark, docs, sf_dir):

@@ -218,6 +218,20 @@ def fit(docs, labels, rows=FIT_ROWS):
     return np.frombuffer(m["weights"], "<f4"), m["intercept"], m["slope"], m["shift"]
 
 
+def judged(column, model, threshold):
+    """The five counts, base verdict, quality (None without a model) and verdict of a string array."""
+    texts = Texts(column)
+    counts = texts.base()
+    words, repeated = counts[0], counts[4]
+    failed = (words < 50) | (100 * repeated > 50 * words)
+    if model is None:
+        return counts, failed, None, ~failed
+    weights, intercept, slope, shift = model
+    z = slope * (linear_scores(texts, weights) + intercept) + shift
+    quality = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    return counts, failed, quality, ~failed & (quality >= threshold)
+
+
 def score(docs, model, threshold=THRESHOLD):
     """Counts, probability of being good and verdict for every row of ``docs`` (doc_id, text).
 
@@ -230,25 +244,29 @@ def score(docs, model, threshold=THRESHOLD):
         model = unpack(shipped)
         for batch in batches:
             for first, column in slices(batch.column("text")):
-                texts = Texts(column)
-                words, chars, symbols, lines, repeated = texts.base()
-                failed = (words < 50) | (100 * repeated > 50 * words)
-                if model is None:
-                    quality, kept = pa.nulls(len(column), pa.float64()), ~failed
-                else:
-                    weights, intercept, slope, shift = model
-                    z = slope * (linear_scores(texts, weights) + intercept) + shift
-                    quality = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                    kept = ~failed & (quality >= threshold)
+                counts, failed, quality, kept = judged(column, model, threshold)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(column)), *[
-                        pa.array(x.astype(np.int64)) for x in (words, chars, symbols, lines, repeated)],
-                     pa.array(failed), pa.array(quality), pa.array(kept)],
-                    names=[f.split()[0] for f in SCORED.split(", ")])
+                    [batch.column("doc_id").slice(first, len(column)), *[pa.array(x.astype(np.int64)) for x in counts],
+                     pa.array(failed), pa.nulls(len(column), pa.float64()) if quality is None else pa.array(quality),
+                     pa.array(kept)], names=[f.split()[0] for f in SCORED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SCORED)
 
 
+def passing(docs, model, threshold=THRESHOLD):
+    """The rows of ``docs`` that are kept, with all their columns: a filter without a shuffle."""
+    shipped = ship(docs.sparkSession, model)
+
+    def work(batches):
+        model = unpack(shipped)
+        for batch in batches:
+            kept = [judged(column, model, threshold)[3] for _, column in slices(batch.column("text"))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def quality_rules(docs, labels, rows=FIT_ROWS, threshold=THRESHOLD):
     """Fit on the labelled documents and judge all of them."""
     return score(docs, fit(docs, labels, rows), threshold)

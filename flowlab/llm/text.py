@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 # Texts of at most this many bytes are worked on together; a longer text stands alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 # Multiplier of the word hash, odd so that it can be inverted modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 2
 MASK = (1 << 64) - 1
