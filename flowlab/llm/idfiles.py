@@ -143,7 +143,7 @@ def read(spark, path):
     """The file set as blocks with the ids before each block in all files (column ``start``).
 
     There is one offset per shard, so the offsets stay as few as the files."""
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     totals = blocks.groupBy("shard").agg(
         F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("_total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -149,7 +149,7 @@ def answered(asked, buckets):
 
 def totals_of(answers, kind):
     """A block's totals of one kind in the order of its keys."""
-    rows = sorted((r["shard"], r["totals"]) for r in answers if r["kind"] == kind)
+    rows = sorted((r["shard"], r["totals"]) for r in answers or () if r["kind"] == kind)
     number = "<f4" if kind == GAIN else "<i8"
     return np.concatenate([from_planes(raw[1:], raw[0], number) for _, raw in rows] or [np.zeros(0, number)])
 

@@ -110,7 +110,7 @@ class Walk:
 
 
 def tokens_of(page):
-    """(token, occurrences, first place) of tags and of text outside articles."""
+    """Occurrences, first and last place of each tag and each text outside articles."""
     counts, walk = {}, Walk(page)
     for place, (kind, value, name) in enumerate(walk):
         if kind == "open":
@@ -121,8 +121,8 @@ def tokens_of(page):
             key = token(text)
         else:
             continue
-        n, first = counts.get(key, (0, place))
-        counts[key] = n + 1, first
+        n, first, _ = counts.get(key, (0, place, place))
+        counts[key] = n + 1, first, place
     return counts
 
 
@@ -159,8 +159,8 @@ def nested(rows):
     other. Of two that overlap otherwise, the one on fewer pages goes."""
     spans = {}
     for r in rows:
-        low, high, n = spans.get(r["class"], (r["place"], r["place"], r["pages"]))
-        spans[r["class"]] = min(low, r["place"]), max(high, r["place"]), n
+        low, high, n = spans.get(r["class"], (r["place"], r["last"], r["pages"]))
+        spans[r["class"]] = min(low, r["place"]), max(high, r["last"]), n
     kept = []
     for key, (low, high, n) in sorted(spans.items(), key=lambda x: (-x[1][2], x[1][0], -x[1][1], x[0])):
         if all(high < a or low > b or (a <= low and high <= b) or (low <= a and b <= high) for _, a, b in kept):
@@ -182,22 +182,23 @@ def templates(pages):
         for batch in batches:
             rows = []
             for host, key, page in zip(*(batch.column(n).to_pylist() for n in ("host", "page", "html"))):
-                rows += [(host, t, xxhash.xxh64_intdigest(f"{key} {n}") >> 1, place)
-                         for t, (n, place) in tokens_of(page or "").items()]
+                rows += [(host, t, xxhash.xxh64_intdigest(f"{key} {n}") >> 1, first, last)
+                         for t, (n, first, last) in tokens_of(page or "").items()]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
-                    names=["host", "token", "vector", "place"])
+                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), *[pa.int64()] * 4))],
+                    names=["host", "token", "vector", "place", "last"])
 
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    found = keyed.mapInArrow(work, "host string, token long, vector long, place long")
+    found = keyed.mapInArrow(work, "host string, token long, vector long, place long, last long")
     # exclusive-or of hashes identifies a vector: equal vectors give equal values
     tokens = found.groupBy("host", "token").agg(
-        F.count(F.lit(1)).alias("pages"), F.bit_xor("vector").alias("vector"), F.avg("place").alias("place"))
+        F.count(F.lit(1)).alias("pages"), F.bit_xor("vector").alias("vector"), F.avg("place").alias("place"),
+        F.avg("last").alias("last"))
     hosts = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
     frequent = (tokens.where(F.col("pages") >= MIN_PAGES).join(hosts, "host")
                 .where(F.col("pages") >= F.col("_all") * MIN_SHARE))
-    member = F.struct("token", F.xxhash64("vector", "pages").alias("class"), "place", "pages")
+    member = F.struct("token", F.xxhash64("vector", "pages").alias("class"), "place", "last", "pages")
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list(member)).alias("template"))
 
 
