@@ -50,7 +50,7 @@ class Tree:
     distribution."""
 
     least: int = 16
-    least_two: int = 32
+    least_two: int = 16
     divergence: float = 3.0
     smooth_one: float = 1000.0
     smooth_two: float = 50.0
