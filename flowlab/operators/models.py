@@ -20,10 +20,12 @@ from flowlab.tables import ref, settled, spread, ticks
 
 @dataclass
 class Spec:
-    """scaled: standardise first; heavy: cost grows faster than the rows."""
+    """scaled: standardise first; heavy: cost grows faster than the rows; weighted: rows can
+    have weights."""
     fit: object
     scaled: bool = True
     heavy: bool = False
+    weighted: bool = True
     options: dict = field(default_factory=dict)
 
 
@@ -256,8 +258,8 @@ def _adaboost(task, options):
 _BOOST = dict(max_bins=64, seed=0)
 REGISTRY = {
     "naive_bayes": Spec(_spark_ml(_naive_bayes)),
-    "lda": Spec(_lda),
-    "qda": Spec(_qda, options=dict(shrinkage=0.5)),
+    "lda": Spec(_lda, weighted=False),
+    "qda": Spec(_qda, weighted=False, options=dict(shrinkage=0.5)),
     "sgd": Spec(_hinge, options=dict(alpha=1e-4, max_iter=100)),
     "decision_tree": Spec(_spark_ml(_tree), scaled=False,
                           options=dict(max_depth=20, max_bins=64, seed=0)),
@@ -271,12 +273,12 @@ REGISTRY = {
                     options=dict(_BOOST, rounds=100, max_depth=5, step=0.1)),
     "catboost": Spec(_spark_ml(_boosted), scaled=False,
                      options=dict(_BOOST, rounds=300, max_depth=6, step=0.1)),
-    "adaboost": Spec(_adaboost, scaled=False,
+    "adaboost": Spec(_adaboost, scaled=False, weighted=False,
                      options=dict(rounds=100, max_bins=64, seed=0, checkpoint_every=10)),
-    "mlp": Spec(_spark_ml(_network), options=dict(hidden=[64, 32], max_iter=60, seed=42)),
+    "mlp": Spec(_spark_ml(_network), weighted=False, options=dict(hidden=[64, 32], max_iter=60, seed=42)),
     "linear_svm": Spec(_linear_svm, options=dict(c=1.0, max_iter=2000)),
     "logistic": Spec(_spark_ml(_logistic), options=dict(max_iter=1000, reg=1e-6)),
-    "knn": Spec(_knn, heavy=True, options=dict(k=5)),
+    "knn": Spec(_knn, heavy=True, weighted=False, options=dict(k=5)),
     "svm": Spec(_rbf_svm, heavy=True, options=dict(c=1.0, gamma=None, landmarks=1000, max_iter=100)),
 }
 
@@ -318,8 +320,11 @@ def fit_predict(name, train, test, label, ids, features, classes=None, class_wei
                 prepared=False, **options):
     """Test rows with a ``prediction`` column.
 
-    Missing values and scales are learned on the training rows only."""
+    Missing values and scales are learned on the training rows only. Class weights are
+    refused by models that cannot use them."""
     spec = REGISTRY[name]
+    if class_weight and not spec.weighted:
+        raise ValueError(f"{name} takes no class weights")
     features = list(features)
     if not prepared:
         train, test = prepare(train, [train, test], features, spec.scaled)

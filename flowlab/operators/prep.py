@@ -97,8 +97,8 @@ def encode_label(df, label, codes=None, name="code"):
 
 
 def class_weights(df, label):
-    """Balanced weights: N / (K * rows of the class)."""
-    counts = df.groupBy(ref(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """Balanced weights: N / (K * rows of the class). Rows without a label belong to no class."""
+    counts = df.where(ref(label).isNotNull()).groupBy(ref(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy()  # one row per class
     return counts.select("label", "n", (
         F.sum("n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("n"))).alias("weight"))

@@ -139,11 +139,28 @@ def _none(x):
     return None if x is None or np.isnan(x) else float(x)
 
 
-def signatures(df, label, ids, features, base, top=5, base_cap=20_000, seed=0):
+def filled_auc(df, label, features, base):
+    """AUC against the whole base class, missing values filled with the base medians; nothing is
+    capped or shipped. Returns (auc table, filled other rows, base medians)."""
+    features = list(features)
+    own = df.where(ref(label) == F.lit(base))
+    # one row per feature
+    medians = {f: None for f in features} | {
+        r["feature"]: _none(r["median"]) for r in group_medians(own, features, label).collect()}
+    filled = df.where(ref(label).isNotNull()).withColumns({
+        f: F.coalesce(ref(f).cast("double"), F.lit(medians[f]).cast("double")) for f in features})
+    return feature_auc(filled, label, features, base), filled.where(ref(label) != F.lit(base)), medians
+
+
+def signatures(df, label, ids, features, base, top=5, base_cap=None, seed=0):
     """Per class, the ``top`` features that separate it best from the base class on
     their own, with direction and both medians. Equal scores go to the feature
-    that sorts last, as scores are compared together with names."""
-    auc, others, medians = capped_auc(df, label, ids, features, base, base_cap, seed)
+    that sorts last, as scores are compared together with names. All rows count,
+    unless ``base_cap`` asks for a sample of the base class."""
+    if base_cap is None:
+        auc, others, medians = filled_auc(df, label, features, base)
+    else:
+        auc, others, medians = capped_auc(df, label, ids, features, base, base_cap, seed)
     order = Window.partitionBy("class").orderBy(
         F.col("separation").desc(), F.col("feature").desc(), F.col("auc").desc())
     best = auc.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -46,16 +46,14 @@ def _(spark, sf):
                    ["auc", "separation"])
 
 
-BASE_SQL = """chosen AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY label
-  ORDER BY md5(concat_ws(':', '0', flow_id))) AS place FROM flows) WHERE label <> 'BENIGN' OR place <= 20000)"""
 MEDIANS_SQL = "medians AS (SELECT " + ", ".join(
-    f"median({f}) AS {f}" for f in X.FLOW_FEATURES) + " FROM chosen WHERE label = 'BENIGN')"
+    f"median({f}) AS {f}" for f in X.FLOW_FEATURES) + " FROM flows WHERE label = 'BENIGN')"
 FILLED_SQL = "filled AS (SELECT label, " + ", ".join(
-    f"coalesce(c.{f}, m.{f}) AS {f}" for f in X.FLOW_FEATURES) + " FROM chosen c, medians m)"
+    f"coalesce(c.{f}, m.{f}) AS {f}" for f in X.FLOW_FEATURES) + " FROM flows c, medians m)"
 
 
 @query("signatures", X.with_sql(
-    X.FLOWS_SQL, BASE_SQL, MEDIANS_SQL, FILLED_SQL, long_sql("filled", "label", X.FLOW_FEATURES),
+    X.FLOWS_SQL, MEDIANS_SQL, FILLED_SQL, long_sql("filled", "label", X.FLOW_FEATURES),
     *auc_sql("long"), """
 ranked AS (SELECT *, abs(auc - 0.5) * 2 AS separation, row_number() OVER (PARTITION BY class
     ORDER BY abs(auc - 0.5) * 2 DESC, feature DESC, auc DESC) AS rank FROM auc)""", """

@@ -295,9 +295,10 @@ def leakage_study(df, label, ids, features, score, test_size=0.4, seed=0):
     """Split, find test records that also occur in training, score, and compare
     leaked with unseen rows. ``score(train, rows)`` adds a prediction to the rows."""
     parts = materialised(sampling.stratified_split(df, label, ids, test_size, seed))
-    scored = score(parts.where("is_train"), parts)
-    segments = leakage.scored_segments(scored, [*features, label], label)
-    return segments
+    # records are compared as they came: once imputed, a missing value equals the mean
+    raw = {f"raw_{f}": ref(f) for f in features}
+    scored = score(parts.where("is_train"), parts.withColumns(raw))
+    return leakage.scored_segments(scored, [*raw, label], label)
 
 
 def baseline(df, label, ids, features, test_size=0.4, model="sgd", options=None):

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowlab.operators import audit, importance, neighbors, quantiles, separability
+from flowlab.operators import audit, importance, neighbors, prep, quantiles, separability
 from flowlab.tables import tree_sum
 
 
@@ -171,3 +171,17 @@ def test_shuffling_an_unused_feature_costs_nothing(table):
     rows = importance.permutation_importance(df.select("id", "label", "a", "b"), ["id"], ["a", "b"], "label", rule, 3).collect()
     got = {r["feature"]: r["permutation_mean"] for r in rows}
     assert got["b"] == 0.0 and got["a"] > 0.01 and rows[0]["feature"] == "a"
+
+
+def test_signatures_use_the_whole_base_class(spark):
+    # 20,000 low values come first in any sample size up to the old cap; all 25,000 rows must count
+    df = spark.range(25_010).select(
+        F.col("id"), F.when(F.col("id") < 25_000, F.col("id") % 5_000).otherwise(F.lit(10_000)).cast("double").alias("a"),
+        F.when(F.col("id") < 25_000, "base").otherwise("x").alias("label"))
+    row = separability.signatures(df, "label", ["id"], ["a"], "base").first()
+    assert (row["separation"], row["class_is"], row["median_base"], row["n"]) == (1.0, "higher", 2499.5, 10)
+
+
+def test_missing_labels_have_no_class_weight(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "label string")
+    assert {r["label"]: r["weight"] for r in prep.class_weights(df, "label").collect()} == {"a": 0.75, "b": 1.5}

@@ -151,3 +151,26 @@ def test_grid_reports_failed_reductions(blobs):
     status = {r["method"]: r["status"] for r in rows}
     assert status["kpca"] == "ok" and status["nonsense"].startswith("ValueError")
     assert {r["gamma_label"] for r in rows} == {"default"}
+
+
+def test_models_without_weights_refuse_them(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (2, 1.0, "b")], "id long, f double, label string")
+    with pytest.raises(ValueError):
+        models.fit_predict("lda", df, df, "label", ["id"], ["f"], class_weight=True)
+
+
+def test_missing_values_are_not_the_mean_of_a_leak(spark):
+    from flowlab.plans import studies
+
+    rows = [(i, 5.0, "a") for i in range(40)] + [(40, None, "a"), (41, 1.0, "b"), (42, 9.0, "b")] * 1
+    df = spark.createDataFrame(rows, "id long, f double, label string")
+
+    def score(train, every):
+        return models.fit_predict("naive_bayes", train, every, "label", ["id"], ["f"])
+
+    for seed in range(3):
+        segments = studies.leakage_study(df, "label", ["id"], ["f"], score, seed=seed)
+        leaked = segments.where("leaked").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        from flowlab.operators import sampling
+        parts = sampling.stratified_split(df, "label", ["id"], 0.4, seed)
+        assert leaked == parts.where("not is_train and f = 5.0").count()
