@@ -14,6 +14,8 @@ import numpy as np
 
 from flowlab.llm.text import SPACE, buffer_of, edges_of, hash_spans
 
+# Bytes of text that are encoded together: what is new in them is merged into what is known once.
+ENCODED_BYTES = 2 << 20
 # Pieces that a worker remembers (about 30 bytes each) before it starts anew.
 REMEMBERED = 1_500_000
 

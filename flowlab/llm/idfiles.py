@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.encoding import worker_encoder
+from flowlab.llm.encoding import ENCODED_BYTES, worker_encoder
 from flowlab.llm.frames import partitions_for, stored
 from flowlab.llm.text import slices
 from flowlab.tables import ship, unpack
@@ -57,7 +57,7 @@ def encoded(docs, tokenizer, end_id, splitter):
         encoder = worker_encoder(tokenizer, splitter)
         kind = np.dtype("<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         for batch in batches:
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), ENCODED_BYTES):
                 ids, counts = encoder.encode(texts)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype(kind)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.encoding import worker_encoder
+from flowlab.llm.encoding import ENCODED_BYTES, worker_encoder
 from flowlab.llm.frames import partitions_for, stored
 from flowlab.llm.text import slices
 from flowlab.tables import ship, unpack
@@ -29,7 +29,7 @@ def pieces_of(docs, tokenizer, end_id=0, capacity=2048):
     def work(batches):
         encoder = worker_encoder(tokenizer, "blank_led")
         for batch in batches:
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), ENCODED_BYTES):
                 ids, counts = encoder.encode(texts)
                 keys, rows = batch.column("doc_id").slice(first, len(texts)), []
                 at = 0
