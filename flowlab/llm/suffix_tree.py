@@ -9,8 +9,8 @@ is scored in the longest state that its past ends with.
 The tree is never in one place. Texts are kept in blocks of tokens; a block asks for the totals of
 its distinct words, pairs and triples, each counted once per block, so a frequent one is one row of
 a block like any other. Requests are cut by ranges of hashes into shards, a shard adds up what all
-blocks say and answers in the order asked. Three rounds of that give counts, states of one word and
-states of two words."""
+blocks say and answers in the order asked. Four rounds of that give the counts of words, of pairs,
+states of one word with the counts of triples, and states of two words."""
 
 from __future__ import annotations
 
@@ -31,7 +31,10 @@ from flowlab.tables import ship, unpack
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 WORD, PAIR, TRIPLE, GAIN = 0, 1, 2, 3
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Session settings while scoring: rows are blocks of some megabytes, so one at a time is enough for a
+# Python worker; a round's shuffle files go once its answers are a table.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+            "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 # Bytes of a key behind the bits that its shard implies: words are told apart by nearly all 64 bits,
 # the rest by 40 bits within a shard, whose size doesn't depend on the corpus.
 KEY_BYTES = {WORD: 7, PAIR: 5, TRIPLE: 5, GAIN: 5}
@@ -57,18 +60,22 @@ class Tree:
 
 
 def blocks_of(docs):
-    """Texts as blocks: distinct word hashes, and for each token its place among them."""
+    """Texts as blocks: distinct word hashes from frequent to rare, and for each token its place among
+    them, so that most places are small numbers."""
     def work(batches):
         part, number = TaskContext.get().partitionId(), 0
         ids, held, counts, hashes, size = [], [], [], [], 0
 
         def block():
             h = np.concatenate(hashes)
-            words, codes = np.unique(np.append(h, START), return_inverse=True)
+            words, codes, seen = np.unique(np.append(h, START), return_inverse=True, return_counts=True)
+            order = np.argsort(-seen, kind="stable")
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
             n, out = np.array(counts, np.int64), np.array(held, bool)
             return pa.RecordBatch.from_pydict(
                 {"block": [part << 24 | number], "doc_ids": [ids], "held": [held], "counts": [counts],
-                 "words": [words.tobytes()], "codes": [codes[:-1].astype("<u4").tobytes()],
+                 "words": [words[order].tobytes()], "codes": [planes(place[codes[:-1]], 4)],
                  "n_train": [int(n[~out].sum())], "docs_train": [int((~out).sum())]},
                 pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
                            ("counts", pa.list_(pa.int64())), ("words", pa.binary()), ("codes", pa.binary()),
@@ -95,17 +102,29 @@ def blocks_of(docs):
 # ---- requests and answers
 
 def planes(values, width):
-    """Numbers byte by byte: first the lowest bytes of all, then the next; runs of zeros pack well."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)[:, :width].T.tobytes()
+    """Numbers byte by byte, first the lowest bytes of all, then the next: high bytes repeat, and pack
+    well. Eight bytes in front hold the size of what is packed."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)[:, :width].T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def totals_packed(values):
     """Planes of as many bytes as the largest total needs, behind one byte that says how many."""
-    width = values.itemsize if values.dtype.kind == "f" else max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
     return bytes([width]) + planes(values, width)
 
 
-def from_planes(raw, width, kind):
+def bits_packed(flags):
+    """Eight flags a byte, behind one byte that says how many bits of the last one are unused."""
+    return bytes([-len(flags) % 8]) + np.packbits(flags).tobytes()
+
+
+def from_bits(raw):
+    return np.unpackbits(np.frombuffer(raw, np.uint8, offset=1), count=8 * (len(raw) - 1) - raw[0]).astype(bool)
+
+
+def from_planes(packed, width, kind):
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
     n = len(raw) // width
     out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
@@ -113,32 +132,35 @@ def from_planes(raw, width, kind):
 
 
 def requests(kind, block, keys, amounts, shards):
-    """Rows that ask for the totals of sorted distinct keys, and add this block's amounts to them."""
+    """Rows that ask for the totals of sorted distinct keys, and add this block's amounts to them. Keys
+    are kept as steps from one to the next."""
     bits = shards.bit_length() - 1
     cut = np.searchsorted(keys, np.arange(1, shards, dtype=U64) << U64(64 - bits)) if bits else []
     width = KEY_BYTES[kind]
     short = (keys << U64(bits)) >> U64(64 - 8 * width)
     for shard, (a, b) in enumerate(zip([0, *cut], [*cut, len(keys)])):
         if b > a:
-            yield {"kind": kind, "shard": shard, "block": block, "keys": planes(short[a:b], width),
+            yield {"kind": kind, "shard": shard, "block": block, "keys": planes(np.diff(short[a:b], prepend=U64(0)), width),
                    "amounts": planes(amounts[a:b], amounts.itemsize)}
 
 
-def answered(asked, buckets):
-    """One row per block: the totals for its requests, shard by shard, and how many different words
-    with a positive total the shards have seen."""
+def answered(asked, divergence):
+    """One row per block: the answers to its requests, shard by shard, and how many different words
+    with a positive total the shards have seen. Counts are answered by their totals, gains by whether
+    the total reaches the divergence that a state needs."""
     def add_up(rows):
         kind = int(rows["kind"].iloc[0])
         real = kind == GAIN
-        keys = [from_planes(k, KEY_BYTES[kind], "<u8") for k in rows["keys"]]
+        keys = [np.cumsum(from_planes(k, KEY_BYTES[kind], "<u8")) for k in rows["keys"]]
         amounts = np.concatenate([from_planes(x, 4 if real else 8, "<f4" if real else "<i8") for x in rows["amounts"]])
         unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, amounts.astype(np.float64), minlength=len(unique))
-        total = total.astype("<f4") if real else total.astype("<i8")
+        total = total.astype("<f4") >= divergence if real else total.astype("<i8")
+        pack = bits_packed if real else totals_packed
         ends = np.cumsum([len(k) for k in keys])
         return pd.DataFrame({
             "kind": rows["kind"], "shard": rows["shard"], "block": rows["block"],
-            "totals": [totals_packed(x) for x in np.split(total[inverse], ends[:-1])],
+            "totals": [pack(x) for x in np.split(total[inverse], ends[:-1])],
             "positive": [int((total > 0).sum()) if kind == WORD else 0] + [0] * (len(rows) - 1)})
 
     rows = asked.groupBy("kind", "shard").applyInPandas(
@@ -147,11 +169,12 @@ def answered(asked, buckets):
                                      F.sum("positive").alias("positive"))
 
 
-def totals_of(answers, kind):
-    """A block's totals of one kind in the order of its keys."""
+def answers_of(answers, kind):
+    """A block's totals of one kind (for gains: flags) in the order of its keys."""
     rows = sorted((r["shard"], r["totals"]) for r in answers or () if r["kind"] == kind)
-    number = "<f4" if kind == GAIN else "<i8"
-    return np.concatenate([from_planes(raw[1:], raw[0], number) for _, raw in rows] or [np.zeros(0, number)])
+    if kind == GAIN:
+        return np.concatenate([from_bits(raw) for _, raw in rows] or [np.zeros(0, bool)])
+    return np.concatenate([from_planes(raw[1:], raw[0], "<i8") for _, raw in rows] or [np.zeros(0, "<i8")])
 
 
 # ---- what a block knows
@@ -161,8 +184,12 @@ class Block:
 
     def __init__(self, row):
         self.row = row
-        self.words = np.frombuffer(row["words"], "<u8")
-        self.codes = np.frombuffer(row["codes"], "<u4").astype(np.int64)
+        by_frequency = np.frombuffer(row["words"], "<u8")
+        order = np.argsort(by_frequency)
+        self.words = by_frequency[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.codes = place[from_planes(row["codes"], 4, "<u4")]
         self.counts = np.array(row["counts"], np.int64)
         self.start = np.cumsum(self.counts) - self.counts
         self.train = np.repeat(~np.array(row["held"], bool), self.counts)
@@ -171,23 +198,28 @@ class Block:
         self.before[1:] = self.codes[:-1]
         self.before[self.start] = begin
         self.begin = begin
+
+    def paired(self):
+        """Number the block's distinct pairs."""
         pair = combine(self.words[self.before], self.words[self.codes])
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        return self
 
     def sums(self, index, size, weights=None):
         """Training tokens (or their weights) per index."""
         return np.bincount(index[self.train], None if weights is None else weights[self.train], minlength=size)
 
-    def first_round(self, shards):
-        block = self.row["block"]
-        yield from requests(WORD, block, self.words, self.sums(self.codes, len(self.words)), shards)
-        yield from requests(PAIR, block, self.pairs, self.sums(self.pair, len(self.pairs)), shards)
+    def word_round(self, shards):
+        return requests(WORD, self.row["block"], self.words, self.sums(self.codes, len(self.words)), shards)
+
+    def pair_round(self, shards):
+        return requests(PAIR, self.row["block"], self.pairs, self.sums(self.pair, len(self.pairs)), shards)
 
-    def counted(self, answers, tree, n, v, docs):
+    def counted(self, words, pairs, tree, n, v, docs):
         """Take in the counts of words and pairs."""
         self.tree = tree
-        self.word_total = totals_of(answers, WORD)
-        self.pair_total = totals_of(answers, PAIR)
+        self.word_total = answers_of(words, WORD)
+        self.pair_total = answers_of(pairs, PAIR)
         self.of_word = self.word_total[self.codes].astype(np.float64)
         self.root = (self.of_word + 1) / (n + v + 1)
         self.root_without = np.maximum(self.of_word, 1) / (n + v)
@@ -216,7 +248,7 @@ class Block:
     def _smooth(count, context, weight, shorter):
         return (np.maximum(count, 0) + weight * shorter) / (np.maximum(context, 0) + weight)
 
-    def second_round(self, shards):
+    def state_round(self, shards):
         block = self.row["block"]
         gain = np.log(self.one_without / self.root_without)
         total = self.sums(self.before, len(self.words), gain)[self.candidates]
@@ -228,12 +260,12 @@ class Block:
     def one_word_states(self, answers):
         """Take in which words are states, and the counts of triples."""
         state = np.zeros(len(self.words), bool)
-        state[self.candidates] = totals_of(answers, GAIN) >= self.tree.divergence
+        state[self.candidates] = answers_of(answers, GAIN)
         self.one = state[self.before]
-        self.of_triple = totals_of(answers, TRIPLE)[self.triple].astype(np.float64)
+        self.of_triple = answers_of(answers, TRIPLE)[self.triple].astype(np.float64)
         return self
 
-    def third_round(self, shards):
+    def deep_round(self, shards):
         at = self.deep_at
         shorter = np.where(self.one, self.one_without, self.root_without)[at]
         longer = self._smooth(self.of_triple - 1, self.pair_total[self.past[at]] - 1, self.tree.smooth_two, shorter)
@@ -245,7 +277,7 @@ class Block:
         """Of every token, in the longest state that its past ends with."""
         p = np.where(self.one, self._smooth(self.of_pair, self.context, self.tree.smooth_one, self.root), self.root)
         at = self.deep_at
-        state = (totals_of(answers, GAIN) >= self.tree.divergence)[self.deep_pair]
+        state = answers_of(answers, GAIN)[self.deep_pair]
         at = at[state]
         p[at] = self._smooth(self.of_triple[state], self.pair_total[self.past[at]].astype(np.float64),
                              self.tree.smooth_two, p[at])
@@ -278,12 +310,12 @@ def score(docs, held_out, tree=Tree()):
     blocks = bucketed(blocks_of(texts), "blocks")
     n, docs_train, tokens = blocks.agg(
         F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("docs_train"), F.lit(0)),
-        F.coalesce(F.sum(F.octet_length("codes")), F.lit(0)) / 4).first()
+        F.coalesce(F.sum(F.expr("aggregate(counts, 0L, (total, n) -> total + n)")), F.lit(0))).first()
     shards = 1 << max(0, int(tokens) // SHARD_TOKENS).bit_length()
     known = {"n": n, "docs": docs_train, "tree": tree, "shards": shards}
-    # rows are blocks of some megabytes: one at a time is enough for a Python worker
-    batch_rows = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, "1")
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
 
     def step(state, rounds, schema):
         shipped = ship(spark, known)
@@ -295,13 +327,15 @@ def score(docs, held_out, tree=Tree()):
                     row = batch.slice(at, 1).to_pylist()[0]
                     block = Block(row)
                     if rounds > 0:
-                        block.counted(row["counts_of"], k["tree"], k["n"], k["v"], k["docs"])
+                        block.paired()
                     if rounds > 1:
-                        block.one_word_states(row["states_of"])
+                        block.counted(row["words_of"], row["pairs_of"], k["tree"], k["n"], k["v"], k["docs"])
                     if rounds > 2:
+                        block.one_word_states(row["states_of"])
+                    if rounds > 3:
                         yield scored(block, block.probabilities(row["deep_of"]), k["n"], k["v"])
                         continue
-                    asked = (block.first_round, block.second_round, block.third_round)[rounds](k["shards"])
+                    asked = (block.word_round, block.pair_round, block.state_round, block.deep_round)[rounds](k["shards"])
                     yield pa.RecordBatch.from_pylist(list(asked), pa.schema([
                         ("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()),
                         ("keys", pa.binary()), ("amounts", pa.binary())]))
@@ -310,14 +344,15 @@ def score(docs, held_out, tree=Tree()):
 
     try:
         state = blocks
-        for rounds, name in enumerate(("counts_of", "states_of", "deep_of")):
-            answers = bucketed(answered(step(state, rounds, REQUESTS), buckets), name)
+        for rounds, name in enumerate(("words_of", "pairs_of", "states_of", "deep_of")):
+            answers = bucketed(answered(step(state, rounds, REQUESTS), tree.divergence), name)
             if rounds == 0:
                 known["v"] = answers.agg(F.coalesce(F.sum("positive"), F.lit(0))).first()[0]
             state = state.join(answers.select("block", F.col("answers").alias(name)), "block", "left")
-        result = stored(step(state, 3, SCORES), "scores")
+        result = stored(step(state, 4, SCORES), "scores")
     finally:
-        spark.conf.set(BATCH_ROWS, batch_rows)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     for table in tables:
         spark.sql(f"DROP TABLE {table.label}")
     removed(spark, *tables)
