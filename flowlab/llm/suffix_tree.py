@@ -75,7 +75,7 @@ def blocks_of(docs):
             n, out = np.array(counts, np.int64), np.array(held, bool)
             return pa.RecordBatch.from_pydict(
                 {"block": [part << 24 | number], "doc_ids": [ids], "held": [held], "counts": [counts],
-                 "words": [words[order].tobytes()], "codes": [planes(place[codes[:-1]], 4)],
+                 "words": [planes(np.diff(words[order], prepend=U64(0)), 8)], "codes": [planes(place[codes[:-1]], 4)],
                  "n_train": [int(n[~out].sum())], "docs_train": [int((~out).sum())]},
                 pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
                            ("counts", pa.list_(pa.int64())), ("words", pa.binary()), ("codes", pa.binary()),
@@ -145,9 +145,9 @@ def requests(kind, block, keys, amounts, shards):
 
 
 def answered(asked, divergence):
-    """One row per block: the answers to its requests, shard by shard, and how many different words
-    with a positive total the shards have seen. Counts are answered by their totals, gains by whether
-    the total reaches the divergence that a state needs."""
+    """A stored table of answers by shard, and from it one row per block: the answers to its requests,
+    shard by shard, and how many different words with a positive total the shards have seen. Counts are
+    answered by their totals, gains by whether the total reaches the divergence that a state needs."""
     def add_up(rows):
         kind = int(rows["kind"].iloc[0])
         real = kind == GAIN
@@ -163,10 +163,11 @@ def answered(asked, divergence):
             "totals": [pack(x) for x in np.split(total[inverse], ends[:-1])],
             "positive": [int((total > 0).sum()) if kind == WORD else 0] + [0] * (len(rows) - 1)})
 
-    rows = asked.groupBy("kind", "shard").applyInPandas(
-        add_up, "kind int, shard int, block long, totals binary, positive long")
-    return rows.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "totals")).alias("answers"),
-                                     F.sum("positive").alias("positive"))
+    # stored, so that the requests are gone before the answers are put together
+    rows = stored(asked.groupBy("kind", "shard").applyInPandas(
+        add_up, "kind int, shard int, block long, totals binary, positive long"), "tree-answers")
+    return rows, rows.groupBy("block").agg(
+        F.collect_list(F.struct("kind", "shard", "totals")).alias("answers"), F.sum("positive").alias("positive"))
 
 
 def answers_of(answers, kind):
@@ -184,7 +185,8 @@ class Block:
 
     def __init__(self, row):
         self.row = row
-        by_frequency = np.frombuffer(row["words"], "<u8")
+        # words of equal frequency stand in the order of their hashes, so steps are smaller numbers
+        by_frequency = np.cumsum(from_planes(row["words"], 8, "<u8"))
         order = np.argsort(by_frequency)
         self.words = by_frequency[order]
         place = np.empty(len(order), np.int64)
@@ -345,7 +347,9 @@ def score(docs, held_out, tree=Tree()):
     try:
         state = blocks
         for rounds, name in enumerate(("words_of", "pairs_of", "states_of", "deep_of")):
-            answers = bucketed(answered(step(state, rounds, REQUESTS), tree.divergence), name)
+            by_shard, by_block = answered(step(state, rounds, REQUESTS), tree.divergence)
+            answers = bucketed(by_block, name)
+            removed(spark, by_shard)
             if rounds == 0:
                 known["v"] = answers.agg(F.coalesce(F.sum("positive"), F.lit(0))).first()[0]
             state = state.join(answers.select("block", F.col("answers").alias(name)), "block", "left")
