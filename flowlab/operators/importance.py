@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import functions as F
 
 from flowlab.operators.metrics import classification_summary, confusion_counts
@@ -10,25 +13,42 @@ from flowlab.session import materialised
 from flowlab.tables import ref, tick, ticks, value_of
 
 
+def shuffle_steps(features, repeats, rows, seed=0):
+    """{(feature, repeat): (factor, offset)}: rank r hands its value on to the row of rank
+    (factor * r + offset) mod rows, a permutation since factor and rows have no common divisor."""
+    steps = {}
+    for feature in features:
+        for repeat in range(repeats):
+            factor, offset = step_seeds(feature, repeat, seed)
+            factor %= max(rows, 1)
+            while math.gcd(factor, max(rows, 1)) != 1:
+                factor += 1
+            steps[feature, repeat] = factor, offset % max(rows, 1)
+    return steps
+
+
+def step_seeds(feature, repeat, seed=0):
+    """Two large numbers per shuffle, from the md5 of seed, feature and repeat."""
+    digest = hashlib.md5(f"{seed}:{feature}:{repeat}".encode()).hexdigest()
+    return int(digest[:15], 16), int(digest[15:30], 16)
+
+
 def shuffled_copies(df, ids, features, repeats, seed=0):
     """Every row once per (feature, repeat), with that feature's values shuffled.
 
-    Only ids and hash ranks are multiplied; a rank inside (feature, repeat) pairs a
-    row with the row whose value it receives."""
+    Rows get one random rank. A rank's values are sent to the ranks that receive them, so only
+    (rank, feature, repeat, value) is multiplied and joined with the rows once."""
     rows = df.count()
     base = rank_by_key(df.withColumn("_key", order_key("stay", ids)), "_key", name="_rank",
-                       rows=rows).drop("_key")
-    choices = F.array(*[F.lit(f) for f in features])
-    pairs = (base.select(*ids, F.explode(choices).alias("feature"))
-             .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("feature"), F.col("repeat").cast("string"),
-                       *[ref(c).cast("string") for c in ids])
-    keyed = pairs.withColumn("_key", F.concat_ws(":", F.md5(text), *[ref(c).cast("string") for c in ids]))
-    ranked = rank_by_key(keyed, "_key", by=["feature", "repeat"], name="_rank", rows=rows).drop("_key")
-    pick = F.coalesce(*[F.when(F.col("feature") == F.lit(f), ref(f).cast("double")) for f in features])
-    donors = base.select("_rank", *ticks(features))
-    moved = ranked.join(donors, "_rank").select(*ids, "feature", "repeat", pick.alias("_moved"))
-    out = moved.join(base.drop("_rank"), list(ids))
+                       rows=rows).withColumn("_rank", F.col("_rank") - 1).drop("_key")
+    # a product of two ranks may need more than 64 bits
+    rank, n = F.col("_rank").cast("decimal(19,0)"), F.lit(max(rows, 1)).cast("decimal(19,0)")
+    sent = F.inline(F.array(*[
+        F.struct(((rank * F.lit(factor).cast("decimal(18,0)") + F.lit(offset)) % n).cast("bigint").alias("_to"),
+                 F.lit(feature).alias("feature"), F.lit(repeat).alias("repeat"),
+                 ref(feature).cast("double").alias("_moved"))
+        for (feature, repeat), (factor, offset) in shuffle_steps(features, repeats, rows, seed).items()]))
+    out = base.select(sent).join(base, F.col("_to") == F.col("_rank")).drop("_to", "_rank")
     return out.withColumns({
         f: F.when(F.col("feature") == F.lit(f), F.col("_moved")).otherwise(ref(f).cast("double"))
         for f in features}).drop("_moved")

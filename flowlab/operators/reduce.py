@@ -11,8 +11,10 @@ from flowlab.operators.sampling import stratified_sample
 from flowlab.tables import numeric_matrix, ref, ship, struct_of, ticks, unpack
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid", "cosine")
-# Kernel methods hold a matrix of this many rows squared; fits on more rows are
-# made on a stratified sample of them, all rows are still projected.
+# Kernel methods are fitted on a stratified sample of about this many training rows, of which
+# they hold a square matrix; all rows are projected.
+LANDMARKS = 2_000
+# A kernel table has one column of values per landmark row, of at most this many.
 MAX_LANDMARKS = 10_000
 # Rows per kernel block while projecting.
 BLOCK = 2_048
@@ -68,27 +70,8 @@ def _signed(vectors):
     return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
-def top_eigenpairs(matrix, k, rounds=60, seed=0):
-    """Largest algebraic eigenpairs of a symmetric matrix. Large matrices use a
-    block Krylov space with a residual check, and the full solver if it fails."""
-    n = len(matrix)
-    if n > 1_500 and n > 40 * k:
-        width = k + 8
-        block = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
-        basis = block
-        for _ in range(rounds):
-            block = matrix @ block
-            for _ in range(2):
-                block -= basis @ (basis.T @ block)
-            block = np.linalg.qr(block)[0]
-            basis = np.hstack([basis, block])
-            value, inner = np.linalg.eigh(basis.T @ (matrix @ basis))
-            value, vector = value[::-1][:k], basis @ inner[:, ::-1][:, :k]
-            residual = np.linalg.norm(matrix @ vector - vector * value, axis=0)
-            if (residual <= 1e-9 * np.abs(value).max()).all():
-                return value, vector
-            if basis.shape[1] > n // 3:
-                break
+def top_eigenpairs(matrix, k):
+    """Largest algebraic eigenpairs of a symmetric matrix of landmark rows."""
     value, vector = np.linalg.eigh(matrix)
     return value[::-1][:k], vector[:, ::-1][:, :k]
 
@@ -130,12 +113,10 @@ class KernelMap:
         return kernel_values(self.kernel, x, self.landmarks, self.gamma) @ self.weights[:, :k]
 
 
-def landmark_rows(train, label, ids, features, most=MAX_LANDMARKS, seed=0):
-    """Matrix of the training rows, or of a stratified sample when there are more
-    than ``most``. The size is checked before anything reaches the driver."""
-    chosen = train
-    if train.count() > most:
-        chosen = stratified_sample(train, label, ids, n=most, floor=1, seed=f"landmark{seed}")
+def landmark_rows(train, label, ids, features, most=LANDMARKS, seed=0):
+    """Matrix of a stratified sample of about ``most`` training rows, or of all if there are no
+    more. The size is checked before anything reaches the driver."""
+    chosen = stratified_sample(train, label, ids, n=most, floor=1, seed=f"landmark{seed}")
     rows = chosen.select(*ticks(features)).limit(2 * most + 1).toPandas()
     if len(rows) > 2 * most:
         raise ValueError("more classes than landmark rows; raise the landmark limit")
@@ -160,8 +141,8 @@ def apply_blocks(df, features, model, k=None, name="projected"):
 
 
 def kernel_pca(train, frames, label, ids, features, kernel="rbf", k=15, gamma=None,
-               most=MAX_LANDMARKS, name="projected"):
-    """Kernel components fitted on the training rows, applied to several frames."""
+               most=LANDMARKS, name="projected"):
+    """Kernel components fitted on a sample of about ``most`` training rows, applied to several frames."""
     if kernel not in KERNELS:
         raise ValueError(f"unknown kernel: {kernel}")
     model = KernelComponents(landmark_rows(train, label, ids, features, most), kernel, k, gamma)

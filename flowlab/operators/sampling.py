@@ -13,13 +13,14 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlab.tables import SMALL_ROWS, local_table, ref, settled
+from flowlab.tables import SMALL_ROWS, local_table, ref, settled, ticks
 
 # Hex digits of the first count (256 runs per class) and of every further one.
 FIRST_DIGITS = 2
 DIGITS_PER_PASS = 3
 # Stop narrowing once the run holding the cut-off has at most this many rows.
 RUN_ROWS = 65_536
+MD5_DIGITS = 32
 
 
 def order_key(seed, ids):
@@ -89,26 +90,35 @@ def mark_smallest(df, label, quota, key, flag, among=None, others=False):
     rows = runs.limit(SMALL_ROWS + 1).collect()
     if len(rows) > SMALL_ROWS:
         return _mark_by_rank(keyed, drawn, label, quotas, flag, others)
-    cuts = [(r["label"], "~" if r["take"] >= r["n"] else "") for r in rows
+    cuts = [(r["label"], "~" if r["take"] >= r["n"] else "", None) for r in rows
             if r["take"] >= r["n"] or r["take"] <= 0]
     cuts += _cutoffs(drawn, label, [(r["label"], r["_bucket"], int(r["take"] - r["_before"]), r["_n"])
                                     for r in rows if 0 < r["take"] < r["n"]])
     label_type = df.schema[label].dataType.simpleString()
-    table = local_table(df.sparkSession, cuts, f"_class {label_type}, _cut string")
+    table = local_table(df.sparkSession, cuts, f"_class {label_type}, _cut string, _ties bigint")
     marked = keyed.join(table, ref(label) == F.col("_class"), "left")
     hit = F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(others))
-    return marked.withColumn(flag, hit).drop("_key", "_class", "_cut")
+    helpers = ["_key", "_class", "_cut", "_ties"]
+    if all(ties is None for *_, ties in cuts):
+        return marked.withColumn(flag, hit).drop(*helpers)
+    # an id that repeats at a cut-off: only as many of its rows as the quota has room for
+    tied = F.coalesce(F.col("_ties").isNotNull() & (F.col("_key") == F.col("_cut")), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("_class").orderBy(F.xxhash64(*ticks(df.columns))))
+    return (marked.where(~tied).withColumn(flag, hit).drop(*helpers)
+            .unionByName(marked.where(tied).withColumn(flag, place <= F.col("_ties")).drop(*helpers)))
 
 
 def _cutoffs(keyed, label, runs):
-    """(label, cut-off key) from runs (label, key prefix, place in the run, rows)."""
+    """(label, cut-off key, ties) from runs (label, key prefix, place in the run, rows). Ties is how
+    many rows with the cut-off key itself there is room for, or null if that is all of them."""
     if not runs:
         return []
     spark = keyed.sparkSession
     label_type = keyed.schema[label].dataType.simpleString()
     schema = f"_class {label_type}, _prefix string, _need bigint"
     width = FIRST_DIGITS
-    while max(n for *_, n in runs) > RUN_ROWS:
+    # equal keys stay in one run whatever its width
+    while max(n for *_, n in runs) > RUN_ROWS and width < MD5_DIGITS:
         width += DIGITS_PER_PASS
         bucket = F.substring("_key", 1, width)
         upto = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(
@@ -120,11 +130,14 @@ def _cutoffs(keyed, label, runs):
                   .where("_upto >= _need and _upto - _n < _need"))
         runs = [(r["_class"], r["_bucket"], r["_need"] - (r["_upto"] - r["_n"]), r["_n"])
                 for r in counts.collect()]
-    place = F.row_number().over(Window.partitionBy("_class").orderBy("_key"))
+    upto = Window.partitionBy("_class").orderBy("_key").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     last = (_inside(keyed, label, local_table(spark, [r[:3] for r in runs], schema))
-            .select("_class", "_need", "_key").withColumn("_place", place)
-            .where("_place = _need"))
-    return [(r["_class"], r["_key"]) for r in last.collect()]
+            .groupBy("_class", "_need", "_key").agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_upto", F.sum("_n").over(upto))
+            .where("_upto >= _need and _upto - _n < _need"))
+    return [(r["_class"], r["_key"], None if r["_upto"] == r["_need"] else r["_need"] - (r["_upto"] - r["_n"]))
+            for r in last.collect()]
 
 
 def _inside(keyed, label, runs):

@@ -67,22 +67,22 @@ def _(spark, sf):
 
 
 SHUFFLED = ["quantity", "price", "discount", "tax"]
-CAP_SQL = """capped AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY label
-  ORDER BY md5(concat_ws(':', '0', flow_id))) AS place FROM flows) WHERE place <= 5000)"""
-BASE_RANK_SQL = """ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', 'stay', flow_id))) AS place FROM capped)"""
-PAIR_SQL = "pairs AS (SELECT flow_id, f.feature, r.rep, row_number() OVER (PARTITION BY f.feature, r.rep " \
-    "ORDER BY md5(concat_ws(':', '0', f.feature, r.rep, flow_id))) AS place FROM capped, " \
-    "(VALUES " + ", ".join(f"('{f}')" for f in SHUFFLED) + ") f(feature), (VALUES (0), (1), (2)) r(rep))"
+RANK_SQL = """ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', 'stay', flow_id)), flow_id) - 1 AS place,
+  count(*) OVER () AS total FROM flows)"""
+STEP_SQL = "steps AS (SELECT feature, rep, [x FOR x IN range(f % n, f % n + 1000) IF gcd(x, n) = 1][1] AS factor, o % n AS shift, n " \
+    "FROM (VALUES " + ", ".join(
+        "('{}', {}, {}, {})".format(f, r, *importance.step_seeds(f, r)) for f in SHUFFLED for r in range(3)) + \
+    ") s(feature, rep, f, o), (SELECT count(*) AS n FROM flows))"
+PAIR_SQL = "pairs AS (SELECT (place * factor + shift) % n AS place, feature, rep, r.* EXCLUDE (place, total) FROM ranked r, steps)"
 MOVED_SQL = "moved AS (SELECT a.label, p.feature, p.rep, " + ", ".join(
-    f"CASE WHEN p.feature = '{f}' THEN d.{f} ELSE a.{f} END AS {f}" for f in SHUFFLED) + \
-    " FROM pairs p JOIN ranked d USING (place) JOIN capped a ON a.flow_id = p.flow_id)"
+    f"CASE WHEN p.feature = '{f}' THEN p.{f} ELSE a.{f} END AS {f}" for f in SHUFFLED) + \
+    " FROM pairs p JOIN ranked a USING (place))"
 MOVED_SCORED_SQL = f"""rescored AS (SELECT concat(feature, '|', rep) AS run, feature, label, {X.RULE_SQL} AS prediction FROM moved)"""
 
 
 def _importance(spark, sf):
-    capped = sampling.cap_per_class(X.flows(spark, sf).select("flow_id", "label", *SHUFFLED),
-                                    "label", ["flow_id"], 5000)
-    return importance.permutation_importance(capped, ["flow_id"], SHUFFLED, "label", X.rule, repeats=3)
+    rows = X.flows(spark, sf).select("flow_id", "label", *SHUFFLED)
+    return importance.permutation_importance(rows, ["flow_id"], SHUFFLED, "label", X.rule, repeats=3)
 
 
 def _tally_names(parts, prefix):
@@ -91,8 +91,8 @@ def _tally_names(parts, prefix):
 
 
 IMPORTANCE_SQL = (
-    X.FLOWS_SQL, CAP_SQL, f"""firstscored AS (SELECT label, {X.RULE_SQL} AS prediction FROM capped)""",
-    *_tally_names(tallies_sql("firstscored"), "base_"), BASE_RANK_SQL, PAIR_SQL, MOVED_SQL, MOVED_SCORED_SQL,
+    X.FLOWS_SQL, f"""firstscored AS (SELECT label, {X.RULE_SQL} AS prediction FROM flows)""",
+    *_tally_names(tallies_sql("firstscored"), "base_"), RANK_SQL, STEP_SQL, PAIR_SQL, MOVED_SQL, MOVED_SCORED_SQL,
     *tallies_sql("rescored", "run"), """drops AS (SELECT split_part(run, '|', 1) AS feature,
   (SELECT macro_f1 FROM base_summary) - macro_f1 AS drop_f1 FROM summary)""", """imp AS (SELECT feature, round(avg(drop_f1), 6) AS permutation_mean,
   round(stddev_pop(drop_f1), 6) AS permutation_std FROM drops GROUP BY feature)""")

@@ -101,8 +101,8 @@ GRID_SCHEMA = ("test_size double, method string, kernel string, gamma_label stri
                + ", clf_seconds double, reduction_seconds double, status string")
 
 
-def reduction_grid(df, label, ids, features, plan, classifiers, sample=10_000, floor=50, seed=0,
-                   options=None, landmarks=reduce.MAX_LANDMARKS):
+def reduction_grid(df, label, ids, features, plan, classifiers, sample=None, floor=50, seed=0,
+                   options=None, landmarks=reduce.LANDMARKS):
     """Reduce, then classify, for every (test size, method, kernel, gamma, components)
     of ``plan``; ``method`` is none, kpca, pca or lda. Each reduction is computed
     once, kept, and shared by all classifiers. The split does not change with the seed."""
@@ -184,19 +184,17 @@ def _reduced(method, train, test, label, ids, features, kernel, k, gamma, landma
     return out, names
 
 
-def feature_study(df, label, ids, features, base, sample=300_000, floor=2_000, repeats=3, cap=5_000,
+def feature_study(df, label, ids, features, base, sample=None, floor=2_000, repeats=3,
                   model="random_forest", options=None, seed=0):
     """Redundant pairs, permutation importance of a forest on held-out rows, and class
-    signatures of one stratified sample, as three tables."""
+    signatures, as three tables; of all rows, or of a stratified sample if its size is given."""
     drawn = materialised(sampling.stratified_sample(df, label, ids, sample, floor, seed))
     pairs = separability.correlation_pairs(drawn, features)
     parts = materialised(sampling.stratified_split(drawn, label, ids, 0.3))
     train, test = prep.prepare(parts.where("is_train"), [parts.where("is_train"), parts.where("not is_train")],
                                features, scaled=False)
     fitted = models.fit_model(model, train, label, ids, features, **(options or {}))
-    capped = sampling.cap_per_class(test.select(*ids, ref(label), *[ref(f) for f in features]),
-                                    label, ids, cap, seed)
-    ranking = importance.permutation_importance(capped, ids, features, label, fitted.predict, repeats, seed)
+    ranking = importance.permutation_importance(test, ids, features, label, fitted.predict, repeats, seed)
     impurity = local_table(df.sparkSession, list(zip(features, fitted.importances(features))),
                            "feature string, impurity double")
     signatures = separability.signatures(drawn, label, ids, features, base, seed=seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -17,12 +18,12 @@ def read_flow_csv(spark, paths, encoding="ISO-8859-1"):
     """Read CSV files with a header as text columns, plus the file path of every row.
 
     Columns are read by position, so a header that occurs twice cannot disturb its
-    twin; names are trimmed and only the first of two equal names is kept. Paths
-    whose headers differ are matched by name."""
+    twin; names are trimmed and only the first of two equal names is kept. Files
+    whose headers differ are matched by name, also those of one folder: one read of
+    the lines finds the header of every file."""
     by_header = defaultdict(list)
-    for path in paths:
-        first = spark.read.csv(path, header=False, encoding=encoding).first()
-        by_header[tuple((c or "").strip() for c in first)].append(path)
+    for line, files in header_lines(spark, paths, encoding):
+        by_header[tuple(c.strip() for c in next(csv.reader([line])))] += files
     out = None
     for names, group in by_header.items():
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
@@ -37,6 +38,18 @@ def read_flow_csv(spark, paths, encoding="ISO-8859-1"):
     return out
 
 
+def header_lines(spark, paths, encoding):
+    """(first line, paths of the files that start with it), one per different line."""
+    lines = spark.read.csv(list(paths), schema="line string", header=False, encoding=encoding,
+                           sep=chr(1), quote=chr(2))
+    starts = lines.select("line", F.col("_metadata.file_path").alias("file"),
+                          F.col("_metadata.file_block_start").alias("start"),
+                          F.monotonically_increasing_id().alias("place")).where("start = 0")
+    first = starts.groupBy("file").agg(F.min_by("line", "place").alias("line"))
+    return [(r["line"], sorted(r["files"]))
+            for r in first.groupBy("line").agg(F.collect_list("file").alias("files")).orderBy("line").collect()]
+
+
 def trim_columns(df):
     """Strip blanks from column names; of equal names the first column stays."""
     kept = {}
@@ -95,9 +108,9 @@ def write_clean(df, path):
 def size_summary(spark, csv_path, parquet_path):
     """Megabytes before and after, and the shape of the result."""
     table = spark.read.parquet(parquet_path)
-    csv = files_below(spark, csv_path, "*.csv").agg(F.sum("bytes").alias("b"))
+    raw = files_below(spark, csv_path, "*.csv").agg(F.sum("bytes").alias("b"))
     parquet = files_below(spark, parquet_path, "*.parquet").agg(F.sum("bytes").alias("b"))
     return table.agg(F.count(F.lit(1)).alias("rows")).select(
         "rows", F.lit(len(table.columns)).alias("columns"),
-        (csv.select("b").scalar() / 1e6).alias("csv_mb"),
+        (raw.select("b").scalar() / 1e6).alias("csv_mb"),
         (parquet.select("b").scalar() / 1e6).alias("parquet_mb"))

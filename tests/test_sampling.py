@@ -111,3 +111,12 @@ def test_undersample_only_above_the_limit(spark):
 def test_cap_keeps_small_classes(spark):
     out = sampling.cap_per_class(people(spark), "label", ["id"], 500).groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in out} == {"a": 500, "b": 500, "c": 400}
+
+
+def test_quota_holds_when_ids_repeat(spark):
+    rows = [(1, "a", i) for i in range(6)] + [(2, "b", 0), (3, "b", 1)]
+    df = spark.createDataFrame(rows, "id int, label string, x int")
+    kept = sampling.cap_per_class(df, "label", ["id"], 3).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in kept} == {"a": 3, "b": 2}
+    parts = sampling.stratified_split(df, "label", ["id"], 0.5).groupBy("is_train").count().collect()
+    assert {r["is_train"]: r["count"] for r in parts} == {True: 4, False: 4}

@@ -107,3 +107,10 @@ def test_sign_stability(spark):
     gains = spark.createDataFrame([("SVM", 0.073), ("SVM", 0.158), ("SVM", 0.064), ("LR", 0.01), ("LR", -0.02)], "classifier string, gain double")
     got = {r["classifier"]: (r["same_sign"], round(r["mean_gain"], 4)) for r in runs.gain_stability(gains).collect()}
     assert got == {"SVM": (True, 0.0983), "LR": (False, -0.005)}
+
+
+def test_headers_of_one_folder_may_differ(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("id,A,Label\n1,10,x\n")
+    (tmp_path / "two.csv").write_text("A, id,Label\n20,2,y\n")
+    rows = flows.read_flow_csv(spark, [str(tmp_path)]).select("id", "A", "Label").orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [("1", "10", "x"), ("2", "20", "y")]
