@@ -9,15 +9,6 @@ from flowlab.plans import fixtures as X
 from flowlab.plans.registry import query
 from flowlab.session import materialised
 
-# Smaller than the registry defaults, so that every classifier can run in a check.
-QUICK = {
-    "decision_tree": dict(max_depth=8), "random_forest": dict(trees=20, max_depth=8),
-    "hist_gb": dict(rounds=5, max_depth=3), "xgboost": dict(rounds=5, max_depth=3),
-    "lightgbm": dict(rounds=5, max_depth=3), "catboost": dict(rounds=5, max_depth=3),
-    "adaboost": dict(rounds=10), "mlp": dict(max_iter=30), "logistic": dict(max_iter=50),
-    "sgd": dict(max_iter=20), "linear_svm": dict(max_iter=20), "svm": dict(landmarks=200, max_iter=20),
-}
-
 
 def split_vectors(spark, sf, test_size=0.4):
     """Vector rows with one column per dimension, split into train and test."""
@@ -34,7 +25,7 @@ def predictions(name, spark, sf):
     parts = materialised(sampling.stratified_split(
         X.flows(spark, sf).select("flow_id", "label", *NB), "label", ["flow_id"], 0.4))
     return models.fit_predict(name, parts.where("is_train"), parts.where("not is_train"), "label",
-                              ["flow_id"], NB, **QUICK.get(name, {})).select("flow_id", "label", "prediction")
+                              ["flow_id"], NB).select("flow_id", "label", "prediction")
 
 
 def nb_sql(source, row_id, features, test_size=0.4, tag="", columns=""):
@@ -74,8 +65,66 @@ def _(spark, sf):
     return predictions("naive_bayes", spark, sf)
 
 
-for _key, _model in (("clf_lda", "lda"), ("clf_qda", "qda"),
-                     ("clf_sgd_hinge", "sgd"), ("clf_decision_tree", "decision_tree"),
+def gaussian_sql(features, pooled, shrinkage=0.0):
+    """Normal classes with whole covariances in SQL, after ``scaled``: a Cholesky factor per
+    class, column by column, then the distances by forward substitution."""
+    p = len(features)
+    cells = [(i, j) for i in range(p) for j in range(i + 1)]
+    means = ", ".join(f"m{i}" for i in range(p))
+
+    def cell(i, j):
+        if pooled:
+            return f"sum(n * c{i}_{j}) OVER () / (sum(n) OVER () - count(*) OVER ())"
+        trace = " + ".join(f"c{k}_{k}" for k in range(p))
+        return f"{1 - shrinkage} * c{i}_{j}" + (f" + {shrinkage} * ({trace}) / {p}" if i == j else "")
+
+    yield ("moments AS (SELECT label AS class, count(*) AS n, "
+           + ", ".join(f"avg(z_{f}) AS m{i}" for i, f in enumerate(features)) + ", "
+           + ", ".join(f"covar_pop(z_{features[i]}, z_{features[j]}) AS c{i}_{j}" for i, j in cells)
+           + " FROM scaled WHERE is_train GROUP BY label)")
+    yield (f"chol AS (SELECT class, n, ln(n / sum(n) OVER ()) AS prior, {means}, "
+           + ", ".join(f"{cell(i, j)} AS s{i}_{j}" for i, j in cells) + " FROM moments)")
+    last = "chol"
+    for j in range(p):
+        root = f"s{j}_{j}" + "".join(f" - l{j}_{k} * l{j}_{k}" for k in range(j))
+        yield f"chol{j}d AS (SELECT *, sqrt({root}) AS l{j}_{j} FROM {last})"
+        below = ["(" + f"s{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j)) + f") / l{j}_{j} AS l{i}_{j}"
+                 for i in range(j + 1, p)]
+        yield f"chol{j} AS (SELECT {', '.join(['*', *below])} FROM chol{j}d)"
+        last = f"chol{j}"
+    yield f"factors AS (SELECT * FROM {last})"
+
+
+def substitution_sql(source, vector):
+    """``solved``: the rows of ``source`` (with a factor each) plus y0, y1, ...: the vector
+    without the spread of the class."""
+    last = source
+    for i, x in enumerate(vector):
+        rest = "".join(f" - l{i}_{k} * y{k}" for k in range(i))
+        yield f"solve{i} AS (SELECT *, ({x}{rest}) / l{i}_{i} AS y{i} FROM {last})"
+        last = f"solve{i}"
+    yield f"solved AS (SELECT *, {' + '.join(f'y{i} * y{i}' for i in range(len(vector)))} AS distance FROM {last})"
+
+
+def gaussian_classes_sql(features, pooled, shrinkage=0.0):
+    """Classes of the test rows by the largest log posterior."""
+    spread = "" if pooled else " - " + " - ".join(f"ln(l{i}_{i})" for i in range(len(features)))
+    return X.with_sql(
+        *NB_SQL[:6], *gaussian_sql(features, pooled, shrinkage),
+        "paired AS (SELECT * FROM scaled, factors WHERE NOT is_train)",
+        *substitution_sql("paired", [f"z_{f} - m{i}" for i, f in enumerate(features)]), f"""
+SELECT flow_id, label, first(class ORDER BY prior{spread} - 0.5 * distance DESC, class) AS prediction
+FROM solved GROUP BY 1, 2""")
+
+
+for _key, _model, _sql in (("clf_lda", "lda", gaussian_classes_sql(NB, pooled=True)),
+                           ("clf_qda", "qda", gaussian_classes_sql(NB, pooled=False, shrinkage=0.5))):
+    @query(_key, _sql)
+    def _(spark, sf, model=_model):
+        return predictions(model, spark, sf)
+
+
+for _key, _model in (("clf_sgd_hinge", "sgd"), ("clf_decision_tree", "decision_tree"),
                      ("clf_random_forest", "random_forest"), ("clf_gbt_ovr", "hist_gb"), ("clf_gbt_deep", "xgboost"),
                      ("clf_adaboost", "adaboost"), ("clf_mlp", "mlp"), ("clf_linear_svm", "linear_svm"),
                      ("clf_logistic", "logistic"), ("clf_rbf_svm", "svm")):
@@ -89,7 +138,7 @@ def _(spark, sf):
     parts = materialised(sampling.stratified_split(
         X.flows(spark, sf).select("flow_id", "label", *NB), "label", ["flow_id"], 0.4))
     return models.fit_predict("decision_tree", parts.where("is_train"), parts.where("not is_train"), "label",
-                              ["flow_id"], NB, class_weight=True, max_depth=8).select(
+                              ["flow_id"], NB, class_weight=True).select(
         "flow_id", "label", "prediction")
 
 
@@ -133,6 +182,43 @@ def _(spark, sf):
     return _axes(out)
 
 
+# The variances of all axes of the training rows are the eigenvalues of their correlations C.
+# Their power sums are the traces of C, CC, CCC and CCCC, and only if the axes do not correlate.
+@query("pca_spectrum", X.with_sql(
+    X.VECTORS_SQL, X.split_sql("vectors", "id", 0.4),
+    "cells AS (SELECT id, unnest(range(len(vector))) AS i, CAST(unnest(vector) AS DOUBLE) AS x FROM parts WHERE is_train)",
+    "c AS (SELECT a.i, b.i AS j, corr(a.x, b.x) AS r FROM cells a JOIN cells b USING (id) GROUP BY 1, 2)",
+    "cc AS (SELECT a.i, b.j, sum(a.r * b.r) AS r FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2)", """
+SELECT 1 AS power, round(sum(r), 4) AS total FROM c WHERE i = j
+UNION ALL SELECT 2, round(sum(r * r), 4) FROM c
+UNION ALL SELECT 3, round(sum(c.r * cc.r), 4) FROM c JOIN cc USING (i, j)
+UNION ALL SELECT 4, round(sum(r * r), 4) FROM cc"""))
+def _(spark, sf):
+    train, _, names = _prepared(spark, sf)
+    (out,), _ = reduce.pca(train, [train], names, len(names))
+    axes = out.select(F.posexplode("projected").alias("axis", "z")).groupBy("axis").agg(F.var_pop("z").alias("v"))
+    return axes.select(F.inline(F.array(*[F.struct(F.lit(p).alias("power"), F.pow("v", F.lit(p)).alias("v"))
+                                          for p in (1, 2, 3, 4)]))).groupBy("power").agg(
+        F.round(F.sum("v"), 4).alias("total"))
+
+
+# Squared distances between projected class means and the projected mean of all rows are
+# distances under the pooled covariance, whatever the rotation of the axes.
+@query("lda_class_distances", X.with_sql(
+    *NB_SQL[:6], *gaussian_sql(NB, pooled=True),
+    *substitution_sql("factors", [f"m{i}" for i in range(len(NB))]), """
+SELECT class, n, round(distance, 6) AS distance FROM solved"""))
+def _(spark, sf):
+    parts = materialised(sampling.stratified_split(
+        X.flows(spark, sf).select("flow_id", "label", *NB), "label", ["flow_id"], 0.4)).where("is_train")
+    (train,) = prep.prepare(parts, [parts], NB)
+    (out,), _ = discriminant.lda_reduce(train, [train], "label", NB, 15)
+    means = out.select("label", F.posexplode("projected").alias("axis", "z")).groupBy("label", "axis").agg(
+        F.avg("z").alias("m"), F.count("z").alias("n"))
+    return means.groupBy(F.col("label").alias("class")).agg(
+        F.max("n").alias("n"), F.round(F.sum(F.col("m") * F.col("m")), 6).alias("distance"))
+
+
 @query("lda_project")
 def _(spark, sf):
     train, test, names = _prepared(spark, sf)

@@ -1,4 +1,4 @@
-"""Whole studies on the test tables, with settings small enough for a check."""
+"""Whole studies on the test tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from flowlab.operators import leakage, metrics, models, runs
 from flowlab.plans import fixtures as X
 from flowlab.plans import studies
 from flowlab.plans.q_metrics import METRICS, ROUNDED_SQL, rounded, tallies_sql
-from flowlab.plans.q_models import NB_SQL, QUICK, nb_sql, predictions
+from flowlab.plans.q_models import NB_SQL, nb_sql, predictions
 from flowlab.plans.registry import query
 
 LIVE = ["quantity", "price", "discount", "tax", "rate"]
@@ -26,7 +26,7 @@ def _(spark, sf):
     t = X.flows(spark, sf).select("flow_id", "label", *LIVE)
     done = studies.compare_classifiers(t, "label", ["flow_id"], LIVE, ["lda"], [0.4])
     return studies.compare_classifiers(t, "label", ["flow_id"], LIVE, ["naive_bayes", "lda", "decision_tree"],
-                                       [0.2, 0.4], done=done, options=QUICK)
+                                       [0.2, 0.4, 0.6], done=done)
 
 
 @query("grid_eval")
@@ -35,14 +35,14 @@ def _(spark, sf):
     plan = [dict(test_size=0.4, method="none", kernel="none", components=0),
             dict(test_size=0.4, method="kpca", kernel="rbf", components=15),
             dict(test_size=0.4, method="kpca", kernel="cosine", components=10)]
-    return studies.reduction_grid(t, "label", ["id"], names, plan, ["naive_bayes", "knn"], sample=None, options=QUICK)
+    return studies.reduction_grid(t, "label", ["id"], names, plan, ["naive_bayes", "knn"], sample=None)
 
 
 @query("grid_eval_linear")
 def _(spark, sf):
     t, names = X.vector_columns(spark, sf)
     plan = [dict(test_size=0.2, method=m, components=15) for m in ("pca", "lda")]
-    return studies.reduction_grid(t, "label", ["id"], names, plan, ["qda", "knn"], sample=None, options=QUICK)
+    return studies.reduction_grid(t, "label", ["id"], names, plan, ["qda", "knn"], sample=None)
 
 
 @query("feature_study")

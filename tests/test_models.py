@@ -5,9 +5,16 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import discriminant, models, prep, reduce, sampling
 from flowlab.plans import studies
-from flowlab.plans.q_models import QUICK
 
 FEATURES = ["a", "b", "c"]
+# Small settings for the unit tests only.
+QUICK = {
+    "decision_tree": dict(max_depth=8), "random_forest": dict(trees=20, max_depth=8),
+    "hist_gb": dict(rounds=5, max_depth=3), "xgboost": dict(rounds=5, max_depth=3),
+    "lightgbm": dict(rounds=5, max_depth=3), "catboost": dict(rounds=5, max_depth=3),
+    "adaboost": dict(rounds=10), "mlp": dict(max_iter=30), "logistic": dict(max_iter=50),
+    "sgd": dict(max_iter=20), "linear_svm": dict(max_iter=20), "svm": dict(landmarks=80, max_iter=20),
+}
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +32,7 @@ def blobs(spark):
 @pytest.mark.parametrize("name", sorted(models.REGISTRY))
 def test_every_model_beats_the_majority(blobs, name):
     train, test = blobs
-    options = dict(QUICK.get(name, {}))
-    if name == "svm":
-        options["landmarks"] = 80
-    scored = models.fit_predict(name, train, test, "label", ["id"], FEATURES, **options)
+    scored = models.fit_predict(name, train, test, "label", ["id"], FEATURES, **QUICK.get(name, {}))
     row = scored.agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc")).first()
     assert row["n"] == test.count()
     assert row["acc"] > 0.7
