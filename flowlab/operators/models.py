@@ -6,6 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from flowlab.operators import discriminant
 from flowlab.operators.neighbors import knn_join, knn_vote
 from flowlab.operators.prep import label_codes, prepare, vector_of, with_class_weight
 from flowlab.operators.reduce import KernelMap, apply_blocks, landmark_rows
-from flowlab.session import checkpointed, shared_dir
-from flowlab.tables import ref, settled, spread, tick, ticks
+from flowlab.session import materialised, shared_dir
+from flowlab.tables import ref, settled, spread, tick, ticks, tree_sum
 
 
 @dataclass
@@ -142,7 +143,7 @@ def _boosted(task, options):
 
 def _logistic(task, options):
     return C.LogisticRegression(
-        family="multinomial", maxIter=options["max_iter"], regParam=options["reg"],
+        family="multinomial", maxIter=options["max_iter"], regParam=options["reg"], tol=options["tol"],
         standardization=False, rawPredictionCol="_raw", probabilityCol="_p",
         **_with_weight(task, dict(COLUMNS)))
 
@@ -164,7 +165,7 @@ def _fit_hinge(rows, task, options, strength, mapping=None):
     rows = spread(rows.select("_features", "_code", *[task.weight] * bool(task.weight))).persist()
     try:
         fitted = _one_vs_rest(C.LinearSVC(
-            rawPredictionCol="_raw", regParam=strength, maxIter=options["max_iter"],
+            rawPredictionCol="_raw", regParam=strength, maxIter=options["max_iter"], tol=options["tol"],
             standardization=False), task, options).fit(rows)
     finally:
         rows.unpersist()
@@ -186,7 +187,7 @@ def _linear_svm(task, options):
 def _network(task, options):
     return C.MultilayerPerceptronClassifier(
         layers=[len(task.features), *options["hidden"], len(task.classes)],
-        maxIter=options["max_iter"], seed=options["seed"], rawPredictionCol="_raw",
+        maxIter=options["max_iter"], tol=options["tol"], seed=options["seed"], rawPredictionCol="_raw",
         probabilityCol="_p", **COLUMNS)
 
 
@@ -228,58 +229,93 @@ def _rbf_svm(task, options):
     return _fit_hinge(mapped, task, options, strength, mapping)
 
 
-def _stump_rule(stump, task):
-    """(condition or None, class code if it holds, class code otherwise) of a stump."""
-    root = stump._java_obj.rootNode()
-    if stump.depth == 0:
-        code = int(root.prediction())
-        return None, code, code
-    split = root.split()
-    column = ref(task.features[split.featureIndex()])
-    return (column <= F.lit(float(split.threshold())),
-            int(root.leftChild().prediction()), int(root.rightChild().prediction()))
+class StumpVotes:
+    """Votes of boosted stumps, added up per feature, value range and class."""
+
+    def __init__(self, classes, edges):
+        self.classes, self.edges = classes, edges
+        self.votes = [np.zeros((len(e) + 1, len(classes))) for e in edges]
+        self.losses = [np.zeros((len(e) + 1, len(classes))) for e in edges]
+
+    def add(self, feature, cut, yes, no, alpha):
+        """A stump: class ``yes`` up to range ``cut`` of a feature, ``no`` beyond."""
+        guess = np.where(np.arange(len(self.edges[feature]) + 1) <= cut, yes, no)
+        hit = guess[:, None] == np.arange(len(self.classes))
+        self.votes[feature] += alpha * hit
+        self.losses[feature] += alpha * ~hit
+
+    def ranges(self, x):
+        return [np.searchsorted(edge, x[:, i]) for i, edge in enumerate(self.edges)]
+
+    def scores(self, x):
+        return sum(votes[r] for votes, r in zip(self.votes, self.ranges(x)))
+
+    def histograms(self, ranges, codes, shift):
+        """Weights per feature, range and class. A row's weight follows from the stumps so
+        far by one lookup per feature, whatever their number."""
+        weight = np.exp(sum(losses[r, codes] for losses, r in zip(self.losses, ranges)) - shift)
+        k = len(self.classes)
+        return [np.bincount(r * k + codes, weight, minlength=len(table) * k)
+                for r, table in zip(ranges, self.votes)]
+
+
+def _best_stump(histograms, k):
+    """(feature, cut, class up to it, class beyond, error, total) with the least Gini
+    impurity; on ties the first feature and the lowest cut."""
+    best = None
+    for feature, flat in enumerate(histograms):
+        left = np.asarray(flat).reshape(-1, k).cumsum(axis=0)
+        right = left[-1] - left
+        sides = [np.maximum(side.sum(axis=1), 1e-300) for side in (left, right)]
+        purity = (left ** 2).sum(axis=1) / sides[0] + (right ** 2).sum(axis=1) / sides[1]
+        cut = int(purity.argmax())
+        if best is None or purity[cut] > best[0] * (1 + 1e-12):
+            yes = int(left[cut].argmax())
+            no = int(right[cut].argmax()) if right[cut].sum() > 0 else yes
+            total = left[-1].sum()
+            best = purity[cut], (feature, cut, yes, no, 1 - (left[cut, yes] + right[cut, no]) / total, total)
+    return best[1]
 
 
 def _adaboost(task, options):
-    """Boosted stumps, multi-class exponential loss: a row's weight grows by the
-    weight of every stump that got it wrong. A stump is one comparison, so weights
-    and votes are plain column expressions; lineage is cut every few rounds."""
-    k = len(task.classes)
-    state = checkpointed(spread(_coded(task.train, task)).select(
-        *ticks(task.features), "_features", "_code").withColumn("_w", F.lit(1.0)))
-    stumps = []
-    for round_ in range(options["rounds"]):
-        stump = C.DecisionTreeClassifier(
-            maxDepth=1, weightCol="_w", maxBins=options["max_bins"], seed=options["seed"],
-            rawPredictionCol="_raw", probabilityCol="_p", **COLUMNS).fit(state)
-        condition, yes, no = _stump_rule(stump, task)
-        guess = F.lit(yes) if condition is None else F.when(condition, yes).otherwise(no)
-        miss = F.col("_code") != guess
-        sums = state.agg(F.sum("_w"), F.sum(F.when(miss, F.col("_w")).otherwise(0.0))).first()
-        error = sums[1] / sums[0]
-        if error <= 0:
-            stumps.append((condition, yes, no, 1.0))
+    """Boosted stumps, multi-class exponential loss: a row's weight grows by the weight of
+    every stump that got it wrong. Values are cut into ranges once and kept as a table in the
+    shared folder; a round is one pass over it that adds up weights per feature, range and
+    class, so no lineage grows and no state is kept with the rows."""
+    k, p = len(task.classes), len(task.features)
+    steps = [i / options["max_bins"] for i in range(1, options["max_bins"])]
+    quantiles = task.train.approxQuantile(list(task.features), steps, 0.1 / options["max_bins"])
+    model = StumpVotes(task.classes, [np.unique(q) for q in quantiles])
+    names = [f"r{i}" for i in range(p)]
+
+    def cut(batches):
+        for pdf in batches:
+            ranges = model.ranges(pdf.iloc[:, :p].to_numpy(dtype=np.float64))
+            yield pd.DataFrame({**dict(zip(names, ranges)), "code": pdf["_code"]}).astype("int32")
+
+    columns = [*ticks(task.features), "_code"]
+    rows = materialised(task.train.withColumn("_code", _code(task).cast("int")).where("_code >= 0")
+                        .select(*columns).mapInPandas(cut, ", ".join(f"{n} int" for n in [*names, "code"])))
+    shift, n_rows = 0.0, None
+    for _ in range(options["rounds"]):
+        def sums(pdf, shift=shift):
+            values = pdf.to_numpy(dtype=np.int64)
+            found = model.histograms(list(values[:, :p].T), values[:, p], shift)
+            return {str(i): flat for i, flat in enumerate(found)}
+
+        totals = tree_sum(rows, [*names, "code"], sums)
+        feature, at, yes, no, error, total = _best_stump([totals[str(i)] for i in range(p)], k)
+        n_rows = total if n_rows is None else n_rows
+        shift += float(np.log(total / n_rows))
+        if error <= 1e-15:
+            model.add(feature, at, yes, no, 1.0)
             break
         if error >= 1.0 - 1.0 / k:
             break
-        alpha = float(np.log((1 - error) / error) + np.log(k - 1))
-        stumps.append((condition, yes, no, alpha))
-        state = state.withColumn("_w", F.col("_w") / F.lit(float(sums[0])) * F.when(
-            miss, F.lit(float(np.exp(alpha)))).otherwise(1.0))
-        if (round_ + 1) % options["checkpoint_every"] == 0:
-            state = checkpointed(state)
-    if not stumps:
+        model.add(feature, at, yes, no, float(np.log((1 - error) / error) + np.log(k - 1)))
+    if not any(votes.any() for votes in model.votes):
         raise ValueError("no stump beats guessing")
-    votes = [F.lit(0.0)] * k
-    for condition, yes, no, alpha in stumps:
-        if condition is None or yes == no:
-            votes[yes] = votes[yes] + F.lit(alpha)
-        else:
-            votes[yes] = votes[yes] + F.when(condition, alpha).otherwise(0.0)
-            votes[no] = votes[no] + F.when(condition, 0.0).otherwise(alpha)
-    scored = task.test.withColumn("_votes", F.array(*votes))
-    best = F.array_position("_votes", F.array_max("_votes")) - 1
-    return _named(scored.withColumn("_prediction", best.cast("double")), task)
+    return discriminant.predict_class(task.test, task.features, model)
 
 
 # The names and settings below are fixed values: results are compared under them.
@@ -289,7 +325,7 @@ REGISTRY = {
     "naive_bayes": Spec(_naive_bayes, options=dict(smoothing=1e-9)),
     "lda": Spec(_lda, weighted=False),
     "qda": Spec(_qda, weighted=False, options=dict(shrinkage=0.5)),
-    "sgd": Spec(_hinge, options=dict(alpha=1e-4, max_iter=1000)),
+    "sgd": Spec(_hinge, options=dict(alpha=1e-4, max_iter=1000, tol=1e-3)),
     "decision_tree": Spec(_spark_ml(_tree), scaled=False,
                           options=dict(max_depth=30, max_bins=64, seed=0)),
     "lightgbm": Spec(_spark_ml(_boosted), scaled=False,
@@ -303,12 +339,12 @@ REGISTRY = {
     "catboost": Spec(_spark_ml(_boosted), scaled=False,
                      options=dict(_BOOST, rounds=300, max_depth=6, step=0.1)),
     "adaboost": Spec(_adaboost, scaled=False, weighted=False, sweep=False,
-                     options=dict(rounds=100, max_bins=64, seed=0, checkpoint_every=10)),
-    "mlp": Spec(_spark_ml(_network), weighted=False, options=dict(hidden=[64, 32], max_iter=60, seed=42)),
-    "linear_svm": Spec(_linear_svm, sweep=False, options=dict(c=1.0, max_iter=2000)),
-    "logistic": Spec(_spark_ml(_logistic), options=dict(max_iter=1000, reg=1e-6)),
+                     options=dict(rounds=100, max_bins=64)),
+    "mlp": Spec(_spark_ml(_network), weighted=False, options=dict(hidden=[64, 32], max_iter=60, tol=1e-4, seed=42)),
+    "linear_svm": Spec(_linear_svm, sweep=False, options=dict(c=1.0, max_iter=2000, tol=1e-4)),
+    "logistic": Spec(_spark_ml(_logistic), options=dict(max_iter=1000, reg=1e-6, tol=1e-4)),
     "knn": Spec(_knn, heavy=True, sweep=False, weighted=False, options=dict(k=5)),
-    "svm": Spec(_rbf_svm, heavy=True, sweep=False, options=dict(c=1.0, gamma=None, landmarks=1000, max_iter=100)),
+    "svm": Spec(_rbf_svm, heavy=True, sweep=False, options=dict(c=1.0, gamma=None, landmarks=1000, max_iter=100, tol=1e-3)),
 }
 
 # Models of a full sweep.
