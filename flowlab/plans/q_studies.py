@@ -25,7 +25,8 @@ def _(spark, sf):
 def _(spark, sf):
     t = X.flows(spark, sf).select("flow_id", "label", *LIVE)
     done = studies.compare_classifiers(t, "label", ["flow_id"], LIVE, ["lda"], [0.4])
-    return studies.compare_classifiers(t, "label", ["flow_id"], LIVE, ["naive_bayes", "lda", "decision_tree"],
+    return studies.compare_classifiers(t, "label", ["flow_id"], LIVE,
+                                       ["naive_bayes", "lda", "qda", "decision_tree", "random_forest"],
                                        [0.2, 0.4, 0.6], done=done)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from flowlab.operators import (importance, leakage, metrics, models, neighbors, prep, reduce,
@@ -14,7 +15,7 @@ from flowlab.operators import (importance, leakage, metrics, models, neighbors,
 from flowlab.operators.discriminant import lda_reduce
 from flowlab.operators.audit import dedupe, duplicate_share_features
 from flowlab.session import materialised
-from flowlab.tables import local_table, ref, settled
+from flowlab.tables import local_table, ref, settled, tick
 
 RUN_METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision",
                "weighted_recall", "weighted_f1")
@@ -28,9 +29,9 @@ def score_run(scored, label):
     return counts, time.time() - start
 
 
-def summarise(counts):
-    """Metric numbers of a run."""
-    return metrics.classification_summary(counts).first().asDict()
+def summarise(counts, classes=None):
+    """Metric numbers of a run, with recall and F1 of the given classes."""
+    return metrics.run_metrics(counts, classes=classes).first().asDict()
 
 
 def attempt(record, work):
@@ -49,10 +50,32 @@ RUN_SCHEMA = ("model string, split string, test_size double, sample string, n_tr
               + ", fit_seconds double, pred_seconds double, flows_per_sec bigint, status string")
 
 
+def append_run(spark, path, record, schema):
+    """Add one finished run to a run table on disk: what ran before a crash is kept."""
+    spark.createDataFrame([record], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def saved_runs(spark, path, schema):
+    """The run table on disk, or an empty one if no run was saved yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _run_schema(classes):
+    """The run columns with recall and F1 of every class."""
+    return RUN_SCHEMA + "".join(f", {tick(f'{m}::{c}')} double" for m in ("recall", "f1") for c in classes)
+
+
 def compare_classifiers(df, label, ids, features, names=None, test_sizes=(0.2, 0.4, 0.6), sample=None,
-                        floor=50, done=None, options=None, seed=0):
-    """Every model on every test size, on the same splits. Runs found in ``done``
-    (a run table) are skipped; new rows replace old rows of the same run."""
+                        floor=50, done=None, options=None, seed=0, table=None):
+    """Every model on every test size, on the same splits, with recall and F1 of every
+    class. Runs found in ``done`` (a run table) are skipped; new rows replace old rows of
+    the same run. With ``table`` (a path) every run is appended there when it ends, and
+    a restarted study skips the runs that ended well; the last row of a run counts."""
     spark = df.sparkSession
     options = options or {}
     names = models.SWEEP if names is None else names
@@ -61,11 +84,16 @@ def compare_classifiers(df, label, ids, features, names=None, test_sizes=(0.2, 0
         raise ValueError(f"unknown models: {unknown}")
     drawn = sampling.stratified_sample(df, label, ids, sample, floor, seed)
     key = str(sample or "full")
-    finished = set()
-    if done is not None:
-        finished = {(r["model"], r["test_size"]) for r in
-                    done.where(F.col("sample") == key).select("model", "test_size").collect()}
+    every_class = models.class_list(drawn, label)
+    schema = _run_schema(every_class)
     rows = []
+    if table is not None:
+        rows = [r.asDict() for r in saved_runs(spark, table, schema).where(
+            (F.col("sample") == key) & (F.col("status") == "ok")).toLocalIterator()]
+    finished = {(r["model"], r["test_size"]) for r in rows}
+    if done is not None:
+        finished |= {(r["model"], r["test_size"]) for r in
+                     done.where(F.col("sample") == key).select("model", "test_size").collect()}
     for test_size in test_sizes:
         todo = [n for n in names if (n, test_size) not in finished]
         if not todo:
@@ -74,25 +102,31 @@ def compare_classifiers(df, label, ids, features, names=None, test_sizes=(0.2, 0
         train, test = parts.where("is_train"), parts.where("not is_train")
         sizes = parts.agg(F.count_if("is_train").alias("train"), F.count_if(~F.col("is_train")).alias("test")).first()
         classes = models.class_list(train, label)
+        # filled and scaled once per split, for all models that want it so
+        ready = {scaled: prep.prepare(train, [train, test], features, scaled)
+                 for scaled in {models.REGISTRY[n].scaled for n in todo}}
         for name in todo:
             percent = round((1 - test_size) * 100)
             record = {"model": name, "split": f"{percent}/{round(test_size * 100)}", "test_size": test_size,
                       "sample": key, "n_train": sizes["train"], "n_test": sizes["test"],
                       "fit_seconds": None, "pred_seconds": None, "flows_per_sec": None}
 
-            def work(name=name, train=train, test=test, sizes=sizes, classes=classes):
+            def work(name=name, ready=ready, sizes=sizes, classes=classes):
                 start = time.time()
-                scored = models.fit_predict(name, train, test, label, ids, features, classes,
-                                            **options.get(name, {}))
+                scored = models.fit_predict(name, *ready[models.REGISTRY[name].scaled], label, ids, features,
+                                            classes, prepared=True, **options.get(name, {}))
                 fit = time.time() - start
                 counts, seconds = score_run(scored, label)
-                summary = summarise(counts)
-                return {**{m: summary[m] for m in RUN_METRICS}, "fit_seconds": round(fit, 2),
+                summary = summarise(counts, every_class)
+                summary.pop("n")
+                return {**summary, "fit_seconds": round(fit, 2),
                         "pred_seconds": round(seconds, 2),
                         "flows_per_sec": int(sizes["test"] / seconds) if seconds > 0 else 0}
 
             rows.append(attempt(record, work))
-    fresh = spark.createDataFrame(rows, RUN_SCHEMA)
+            if table is not None:
+                append_run(spark, table, rows[-1], schema)
+    fresh = spark.createDataFrame(rows, schema)
     return fresh if done is None else runs.upsert_runs(done, fresh, ["model", "split", "sample"])
 
 
@@ -102,10 +136,11 @@ GRID_SCHEMA = ("test_size double, method string, kernel string, gamma_label stri
 
 
 def reduction_grid(df, label, ids, features, plan, classifiers, sample=None, floor=50, seed=0,
-                   options=None, landmarks=reduce.LANDMARKS):
+                   options=None, landmarks=reduce.LANDMARKS, table=None):
     """Reduce, then classify, for every (test size, method, kernel, gamma, components)
     of ``plan``; ``method`` is none, kpca, pca or lda. Each reduction is computed
-    once, kept, and shared by all classifiers. The split does not change with the seed."""
+    once, kept, and shared by all classifiers. The split does not change with the seed.
+    With ``table`` (a path) every run is appended there when it ends."""
     spark = df.sparkSession
     options = options or {}
     drawn = sampling.stratified_sample(df, label, ids, sample, floor, seed)
@@ -150,6 +185,8 @@ def reduction_grid(df, label, ids, features, plan, classifiers, sample=None, flo
 
                 rows.append(attempt({**record, "classifier": clf, "clf_seconds": None,
                                      "reduction_seconds": round(took, 1)}, work))
+                if table is not None:
+                    append_run(spark, table, rows[-1], GRID_SCHEMA)
             for f in frames:
                 f.unpersist()
     return spark.createDataFrame(rows, GRID_SCHEMA)

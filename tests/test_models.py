@@ -137,6 +137,56 @@ def test_failed_run_keeps_its_row_and_others_go_on(blobs):
     assert status["naive_bayes"] == "ok" and status["mlp"] != "ok"
 
 
+def test_a_stopped_study_resumes_from_its_table(blobs, tmp_path, monkeypatch):
+    df = blobs[0].unionByName(blobs[1])
+    path = str(tmp_path / "runs")
+    names = ["naive_bayes", "lda", "qda"]
+    real, seen = models.fit_predict, []
+
+    def stopping(name, *args, **options):
+        seen.append(name)
+        if name == "qda" and seen.count("qda") == 1:
+            raise KeyboardInterrupt
+        return real(name, *args, **options)
+
+    monkeypatch.setattr(models, "fit_predict", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        studies.compare_classifiers(df, "label", ["id"], FEATURES, names, [0.4], table=path)
+    rows = studies.compare_classifiers(df, "label", ["id"], FEATURES, names, [0.4], table=path).collect()
+    assert seen == ["naive_bayes", "lda", "qda", "qda"]
+    assert sorted(r["model"] for r in rows) == sorted(names)
+    assert all(r["status"] == "ok" and r["recall::p"] > 0.7 and r["f1::r"] > 0.7 for r in rows)
+
+
+def test_boosted_stumps_match_plain_boosting(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, size=(400, 2)).astype(float)
+    y = np.where(x[:, 0] + rng.normal(size=400) > 8, "c", np.where(x[:, 1] > 5, "b", "a"))
+    pdf = pd.DataFrame({"id": np.arange(400), "u": x[:, 0], "v": x[:, 1], "label": y})
+    df = spark.createDataFrame(pdf)
+    scored = models.fit_predict("adaboost", df, df, "label", ["id"], ["u", "v"], rounds=6)
+    got = np.array([r["prediction"] for r in scored.orderBy("id").collect()])
+
+    names, weight, votes = np.array(["a", "b", "c"]), np.ones(400), np.zeros((400, 3))
+    hits = y[:, None] == names
+    for _ in range(6):
+        best = None
+        for f in range(2):
+            for cut in np.unique(x[:, f]):
+                left = x[:, f] <= cut
+                sides = [(weight[m, None] * hits[m]).sum(axis=0) for m in (left, ~left)]
+                purity = sum((s ** 2).sum() / max(s.sum(), 1e-300) for s in sides)
+                if best is None or purity > best[0] * (1 + 1e-12):
+                    best = purity, np.where(left, sides[0].argmax(), sides[1].argmax() if sides[1].sum() > 0 else sides[0].argmax())
+        guess = best[1]
+        miss = names[guess] != y
+        error = weight[miss].sum() / weight.sum()
+        alpha = np.log((1 - error) / error) + np.log(2)
+        votes[np.arange(400), guess] += alpha
+        weight = weight * np.where(miss, np.exp(alpha), 1.0)
+    assert (got == names[votes.argmax(axis=1)]).all()
+
+
 def test_finished_runs_are_skipped(blobs):
     train, test = blobs
     df = train.unionByName(test)
