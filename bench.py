@@ -22,7 +22,8 @@ HEADLINE = [
     "per_class_report", "classification_summary", "leaked_rows", "segment_metrics", "redundant_pairs",
     "group_medians", "feature_auc", "signatures", "permutation_importance", "smote_counts", "knn_join",
     "best_per_group", "pivot_metric", "sheet_75", "clf_gaussian_nb", "clf_lda", "clf_qda",
-    "clf_decision_tree", "clf_random_forest", "clf_logistic", "pca_project", "kpca_project",
+    "clf_decision_tree", "clf_random_forest", "clf_logistic", "clf_adaboost", "clf_mlp", "pca_project",
+    "kpca_project",
     "leakage_study",
 ]
 

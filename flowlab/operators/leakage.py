@@ -84,13 +84,14 @@ def segment_metrics(segments, n_classes=None):
     """Accuracy and macro F1 overall, on leaked and on unseen rows.
 
     Overall macro F1 averages the classes that occur; on a segment it averages all
-    ``n_classes``. An empty segment simply has no row."""
+    ``n_classes``. An empty segment has no rows and no scores."""
     overall = classification_summary(
         segments.groupBy("label", "prediction").agg(F.sum("n").alias("n")))
     parts = classification_summary(segments, by=["leaked"], n_classes=n_classes)
     named = parts.withColumn("segment", F.when(F.col("leaked"), "leaked").otherwise("unseen"))
     keep = ["segment", "n", "accuracy", "macro_f1"]
-    return named.select(*keep).unionByName(
+    both = overall.select(F.explode(F.array(F.lit("leaked"), F.lit("unseen"))).alias("segment"))
+    return both.join(named, "segment", "left").fillna(0, ["n"]).select(*keep).unionByName(
         overall.withColumn("segment", F.lit("overall")).select(*keep))
 
 

@@ -48,8 +48,7 @@ def _(spark, sf):
 
 @query("feature_study")
 def _(spark, sf):
-    tables = studies.feature_study(X.flows(spark, sf), "label", ["flow_id"], LIVE, X.BENIGN, sample=None,
-                                   repeats=2, options=dict(trees=10, max_depth=6))
+    tables = studies.feature_study(X.flows(spark, sf), "label", ["flow_id"], LIVE, X.BENIGN)
     return tables["importance"]
 
 
@@ -57,14 +56,14 @@ def _(spark, sf):
 def _(spark, sf):
     return studies.imbalance_study(
         X.flows(spark, sf), "label", ["flow_id"], ["quantity", "price", "discount", "tax"], X.BENIGN,
-        names=["decision_tree"], keep=10_000, target=2_000, options=dict(decision_tree=dict(max_depth=8)))
+        names=["decision_tree", "random_forest"], keep=10_000, target=2_000)
 
 
 @query("chart_rare_recall")
 def _(spark, sf):
     long = studies.imbalance_study(
         X.flows(spark, sf), "label", ["flow_id"], ["quantity", "price", "discount", "tax"], X.BENIGN,
-        names=["decision_tree"], strategies=["none", "class_weight"], options=dict(decision_tree=dict(max_depth=8)))
+        names=["decision_tree"], keep=10_000, target=2_000)
     row = long.withColumn("row_label", F.concat_ws("  /  ", "model", "strategy"))
     return runs.pivot_metric(row, ["row_label"], "class", ["RARE", "MID"], "recall")
 
@@ -98,6 +97,16 @@ def _(spark, sf):
                    .drop("fit_seconds"), SCORES)
 
 
+# The models of the ablation and duplicate studies that SQL cannot repeat.
+TREES_AND_LINES = ["decision_tree", "random_forest", "logistic"]
+
+
+@query("ablation_models")
+def _(spark, sf):
+    return rounded(studies.ablation_study(X.flows(spark, sf), "label", ["flow_id"], LIVE, ABLATION, TREES_AND_LINES)
+                   .drop("fit_seconds"), SCORES)
+
+
 LEAK_FEATURES = ["quantity", "discount", "tax"]
 
 
@@ -114,6 +123,12 @@ def _(spark, sf):
                    ["duplicate_share", *SCORES])
 
 
+@query("dup_effect_models")
+def _(spark, sf):
+    return rounded(studies.duplicate_effect_study(X.copies_with_id(spark, sf), "label", ["flow_id"], LEAK_FEATURES,
+                                                  TREES_AND_LINES).drop("fit_seconds"), ["duplicate_share", *SCORES])
+
+
 LEAK_NB_SQL = (
     X.COPIES_ID_SQL, *nb_sql("copies", "flow_id", LEAK_FEATURES, columns=", ".join(LEAK_FEATURES)),
     "known AS (SELECT DISTINCT label, " + ", ".join(LEAK_FEATURES) + ", true AS hit FROM parts WHERE is_train)",
@@ -134,5 +149,4 @@ def _(spark, sf):
 
 @query("baseline_sgd")
 def _(spark, sf):
-    return studies.baseline(X.flows(spark, sf).where("day >= '1996'"), "label", ["flow_id"], LIVE,
-                            options=dict(max_iter=10))
+    return studies.baseline(X.flows(spark, sf), "label", ["flow_id"], LIVE)
