@@ -97,16 +97,6 @@ def _(spark, sf):
                    .drop("fit_seconds"), SCORES)
 
 
-# The models of the ablation and duplicate studies that SQL cannot repeat.
-TREES_AND_LINES = ["decision_tree", "random_forest", "logistic"]
-
-
-@query("ablation_models")
-def _(spark, sf):
-    return rounded(studies.ablation_study(X.flows(spark, sf), "label", ["flow_id"], LIVE, ABLATION, TREES_AND_LINES)
-                   .drop("fit_seconds"), SCORES)
-
-
 LEAK_FEATURES = ["quantity", "discount", "tax"]
 
 
@@ -123,12 +113,6 @@ def _(spark, sf):
                    ["duplicate_share", *SCORES])
 
 
-@query("dup_effect_models")
-def _(spark, sf):
-    return rounded(studies.duplicate_effect_study(X.copies_with_id(spark, sf), "label", ["flow_id"], LEAK_FEATURES,
-                                                  TREES_AND_LINES).drop("fit_seconds"), ["duplicate_share", *SCORES])
-
-
 LEAK_NB_SQL = (
     X.COPIES_ID_SQL, *nb_sql("copies", "flow_id", LEAK_FEATURES, columns=", ".join(LEAK_FEATURES)),
     "known AS (SELECT DISTINCT label, " + ", ".join(LEAK_FEATURES) + ", true AS hit FROM parts WHERE is_train)",
