@@ -4,26 +4,40 @@ Fingerprints within k bits agree in at least one of k + 1 segments of their bits
 fingerprint is routed by each of its segments, and a pair is found where it agrees. Inside a route
 fingerprints are sorted by Gray rank; runs of neighbours form nodes that hold the bits all of them
 share, upper nodes take over what their children share, and a search adds up differences on the way
-down and leaves a node as soon as they exceed k. A link can also be asked to hold for the texts:
-then their shingle sets must be similar enough by a sketch of one smallest hash per bin."""
+down and leaves a node as soon as they exceed k.
+
+Links can be asked to hold for the texts instead: then two texts are linked if their shingle sets are
+similar enough, which is always counted on the sets. Pairs to count come from two sides: the index,
+where a sketch of one smallest hash per bin agrees, and shared rare shingles. Similar sets have a
+shingle in common among the first of each in any order common to all sets (a prefix); the rarest go
+first, so that few other texts share them. The second side finds every pair; the first, and pairs of
+neighbours, connect large groups beforehand, so that pairs inside them needn't be counted."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
-from flowlab.llm.frames import components, stored
+from flowlab.llm.frames import components, partitions_for, removed, stored
 from flowlab.llm.text import LOWER, SPACE, U64, buffer_of, slices, words_in
+from flowlab.tables import ship, unpack
 
 P1, P2, P3, P4, P5 = (U64(p) for p in (  # fixed values of XXH64
     11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
-FINGERPRINTS = "doc_id long, fp long, sketch binary"
+FINGERPRINTS = "doc_id long, fp long, sketch binary, node long, size int"
 # Bins of a sketch, one byte each; zero stands for an empty bin.
 BINS = 256
 # Fan-out of index nodes, rows that a routing task gets, and the size from which a route is split.
 FAN, TASK_ROWS, HOT = 16, 1 << 15, 1 << 16
 PAIRS_AT_ONCE, SKETCHES_AT_ONCE = 1 << 16, 1 << 14
+# Least and most buckets (as powers of two) in which shingles are counted to tell rare ones, and
+# shingles a bucket; they steer the work only. Buckets of a piece that is added up in one task.
+RARITY_BITS, RARITY_SHARE, RARITY_PIECE = (16, 23), 16, 1 << 16
+# Prefix rows that a task gets, and nodes up to which their list is sent to the tasks.
+PREFIX_ROWS, NEEDED_NODES = 1 << 19, 1 << 20
+POSTINGS = "token long, node long, size int, place int"
 
 
 def _rotl(x, r):
@@ -99,6 +113,20 @@ def shingle_hashes(column, width):
     return xxh64_spans(joined, begin, place[last] + size[last] - begin), n
 
 
+def shingle_sets(column, width):
+    """Sorted distinct shingle hashes of each text, how many it has, and a hash that names the set."""
+    h, n = shingle_hashes(column, width)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, n = h[fresh], np.bincount(row[fresh], minlength=len(n))
+    ends = np.cumsum(n)
+    names = [xxhash.xxh64_intdigest(h[e - k: e].tobytes()) for e, k in zip(ends, n)]
+    return h, n, np.array(names, U64).view(np.int64)
+
+
 def sketches(h, n):
     """One smallest hash per bin of each text's shingle hashes, cut to a byte."""
     row = np.repeat(np.arange(len(n)), n)
@@ -124,7 +152,8 @@ def similarity(drawn, i, j):
 def fingerprints(docs, width=3, sketch_width=None):
     """doc_id and the 64-bit fingerprint of every text: a bit is set if it is in more than half of
     the shingle hashes. Texts without words, and null ones, have fingerprint zero. With
-    ``sketch_width`` there is also a sketch of the set of shingles of that many words."""
+    ``sketch_width`` there are also a sketch, the name and the size of the set of shingles of that
+    many words."""
     def work(batches):
         for batch in batches:
             for first, texts in slices(batch.column("text")):
@@ -135,12 +164,14 @@ def fingerprints(docs, width=3, sketch_width=None):
                     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     total = np.add.reduceat(bits, (np.cumsum(n) - n)[there], axis=0, dtype=np.int64)
                     fp[there] = np.packbits(2 * total > n[there, None], axis=1, bitorder="little").view("<u8")[:, 0]
-                sketch = [None] * len(texts)
+                sketch = name = size = [None] * len(texts)
                 if sketch_width:
-                    sketch = [x.tobytes() for x in sketches(*shingle_hashes(texts, sketch_width))]
+                    h, size, name = shingle_sets(texts, sketch_width)
+                    sketch = [x.tobytes() for x in sketches(h, size)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(texts)), pa.array(fp.view(np.int64)),
-                     pa.array(sketch, pa.binary())], names=["doc_id", "fp", "sketch"])
+                     pa.array(sketch, pa.binary()), pa.array(name, pa.int64()), pa.array(size, pa.int32())],
+                    names=["doc_id", "fp", "sketch", "node", "size"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, FINGERPRINTS)
 
@@ -325,20 +356,209 @@ def _turn(mask):
     return (64 - int(mask).bit_length()) % 64
 
 
+# ---- pairs of texts with similar shingle sets
+
+def _fresh_sets(batches, width):
+    """Shingle sets of the texts of a task, (hashes, sizes, names), each set once."""
+    seen = set()
+    for batch in batches:
+        for _, texts in slices(batch.column("text")):
+            h, n, names = shingle_sets(texts, width)
+            new = np.zeros(len(n), bool)
+            for k, name in enumerate(names.tolist()):
+                if n[k] and name not in seen:
+                    seen.add(name)
+                    new[k] = True
+            yield h[np.repeat(new, n)], n[new], names[new]
+
+
+def _rarity(docs, width, shingles):
+    """Counts of shingles by bucket, and the shift from a hash to its bucket."""
+    bits = min(max(int(shingles // RARITY_SHARE).bit_length(), RARITY_BITS[0]), RARITY_BITS[1])
+    shift = U64(64 - bits)
+
+    def count(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for h, _, _ in _fresh_sets(batches, width):
+            bucket, n = np.unique(h >> shift, return_counts=True)
+            total[bucket] += n
+        counts = np.minimum(total, 65535).astype("<u2")
+        for piece, at in enumerate(range(0, len(counts), RARITY_PIECE)):
+            packed = pa.compress(counts[at: at + RARITY_PIECE].tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([packed])], names=["piece", "counts"])
+
+    def add_up(rows):
+        import pandas as pd
+
+        total = np.zeros(RARITY_PIECE, np.int64)
+        for packed in rows["counts"]:
+            total += np.frombuffer(pa.decompress(packed, 2 * RARITY_PIECE, codec="zstd", asbytes=True), "<u2")
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "counts": [np.minimum(total, 65535).astype("<u2").tobytes()]})
+
+    parts = docs.select("text").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInPandas(
+        add_up, "piece int, counts binary").collect()
+    counts = np.zeros(1 << bits, np.uint16)
+    for r in parts:
+        counts[r["piece"] * RARITY_PIECE: (r["piece"] + 1) * RARITY_PIECE] = np.frombuffer(r["counts"], "<u2")
+    return counts, shift
+
+
+def _columns(batches, names):
+    got = [[] for _ in names]
+    for batch in batches:
+        for column, name in zip(got, names):
+            column.append(np.asarray(batch.column(name)))
+    return [np.concatenate(column) for column in got] if got[0] else None
+
+
+def postings(docs, width, similar, shingles):
+    """A stored table (token, node, size, place) of the prefixes of all shingle sets: a set's rarest
+    shingles, as many that sets this similar must share one. Tokens of a single set are left out."""
+    shipped = ship(docs.sparkSession, _rarity(docs, width, shingles))
+
+    def prefixes(batches):
+        counts, shift = unpack(shipped)
+        for h, n, names in _fresh_sets(batches, width):
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, counts[h >> shift], row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            keep = place < np.repeat(n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1, n)
+            at = row[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[order][keep].view(np.int64)), pa.array(names[at]), pa.array(n[at].astype(np.int32)),
+                 pa.array(place[keep].astype(np.int32))], names=["token", "node", "size", "place"])
+
+    def shared(batches):
+        columns = _columns(batches, ["token", "node", "size", "place"])
+        if columns is None:
+            return
+        order = np.lexsort((columns[1], columns[0]))
+        token, node, size, place = (x[order] for x in columns)
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, size, place = token[new], node[new], size[new], place[new]
+        same = np.zeros(len(token) + 1, bool)
+        same[1:-1] = token[1:] == token[:-1]
+        keep = same[1:] | same[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, node, size, place)],
+                                         names=["token", "node", "size", "place"])
+
+    tasks = max(partitions_for(docs.sparkSession), int(shingles * (1 - similar)) // PREFIX_ROWS)
+    return stored(docs.select("text").mapInArrow(prefixes, POSTINGS).repartition(tasks, "token")
+                  .mapInArrow(shared, POSTINGS), "postings")
+
+
+def _possible(i, j, node, size, place, similar):
+    """Of pairs of posting rows of a token those whose sets can be similar: by their sizes, and by what
+    is left of both behind the token, if it is the first that they share."""
+    least = np.ceil(similar / (1 + similar) * (size[i] + size[j]) - 1e-9)
+    keep = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
+    keep &= np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j]) - 1e-9
+    i, j = i[keep], j[keep]
+    pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
+def _posted_pairs(table, similar, tasks, apart):
+    """Distinct pairs (u, v) that share a token and can be similar: neighbours by size, or, if the table
+    has a column ``root``, all pairs with different roots."""
+    def work(batches):
+        columns = _columns(batches, ["token", "node", "size", "place", "root"][: 5 if apart else 4])
+        if columns is None:
+            return
+        order = np.lexsort((columns[1], columns[4 if apart else 2], columns[0]))
+        token, node, size, place, *root = (x[order] for x in columns)
+        size, place = size.astype(np.int64), place.astype(np.int64)
+        if not apart:
+            i = np.flatnonzero(token[1:] == token[:-1])
+            yield _possible(i, i + 1, node, size, place, similar)
+            return
+        # partners of a row stand behind the run of its root, up to the end of its token
+        cut = token[1:] != token[:-1]
+        until = _run_ends(cut)
+        start = _run_ends(cut | (root[0][1:] != root[0][:-1]))
+        n = until - start
+        total = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 4 * PAIRS_AT_ONCE, "right")))
+            i = np.repeat(np.arange(a, b), n[a:b])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + np.repeat(start[a:b], n[a:b])
+            yield _possible(i, j, node, size, place, similar)
+            a = b
+
+    return table.repartition(tasks, "token").mapInArrow(work, "u long, v long").distinct()
+
+
+def _run_ends(cut):
+    """For each row the end of its run, when runs end where ``cut`` is set."""
+    ends = np.append(np.flatnonzero(cut) + 1, len(cut) + 1)
+    return ends[np.searchsorted(ends, np.arange(len(cut) + 1), "right")]
+
+
+def _similar_pairs(docs, pairs, width, similar):
+    """Those of a stored table of pairs of sets that are similar enough, counted on the sets."""
+    spark = docs.sparkSession
+    nodes = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "needed")
+    needed = None
+    if nodes.count() <= NEEDED_NODES:
+        needed = np.sort(np.asarray(nodes.toArrow().column("node").combine_chunks()))
+    shipped = ship(spark, needed)
+
+    def work(batches):
+        needed = unpack(shipped)
+        for h, n, names in _fresh_sets(batches, width):
+            keep = np.ones(len(n), bool)
+            if needed is not None:
+                at = np.minimum(np.searchsorted(needed, names), max(len(needed) - 1, 0))
+                keep = needed[at] == names if len(needed) else np.zeros(len(n), bool)
+            offsets = np.append(0, np.cumsum(n[keep])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[keep]), pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(h[np.repeat(keep, n)].view(np.int64)))], names=["node", "hashes"])
+
+    sets = (docs.select("text").mapInArrow(work, "node long, hashes array<long>").join(nodes, "node", "left_semi")
+            .groupBy("node").agg(F.first("hashes").alias("hashes")))
+    sets = stored(sets, "sets")
+    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
+    both = F.size(F.array_intersect("_u", "_v"))
+    found = stored(pairs.join(left, "u").join(right, "v").select("u", "v", (
+        both / (F.size("_u") + F.size("_v") - both) >= similar).alias("ok")).where("ok").drop("ok"), "similar")
+    removed(spark, nodes, sets)
+    return found
+
+
+def similar_links(docs, rows, nodes, width, most, similar):
+    """Links (u, v) whose components are those of all pairs of shingle sets that are similar enough."""
+    spark = docs.sparkSession
+    shingles = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    table = postings(docs, width, similar, shingles)
+    tasks = max(partitions_for(spark), table.count() // PREFIX_ROWS)
+    near = near_links(nodes, most, similar).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    asked = stored(near.union(_posted_pairs(table, similar, tasks, False)).distinct(), "pairs")
+    links = _similar_pairs(docs, asked, width, similar)
+    known = components(links).withColumnRenamed("node", "_node")
+    apart = table.join(known, table["node"] == known["_node"], "left").select(
+        "token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    rest = stored(_posted_pairs(apart, similar, tasks, True).join(asked, ["u", "v"], "left_anti"), "pairs")
+    return links.union(_similar_pairs(docs, rest, width, similar))
+
+
 def near_components(docs, width=3, most=3, similar=None, sketch_width=5):
     """Fingerprint and component of every row of ``docs`` (doc_id, text).
 
-    Two rows are linked if their fingerprints differ in at most ``most`` bits and, with ``similar``,
-    their sets of shingles of ``sketch_width`` words are at least that similar by their sketches;
-    ``component_id`` is the smallest doc_id that can be reached. Rows with null text or no words
-    have fingerprint zero and are linked like any other, repeated rows stay, other columns are
-    ignored."""
+    Two rows are linked if their fingerprints differ in at most ``most`` bits or, with ``similar``, if
+    at least that share of their distinct shingles of ``sketch_width`` words is common to both; then
+    ``most`` only says which pairs are looked at first. ``component_id`` is the smallest doc_id that
+    can be reached. Rows with null text or no words have fingerprint zero and are linked like any
+    other (without words, to each other), repeated rows stay, other columns are ignored."""
     rows = fingerprints(docs, width, sketch_width if similar is not None else None)
-    node = F.col("fp") if similar is None else F.xxhash64("fp", "sketch")
-    rows = stored(rows.withColumn("node", node), "rows")
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("_first"), F.first("fp").alias("fp"),
-                                     F.first("sketch").alias("sketch"))
-    found = components(near_links(first, most, similar)).withColumnRenamed("node", "_node")
+    rows = stored(rows if similar is not None else rows.withColumn("node", F.col("fp")), "rows")
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("_first"), F.min("fp").alias("fp"),
+                                     F.min("sketch").alias("sketch"))
+    links = near_links(first, most) if similar is None else similar_links(
+        docs, rows, first, sketch_width, most, similar)
+    found = components(links).withColumnRenamed("node", "_node")
     ids = first.select("node", "_first")
     # from nodes to the smallest doc_id of their component
     roots = ids.join(found, ids["node"] == found["_node"], "left").select(

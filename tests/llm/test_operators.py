@@ -140,6 +140,35 @@ def test_similar_documents_are_verified(spark):
     assert found == {1: 1, 2: 1, 3: 3}
 
 
+def lone_pairs(rng, n):
+    """Texts and one near copy of each, with single words replaced or the tail cut: ids 2k and 2k + 1."""
+    rows = []
+    for k in range(n):
+        words = [f"w{x}" for x in rng.randint(0, 5000, rng.randint(80, 500))]
+        copy = list(words)
+        if k % 2:
+            copy = copy[: int(len(copy) * rng.uniform(0.74, 0.9))]
+        else:
+            for at in rng.choice(len(copy), max(1, int(len(copy) * rng.uniform(0.015, 0.035))), replace=False):
+                copy[at] = f"new{rng.randint(1 << 30)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    return rows
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (WORD.findall(low(a)), WORD.findall(low(b))))
+    return len(a & b) / len(a | b)
+
+
+def test_lone_similar_pairs_are_linked_exactly(spark):
+    rows = lone_pairs(np.random.RandomState(11), 200)
+    share = [jaccard(rows[k][1], rows[k + 1][1]) for k in range(0, len(rows), 2)]
+    assert sum(0.8 <= x < 0.85 for x in share) > 40 and sum(0.7 <= x < 0.8 for x in share) > 40
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_components(
+        spark.createDataFrame(rows, "doc_id long, text string"), most=8, similar=0.8).collect()}
+    assert found == {2 * k + odd: 2 * k + (odd if x < 0.8 else 0) for k, x in enumerate(share) for odd in (0, 1)}
+
+
 def test_tiling_catches_reordered_passages(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [(1, "x y ZETA, eta theta iota kappa lambda mu. some more Alpha beta gamma delta epsilon z"), (2, None), (3, ""),
