@@ -169,6 +169,25 @@ def test_lone_similar_pairs_are_linked_exactly(spark):
     assert found == {2 * k + odd: 2 * k + (odd if x < 0.8 else 0) for k, x in enumerate(share) for odd in (0, 1)}
 
 
+def test_similar_families_match_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 64)
+    rng = np.random.RandomState(12)
+    rows = [(0, None), (1, ""), (2, " "), (3, "one"), (4, "ONE")]
+    for family in range(4):
+        base = [f"f{family}w{x}" for x in rng.randint(0, 900, 120)]
+        for _ in range(40):
+            copy = list(base)
+            for at in rng.choice(len(copy), rng.randint(0, 6), replace=False):
+                copy[at] = f"new{rng.randint(1 << 30)}"
+            rows.append((len(rows), " ".join(copy[: rng.randint(90, 121)])))
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[5:15])]
+    root = brute_components(rows, lambda i, j: jaccard(rows[i][1] or "", rows[j][1] or "") >= 0.8)
+    assert len(set(root)) > 8
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_components(
+        spark.createDataFrame(rows, "doc_id long, text string"), most=8, similar=0.8).collect()}
+    assert found == dict(enumerate(root))
+
+
 def test_tiling_catches_reordered_passages(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [(1, "x y ZETA, eta theta iota kappa lambda mu. some more Alpha beta gamma delta epsilon z"), (2, None), (3, ""),
