@@ -6,40 +6,61 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlab.llm import importance, packing, quality_rules, simhash, tiling
-from flowlab.llm.frames import scratch
+from flowlab.llm.frames import scratch, stored
 from flowlab.llm.queries import table, tokenizer
 
-# Two documents are near-duplicates from this share of common five-word shingles on; documents
-# that similar differ in at most this many bits of their fingerprints, but for rare cases.
+# Two documents are near-duplicates from this share of common five-word shingles on; most pairs that
+# similar differ in at most this many bits of their fingerprints, and are looked at first.
 SIMILAR, BITS = 0.8, 8
+# Column of the row key inside a stage.
+ROW = "_row_key"
 
 
-def _only(docs, kept):
-    """The documents whose ids are kept; ids are unique, so one join on the id keeps all columns."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _keyed(docs):
+    """The documents with a key per row, written once: ids can be null or stand at several rows."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _only(keyed, kept, how="left_semi"):
+    """The rows whose keys are kept (or, with an anti join, are not), with all their columns."""
+    return keyed.join(kept.select(ROW), ROW, how).drop(ROW)
+
+
+def _by_row(keyed):
+    """Row key, as doc_id, and text."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
 
 
 def rules(spark, docs, sf_dir):
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; every row is judged by its own text."""
     return quality_rules.passing(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def classifier(spark, docs, sf_dir):
-    """Documents that the importance sample holds."""
-    verdict = importance.resample(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, verdict.where("kept"))
+    """Rows that the importance sample holds. Rows with one id share their noise, rows without an id
+    have their own; each is weighed by its own text."""
+    keyed = _keyed(docs)
+    verdict = importance.resample(keyed, table(spark, sf_dir, "labels"), key=ROW)
+    return _only(keyed, verdict.where("kept"))
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """The first document of each group of copies and near-copies."""
-    groups = simhash.near_components(docs, width=3, most=BITS, similar=SIMILAR, sketch_width=5)
-    return _only(docs, groups.where("doc_id = component_id"))
+    """One row of each group of copies and near-copies: that with the smallest id, and of repeated ids
+    the first row; rows without an id come last."""
+    keyed = _keyed(docs)
+    groups = simhash.near_components(_by_row(keyed), width=3, most=BITS, similar=SIMILAR, sketch_width=5)
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias(ROW))
+    places = keyed.select(ROW, place.alias("place"))
+    first = (groups.select(F.col("doc_id").alias(ROW), "component_id").join(places, ROW)
+             .groupBy("component_id").agg(F.min("place").alias("place")))
+    return _only(keyed, first.select(f"place.{ROW}"))
 
 
 def decontaminate(spark, docs, sf_dir):
-    """Documents that hold no benchmark item."""
-    hit = tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds no benchmark item."""
+    keyed = _keyed(docs)
+    hit = tiling.contaminated(_by_row(keyed), table(spark, sf_dir, "benchmark"))
+    return _only(keyed, hit.select(F.col("doc_id").alias(ROW)).distinct(), "left_anti")
 
 
 def packed(spark, docs, sf_dir):

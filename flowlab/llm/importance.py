@@ -72,9 +72,11 @@ def log_ratio(docs, labels, rows=TARGET_ROWS):
     return ratio.reshape(-1), target
 
 
-def weights_of(docs, ratio):
-    """doc_id and log importance weight of every document; texts without words have weight zero."""
+def weights_of(docs, ratio, key=None):
+    """doc_id and log importance weight of every document; texts without words have weight zero. A
+    ``key`` column (long) comes along."""
     shipped = ship(docs.sparkSession, ratio)
+    also = [key] if key else []
 
     def work(batches):
         ratio = unpack(shipped)
@@ -82,13 +84,14 @@ def weights_of(docs, ratio):
             for first, column in slices(batch.column("text")):
                 total = sum(sums_per_row(ratio[bucket], n) for bucket, n in ngram_buckets(column))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(column)), pa.array(total)], names=["doc_id", "log_weight"])
+                    [batch.column("doc_id").slice(first, len(column)), pa.array(total),
+                     *[batch.column(c).slice(first, len(column)) for c in also]], names=["doc_id", "log_weight", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        work, "doc_id long, log_weight double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also).mapInArrow(
+        work, ", ".join(["doc_id long, log_weight double", *[f"{c} long" for c in also]]))
 
 
-def resample(docs, labels, seed=17, k=None, rows=TARGET_ROWS, missed=MISSED):
+def resample(docs, labels, seed=17, k=None, rows=TARGET_ROWS, missed=MISSED, key=None):
     """Sample the documents that look like the labelled good ones.
 
     Without ``k`` it is the number of documents whose weight reaches the ``missed`` quantile of the
@@ -97,15 +100,20 @@ def resample(docs, labels, seed=17, k=None, rows=TARGET_ROWS, missed=MISSED):
 
     Returns doc_id, log_weight, gumbel_key and kept for every row of ``docs`` (doc_id, text).
     Null texts count as empty, repeated rows share their noise, other columns are ignored; without
-    labelled target documents everything is kept."""
+    labelled target documents everything is kept. ``key`` names a column (long) that tells rows
+    apart: it is returned too, decides ties, and gives rows without doc_id their noise."""
     ratio, target = log_ratio(docs, labels, rows)
-    weighted = stored(weights_of(docs, ratio), "weights")
+    weighted = stored(weights_of(docs, ratio, key), "weights")
     if k is None:
         of_target = weighted.join(F.broadcast(target), "doc_id")  # at most ``rows`` ids
         cut = of_target.agg(F.percentile("log_weight", missed)).first()[0]
         k = weighted.count() if cut is None else weighted.where(F.col("log_weight") >= cut).count()
-    half = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11)
+    also = [key] if key else []
+    noise = F.xxhash64("doc_id", F.lit(seed))
+    if key:
+        noise = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col(key), F.lit(seed), F.lit("row"))).otherwise(noise)
+    half = F.shiftrightunsigned(noise, 11)
     uniform = (half.cast("double") + 0.5) / float(1 << 53)
     keyed = weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    ranked = running(keyed, [F.desc("gumbel_key"), F.asc("doc_id")], {"_rank": F.lit(1)}, "keys")
-    return ranked.select("doc_id", "log_weight", "gumbel_key", (F.col("_rank") < k).alias("kept"))
+    ranked = running(keyed, [F.desc("gumbel_key"), F.asc("doc_id"), *[F.asc(c) for c in also]], {"_rank": F.lit(1)}, "keys")
+    return ranked.select(*also, "doc_id", "log_weight", "gumbel_key", (F.col("_rank") < k).alias("kept"))
