@@ -1,9 +1,10 @@
 """Main text of web pages by equivalence classes of tokens.
 
-Tokens of a page are its tags (with class, id and role) and the pieces of text outside articles.
-Tokens of a host that occur equally often on each of its pages form a class; classes that occur on
-enough pages and nest are the host's template. What the template leaves open are slots: those that
-stand in menus, notices, forms and the like are dropped, the others are the page's text."""
+Tokens of a page are its tags (with class, id and role) and its pieces of text. Tokens of a host that
+occur equally often on each of its pages form a class; classes that occur on enough pages (text inside
+articles: on all) and nest are the host's template. What the template leaves open are slots: those
+that stand in menus, notices, forms and the like are dropped, the others are the page's text. Pages of
+hosts without a template have only tag and class names to go by: what their articles hold, or else all."""
 
 from __future__ import annotations
 
@@ -39,6 +40,8 @@ ASIDE_WORDS = set("nav navbar navigation menu footer header sidebar aside ad ads
                   "social breadcrumb breadcrumbs popup modal overlay login search widget pagination pager toolbar "
                   "complementary contentinfo".split())
 MAIN = {"article", "main"}
+# Elements that hold no article text unless they stand around all articles of the page.
+AROUND = {"form", "fieldset"}
 
 
 def pieces(page):
@@ -76,21 +79,35 @@ class Walk:
     """Goes through a page and keeps track of what is open."""
 
     def __init__(self, page):
-        self.page = page
-        self.open = []  # (tag, is it aside, is it main)
+        self.pieces = list(pieces(page))
+        self.around = frozenset()
+        # elements around all outermost articles: their names say nothing about the articles
+        around = None
+        for kind, value, _ in self:
+            if kind == "open" and value in MAIN and sum(x[2] for x in self.open) == 1:
+                here = {x[3] for x in self.open}
+                around = here if around is None else around & here
+        self.around = frozenset(around or ())
 
     def __iter__(self):
-        for kind, value, words, name in pieces(self.page):
+        self.open = []  # (tag, is it aside, is it main, place)
+        for place, (kind, value, words, name) in enumerate(self.pieces):
             if kind == "open":
                 if value == "p" or value in ("li", "td", "th", "tr", "option", "dt", "dd"):
                     self._close(value, limit=MAIN | {"div", "section", "ul", "ol", "table", "td", "nav", "aside"} - {value})
                 if value not in VOID:
-                    self.open.append((value, value in ASIDE or bool(words & ASIDE_WORDS) and value not in ("html", "body"),
-                                      value in MAIN))
+                    self.open.append((value, self._is_aside(value, words, place), value in MAIN, place))
             elif kind == "close":
                 self._close(value)
             yield kind, value, name
 
+    def _is_aside(self, tag, words, place):
+        if tag in ASIDE and tag not in AROUND:
+            return True
+        if place in self.around or tag in ("html", "body") or tag in MAIN and not self.main:
+            return False
+        return tag in AROUND or bool(words & ASIDE_WORDS)
+
     def _close(self, tag, limit=()):
         """Close an element and what was left open inside it; an end without a start is ignored."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -109,49 +126,60 @@ class Walk:
         return any(x[2] for x in self.open)
 
 
+# Text of an article is another token than the same text elsewhere.
+INNER = "\0"
+
+
 def tokens_of(page):
-    """Occurrences, first and last place of each tag and each text outside articles."""
+    """Occurrences, first and last place of each tag and each text, and whether it is text of an article."""
     counts, walk = {}, Walk(page)
     for place, (kind, value, name) in enumerate(walk):
         if kind == "open":
             key = token("<" + name)
         elif kind == "close":
             key = token("</" + value)
-        elif not walk.main and (text := tidy(value)):
-            key = token(text)
+        elif text := tidy(value):
+            key = token(INNER + text if walk.main else text)
         else:
             continue
-        n, first, _ = counts.get(key, (0, place, place))
-        counts[key] = n + 1, first, place
+        n, first, _, inner = counts.get(key, (0, place, place, kind == "text" and walk.main))
+        counts[key] = n + 1, first, place, inner
     return counts
 
 
 def blocks_of(page, template=frozenset()):
-    """Blocks of text in the page's open slots. A page with an article keeps the slots inside it;
-    another keeps all, without text that the host's template repeats."""
-    inside, outside, current = [], [], []
-    walk, where = Walk(page), None
+    """Blocks of text in the page's open slots: all text that the host's template doesn't repeat and no
+    name puts aside. Without a template a page with an article keeps what that holds. An article that
+    all pages of its host repeat is kept if nothing else is open."""
+    blocks, current = [], []
+    walk, where = Walk(page), False
 
     def end():
-        if current:
-            text = tidy("".join(current))
-            if text:
-                (inside if where else outside).append(text)
-            current.clear()
+        whole = tidy("".join(x for x, _ in current))
+        open_ = tidy("".join(x for x, known in current if not known))
+        if whole:
+            blocks.append((where, whole, "" if token(INNER + whole if where else whole) in template else open_))
+        current.clear()
 
     for kind, value, _ in walk:
         if kind != "text":
             if value == "br":
-                current.append(" ")
+                current.append((" ", False))
             elif value not in INLINE:
                 end()
         elif not walk.aside:
             if current and where != walk.main:
                 end()
             where = walk.main
-            current.append(value)
+            # the template's tokens are pieces of text; blanks beside them stay
+            text = tidy(value)
+            known = bool(text) and where and token(INNER + text) in template
+            current.append((value, known))
     end()
-    return inside or [t for t in outside if token(t) not in template]
+    inside = [whole for main, whole, _ in blocks if main]
+    if not template and inside:
+        return inside
+    return [left for _, _, left in blocks if left] or inside
 
 
 def nested(rows):
@@ -177,27 +205,27 @@ def templates(pages):
     """One row per host with a template: host, and its tokens with class, place and pages.
 
     Occurrence vectors are compared by a sum of hashes of page and count, which adds up before
-    anything is shuffled; a host's row has only tokens of at least half of its pages."""
+    anything is shuffled; a host's row has only tokens of at least half of its pages (text inside articles: of all)."""
     def work(batches):
         for batch in batches:
             rows = []
             for host, key, page in zip(*(batch.column(n).to_pylist() for n in ("host", "page", "html"))):
-                rows += [(host, t, xxhash.xxh64_intdigest(f"{key} {n}") >> 1, first, last)
-                         for t, (n, first, last) in tokens_of(page or "").items()]
+                rows += [(host, t, xxhash.xxh64_intdigest(f"{key} {n}") >> 1, first, last, inner)
+                         for t, (n, first, last, inner) in tokens_of(page or "").items()]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), *[pa.int64()] * 4))],
-                    names=["host", "token", "vector", "place", "last"])
+                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), *[pa.int64()] * 4, pa.bool_()))],
+                    names=["host", "token", "vector", "place", "last", "inner"])
 
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    found = keyed.mapInArrow(work, "host string, token long, vector long, place long, last long")
+    found = keyed.mapInArrow(work, "host string, token long, vector long, place long, last long, inner boolean")
     # exclusive-or of hashes identifies a vector: equal vectors give equal values
     tokens = found.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"), F.bit_xor("vector").alias("vector"), F.avg("place").alias("place"),
-        F.avg("last").alias("last"))
+        F.avg("last").alias("last"), F.max("inner").alias("inner"))
     hosts = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
     frequent = (tokens.where(F.col("pages") >= MIN_PAGES).join(hosts, "host")
-                .where(F.col("pages") >= F.col("_all") * MIN_SHARE))
+                .where(F.col("pages") >= F.col("_all") * F.when(F.col("inner"), 1.0).otherwise(MIN_SHARE)))
     member = F.struct("token", F.xxhash64("vector", "pages").alias("class"), "place", "last", "pages")
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list(member)).alias("template"))
 

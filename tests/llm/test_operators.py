@@ -342,6 +342,25 @@ def test_page_text(spark, sf):
     assert templates.main_text(pages.limit(0)).count() == 0
 
 
+def test_names_around_an_article_say_nothing_about_it():
+    for page in ('<main class="has-sidebar"><p>a</p></main>', '<article class="post has-related"><p>a</p></article>',
+                 '<form><div class="search"><article><p>a</p></article></div></form>',
+                 '<article class="has-share"><p>a</p><div class="share">s</div><form>f</form></article>',
+                 '<main><p>a</p></main><div class="related"><article>card</article></div>'):
+        assert templates.blocks_of(f"<body>{page}<nav>m</nav></body>") == ["a"], page
+
+
+def test_template_decides_on_pages_with_articles(spark):
+    page = "<body><p>Logo</p>{}<article><p>{}</p>{}</article></body>"
+    pages = [(k, f"http://h/{k}", page.format(f"<p>by author {k}</p>", f"text {k}", "<p>Read us</p>")) for k in range(5)]
+    pages += [(9, "http://few/9", page.format("", "text 9", "<p>Read us</p>"))]
+    pages += [(20 + k, f"http://same/{k}", page.format("", "copy", "")) for k in range(3)]
+    rows = templates.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {
+        **{k: f"by author {k}\ntext {k}" for k in range(5)}, 9: "text 9\nRead us",
+        **{20 + k: "copy" for k in range(3)}}
+
+
 def whole_ids(name, texts, end):
     from tokenizers import Tokenizer
 
