@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlab.llm import (
-    chat, idfiles, importance, packing, quality_rules, sharding, simhash, suffix_tree, templates, tiling)
+    chat, idfiles, importance, multiset, packing, quality_rules, sharding, simhash, suffix_tree, templates, tiling)
 from flowlab.llm.frames import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -107,3 +107,9 @@ def op1(spark, sf):
     """All documents scored by a suffix tree learnt from six sevenths of them."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return suffix_tree.score(table(spark, sf, "documents"), held)
+
+
+@query("op13_multiset_hash")
+def op13(spark, sf):
+    """All documents and their edited texts: fingerprints and how alike they are."""
+    return multiset.edited_likeness(table(spark, sf, "documents"))
