@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlab.llm import (
-    chat, idfiles, importance, multiset, packing, quality_rules, sharding, simhash, suffix_tree, templates, tiling)
+    alignment, chat, idfiles, importance, multiset, packing, quality_rules, sharding, simhash, suffix_tree, templates,
+    tiling, variants)
 from flowlab.llm.frames import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -113,3 +114,15 @@ def op1(spark, sf):
 def op13(spark, sf):
     """All documents and their edited texts: fingerprints and how alike they are."""
     return multiset.edited_likeness(table(spark, sf, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf):
+    """All words of all documents with their near words and usual forms."""
+    return variants.spelling_variants(table(spark, sf, "documents"))
+
+
+@query("op12_token_alignment")
+def op12(spark, sf):
+    """All documents in two tokenizers: groups, links and how often linked ids meet."""
+    return alignment.align(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
