@@ -28,7 +28,9 @@ from flowlab.tables import ship, unpack
 
 # Pieces that a worker remembers before it starts anew, and id pairs whose counts (17 bytes each) are
 # sent to the workers at once; more pairs are sent in several rounds, by ranges of B ids.
-REMEMBERED, MAX_PAIRS = 300_000, 4_000_000
+REMEMBERED, MAX_PAIRS = 800_000, 4_000_000
+# Characters of pieces that are encoded in a row.
+RUN_CHARS = 1 << 14
 # A pair of ids as one number.
 B_BITS = 20
 RESULT = ("n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
@@ -57,33 +59,42 @@ def byte_alphabet():
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def ends_of(offsets, sizes, starts):
-    """Byte offsets at which tokens end. ``offsets`` are character offsets, ``starts`` the bytes before
-    each character (and after the last); a token whose decoded bytes (``sizes``) don't fill its
-    characters lies inside one, and goes as far as its own bytes."""
-    at, ends = 0, []
-    for (first, last), size in zip(offsets, sizes):
-        coarse = starts[last]
-        at = coarse if starts[first] == at and coarse - at == size else at + size
-        ends.append(at)
-    return ends
-
-
-def grouped(a, a_ends, b, b_ends):
-    """The groups as text, their number, and the linked pairs of positions."""
-    i = j = first_a = first_b = 0
-    texts, links = [], []
-    while i < len(a) and j < len(b):
-        links.append((i, j))
-        x, y = a_ends[i], b_ends[j]
-        if x <= y:
-            i += 1
-        if y <= x:
-            j += 1
-        if x == y:
-            texts.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
-    return ";".join(texts), len(texts), links
+def ends_of(first, last, sizes, starts, piece_starts):
+    """Byte offsets at which tokens end. ``first`` and ``last`` are the tokens' characters, ``sizes`` their
+    decoded bytes, ``starts`` the bytes before each character (and after the last), ``piece_starts`` the
+    byte at which each token's piece starts. A token that fills its characters ends with them; others lie
+    inside a character and go as far as the decoded bytes of their piece so far."""
+    total = np.cumsum(sizes)
+    fresh = np.ones(len(sizes), bool)
+    fresh[1:] = piece_starts[1:] != piece_starts[:-1]
+    before = np.maximum.accumulate(np.where(fresh, total - sizes, 0))
+    inside = piece_starts + total - before
+    return np.where(starts[last] - starts[first] == sizes, starts[last], inside)
+
+
+def linked(a_ends, b_ends, a_starts, b_starts):
+    """Positions of all tokens whose ranges overlap, as two arrays; tokens of each side cover the bytes."""
+    low = np.searchsorted(b_ends, a_starts, "right")
+    n = np.searchsorted(b_starts, a_ends, "left") - low
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def written(ids, ends):
+    """Numbers below 100,000 in decimal, each with one byte behind it, as one byte array and its row of
+    each byte."""
+    power = 10 ** np.arange(4, -1, -1)
+    cells = np.empty((len(ids), 6), np.uint8)
+    cells[:, :5] = ids[:, None] // power % 10 + 48
+    cells[:, 5] = ends
+    keep = np.ones(cells.shape, bool)
+    keep[:, :4] = ids[:, None] >= power[:4]
+    return cells[keep].tobytes()
+
+
+def _table(tokens):
+    """Bytes of all tokens in a row and where each starts."""
+    return np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum(list(map(len, tokens))))
 
 
 class Aligner:
@@ -99,9 +110,10 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_alphabet()
         vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
-        self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
-                        else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.vocab_size())]
+        decoded = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
+        self.bytes_a = _table([decoded.get(i, b"") for i in range(max(decoded) + 1)])
+        self.bytes_b = _table([bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
+                               else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.vocab_size())])
         self.forget()
 
     def forget(self):
@@ -111,27 +123,85 @@ class Aligner:
         self.good = np.zeros(0, bool)
         self.codes = np.zeros(0, np.int64)  # linked ids, piece by piece
 
-    def aligned(self, piece, ids_a, offsets_a, ids_b, offsets_b):
-        raw = piece.encode()
-        parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return "", (0, 0, 0, 0), False, []
-        if len(raw) == len(piece):
-            starts = range(len(raw) + 1)
-        else:
-            starts = [0, *np.cumsum([len(c.encode()) for c in piece]).tolist()]
-        text, n, links = grouped(ids_a, ends_of(offsets_a, map(len, parts_a), starts),
-                                 ids_b, ends_of(offsets_b, map(len, parts_b), starts))
-        return text, (len(ids_a), len(ids_b), n, len(links)), True, [ids_a[i] << B_BITS | ids_b[j] for i, j in links]
-
     def learn(self, new):
-        """Encode and align pieces; each starts with a blank, which B adds by itself."""
-        coded_a = self.a.encode_batch(new, add_special_tokens=False)
-        coded_b = self.b.encode([p[1:] for p in new], return_type="offset_mapping", num_threads=1)
-        for piece, x, y in zip(new, coded_a, coded_b):
+        """Encode and align pieces. Those that start and end as inside a text are encoded in a row (a
+        written U+2581 is a blank to B, and stands alone); each piece starts with a blank, which B adds by
+        itself to the first."""
+        plain = [len(p) > 1 and p[-1] != " " and "▁" not in p and _SURE[p[1].encode()[0]] for p in new]
+        runs, run, size = [], [], 0
+        for k, fine in enumerate(plain):
+            if not fine:
+                runs.append([k])
+                continue
+            run.append(k)
+            size += len(new[k])
+            if size > RUN_CHARS:
+                runs.append(run)
+                run, size = [], 0
+        runs += [run] * bool(run)
+        order = [k for r in runs for k in r]
+        texts = ["".join([new[k] for k in r]) for r in runs]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        base = np.cumsum(lengths) - lengths
+        ids_a, spans_a, ids_b, spans_b = [], [], [], []
+        coded = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", num_threads=1)
+        for x, y, at in zip(self.a.encode_batch(texts, add_special_tokens=False), coded, base.tolist()):
+            ids_a += x.ids
+            spans_a.append(np.array(x.offsets, np.int64).reshape(-1, 2) + at)
+            ids_b += y["ids"]
             # B's offsets leave out the blank it added
-            shifted = [(s + 1 if k else 0, e + 1) for k, (s, e) in enumerate(y["offsets"])]
-            yield self.aligned(piece, x.ids, x.offsets, y["ids"], shifted)
+            spans = np.array(y["offsets"], np.int64).reshape(-1, 2) + 1 + at
+            spans[:1, 0] = at
+            spans_b.append(spans)
+        pieces_in = [new[k] for k in order]
+        whole = "".join(pieces_in)
+        raw = np.frombuffer(whole.encode(), np.uint8)
+        starts = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))
+        chars = np.fromiter(map(len, pieces_in), np.int64, len(pieces_in))
+        first_char = np.cumsum(chars) - chars
+        sides = [self.side(np.array(ids, np.int64), np.concatenate(spans), table, starts, first_char, raw)
+                 for ids, spans, table in ((ids_a, spans_a, self.bytes_a), (ids_b, spans_b, self.bytes_b))]
+        good = sides[0][-1] & sides[1][-1]
+        n = len(pieces_in)
+        (a, ends_a, piece_a), (b, ends_b, piece_b) = (tuple(x[good[piece]] for x in (ids, ends, piece))
+                                                      for ids, ends, piece, _ in sides)
+        # ranges of bytes with the pieces that are left out taken away
+        first_byte = starts[first_char]
+        start_a, start_b = (np.maximum(np.append(0, e[:-1]), first_byte[x])[: len(e)] for e, x in ((ends_a, piece_a), (ends_b, piece_b)))
+        i, j = linked(ends_a, ends_b, start_a, start_b)
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        piece_ends = starts[first_char + chars]
+        # behind a token: a comma inside a side, a bar behind side A, and behind B a new group or piece
+        behind_a = np.where(np.append(group_a[1:] != group_a[:-1], True)[: len(a)], 124, 44)
+        last_b = np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
+        behind_b = np.where(last_b, np.where(ends_b == piece_ends[piece_b], 10, 59), 44)
+        side = np.repeat([0, 1], [len(a), len(b)])
+        rank = np.lexsort((side, np.concatenate([group_a, group_b])))
+        text = written(np.concatenate([a, b])[rank], np.concatenate([behind_a, behind_b])[rank]).decode().split("\n")
+        numbers = np.stack([np.bincount(piece_a, minlength=n), np.bincount(piece_b, minlength=n),
+                            np.bincount(piece_b[last_b], minlength=n), np.bincount(piece_a[i], minlength=n)], axis=1)
+        texts = [""] * n
+        for k, t in zip(np.flatnonzero(good).tolist(), text):
+            texts[k] = t
+        return order, texts, numbers, good, a[i] << B_BITS | b[j]
+
+    @staticmethod
+    def side(ids, spans, table, starts, first_char, raw):
+        """Ids, ends and pieces of one tokenizer's tokens, and which pieces come back byte for byte."""
+        flat, at = table
+        sizes = at[ids + 1] - at[ids]
+        piece = np.searchsorted(first_char, spans[:, 0], "right") - 1
+        first_byte, n = starts[first_char], len(first_char)
+        length = np.diff(np.append(first_byte, len(raw)))
+        good = np.bincount(piece, sizes, n).astype(np.int64) == length
+        ends = ends_of(spans[:, 0], spans[:, 1], sizes, starts, first_byte[piece])
+        keep = good[piece]
+        spot = np.repeat(at[ids[keep]] - (np.cumsum(sizes[keep]) - sizes[keep]), sizes[keep]) + np.arange(int(sizes[keep].sum()))
+        wrong = flat[spot] != raw[np.repeat(good, length)]
+        bad = np.repeat(np.arange(n), np.where(good, length, 0))[wrong]
+        good[bad] = False
+        return ids, ends, piece, good
 
     def places(self, column):
         """Place of every piece of all texts of an array, and pieces per text."""
@@ -142,15 +212,16 @@ class Aligner:
         new = np.flatnonzero(self.keys[at] != unique if len(self.keys) else np.ones(len(unique), bool))
         if len(new):
             raw = data.tobytes()
-            found = list(self.learn([raw[starts[k]: ends[k]].decode("utf-8", "replace") for k in index[new]]))
-            keys = np.concatenate([self.keys, unique[new]])
+            order, texts, numbers, good, codes = self.learn(
+                [raw[starts[k]: ends[k]].decode("utf-8", "replace") for k in index[new]])
+            keys = np.concatenate([self.keys, unique[new[order]]])
             place = np.concatenate([self.place, len(self.texts) + np.arange(len(new))])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.place = keys[order], place[order]
-            self.texts += [f[0] for f in found]
-            self.numbers = np.concatenate([self.numbers, np.array([f[1] for f in found], np.int64)])
-            self.good = np.concatenate([self.good, np.array([f[2] for f in found])])
-            self.codes = np.concatenate([self.codes, np.array([c for f in found for c in f[3]], np.int64)])
+            rank = np.argsort(keys, kind="stable")
+            self.keys, self.place = keys[rank], place[rank]
+            self.texts += texts
+            self.numbers = np.concatenate([self.numbers, numbers])
+            self.good = np.concatenate([self.good, good])
+            self.codes = np.concatenate([self.codes, codes])
             at = np.searchsorted(self.keys, unique)
         return self.place[at][inverse], np.diff(np.searchsorted(starts, offsets))
 

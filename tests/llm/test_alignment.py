@@ -3,8 +3,9 @@
 import hashlib
 from collections import Counter
 
-import pytest
+import numpy as np
 import public_tokenizers
+import pytest
 
 from flowlab.llm import alignment, queries
 
@@ -109,11 +110,12 @@ def test_no_rows(awkward):
 
 
 def test_offsets_inside_characters():
-    text = " 世x"
-    starts = [0, 1, 4, 5]
-    assert alignment.ends_of([(0, 1), (1, 2), (1, 2), (2, 3)], [1, 2, 1, 1], starts) == [1, 3, 4, 5]
-    assert alignment.ends_of([(0, 2), (2, 2), (1, 2), (2, 3)], [1, 1, 2, 1], starts) == [1, 2, 4, 5]
-    assert len(text.encode()) == 5
+    """Tokens of " 世x y": a blank, two bytes and one byte of a character, x; then a blank and y."""
+    starts, first_piece = np.array([0, 1, 4, 5, 6, 7]), np.array([0, 0, 0, 0, 5, 5])
+    sizes = np.array([1, 2, 1, 1, 1, 1])
+    for first, last in (([0, 1, 1, 2, 3, 4], [1, 2, 2, 3, 4, 5]), ([0, 1, 1, 2, 3, 4], [1, 1, 2, 3, 4, 5])):
+        ends = alignment.ends_of(np.array(first), np.array(last), sizes, starts, first_piece)
+        assert ends.tolist() == [1, 3, 4, 5, 6, 7]
 
 
 def test_query(spark, sf):
