@@ -11,11 +11,11 @@ from pyspark.ml import classification as C
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from flowlab.operators import discriminant
+from flowlab.operators import boosting, discriminant
 from flowlab.operators.neighbors import knn_join, knn_vote
 from flowlab.operators.prep import label_codes, prepare, vector_of, with_class_weight
 from flowlab.operators.reduce import KernelMap, apply_blocks, landmark_rows
-from flowlab.session import materialised, shared_dir
+from flowlab.session import dropped, materialised
 from flowlab.tables import ref, settled, spread, tick, ticks, tree_sum
 
 
@@ -132,13 +132,10 @@ def _forest(task, options):
 
 
 def _boosted(task, options):
-    shared_dir(task.train.sparkSession)
-    booster = C.GBTClassifier(
-        maxIter=options["rounds"], maxDepth=options["max_depth"], stepSize=options["step"],
-        maxBins=options["max_bins"], seed=options["seed"])
-    booster.set(booster.rawPredictionCol, "_raw")
-    booster.set(booster.probabilityCol, "_p")
-    return _one_vs_rest(booster, task, options)
+    names = ("rounds", "step", "ridge", "least_curvature", "policy", "leaves")
+    growth = boosting.Growth(depth=options["max_depth"], **{n: options[n] for n in names if n in options})
+    model = boosting.fit(task.train, task.features, task.label, task.classes, growth, options["max_bins"], task.weight)
+    return discriminant.predict_class(task.test, task.features, model)
 
 
 def _logistic(task, options):
@@ -313,14 +310,15 @@ def _adaboost(task, options):
         if error >= 1.0 - 1.0 / k:
             break
         model.add(feature, at, yes, no, float(np.log((1 - error) / error) + np.log(k - 1)))
+    dropped(rows)
     if not any(votes.any() for votes in model.votes):
         raise ValueError("no stump beats guessing")
     return discriminant.predict_class(task.test, task.features, model)
 
 
 # The names and settings below are fixed values: results are compared under them.
-# Boosting presets: rounds, depth and step size the four boosted variants start from.
-_BOOST = dict(max_bins=64, seed=0)
+# Boosting presets: rounds, depth and step size the four boosted variants start from, and how each grows.
+_BOOST = dict(max_bins=64)
 REGISTRY = {
     "naive_bayes": Spec(_naive_bayes, options=dict(smoothing=1e-9)),
     "lda": Spec(_lda, weighted=False),
@@ -328,16 +326,16 @@ REGISTRY = {
     "sgd": Spec(_hinge, options=dict(alpha=1e-4, max_iter=1000, tol=1e-3)),
     "decision_tree": Spec(_spark_ml(_tree), scaled=False,
                           options=dict(max_depth=30, max_bins=64, seed=0)),
-    "lightgbm": Spec(_spark_ml(_boosted), scaled=False,
-                     options=dict(_BOOST, rounds=100, max_depth=5, step=0.1)),
-    "xgboost": Spec(_spark_ml(_boosted), scaled=False,
-                    options=dict(_BOOST, rounds=100, max_depth=6, step=0.3)),
+    "lightgbm": Spec(_boosted, scaled=False, options=dict(
+        _BOOST, rounds=100, max_depth=5, step=0.1, policy="leaves", leaves=31, ridge=0.0, least_curvature=1e-3)),
+    "xgboost": Spec(_boosted, scaled=False, options=dict(
+        _BOOST, rounds=100, max_depth=6, step=0.3, policy="levels", ridge=1.0, least_curvature=1.0)),
     "random_forest": Spec(_spark_ml(_forest), scaled=False,
                           options=dict(trees=100, max_depth=30, max_bins=64, seed=0)),
-    "hist_gb": Spec(_spark_ml(_boosted), scaled=False,
-                    options=dict(_BOOST, rounds=100, max_depth=5, step=0.1)),
-    "catboost": Spec(_spark_ml(_boosted), scaled=False,
-                     options=dict(_BOOST, rounds=300, max_depth=6, step=0.1)),
+    "hist_gb": Spec(_boosted, scaled=False, options=dict(
+        _BOOST, rounds=100, max_depth=5, step=0.1, policy="leaves", leaves=31, ridge=0.0, least_curvature=1e-3)),
+    "catboost": Spec(_boosted, scaled=False, options=dict(
+        _BOOST, rounds=300, max_depth=6, step=0.1, policy="symmetric", ridge=3.0, least_curvature=0.0)),
     "adaboost": Spec(_adaboost, scaled=False, weighted=False, sweep=False,
                      options=dict(rounds=100, max_bins=64)),
     "mlp": Spec(_spark_ml(_network), weighted=False, options=dict(hidden=[64, 32], max_iter=60, tol=1e-4, seed=42)),

@@ -61,7 +61,17 @@ def materialised(df, name="table"):
 
     path = scratch_path(df.sparkSession, name)
     spread(df).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def dropped(*tables):
+    """Delete tables that ``materialised`` wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark, name):

@@ -105,11 +105,12 @@ def test_hot_records_get_the_same_flag(spark):
     assert plain == split and len(plain) == 675 and set(plain.values()) == {True, False}
 
 
-def test_segment_without_rows_is_absent(spark):
+def test_segment_without_rows_has_no_scores(spark):
     df = spark.createDataFrame([(1.0, "a", "a", True), (2.0, "a", "b", False)],
                                "x double, label string, prediction string, is_train boolean")
     segments = leakage.scored_segments(df, ["x", "label"])
-    names = {r["segment"] for r in leakage.segment_metrics(segments, 2).collect()}
-    assert names == {"overall", "unseen"}
+    found = {r["segment"]: (r["n"], r["accuracy"], r["macro_f1"]) for r in leakage.segment_metrics(segments, 2).collect()}
+    assert found.keys() == {"overall", "unseen", "leaked"}
+    assert found["leaked"] == (0, None, None) and found["unseen"][0] == 1
     summary = leakage.leakage_summary(segments).first()
     assert summary["accuracy_leaked"] is None and summary["n_leaked"] == 0
