@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from flowlab.operators.audit import copy_counts
 from flowlab.operators.metrics import classification_summary
 from flowlab.tables import all_of, ref, settled
 
-# Copies from which a record of the test side is answered without a shuffle, and the
-# most records handled that way.
-HOT_ROWS = 100_000
-HOT_RECORDS = 1_000
+# Copies from which a record of the test side is dealt over several tasks of a join, and the share of
+# the test side that is needed besides (so that there are at most twice as many such records).
+HOT_ROWS, HOT_SHARE = 100_000, 50_000
 
 
 def record_sides(df, key_columns, is_train="is_train", carry=()):
@@ -37,34 +37,58 @@ def _same(left_names, right_names):
     return all_of([ref(a).eqNullSafe(ref(b)) for a, b in zip(left_names, right_names)])
 
 
+def heavy_hitters(df, key, capacity):
+    """key, n: every 64-bit ``key`` that more than one in ``capacity`` rows have, with at least its number
+    of rows less one in ``capacity``; keys below may be among them.
+
+    Every task keeps a summary of at most ``capacity`` counters (Misra-Gries): when there are more, the
+    count of the first one too many is taken off all and empty ones go. Counters of a key are added up over
+    the tasks; what each task took off adds up to no more than one in ``capacity`` of all rows."""
+    def summarise(batches):
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for pdf in batches:
+            new, n = np.unique(pdf["key"].to_numpy(np.int64), return_counts=True)
+            keys, place = np.unique(np.append(keys, new), return_inverse=True)
+            counts = np.bincount(place, np.append(counts, n), minlength=len(keys)).astype(np.int64)
+            if len(keys) > capacity:
+                counts -= np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
+                keys, counts = keys[counts > 0], counts[counts > 0]
+        yield pd.DataFrame({"key": keys, "n": counts})
+
+    return (df.select(key.alias("key")).mapInPandas(summarise, "key bigint, n bigint")
+            .groupBy("key").agg(F.sum("n").alias("n")))
+
+
 def flag_leaked(test, train, key_columns, flag="leaked", hot_rows=HOT_ROWS):
     """Row-level flag: does the test row occur among the training rows?
 
     The training side is reduced to distinct records first. The join runs on a
     64-bit hash, and all columns are compared as well, so a hash collision cannot
-    count. The records with most copies on the test side are answered from a
-    broadcast list of at most ``HOT_RECORDS`` rows, and their rows are scattered
-    over the join's partitions; all other records take the join."""
+    count. Records with many copies on the test side are found by a summary of bounded
+    size; their rows are dealt over several parts of the join by number, and only
+    their training records are repeated, once a part."""
     names = [f"_k{i}" for i in range(len(key_columns))]
-    spots = [f"_h{i}" for i in range(len(key_columns))]
-    known = train.select(*[ref(c).alias(n) for c, n in zip(key_columns, names)]).distinct()
-    often = settled(copy_counts(test, key_columns).where(F.col("copies") >= hot_rows)
-                    .orderBy(F.col("copies").desc()).limit(HOT_RECORDS)
-                    .select(*[ref(c).alias(s) for c, s in zip(key_columns, spots)]))
-    probe = test.withColumn("_probe", F.xxhash64(*[ref(c) for c in key_columns])).withColumn("_hot", F.lit(None).cast("boolean"))
-    if not often.isEmpty():
-        seen = known.join(often, _same(names, spots), "left_semi").withColumn("_seen", F.lit(True))
-        hot = settled(often.join(seen, _same(spots, names), "left").select(
-            *spots, F.coalesce("_seen", F.lit(False)).alias("_answer")))
-        probe = (probe.drop("_hot").join(hot, _same(key_columns, spots), "left")
-                 .withColumn("_probe", F.when(F.col("_answer").isNull(), F.col("_probe")).otherwise(
-                     F.xxhash64(F.monotonically_increasing_id())))
-                 .withColumnRenamed("_answer", "_hot").drop(*spots))
-    known = known.withColumn("_mark", F.xxhash64(*names)).withColumn("_hit", F.lit(True))
-    same = (F.col("_probe") == F.col("_mark")) & _same(key_columns, names)
+    known = train.select(*[ref(c).alias(n) for c, n in zip(key_columns, names)]).distinct().withColumn(
+        "_mark", F.xxhash64(*names)).withColumn("_hit", F.lit(True))
+    probe = test.withColumn("_probe", F.xxhash64(*[ref(c) for c in key_columns]))
+    rows = test.count()
+    hot_rows = max(hot_rows, rows // HOT_SHARE)
+    capacity = max(1, 2 * rows // hot_rows)
+    # less than 2 * rows / hot_rows keys can have half as many rows, which is at most 2 * HOT_SHARE
+    often = settled(heavy_hitters(probe, F.col("_probe"), capacity).where(2 * F.col("n") >= hot_rows).select(
+        F.col("key").alias("_often"), F.ceil(F.col("n") / hot_rows + 1).cast("int").alias("_parts")))
+    if often.isEmpty():
+        probe, known = probe.withColumn("_part", F.lit(0)), known.withColumn("_part", F.lit(0))
+    else:
+        seat = F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")
+        probe = probe.join(often, F.col("_probe") == F.col("_often"), "left").withColumn("_part", seat).drop("_often", "_parts")
+        known = known.join(often, F.col("_mark") == F.col("_often"), "left").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_often", "_parts")
+    known = known.withColumnRenamed("_part", "_seat")
+    same = (F.col("_probe") == F.col("_mark")) & (F.col("_part") == F.col("_seat")) & _same(key_columns, names)
     return (probe.join(known, same, "left")
-            .withColumn(flag, F.coalesce("_hot", "_hit", F.lit(False)))
-            .drop("_probe", "_mark", "_hit", "_hot", *names))
+            .withColumn(flag, F.coalesce("_hit", F.lit(False)))
+            .drop("_probe", "_part", "_mark", "_seat", "_hit", *names))
 
 
 def scored_segments(scored, key_columns, label="label", prediction="prediction",

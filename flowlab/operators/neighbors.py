@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowlab.operators.sampling import class_counts, undersample
+from flowlab.session import materialised
 from flowlab.tables import SMALL_ROWS, local_table, numeric_matrix, ref, tick, ticks
 
 # A base table of at most this many numbers is shipped to the tasks in one piece.
 SHIPPED_VALUES = 16_000_000
-# Rows per side of one block pair when the base table is larger.
-BLOCK_ROWS = 100_000
+# A larger base table is cut into cells of about this many rows around pivots, at most so many of them.
+CELL_ROWS, MAX_PIVOTS = 2_000, 4_096
+# Query rows of one task of a cell, and base rows that it takes in at a time.
+QUERY_ROWS, BASE_ROWS = 20_000, 4_096
 # Distance cells held at a time.
 CELLS = 4_000_000
 # Candidate pairs measured exactly at a time.
@@ -51,14 +56,14 @@ def nearest(queries, base, base_ids, k):
 
 
 def knn_join(queries, base, k, query_id="id", base_id="id", vector="vector", carry=None,
-             shipped_values=SHIPPED_VALUES, block_rows=BLOCK_ROWS):
+             shipped_values=SHIPPED_VALUES, block_rows=CELL_ROWS):
     """query, neighbour, rank, distance[, carry] for the k nearest base rows.
 
     Only the k smallest ids of equal base vectors can ever be among the k nearest,
     so further copies go first. A base table whose size is checked to be small is
-    shipped to the query tasks. A larger one is cut into blocks: every query block
-    meets every base block in a task of its own, keeps k candidates per query and
-    the candidates are merged, which gives the same result."""
+    shipped to the query tasks. A larger one is cut into cells around pivots, and base
+    rows only go to query cells that they can be near to (``_pivot_pairs``), which gives
+    the same result."""
     spark = queries.sparkSession
     carried = [] if carry is None else [carry]
     distinct = (base.select(ref(base_id).alias("neighbour"), ref(vector).alias("base_vector"),
@@ -93,27 +98,203 @@ def knn_join(queries, base, k, query_id="id", base_id="id", vector="vector", car
 
         pairs = probe.mapInPandas(scan, schema)
     else:
-        n_base = -(-size["n"] // block_rows)
-        n_query = -(-queries.count() // block_rows)
-        left = (probe.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(n_query)))
-                .withColumn("bb", F.explode(_numbers(n_base))))
-        right = (distinct.withColumn("bb", F.pmod(F.xxhash64("neighbour"), F.lit(n_base)))
-                 .withColumn("qb", F.explode(_numbers(n_query))))
-
-        def block(query_pdf, base_pdf):
-            if not len(query_pdf) or not len(base_pdf):
-                return pd.DataFrame({c: [] for c in ["query", "neighbour", "distance"] + ["carry"] * len(carried)})
-            return neighbours(query_pdf, base_pdf,
-                              np.stack(base_pdf["base_vector"].to_numpy()).astype(np.float64))
-
-        pairs = (left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb"))
-                 .applyInPandas(block, schema))
+        pairs = _pivot_pairs(probe, distinct, k, size["n"], block_rows, schema)
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _numbers(n):
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+def _matrix(column):
+    """A list column of an Arrow batch as a float64 matrix."""
+    return np.stack([np.asarray(v.values, dtype=np.float64) for v in column]) if len(column) else np.empty((0, 0))
+
+
+def pivot_distances(x, pivots):
+    """Distances to all pivots, as far above or below the true ones as rounding allows."""
+    square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :]
+    slack = 8.0 * pivots.shape[1] * np.finfo(float).eps * square + 1e-300
+    rough = square - 2.0 * (x @ pivots.T)
+    return np.sqrt(np.maximum(rough - slack, 0.0)), np.sqrt(np.maximum(rough, 0.0) + slack)
+
+
+def _smallest_reaches(df, shipped, k):
+    """Per cell: rows, the largest distance to the pivot, and the k smallest; each task sends k numbers a
+    cell at most."""
+    def work(batches):
+        pivots = shipped.value
+        held = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, high = pivot_distances(_matrix(batch.column("vector")), pivots)
+            cell = high.argmin(axis=1)
+            reach = high[np.arange(len(cell)), cell]
+            for c in np.unique(cell):
+                mine = reach[cell == c]
+                n, most, least = held.get(c, (0, 0.0, np.empty(0)))
+                held[c] = n + len(mine), max(most, mine.max()), np.sort(np.append(least, mine))[:k]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int32()), pa.array([v[0] for v in held.values()], pa.int64()),
+             pa.array([v[1] for v in held.values()], pa.float64()),
+             pa.array([v[2].tolist() for v in held.values()], pa.list_(pa.float64()))], names=["cell", "n", "most", "least"])
+
+    parts = df.select("vector").mapInArrow(work, "cell int, n bigint, most double, least array<double>")
+    return parts.groupBy("cell").agg(
+        F.sum("n").alias("n"), F.max("most").alias("most"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("least"))), 1, k).alias("least")).collect()
+
+
+def _farthest(pivots, query_cells, base_cells, k):
+    """Per query cell a distance within which each of its queries has k base rows: from a query over
+    both pivots to the rows nearest to the base pivot."""
+    near = np.full((len(pivots), k), np.inf)
+    for r in base_cells:
+        near[r["cell"], :len(r["least"])] = r["least"]
+    out = {}
+    for r in query_cells:
+        _, between = pivot_distances(pivots[r["cell"]][None, :], pivots)
+        ways = (between[0][:, None] + near).ravel()
+        out[r["cell"]] = r["most"] + (np.partition(ways, k - 1)[k - 1] if len(ways) >= k else np.inf)
+    return out
+
+
+def _pivot_pairs(probe, base, k, n, cell_rows, schema):
+    """The k nearest base rows of every query, by cells around pivots (exact).
+
+    Queries belong to the cell of their nearest pivot. From the k smallest distances in every base cell
+    follows how far the k-th neighbour of any query of a cell can be; a base row is sent to a cell only
+    if its distance to that cell's pivot is not larger than the cell's radius and this bound together.
+    Cells with many queries are dealt over several tasks. A task holds its queries and the best k rows
+    so far; base rows come in by their distance to the pivot, and when the next can't beat any k-th
+    distance any more the rest is passed over."""
+    spark = base.sparkSession
+    m = max(1, min(MAX_PIVOTS, n // cell_rows))
+    chosen = base.select("base_vector", F.xxhash64("neighbour").alias("h")).orderBy("h").limit(m).collect()
+    pivots = np.array([r["base_vector"] for r in chosen], dtype=np.float64)
+    if not len(pivots):
+        return spark.createDataFrame([], schema)
+    probe = materialised(probe, "queries")
+    base = materialised(base.withColumnRenamed("base_vector", "vector"), "base")
+    shipped = spark.sparkContext.broadcast(pivots)
+    query_cells = _smallest_reaches(probe, shipped, k)
+    most = {r["cell"]: r["most"] for r in query_cells}
+    bound = _farthest(pivots, query_cells, _smallest_reaches(base, shipped, k), k)
+    tasks_of = {r["cell"]: -(-r["n"] // QUERY_ROWS) for r in query_cells}
+    plan = spark.sparkContext.broadcast((most, bound, tasks_of))
+    types = {f.name: f.dataType for f in [*probe.schema, *base.schema]}
+    carried = ["carry"] if "carry" in base.columns else []
+    sent = ", ".join(["cell int", "part int", "far double", f"query {types['query'].simpleString()}",
+                      f"neighbour {types['neighbour'].simpleString()}", "vector array<double>",
+                      *[f"carry {types[c].simpleString()}" for c in carried]])
+    names = ["cell", "part", "far", "query", "neighbour", "vector", *carried]
+
+    def sent_batch(batch, rows, cell, part, far, kinds):
+        """Rows of a batch under the common schema; columns of the other side are null."""
+        taken = batch.take(pa.array(rows, pa.int64()))
+        columns = {"cell": pa.array(cell, pa.int32()), "part": pa.array(part, pa.int32()), "far": pa.array(far, pa.float64()),
+                   "vector": taken.column("vector").cast(pa.list_(pa.float64()))}
+        for c in ("query", "neighbour", *carried):
+            columns[c] = taken.column(c) if c in batch.schema.names else pa.nulls(len(rows), kinds[c])
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    kinds = {c: to_arrow_type(types[c]) for c in ("query", "neighbour", *carried)}
+
+    def ask(batches):
+        pivots, tasks_of = shipped.value, plan.value[2]
+        for batch in batches:
+            if batch.num_rows:
+                _, high = pivot_distances(_matrix(batch.column("vector")), pivots)
+                cell = high.argmin(axis=1)
+                spreads = np.array([tasks_of[c] for c in cell])
+                part = np.arange(len(cell)) * 7919 % spreads
+                # queries come first: no distance is below zero
+                yield sent_batch(batch, np.arange(len(cell)), cell, part, np.full(len(cell), -1.0), kinds)
+
+    def offer(batches):
+        pivots, (most, bound, tasks_of) = shipped.value, plan.value
+        cells = np.array(sorted(most), dtype=np.int64)
+        limit = np.array([most[c] + bound[c] for c in cells])
+        tasks = np.array([tasks_of[c] for c in cells])
+        for batch in batches:
+            if batch.num_rows and len(cells):
+                low, _ = pivot_distances(_matrix(batch.column("vector")), pivots[cells])
+                row, place = np.nonzero(low <= limit[None, :] * (1 + 1e-12))
+                far = low[row, place]
+                times = tasks[place]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, place, far = (np.repeat(x, times) for x in (row, place, far))
+                for a in range(0, len(row), BASE_ROWS):
+                    cut = slice(a, a + BASE_ROWS)
+                    yield sent_batch(batch, row[cut], cells[place[cut]], part[cut], far[cut], kinds)
+
+    def answer(batches):
+        most = plan.value[0]
+        here, asked, state = None, [], None
+        for batch in batches:
+            cell, part, far = (np.asarray(batch.column(c)) for c in ("cell", "part", "far"))
+            asks = far < 0
+            cut = 1 + np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1]))
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(cell)]):
+                if a == b:
+                    continue
+                if (cell[a], part[a]) != here:
+                    if state is not None:
+                        yield from state.rows(names, carried)
+                    here, asked, state = (cell[a], part[a]), [], None
+                piece = batch.slice(a, b - a)
+                if asks[a]:
+                    asked.append(piece)
+                    continue
+                if state is None:
+                    if not asked:
+                        continue
+                    state = _Nearest(asked, k, most[cell[a]])
+                state.take(piece, far[a:b], carried)
+        if state is not None:
+            yield from state.rows(names, carried)
+
+    both = probe.mapInArrow(ask, sent).union(base.mapInArrow(offer, sent))
+    return both.repartition(4 * spark.sparkContext.defaultParallelism, "cell", "part").sortWithinPartitions(
+        "cell", "part", "far").mapInArrow(answer, schema)
+
+
+class _Nearest:
+    """The best k base rows so far of the queries of one task."""
+
+    def __init__(self, asked, k, radius):
+        self.query = pa.concat_arrays([b.column("query") for b in asked])
+        self.x = np.concatenate([_matrix(b.column("vector")) for b in asked])
+        self.k, self.radius = k, radius
+        self.q = np.empty(0, int)
+        self.distance = np.empty(0)
+        self.ids, self.carry = np.empty(0, object), np.empty(0, object)
+        self.kth = np.inf
+
+    def take(self, batch, far, carried):
+        # a base row is no nearer to a query than its way to the pivot less the query's
+        if far[0] - self.radius > self.kth * (1 + 1e-9):
+            return
+        ids = np.array(batch.column("neighbour").to_pylist())
+        carry = batch.column("carry").to_pylist() if carried else [None] * len(ids)
+        q, b, d = nearest(self.x, _matrix(batch.column("vector")), ids, self.k)
+        values = np.empty(len(carry), object)
+        values[:] = carry
+        kept = np.empty(len(ids), object)
+        kept[:] = ids.tolist()
+        self.q, self.distance = np.append(self.q, q), np.append(self.distance, d)
+        self.ids, self.carry = np.append(self.ids, kept[b]), np.append(self.carry, values[b])
+        order = np.lexsort((np.array(self.ids.tolist()), self.distance, self.q))
+        q = self.q[order]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k]
+        self.q, self.distance, self.ids, self.carry = (x[order] for x in (self.q, self.distance, self.ids, self.carry))
+        if len(self.q) == self.k * len(self.x):
+            self.kth = self.distance[self.k - 1::self.k].max()
+
+    def rows(self, names, carried):
+        columns = {"query": self.query.take(pa.array(self.q)), "neighbour": pa.array(self.ids.tolist()),
+                   "distance": pa.array(self.distance)}
+        if carried:
+            columns["carry"] = pa.array(self.carry.tolist())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def knn_vote(neighbours):

@@ -1,63 +1,89 @@
-"""Exact order statistics and rank sums that never sort one group in one task."""
+"""Exact order statistics and rank sums that never sort one group in one task.
+
+An order statistic is found by histograms that get finer level by level. The first level cuts values by
+their order of magnitude, the following ones cut the cell that holds the wanted rank evenly between its
+smallest and largest value, until a cell is a single value. A level is one pass that counts rows per
+cell on the map side; nothing is approximated and no number of cells grows with the rows."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlab.tables import ref, settled, spread, tick, ticks
+from flowlab.session import materialised
+from flowlab.tables import SMALL_ROWS, ref, settled, spread, tick, ticks
 
-# Rows a single bucket may hold on average before features are cut into value ranges.
+# Rows up to which a built-in aggregate may hold all values of a group.
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-
-
-def value_ranges(df, features, rows_per_bucket=ROWS_PER_BUCKET, rows=None):
-    """Cut points per feature such that a value range holds about ``rows_per_bucket``
-    rows. The cut points are approximate quantiles; as they are plain numbers from
-    then on, every later pass sees the same ranges, and the results stay exact."""
-    rows = df.count() if rows is None else rows
-    buckets = min(MAX_BUCKETS, -(-rows // rows_per_bucket))
-    if buckets <= 1:
-        return None
-    probabilities = [i / buckets for i in range(1, buckets)]
-    found = df.approxQuantile(list(features), probabilities, 1.0 / (4 * buckets))
-    return {f: sorted(set(q)) for f, q in zip(features, found)}
-
-
-def with_ranges(df, ranges, suffix="#range"):
-    """Add the range number of every feature's value (NULL for a missing value)."""
-    inf = float("inf")
-    cut = {f: q for f, q in ranges.items() if q}
-    out = df
-    if cut:
-        out = Bucketizer(
-            inputCols=list(cut), outputCols=[f + suffix for f in cut],
-            splitsArray=[[-inf, *q, inf] for q in cut.values()], handleInvalid="keep").transform(df)
-    plain = {f + suffix: F.when(ref(f).isNotNull(), F.lit(0.0)) for f in ranges if f not in cut}
-    known = {f + suffix: F.when(ref(f).isNotNull(), ref(f + suffix)) for f in cut}
-    return out.withColumns({**plain, **known})
-
-
-def long_form(df, keep, features, ranges=None):
-    """keep..., feature, value[, bucket] with one row per present value."""
-    if ranges is None:
-        cells = [F.struct(F.lit(f).alias("feature"), ref(f).cast("double").alias("value"),
-                          F.lit(0).alias("bucket")) for f in features]
-        out = df
-    else:
-        out = with_ranges(df, {f: ranges[f] for f in features})
-        cells = [F.struct(F.lit(f).alias("feature"), ref(f).cast("double").alias("value"),
-                          ref(f + "#range").cast("int").alias("bucket")) for f in features]
-    return out.select(*keep, F.inline(F.array(*cells))).where("value is not null")
+# Cells of the first level per doubling of a value, and of every following level.
+OCTAVE, CELLS = 64, 4096
+# Above the largest code of a finite double (powers from -1074 to 1024).
+BEYOND = 1200 * OCTAVE
+
+
+def long_form(df, keep, features):
+    """keep..., feature, value with one row per present value."""
+    cells = [F.struct(F.lit(f).alias("feature"), ref(f).cast("double").alias("value")) for f in features]
+    return df.select(*keep, F.inline(F.array(*cells))).where("value is not null")
+
+
+def magnitude(value):
+    """A whole number that grows with the value: its sign and the cell of its order of magnitude."""
+    size = F.when(F.abs(value) == float("inf"), F.lit(BEYOND)).otherwise(
+        F.floor(F.log2(F.when(F.abs(value) == float("inf"), F.lit(1.0)).otherwise(F.abs(value))) * OCTAVE)) + BEYOND
+    return F.when(value == 0, 0).when(value > 0, size).otherwise(-size).cast("int")
+
+
+def _held(df):
+    """A table evaluated once: local and marked for broadcast if it is small, else written."""
+    small = settled(df, SMALL_ROWS)
+    return materialised(df, "ranks") if small is df else small
+
+
+def _cells(values, keys, cell):
+    """Per key and cell: the rows in it and before it, its smallest and largest value."""
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return (values.groupBy(*keys, cell.alias("cell"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+            .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+
+
+def _holds(rank="rank"):
+    return (F.col(rank) > F.col("before")) & (F.col(rank) <= F.col("before") + F.col("n"))
+
+
+def order_statistics(values, keys, ranks):
+    """keys..., rank, value: the ``ranks`` smallest values per key of a long table (keys..., value).
+
+    ``ranks`` are columns over ``total``, the number of values of a key, counted from 1; a rank beyond
+    the total gives no row. Ties take their ranks one after the other. Missing keys are keys."""
+    keys = list(keys)
+    same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]
+    renamed = [F.col(k).alias("_" + k) for k in keys]
+    first = _held(_cells(values, keys, magnitude(F.col("value"))))
+    totals = first.groupBy(*keys).agg(F.sum("n").alias("total"))
+    wanted = totals.select(*renamed, F.explode(F.array(*ranks)).alias("wanted")).distinct()
+    found = _held(first.join(wanted, same).where(_holds("wanted")).select(
+        *keys, F.col("wanted").alias("rank"), (F.col("wanted") - F.col("before")).alias("inside"), "low", "high"))
+    while not found.where("low < high").isEmpty():
+        open_cells = _held(found.where("low < high").select(*renamed, F.col("low").alias("_low"), F.col("high").alias("_high")).distinct())
+        part = values.join(open_cells, [*same, F.col("value").between(F.col("_low"), F.col("_high"))])
+        # values of a cell have one sign and nearly one magnitude, so the width can't overflow
+        share = (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        finer = _cells(part, [*keys, "_low", "_high"], F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int"))
+        finer = finer.select(*renamed, "_low", "_high", "n", "before", F.col("low").alias("_from"), F.col("high").alias("_to"))
+        inside = [*same, F.col("low") == F.col("_low"), F.col("high") == F.col("_high")]
+        found = _held(found.join(finer, inside, "left").where("_from is null or (inside > before and inside <= before + n)").select(
+            *keys, "rank", (F.col("inside") - F.coalesce("before", F.lit(0))).alias("inside"),
+            F.coalesce("_from", "low").alias("low"), F.coalesce("_to", "high").alias("high")))
+    return found.select(*keys, "rank", F.col("low").alias("value"))
 
 
 def group_medians(df, features, group=None, rows_per_bucket=ROWS_PER_BUCKET):
     """Exact median per group and feature: group, feature, median.
 
-    Small tables use the built-in aggregate. Larger ones are cut into value ranges:
-    range counts tell which range holds the middle, and only its values are ranked."""
+    Tables of at most ``rows_per_bucket`` rows use the built-in aggregate, which holds all values of a
+    group; larger ones the two middle order statistics."""
     rows = df.count()
     keep = [] if group is None else [ref(group).alias("group")]
     keys = [] if group is None else ["group"]
@@ -66,64 +92,35 @@ def group_medians(df, features, group=None, rows_per_bucket=ROWS_PER_BUCKET):
                  for f in features]
         return (df.groupBy(*keep).agg(F.array(*cells).alias("cells"))
                 .select(*keys, F.inline("cells")))
-    ranges = value_ranges(df, features, rows_per_bucket, rows)
-    values = long_form(df, keep, features, ranges)
-    by = [*keys, "feature"]
-    running = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = (values.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("upto", F.sum("n").over(running))
-             .withColumn("total", F.sum("n").over(Window.partitionBy(*by))))
-    low = F.floor((F.col("total") + 1) / 2)
-    high = F.floor((F.col("total") + 2) / 2)
-    middle = settled(sizes.select(
-        *[F.col(c).alias("_" + c) for c in by], F.col("bucket").alias("_bucket"),
-        (F.col("upto") - F.col("n")).alias("before"), low.alias("low"), high.alias("high"), "upto")
-        .where("(low > before and low <= upto) or (high > before and high <= upto)"))
-    same = (F.col("feature") == F.col("_feature")) & (F.col("bucket") == F.col("_bucket"))
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col("_" + c))
-    counted = (values.join(middle, same)
-               .groupBy(*by, "bucket", "before", "low", "high", "value")
-               .agg(F.count(F.lit(1)).alias("n")))
-    order = Window.partitionBy(*by, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("last", F.col("before") + F.sum("n").over(order)).withColumn(
-        "first", F.col("last") - F.col("n") + 1)
-    holds_low = (F.col("low") >= F.col("first")) & (F.col("low") <= F.col("last"))
-    holds_high = (F.col("high") >= F.col("first")) & (F.col("high") <= F.col("last"))
-    return placed.groupBy(*by).agg(
-        ((F.max(F.when(holds_low, F.col("value"))) + F.max(F.when(holds_high, F.col("value")))) / 2)
-        .alias("median"))
+    middle = [F.floor((F.col("total") + k) / 2).cast("bigint") for k in (1, 2)]
+    found = order_statistics(long_form(df, keep, features), [*keys, "feature"], middle)
+    return found.groupBy(*keys, "feature").agg(F.avg("value").alias("median"))
 
 
 def pair_rank_sums(df, label, base, features, rows_per_bucket=ROWS_PER_BUCKET):
     """Per class and feature: how often a class value beats a base value, ties half.
 
-    Values are first reduced to counts (class, feature, value); running counts of
-    the base class inside a value range plus the count in lower ranges give the
-    number of base values below. Result: class, feature, n, n_base, wins2 (twice
-    the wins, an exact whole number), lowest, highest."""
-    rows = df.count()
-    ranges = value_ranges(df, features, rows_per_bucket, rows)
-    values = long_form(spread(df.select(tick(label), *ticks(features))), [ref(label).alias("class")],
-                       features, ranges)
+    Values are first reduced to counts (class, feature, value), which one scan of the rows gives. The
+    number of base values below is a running count over a feature's values: they are cut into ranges of
+    about ``rows_per_bucket`` values, counted inside their range, and the counts of whole lower ranges are
+    added. Result: class, feature, n, n_base, wins2 (twice the wins, an exact whole number), lowest,
+    highest."""
+    values = long_form(spread(df.select(tick(label), *ticks(features))), [ref(label).alias("class")], features)
     is_base = F.col("class") == F.lit(base)
-    counts = (values.groupBy("class", "feature", "bucket", "value")
-              .agg(F.count(F.lit(1)).alias("n")))
-    per_value = counts.groupBy("feature", "bucket", "value").agg(
+    counts = values.groupBy("class", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    per_value = counts.groupBy("feature", "value").agg(
         F.coalesce(F.sum(F.when(is_base, F.col("n"))), F.lit(0)).alias("base"),
         F.collect_list(F.when(~is_base, F.struct("class", "n"))).alias("others"))
-    inside = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, 0)
-    ranked = per_value.withColumn("upto", F.sum("base").over(inside))
-    if ranges is not None:
-        lower = Window.partitionBy("feature").orderBy("bucket").rowsBetween(
-            Window.unboundedPreceding, -1)
-        sizes = (values.groupBy("feature", "bucket").agg(F.count_if(is_base).alias("n"))
-                 .select("feature", "bucket",
-                         F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("under")))
-        ranked = ranked.join(settled(sizes), ["feature", "bucket"])
-    else:
-        ranked = ranked.withColumn("under", F.lit(0).cast("bigint"))
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-df.count() // rows_per_bucket))
+    # written once: the ranges must not be drawn anew
+    table = materialised(per_value.repartitionByRange(ranges, "feature", "value")
+                         .withColumn("range", F.spark_partition_id()), "values")
+    inside = Window.partitionBy("feature", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    lower = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per feature and range
+    under = settled(table.groupBy("feature", "range").agg(F.sum("base").alias("n")).select(
+        "feature", "range", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("under")))
+    ranked = table.withColumn("upto", F.sum("base").over(inside)).join(under, ["feature", "range"])
     # base values below plus base values not above = twice the wins
     twice = 2 * (F.col("under") + F.col("upto")) - F.col("base")
     return _with_base(
@@ -132,7 +129,7 @@ def pair_rank_sums(df, label, base, features, rows_per_bucket=ROWS_PER_BUCKET):
         .groupBy("class", "feature")
         .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("twice")).alias("wins2"),
              F.min("value").alias("lowest"), F.max("value").alias("highest")),
-        per_value.where("base > 0").groupBy("feature").agg(
+        table.where("base > 0").groupBy("feature").agg(
             F.sum("base").alias("n_base"), F.min("value").alias("base_low"),
             F.max("value").alias("base_high")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlab.operators import importance, neighbors, reduce, runs, sampling, separability
+from flowlab.operators import importance, neighbors, quantiles, reduce, runs, sampling, separability
 from flowlab.plans import fixtures as X
 from flowlab.plans.q_metrics import COUNTS_SQL, rounded, tallies_sql
 from flowlab.plans.registry import query
@@ -18,12 +18,21 @@ def long_sql(source, extra, features, name="long"):
         f"SELECT {extra}, '{f}' AS feature, {f} AS value FROM {source}" for f in features) + ")"
 
 
-@query("group_medians", X.with_sql(X.FLOWS_SQL, long_sql("flows", f"{SIDE} AS \"group\"", X.FLOW_FEATURES), """
-SELECT "group", feature, median(value) AS median FROM long GROUP BY 1, 2"""))
+MEDIAN_TABLE_SQL = X.with_sql(X.FLOWS_SQL, long_sql("flows", f"{SIDE} AS \"group\"", X.FLOW_FEATURES), """
+SELECT "group", feature, median(value) AS median FROM long GROUP BY 1, 2""")
+
+
+@query("group_medians", MEDIAN_TABLE_SQL)
 def _(spark, sf):
     return separability.group_median_table(X.flows(spark, sf), "label", X.FLOW_FEATURES, X.BENIGN)
 
 
+# The way of large tables: histograms level by level instead of all values of a group.
+@query("group_medians_levels", MEDIAN_TABLE_SQL)
+def _(spark, sf):
+    return quantiles.group_medians(X.flows(spark, sf).withColumn("side", F.expr(SIDE)), X.FLOW_FEATURES, "side", rows_per_bucket=0)
+
+
 def auc_sql(source):
     """SQL twin of the single-feature AUC over ``source``(label, feature, value), ties half."""
     return f"""seen AS (SELECT label, feature, value, count(*) AS n FROM {source} WHERE value IS NOT NULL GROUP BY ALL)""", """
@@ -147,6 +156,15 @@ def _(spark, sf):
     return rounded(_near(spark, sf).select("query", "neighbour", "rank", "distance"), ["distance"])
 
 
+# The way of large base tables: cells around pivots.
+@query("knn_join_cells", X.with_sql(X.VECTORS_SQL, *NEAR_SQL, """
+SELECT query, neighbour, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM near WHERE rank <= 5"""))
+def _(spark, sf):
+    t = sampling.stratified_split(X.vectors(spark, sf), "label", ["id"], 0.4)
+    near = neighbors.knn_join(t.where("not is_train"), t.where("is_train"), 5, shipped_values=0, block_rows=50)
+    return rounded(near.select("query", "neighbour", "rank", "distance"), ["distance"])
+
+
 @query("clf_knn", X.with_sql(X.VECTORS_SQL, *NEAR_SQL, """votes AS (
   SELECT query, carry, count(*) AS n FROM near WHERE rank <= 5 GROUP BY 1, 2)""", """
 SELECT query, first(carry ORDER BY n DESC, carry) AS prediction FROM votes GROUP BY query"""))

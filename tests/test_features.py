@@ -185,3 +185,59 @@ def test_signatures_use_the_whole_base_class(spark):
 def test_missing_labels_have_no_class_weight(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "label string")
     assert {r["label"]: r["weight"] for r in prep.class_weights(df, "label").collect()} == {"a": 0.75, "b": 1.5}
+
+
+@pytest.mark.parametrize("settings", [dict(block_rows=20), dict(block_rows=1_000)])
+def test_pivot_cells_give_all_nearest_rows(spark, settings, monkeypatch):
+    """Clusters far apart, hot cells dealt over tasks, ties at the k-th place, fewer rows than k, carried lists."""
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 15)
+    monkeypatch.setattr(neighbors, "BASE_ROWS", 16)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(6, 4)) * 1e4
+    b = np.concatenate([centre[rng.integers(0, 6, 150)] + rng.normal(size=(150, 4)), np.zeros((60, 4)),
+                        rng.integers(0, 3, (90, 4)).astype(float)])
+    q = np.concatenate([centre[rng.integers(0, 6, 40)] + rng.normal(size=(40, 4)), np.zeros((20, 4)), np.full((3, 4), 1e9)])
+    base = spark.createDataFrame([(f"b{j:03d}", v.tolist(), [j, j + 1]) for j, v in enumerate(b)],
+                                 "id string, vector array<double>, label array<long>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, vector array<double>")
+    want = set()
+    for i, row in enumerate(q):
+        distance = np.sqrt(((b - row) ** 2).sum(axis=1))
+        for place, j in enumerate(np.lexsort((np.arange(len(b)), distance))[:4], 1):
+            want.add((i, place, f"b{j:03d}", float(distance[j]), (int(j), int(j) + 1)))
+    near = neighbors.knn_join(queries, base, 4, carry="label", shipped_values=0, **settings)
+    assert {(r["query"], r["rank"], r["neighbour"], r["distance"], tuple(r["carry"])) for r in near.collect()} == want
+    few = neighbors.knn_join(queries, base.where("id < 'b002'"), 4, shipped_values=0, **settings)
+    assert few.count() == 2 * len(q)
+    assert neighbors.knn_join(queries, base.where("false"), 4, shipped_values=0, **settings).count() == 0
+    assert neighbors.knn_join(queries.where("false"), base, 4, shipped_values=0, **settings).count() == 0
+
+
+def test_base_rows_go_only_to_cells_they_can_be_near_to(spark):
+    """Two far clusters: no base row of one meets the queries of the other."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(100, 3)), 1e6 + rng.normal(size=(100, 3))])
+    pivots = x[[0, 100]]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    cells = neighbors._smallest_reaches(rows, spark.sparkContext.broadcast(pivots), 5)
+    assert sorted(r["n"] for r in cells) == [100, 100] and all(len(r["least"]) == 5 for r in cells)
+    bound = neighbors._farthest(pivots, cells, cells, 5)
+    most = {r["cell"]: r["most"] for r in cells}
+    low, _ = neighbors.pivot_distances(x, pivots)
+    sent = low <= np.array([most[c] + bound[c] for c in (0, 1)])
+    assert sent[:100, 0].all() and sent[100:, 1].all() and not sent[:100, 1].any() and not sent[100:, 0].any()
+
+
+def test_order_statistics_of_awkward_values(spark):
+    """Both signs, zeros, denormals, values next to each other, infinities, ties and a missing key."""
+    base = 1.0 + np.arange(40) * np.finfo(float).eps
+    x = np.concatenate([base, -base, [0.0, -0.0] * 5, [5e-324, 1e-323, 1.5e-323, 2e-323], [1.7e308, -1.7e308, np.inf, -np.inf],
+                        np.full(30, 3.5), 10.0 ** np.arange(-300, 300, 25)])
+    rows = [(key, float(v)) for key in ("a", None) for v in x] + [("one", 2.5)]
+    values = spark.createDataFrame(rows, "key string, value double").repartition(4)
+    wanted = [1, 2, 13, 40, 41, 80, 85, 100, len(x), len(x) + 1]
+    got = quantiles.order_statistics(values, ["key"], [F.lit(r).cast("bigint") for r in wanted]).collect()
+    sorted_x = np.sort(x)
+    want = {(key, r): float(sorted_x[r - 1]) for key in ("a", None) for r in wanted if r <= len(x)} | {("one", 1): 2.5}
+    assert {(r["key"], r["rank"]): r["value"] for r in got} == want and len(got) == len(want)
+    assert quantiles.order_statistics(values.where("false"), ["key"], [F.lit(1)]).count() == 0

@@ -114,3 +114,23 @@ def test_segment_without_rows_has_no_scores(spark):
     assert found["leaked"] == (0, None, None) and found["unseen"][0] == 1
     summary = leakage.leakage_summary(segments).first()
     assert summary["accuracy_leaked"] is None and summary["n_leaked"] == 0
+
+
+def test_thousands_of_hot_records_are_found_and_dealt_out(spark):
+    """5,000 records with 10 copies each among 30,000 single ones: all are hot, and flags stay right."""
+    df = spark.range(80_000).selectExpr(
+        "id", "cast(if(id < 50000, id % 5000, id) as double) AS x", "id % 7 = 0 AS is_train").repartition(6)
+    found = leakage.heavy_hitters(df, F.col("x").cast("bigint"), 20_000)
+    counts = {r["key"]: r["n"] for r in found.collect()}
+    assert all(6 <= counts[k] <= 10 for k in range(5_000)) and all(n <= 1 for k, n in counts.items() if k >= 5_000)
+    train = df.where("x % 3 = 0")
+    got = leakage.flag_leaked(df, train, ["x"], hot_rows=5)
+    assert got.count() == 80_000 and got.columns == [*df.columns, "leaked"]
+    assert got.where("leaked <> (x % 3 = 0)").count() == 0
+
+
+def test_summary_keeps_what_more_than_one_in_capacity_rows_have(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, if(id % 10 = 1, 8, id)) AS k").repartition(5)
+    got = {r["key"]: r["n"] for r in leakage.heavy_hitters(df, F.col("k"), 20).collect()}
+    assert 8_500 <= got[7] <= 10_000 and 500 <= got[8] <= 3_000
+    assert leakage.heavy_hitters(df.where("false"), F.col("k"), 20).count() == 0
