@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from flowlab.llm.frames import components, partitions_for, removed, stored
-from flowlab.llm.text import LOWER, SPACE, U64, buffer_of, slices, words_in
+from flowlab.llm.text import LOWER, SPACE, U64, buffer_of, mix, slices, words_in
 from flowlab.tables import ship, unpack
 
 P1, P2, P3, P4, P5 = (U64(p) for p in (  # fixed values of XXH64
@@ -35,8 +35,12 @@ PAIRS_AT_ONCE, SKETCHES_AT_ONCE = 1 << 16, 1 << 14
 # Least and most buckets (as powers of two) in which shingles are counted to tell rare ones, and
 # shingles a bucket; they steer the work only. Buckets of a piece that is added up in one task.
 RARITY_BITS, RARITY_SHARE, RARITY_PIECE = (16, 23), 16, 1 << 16
-# Prefix rows that a task gets, and nodes up to which their list is sent to the tasks.
-PREFIX_ROWS, NEEDED_NODES = 1 << 19, 1 << 20
+# Prefix rows that a task gets; bits of a filter per wanted set, most bits (as a power of two), and bits
+# of a piece of it.
+PREFIX_ROWS, FILTER_BITS, MOST_BITS, FILTER_PIECE = 1 << 19, 16, 31, 1 << 19
+# Rounds in which rows of a token meet one other each before all pairs that are left are looked at, and
+# how many pairs a row may be left with on average.
+MATCHINGS, PAIRS_LEFT = 8, 4
 POSTINGS = "token long, node long, size int, place int"
 
 
@@ -459,18 +463,28 @@ def _possible(i, j, node, size, place, similar):
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def _posted_pairs(table, similar, tasks, apart):
-    """Distinct pairs (u, v) that share a token and can be similar: neighbours by size, or, if the table
-    has a column ``root``, all pairs with different roots."""
+def _posted_pairs(table, similar, tasks, how):
+    """Distinct pairs (u, v) that share a token and can be similar. ``how`` is "size": neighbours by size;
+    a number: in an order drawn anew for each number, neighbours with different roots; "all": all pairs
+    with different roots. The last two need a column ``root``."""
+    rooted = how != "size"
+
     def work(batches):
-        columns = _columns(batches, ["token", "node", "size", "place", "root"][: 5 if apart else 4])
+        columns = _columns(batches, ["token", "node", "size", "place", "root"][: 5 if rooted else 4])
         if columns is None:
             return
-        order = np.lexsort((columns[1], columns[4 if apart else 2], columns[0]))
+        token, node, size, place, *root = columns
+        if how == "all":
+            second = root[0]
+        else:
+            second = size if how == "size" else mix(node.view(U64) + U64(0x9E3779B97F4A7C15 * (how + 1) & (1 << 64) - 1))
+        order = np.lexsort((node, second, token))
         token, node, size, place, *root = (x[order] for x in columns)
         size, place = size.astype(np.int64), place.astype(np.int64)
-        if not apart:
+        if how != "all":
             i = np.flatnonzero(token[1:] == token[:-1])
+            if rooted:
+                i = i[root[0][i] != root[0][i + 1]]
             yield _possible(i, i + 1, node, size, place, similar)
             return
         # partners of a row stand behind the run of its root, up to the end of its token
@@ -496,52 +510,119 @@ def _run_ends(cut):
     return ends[np.searchsorted(ends, np.arange(len(cut) + 1), "right")]
 
 
-def _similar_pairs(docs, pairs, width, similar):
-    """Those of a stored table of pairs of sets that are similar enough, counted on the sets."""
-    spark = docs.sparkSession
-    nodes = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "needed")
-    needed = None
-    if nodes.count() <= NEEDED_NODES:
-        needed = np.sort(np.asarray(nodes.toArrow().column("node").combine_chunks()))
-    shipped = ship(spark, needed)
+def _filter(nodes):
+    """Bits set at the leading bits of every node's mixed number, and how many bits lead: what isn't set
+    there is surely none of the nodes. The size follows the nodes, up to 2**MOST_BITS bits."""
+    bits = min(max((FILTER_BITS * max(nodes.count(), 1)).bit_length(), 20), MOST_BITS)
+    shift = U64(64 - bits)
 
     def work(batches):
-        needed = unpack(shipped)
+        pieces = {}
+        for batch in batches:
+            at = mix(np.asarray(batch.column("node")).view(U64)) >> shift
+            for piece in np.unique(at // U64(FILTER_PIECE)).tolist():
+                own = pieces.setdefault(piece, np.zeros(FILTER_PIECE, bool))
+                own[(at[at // U64(FILTER_PIECE) == piece] % U64(FILTER_PIECE)).astype(np.int64)] = True
+        packed = [pa.compress(np.packbits(p).tobytes(), codec="zstd", asbytes=True) for p in pieces.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array(packed, pa.binary())], names=["piece", "bits"])
+
+    def either(rows):
+        import pandas as pd
+
+        total = np.zeros(FILTER_PIECE // 8, np.uint8)
+        for packed in rows["bits"]:
+            total |= np.frombuffer(pa.decompress(packed, FILTER_PIECE // 8, codec="zstd", asbytes=True), np.uint8)
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "bits": [pa.compress(total.tobytes(), codec="zstd", asbytes=True)]})
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in nodes.mapInArrow(work, "piece int, bits binary").groupBy("piece").applyInPandas(either, "piece int, bits binary").toLocalIterator():
+        at = r["piece"] * FILTER_PIECE // 8
+        out[at: at + FILTER_PIECE // 8] = np.frombuffer(pa.decompress(bytes(r["bits"]), FILTER_PIECE // 8, codec="zstd", asbytes=True), np.uint8)
+    return out, shift
+
+
+def _sets(docs, nodes, width):
+    """A stored table (node, hashes) of the shingle sets of some nodes (a stored table, each once)."""
+    shipped = ship(docs.sparkSession, _filter(nodes))
+
+    def work(batches):
+        bits, shift = unpack(shipped)
         for h, n, names in _fresh_sets(batches, width):
-            keep = np.ones(len(n), bool)
-            if needed is not None:
-                at = np.minimum(np.searchsorted(needed, names), max(len(needed) - 1, 0))
-                keep = needed[at] == names if len(needed) else np.zeros(len(n), bool)
+            at = mix(names.view(U64)) >> shift
+            keep = (bits[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8) & 1).astype(bool)
             offsets = np.append(0, np.cumsum(n[keep])).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[keep]), pa.ListArray.from_arrays(
                     pa.array(offsets), pa.array(h[np.repeat(keep, n)].view(np.int64)))], names=["node", "hashes"])
 
-    sets = (docs.select("text").mapInArrow(work, "node long, hashes array<long>").join(nodes, "node", "left_semi")
-            .groupBy("node").agg(F.first("hashes").alias("hashes")))
-    sets = stored(sets, "sets")
+    sets = docs.select("text").mapInArrow(work, "node long, hashes array<long>").join(nodes, "node", "left_semi")
+    return stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+
+def _similar_pairs(pairs, sets, similar):
+    """A stored table of those pairs of sets that are similar enough, counted on the sets."""
     left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
     both = F.size(F.array_intersect("_u", "_v"))
-    found = stored(pairs.join(left, "u").join(right, "v").select("u", "v", (
+    return stored(pairs.join(left, "u").join(right, "v").select("u", "v", (
         both / (F.size("_u") + F.size("_v") - both) >= similar).alias("ok")).where("ok").drop("ok"), "similar")
-    removed(spark, nodes, sets)
-    return found
+
+
+def _nodes_of(pairs):
+    return stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "needed")
+
+
+def _left_apart(table, roots):
+    """A stored table of the prefix rows of tokens that still stand in several components. ``roots`` tells
+    the component of a row's ``root`` (node, root)."""
+    known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    now = table.join(known, table["root"] == known["_node"], "left").select(
+        "token", "node", "size", "place", F.coalesce("_root", "root").alias("root"))
+    several = now.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
+    return stored(now.join(several, "token", "left_semi"), "apart")
 
 
 def similar_links(docs, rows, nodes, width, most, similar):
-    """Links (u, v) whose components are those of all pairs of shingle sets that are similar enough."""
+    """Links (u, v) whose components are those of all pairs of shingle sets that are similar enough.
+
+    Pairs of the index and neighbours by size come first. Then, in rounds, each prefix row of a token that
+    still stands in several components meets one row of another component; what is found similar merges,
+    so that a family of alike texts becomes one component without all its pairs being looked at. At last
+    every pair that is still apart is counted, so none is missed."""
     spark = docs.sparkSession
     shingles = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     table = postings(docs, width, similar, shingles)
     tasks = max(partitions_for(spark), table.count() // PREFIX_ROWS)
     near = near_links(nodes, most, similar).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    asked = stored(near.union(_posted_pairs(table, similar, tasks, False)).distinct(), "pairs")
-    links = _similar_pairs(docs, asked, width, similar)
-    known = components(links).withColumnRenamed("node", "_node")
-    apart = table.join(known, table["node"] == known["_node"], "left").select(
-        "token", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    rest = stored(_posted_pairs(apart, similar, tasks, True).join(asked, ["u", "v"], "left_anti"), "pairs")
-    return links.union(_similar_pairs(docs, rest, width, similar))
+    asked = stored(near.union(_posted_pairs(table, similar, tasks, "size")).distinct(), "pairs")
+    needed = _nodes_of(asked)
+    sets = _sets(docs, needed, width)
+    links = _similar_pairs(asked, sets, similar)
+    removed(spark, sets, needed, asked)
+    apart = _left_apart(table.withColumn("root", F.col("node")), components(links))
+    removed(spark, table)
+    if apart.isEmpty():
+        return links
+    needed = stored(apart.select("node").distinct(), "needed")
+    sets = _sets(docs, needed, width)
+    for k in range(MATCHINGS + 1):
+        per_root = apart.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+        per_token = per_root.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        # twice the pairs that are apart, and rows
+        double, n = per_token.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("own")), F.lit(0)),
+                                  F.coalesce(F.sum("n"), F.lit(0))).first()
+        last = k == MATCHINGS or double <= 2 * PAIRS_LEFT * n
+        found = _similar_pairs(_posted_pairs(apart, similar, tasks, "all" if last else k), sets, similar)
+        links = links.union(found)
+        if last or not n:
+            break
+        homes = apart.select("node", "root").distinct()
+        ends = found.join(homes.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(
+            homes.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
+        fresh = _left_apart(apart, components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        removed(spark, apart)
+        apart = fresh
+    removed(spark, needed, sets, apart)
+    return links
 
 
 def near_components(docs, width=3, most=3, similar=None, sketch_width=5):

@@ -128,6 +128,30 @@ def _blocks(benchmark):
         yield Seeds([(i, h[e - c: e]) for i, e, c in zip(own.column("item_id").to_pylist(), ends, n)])
 
 
+def _found(batch, seeds, coverage):
+    """(row, item, coverage, item tokens, tiles) of the pairs of a batch's texts and the items of a block."""
+    for first, column in slices(batch.column("text")):
+        h, n = tokens_of(column)
+        row, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        for width, rows, items, spots, ats in seeds.matches(h, row):
+            if not len(rows):
+                continue
+            order = np.lexsort((items, rows))
+            rows, items, spots, ats = rows[order], items[order], spots[order], ats[order]
+            cut = np.flatnonzero((np.diff(rows) != 0) | (np.diff(items) != 0)) + 1
+            for a, b in zip([0, *cut], [*cut, len(rows)]):
+                r, i = int(rows[a]), int(items[a])
+                size = len(seeds.tokens[i])
+                # no tiling covers more than the item tokens that stand in any seed
+                if len(np.unique(ats[a:b])) + width - 1 < coverage * size and (
+                        width * len(np.unique(ats[a:b])) < coverage * size):
+                    continue
+                tiles = tiles_of(spots[a:b] - start[r], ats[a:b], width)
+                share = sum(t[2] for t in tiles) / size
+                if share >= coverage:
+                    yield first + r, seeds.ids[i], share, size, tiles
+
+
 def contaminated(docs, benchmark, coverage=COVERAGE):
     """Pairs of a document and a benchmark item whose tiles cover at least ``coverage`` of the item.
 
@@ -143,36 +167,35 @@ def contaminated(docs, benchmark, coverage=COVERAGE):
         def work(batches, shipped=shipped):
             seeds = unpack(shipped)
             for batch in batches:
-                for first, column in slices(batch.column("text")):
-                    h, n = tokens_of(column)
-                    row, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-                    out = []
-                    for width, rows, items, spots, ats in seeds.matches(h, row):
-                        if not len(rows):
-                            continue
-                        order = np.lexsort((items, rows))
-                        rows, items, spots, ats = rows[order], items[order], spots[order], ats[order]
-                        cut = np.flatnonzero((np.diff(rows) != 0) | (np.diff(items) != 0)) + 1
-                        for a, b in zip([0, *cut], [*cut, len(rows)]):
-                            r, i = int(rows[a]), int(items[a])
-                            size = len(seeds.tokens[i])
-                            # no tiling covers more than the item tokens that stand in any seed
-                            if len(np.unique(ats[a:b])) + width - 1 < coverage * size and (
-                                    width * len(np.unique(ats[a:b])) < coverage * size):
-                                continue
-                            tiles = tiles_of(spots[a:b] - start[r], ats[a:b], width)
-                            share = sum(t[2] for t in tiles) / size
-                            if share >= coverage:
-                                out.append((first + r, seeds.ids[i], share, size, [
-                                    {"doc_at": s, "item_at": t, "length": k} for s, t, k in tiles]))
-                    if out:
-                        r, item, share, size, tiles = zip(*out)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column("doc_id").take(pa.array(r)), pa.array(item, pa.int64()), pa.array(share),
-                             pa.array(size, pa.int32()), pa.array(tiles, pa.list_(pa.struct([
-                                 ("doc_at", pa.int32()), ("item_at", pa.int32()), ("length", pa.int32())])))],
-                            names=["doc_id", "item_id", "coverage", "item_tokens", "tiles"])
+                out = list(_found(batch, seeds, coverage))
+                if out:
+                    r, item, share, size, tiles = zip(*out)
+                    tiles = [[{"doc_at": s, "item_at": t, "length": k} for s, t, k in own] for own in tiles]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(pa.array(r)), pa.array(item, pa.int64()), pa.array(share),
+                         pa.array(size, pa.int32()), pa.array(tiles, pa.list_(pa.struct([
+                             ("doc_at", pa.int32()), ("item_at", pa.int32()), ("length", pa.int32())])))],
+                        names=["doc_id", "item_id", "coverage", "item_tokens", "tiles"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, FOUND)
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def clean(docs, benchmark, coverage=COVERAGE):
+    """The rows of ``docs`` (with all columns) whose text no benchmark item is found in, as
+    ``contaminated`` finds them. Every row is judged by its own text where it stands, so nothing is
+    shuffled; null texts and texts without tokens stay."""
+    spark = docs.sparkSession
+    for seeds in _blocks(benchmark):
+        shipped = ship(spark, seeds)
+
+        def work(batches, shipped=shipped):
+            seeds = unpack(shipped)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r for r, *_ in _found(batch, seeds, coverage)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
