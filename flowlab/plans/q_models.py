@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlab.operators import discriminant, metrics, models, prep, reduce, sampling
+from flowlab.operators import boosting, discriminant, metrics, models, prep, reduce, sampling
 from flowlab.plans import fixtures as X
 from flowlab.plans.registry import query
 from flowlab.session import materialised
@@ -138,6 +138,7 @@ def _(spark, sf):
 
 for _key, _model in (("clf_sgd_hinge", "sgd"),
                      ("clf_random_forest", "random_forest"), ("clf_gbt_ovr", "hist_gb"), ("clf_gbt_deep", "xgboost"),
+                     ("clf_gbt_leaves", "lightgbm"), ("clf_gbt_symmetric", "catboost"),
                      ("clf_adaboost", "adaboost"), ("clf_mlp", "mlp"), ("clf_linear_svm", "linear_svm"),
                      ("clf_logistic", "logistic"), ("clf_rbf_svm", "svm")):
     @query(_key)
@@ -145,6 +146,66 @@ for _key, _model in (("clf_sgd_hinge", "sgd"),
         return predictions(model, spark, sf)
 
 
+# Boosted stumps in SQL: two rounds of softmax gradients, curvatures and gains over three columns with
+# fewer values than bins. Rows with equal values and label are one row with a number.
+STUMP_FEATURES = ["quantity", "discount", "tax"]
+STUMP = dict(step=0.3, ridge=1.0, least_curvature=1.0)
+
+
+def stump_rounds_sql(rounds):
+    f = ", ".join(STUMP_FEATURES)
+    yield f"g AS (SELECT {f}, label, count(*) AS n FROM parts WHERE is_train GROUP BY ALL)"
+    yield "classes AS (SELECT label AS class, ln(sum(n) / sum(sum(n)) OVER ()) AS score FROM g GROUP BY label)"
+    yield "s0 AS (SELECT g.*, class, score FROM g, classes)"
+    yield f"t0 AS (SELECT DISTINCT {f}, class, score FROM (SELECT DISTINCT {f} FROM parts WHERE NOT is_train), classes)"
+    for r in range(1, rounds + 1):
+        before = r - 1
+        yield (f"p{r} AS (SELECT *, exp(score - max(score) OVER w) / sum(exp(score)) OVER w * exp(max(score) OVER w) AS p "
+               f"FROM s{before} WINDOW w AS (PARTITION BY {f}, label))")
+        yield f"d{r} AS (SELECT *, n * (p - CASE WHEN label = class THEN 1 ELSE 0 END) AS gr, n * p * (1 - p) AS cu FROM p{r})"
+        yield f"h{r} AS (" + " UNION ALL ".join(
+            f"SELECT class, {i} AS i, '{c}' AS feature, {c} AS v, sum(gr) AS gr, sum(cu) AS cu FROM d{r} GROUP BY class, {c}"
+            for i, c in enumerate(STUMP_FEATURES)) + ")"
+        yield (f"l{r} AS (SELECT *, sum(gr) OVER u AS gl, sum(cu) OVER u AS cl, sum(gr) OVER a AS ga, sum(cu) OVER a AS ca, "
+               f"max(v) OVER a AS top FROM h{r} WINDOW u AS (PARTITION BY class, i ORDER BY v), a AS (PARTITION BY class, i))")
+        yield (f"q{r} AS (SELECT class, i, feature, v, gl * gl / (cl + 1) + (ga - gl) * (ga - gl) / (ca - cl + 1) - ga * ga / (ca + 1) AS gain, "
+               f"-0.3 * gl / (cl + 1) AS low, -0.3 * (ga - gl) / (ca - cl + 1) AS high FROM l{r} WHERE v < top AND cl >= 1 AND ca - cl >= 1)")
+        yield (f"b{r} AS (SELECT * FROM q{r} WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY class ORDER BY gain DESC, i, v) = 1)")
+        for t in "st":
+            pick = "CASE feature " + " ".join(f"WHEN '{c}' THEN {c}" for c in STUMP_FEATURES) + " END"
+            keys = f"{f}, label, n" if t == "s" else f
+            yield (f"{t}{r} AS (SELECT {keys}, x.class, score + coalesce(CASE WHEN {pick} <= v THEN low ELSE high END, 0) AS score "
+                   f"FROM {t}{before} x LEFT JOIN b{r} b ON x.class = b.class)")
+
+
+STUMPS_SQL = (X.FLOWS_SQL, X.split_sql("flows", "flow_id", 0.4), *stump_rounds_sql(2))
+
+
+def _stumps(spark, sf, rounds=2):
+    parts = materialised(sampling.stratified_split(
+        X.flows(spark, sf).select("flow_id", "label", *STUMP_FEATURES), "label", ["flow_id"], 0.4))
+    train = parts.where("is_train")
+    growth = boosting.Growth(rounds=rounds, depth=1, **STUMP)
+    return boosting.fit(train, STUMP_FEATURES, "label", models.class_list(train, "label"), growth), parts.where("not is_train")
+
+
+@query("gbt_first_rounds", X.with_sql(*STUMPS_SQL, """
+SELECT CAST(1 AS INTEGER) AS round, class, feature, v AS threshold, round(gain, 4) AS gain, round(low, 6) AS left_value, round(high, 6) AS right_value FROM b1
+UNION ALL SELECT 2, class, feature, v, round(gain, 4), round(low, 6), round(high, 6) FROM b2"""))
+def _(spark, sf):
+    table = boosting.tree_table(_stumps(spark, sf)[0], STUMP_FEATURES, spark)
+    return table.select("round", "class", "feature", "threshold", F.round("gain", 4).alias("gain"),
+                        F.round("left_value", 6).alias("left_value"), F.round("right_value", 6).alias("right_value"))
+
+
+@query("clf_gbt_stumps", X.with_sql(*STUMPS_SQL, f"""
+SELECT flow_id, label, first(class ORDER BY score DESC, class) AS prediction
+FROM parts JOIN t2 USING ({', '.join(STUMP_FEATURES)}) WHERE NOT is_train GROUP BY 1, 2"""))
+def _(spark, sf):
+    model, test = _stumps(spark, sf)
+    return discriminant.predict_class(test, STUMP_FEATURES, model).select("flow_id", "label", "prediction")
+
+
 @query("clf_decision_tree_weighted", GROWN_TREE_SQL)
 def _(spark, sf):
     parts = materialised(sampling.stratified_split(
