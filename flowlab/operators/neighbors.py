@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from flowlab.operators.sampling import class_counts, undersample
 from flowlab.session import materialised
-from flowlab.tables import SMALL_ROWS, local_table, numeric_matrix, ref, tick, ticks
+from flowlab.tables import numeric_matrix, ref, settled, tick, ticks
 
 # A base table of at most this many numbers is shipped to the tasks in one piece.
 SHIPPED_VALUES = 16_000_000
@@ -19,6 +19,8 @@ SHIPPED_VALUES = 16_000_000
 CELL_ROWS, MAX_PIVOTS = 2_000, 4_096
 # Query rows of one task of a cell, and base rows that it takes in at a time.
 QUERY_ROWS, BASE_ROWS = 20_000, 4_096
+# Rows of a class whose neighbours one task of synthetic rows finds.
+FILL_ROWS = 1_000
 # Distance cells held at a time.
 CELLS = 4_000_000
 # Candidate pairs measured exactly at a time.
@@ -310,51 +312,71 @@ def smote_targets(df, label, target=5_000):
         "label", "n", (F.lit(target) - F.col("n")).cast("bigint").alias("missing"))
 
 
+def smote_draws(targets, k, seed=0):
+    """label, start, pick, step of every synthetic row: number of the row it starts from, which of its k
+    neighbours it goes to (from 0) and how far, from the md5 of seed, class and counter. The digest's
+    first, second and third eight hexadecimal digits are the three draws."""
+    counter = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("missing") - 1))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("label").cast("string"), F.col("counter").cast("string")))
+
+    def draw(at):
+        return F.conv(F.substring("digest", at, 8), 16, 10).cast("bigint")
+
+    return (targets.select("label", "n", counter.alias("counter")).withColumn("digest", digest).select(
+        "label", (draw(1) % F.col("n")).alias("start"), (draw(9) % k).cast("int").alias("pick"),
+        (draw(17) / float(1 << 32)).alias("step")))
+
+
+def _class_neighbours(numbered, features, k):
+    """label, start, pick, x, y: the k nearest other rows of every row in its class (a row's ``place``; ties
+    by place). A class has fewer rows than the target, and its rows are dealt over several tasks."""
+    copies = numbered.withColumn("_parts", F.ceil(F.col("_n") / FILL_ROWS).cast("int")).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    names = [f"_f{i}" for i in range(len(features))]
+    columns = copies.select(F.col("_class").alias("label"), "_part", "_parts", "place",
+                            *[ref(f).alias(n) for f, n in zip(features, names)])
+    kind = columns.schema["label"].dataType.simpleString()
+
+    def near(pdf):
+        pdf = pdf.sort_values("place", kind="stable")
+        matrix = numeric_matrix(pdf, names)
+        own = np.flatnonzero((pdf["place"] % pdf["_parts"] == pdf["_part"]).to_numpy())
+        # one spare neighbour, since a row is its own nearest one
+        q, b, _ = nearest(matrix[own], matrix, np.arange(len(matrix)), k + 1)
+        q, b = q[own[q] != b], b[own[q] != b]
+        pick = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        q, b, pick = q[pick < k], b[pick < k], pick[pick < k]
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "start": own[q], "pick": pick,
+                             "x": list(matrix[own[q]]), "y": list(matrix[b])})
+
+    return columns.groupBy("label", "_part").applyInPandas(
+        near, f"label {kind}, start bigint, pick int, x array<double>, y array<double>")
+
+
 def smote(df, label, features, target=5_000, k=5, seed=0, flag="synthetic"):
-    """Fill every class below ``target`` rows up with rows on the line between a row
-    and one of its k nearest neighbours in the class.
+    """Fill every class below ``target`` rows up with rows on the line between a row and one of its k
+    nearest neighbours in the class (fewer if the smallest class has no more rows). Features have no
+    missing values.
 
-    A class that needs filling has fewer than ``target`` rows by definition, so one
-    task per class is bounded by the target, whatever the table size."""
-    rows = smote_targets(df, label, target).limit(SMALL_ROWS + 1).collect()
+    Rows of a class are numbered in the order of their features, and draws follow from seed, class and
+    counter, so the result is the same in any engine. Classes are never collected: numbers, neighbours
+    and draws are joined by class and number."""
+    features = list(features)
     kept = df.selectExpr(*[f"cast({t} as double) as {t}" for t in ticks(features)], tick(label)).withColumn(
         flag, F.lit(False))
-    if not rows:
+    targets = settled(smote_targets(df, label, target))
+    least = targets.agg(F.min("n")).first()[0]
+    if least is None:
         return kept
-    if len(rows) > SMALL_ROWS:
-        raise ValueError("too many classes for synthetic rows")
-    k = min(k, min(r["n"] for r in rows) - 1)
-    if k < 1:
+    if least < 2:
         raise ValueError("a class with a single row has no neighbour to interpolate with")
-    features = list(features)
-    wanted = {r["label"]: r["missing"] for r in rows}
-    rare = local_table(df.sparkSession, [(r["label"],) for r in rows],
-                       f"_class {df.schema[label].dataType.simpleString()}")
-
-    def fill(pdf):
-        name = pdf[label].iloc[0]
-        matrix = numeric_matrix(pdf, features)
-        matrix = matrix[np.lexsort(matrix.T[::-1])]
-        rng = np.random.default_rng([seed, int.from_bytes(str(name).encode(), "little") % (2 ** 63)])
-        n = int(wanted[name])
-        start = rng.integers(0, len(matrix), n)
-        # one spare neighbour, since a row is its own nearest one
-        q, b, _ = nearest(matrix, matrix, np.arange(len(matrix)), k + 1)
-        table = [[] for _ in range(len(matrix))]
-        for i, j in zip(q, b):
-            if i != j and len(table[i]) < k:
-                table[i].append(j)
-        pick = rng.integers(0, k, n)
-        partner = np.array([table[i][p] for i, p in zip(start, pick)])
-        step = rng.random(n)[:, None]
-        out = pd.DataFrame(matrix[start] + step * (matrix[partner] - matrix[start]), columns=features)
-        out[label] = name
-        out[flag] = True
-        return out
-
-    made = (kept.join(rare, ref(label) == F.col("_class")).drop("_class")
-            .groupBy(ref(label)).applyInPandas(fill, kept.schema))
-    return kept.unionByName(made)
+    k = min(k, least - 1)
+    rare = targets.select(F.col("label").alias("_class"), F.col("n").alias("_n"))
+    order = Window.partitionBy("_class").orderBy(*[ref(f) for f in features])
+    numbered = kept.join(rare, ref(label) == F.col("_class")).withColumn("place", F.row_number().over(order) - 1)
+    made = smote_draws(targets, k, seed).join(_class_neighbours(numbered, features, k), ["label", "start", "pick"])
+    between = [(F.col("x")[i] + F.col("step") * (F.col("y")[i] - F.col("x")[i])).alias(f) for i, f in enumerate(features)]
+    return kept.unionByName(made.select(*between, F.col("label").alias(label), F.lit(True).alias(flag)))
 
 
 # Strategy names as users compare them in published tables.

@@ -101,7 +101,27 @@ def _(spark, sf):
     return made.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("smote")
+# Synthetic rows by the same draws: rows of a class numbered by their features, neighbours by distance and
+# number, and the digits of md5(seed|class|counter).
+FILL = ["quantity", "price", "discount", "tax"]
+SMOTE_SQL = X.with_sql(
+    X.FLOWS_SQL, "sizes AS (SELECT label, count(*) AS n FROM flows GROUP BY label HAVING count(*) < 5000)",
+    "least AS (SELECT least(5, min(n) - 1) AS k FROM sizes)",
+    f"numbered AS (SELECT label, {', '.join(FILL)}, row_number() OVER (PARTITION BY label ORDER BY {', '.join(FILL)}) - 1 AS place "
+    "FROM flows JOIN sizes USING (label))",
+    "near AS (SELECT a.label, a.place AS start, " + ", ".join(f"a.{f} AS x_{f}, b.{f} AS y_{f}" for f in FILL)
+    + ", row_number() OVER (PARTITION BY a.label, a.place ORDER BY sqrt("
+    + " + ".join(f"(b.{f} - a.{f}) * (b.{f} - a.{f})" for f in FILL)
+    + "), b.place) - 1 AS pick FROM numbered a JOIN numbered b ON a.label = b.label AND a.place <> b.place)",
+    "counters AS (SELECT label, n, unnest(range(5000 - n)) AS counter FROM sizes)",
+    "digests AS (SELECT label, n, md5(concat_ws('|', '0', label, counter)) AS d FROM counters)",
+    "draws AS (SELECT label, CAST('0x' || d[1:8] AS BIGINT) % n AS start, CAST('0x' || d[9:16] AS BIGINT) % k AS pick, "
+    "CAST('0x' || d[17:24] AS BIGINT) / 4294967296.0::DOUBLE AS step FROM digests, least)",
+    f"SELECT {', '.join(FILL)}, label, false AS synthetic FROM flows UNION ALL SELECT "
+    + ", ".join(f"x_{f} + step * (y_{f} - x_{f})" for f in FILL) + ", label, true FROM draws JOIN near USING (label, start, pick)")
+
+
+@query("smote", SMOTE_SQL)
 def _(spark, sf):
     return neighbors.smote(X.flows(spark, sf), "label", ["quantity", "price", "discount", "tax"], target=5000)
 

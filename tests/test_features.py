@@ -159,6 +159,29 @@ def test_synthetic_rows_lie_between_two_rows_of_their_class(spark):
     assert out.exceptAll(again).count() == 0
 
 
+def test_synthetic_rows_follow_their_draws(spark, monkeypatch):
+    """Many classes, equal rows, parts of a class in several tasks: row for row as by hand."""
+    import hashlib
+
+    monkeypatch.setattr(neighbors, "FILL_ROWS", 4)
+    rng = np.random.default_rng(11)
+    rows = [(float(a), float(b), int(c)) for a, b, c in zip(rng.integers(0, 6, 300), rng.normal(size=300).round(1), rng.integers(0, 25, 300))]
+    out = neighbors.smote(spark.createDataFrame(rows, "a double, b double, c int").repartition(5), "c", ["a", "b"], target=30, seed=4)
+    by = {c: sorted((a, b) for a, b, d in rows if d == c) for c in {r[2] for r in rows}}
+    k = min(5, min(len(v) for v in by.values() if len(v) < 30) - 1)
+    want = []
+    for c, points in by.items():
+        x = np.array(points)
+        for j in range(30 - len(x)):
+            d = hashlib.md5(f"4|{c}|{j}".encode()).hexdigest()
+            start, pick, step = int(d[:8], 16) % len(x), int(d[8:16], 16) % k, int(d[16:24], 16) / 2 ** 32
+            distance = np.sqrt(((x - x[start]) ** 2).sum(1))
+            near = [i for i in np.lexsort((np.arange(len(x)), distance)) if i != start][pick]
+            want.append((*(x[start] + step * (x[near] - x[start])).tolist(), c))
+    got = sorted((r["a"], r["b"], r["c"]) for r in out.where("synthetic").collect())
+    assert np.allclose(np.array(got), np.array(sorted(want)), atol=1e-12) and len(got) == len(want) > 300
+
+
 def test_a_single_row_cannot_be_interpolated(spark):
     df = spark.createDataFrame([(1.0, "rare")] + [(float(i), "big") for i in range(50)], "a double, label string")
     with pytest.raises(ValueError):
