@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ def removed(spark, *tables):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def short_shuffles(spark):
+    """While this holds, the shuffle files of a query go as soon as its result is there: steps in between
+    are stored tables, so nothing reads them again. The setting is put back afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def partitions_for(spark, at_least=1):
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

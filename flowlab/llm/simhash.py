@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from flowlab.llm.frames import components, partitions_for, removed, stored
+from flowlab.llm.frames import components, partitions_for, removed, short_shuffles, stored
 from flowlab.llm.text import LOWER, SPACE, U64, buffer_of, mix, slices, words_in
 from flowlab.tables import ship, unpack
 
@@ -41,6 +41,8 @@ PREFIX_ROWS, FILTER_BITS, MOST_BITS, FILTER_PIECE = 1 << 19, 16, 31, 1 << 19
 # Rounds in which rows of a token meet one other each before all pairs that are left are looked at, and
 # how many pairs a row may be left with on average.
 MATCHINGS, PAIRS_LEFT = 8, 4
+# A round is followed by another if at least one in so many of its pairs is similar.
+WORTHWHILE = 50
 POSTINGS = "token long, node long, size int, place int"
 
 
@@ -559,6 +561,23 @@ def _sets(docs, nodes, width):
     return stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
 
+def _likely(pairs, drawn, similar):
+    """Pairs without those that the sketches prove too unlike: a bin whose smallest hashes differ has a
+    shingle that only one of both sets has, and bins share no shingles, so sets of a and b shingles with d
+    such bins have at most (a + b - d) / (a + b + d) in common. ``drawn`` has the nodes' sketch and size."""
+    def work(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a", "b"))
+            both, d = np.asarray(batch.column("both")), np.zeros(batch.num_rows, np.int64)
+            for k in range(0, len(a), SKETCHES_AT_ONCE):
+                d[k: k + SKETCHES_AT_ONCE] = (a[k: k + SKETCHES_AT_ONCE] != b[k: k + SKETCHES_AT_ONCE]).sum(1)
+            yield batch.select(["u", "v"]).filter(pa.array(both - d >= similar * (both + d) - 1e-9))
+
+    left, right = (drawn.select(F.col("node").alias(x), F.col("sketch").alias(y), F.col("size").alias(f"_{x}")) for x, y in ("ua", "vb"))
+    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", (F.col("_u") + F.col("_v")).cast("long").alias("both"))
+    return joined.mapInArrow(work, "u long, v long")
+
+
 def _similar_pairs(pairs, sets, similar):
     """A stored table of those pairs of sets that are similar enough, counted on the sets."""
     left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
@@ -593,35 +612,39 @@ def similar_links(docs, rows, nodes, width, most, similar):
     table = postings(docs, width, similar, shingles)
     tasks = max(partitions_for(spark), table.count() // PREFIX_ROWS)
     near = near_links(nodes, most, similar).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    asked = stored(near.union(_posted_pairs(table, similar, tasks, "size")).distinct(), "pairs")
+    drawn, last = stored(nodes.select("node", "sketch", "size"), "drawn"), False
+    asked = stored(_likely(near.union(_posted_pairs(table, similar, tasks, "size")).distinct(), drawn, similar), "pairs")
     needed = _nodes_of(asked)
     sets = _sets(docs, needed, width)
     links = _similar_pairs(asked, sets, similar)
     removed(spark, sets, needed, asked)
     apart = _left_apart(table.withColumn("root", F.col("node")), components(links))
     removed(spark, table)
-    if apart.isEmpty():
-        return links
-    needed = stored(apart.select("node").distinct(), "needed")
-    sets = _sets(docs, needed, width)
     for k in range(MATCHINGS + 1):
         per_root = apart.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
         per_token = per_root.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         # twice the pairs that are apart, and rows
         double, n = per_token.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("own")), F.lit(0)),
                                   F.coalesce(F.sum("n"), F.lit(0))).first()
-        last = k == MATCHINGS or double <= 2 * PAIRS_LEFT * n
-        found = _similar_pairs(_posted_pairs(apart, similar, tasks, "all" if last else k), sets, similar)
+        last = last or k == MATCHINGS or double <= 2 * PAIRS_LEFT * n
+        pairs = stored(_likely(_posted_pairs(apart, similar, tasks, "all" if last else k), drawn, similar), "pairs")
+        met = pairs.count()
+        needed = _nodes_of(pairs)
+        sets = _sets(docs, needed, width)
+        found = _similar_pairs(pairs, sets, similar)
         links = links.union(found)
-        if last or not n:
+        removed(spark, pairs, needed, sets)
+        if last:
             break
+        # rounds go on while they merge
+        last = found.count() * WORTHWHILE < met
         homes = apart.select("node", "root").distinct()
         ends = found.join(homes.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(
             homes.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
         fresh = _left_apart(apart, components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         removed(spark, apart)
         apart = fresh
-    removed(spark, needed, sets, apart)
+    removed(spark, drawn, apart)
     return links
 
 
@@ -633,13 +656,15 @@ def near_components(docs, width=3, most=3, similar=None, sketch_width=5):
     ``most`` only says which pairs are looked at first. ``component_id`` is the smallest doc_id that
     can be reached. Rows with null text or no words have fingerprint zero and are linked like any
     other (without words, to each other), repeated rows stay, other columns are ignored."""
-    rows = fingerprints(docs, width, sketch_width if similar is not None else None)
-    rows = stored(rows if similar is not None else rows.withColumn("node", F.col("fp")), "rows")
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("_first"), F.min("fp").alias("fp"),
-                                     F.min("sketch").alias("sketch"))
-    links = near_links(first, most) if similar is None else similar_links(
-        docs, rows, first, sketch_width, most, similar)
-    found = components(links).withColumnRenamed("node", "_node")
+    spark = docs.sparkSession
+    with short_shuffles(spark):
+        rows = fingerprints(docs, width, sketch_width if similar is not None else None)
+        rows = stored(rows if similar is not None else rows.withColumn("node", F.col("fp")), "rows")
+        first = rows.groupBy("node").agg(F.min("doc_id").alias("_first"), F.min("fp").alias("fp"),
+                                         F.min("sketch").alias("sketch"), F.min("size").alias("size"))
+        links = near_links(first, most) if similar is None else similar_links(
+            docs, rows, first, sketch_width, most, similar)
+        found = components(links).withColumnRenamed("node", "_node")
     ids = first.select("node", "_first")
     # from nodes to the smallest doc_id of their component
     roots = ids.join(found, ids["node"] == found["_node"], "left").select(
