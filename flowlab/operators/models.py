@@ -8,10 +8,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import classification as C
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from flowlab.operators import boosting, discriminant
+from flowlab.operators import boosting, discriminant, hinge
 from flowlab.operators.neighbors import knn_join, knn_vote
 from flowlab.operators.prep import label_codes, prepare, vector_of, with_class_weight
 from flowlab.operators.reduce import KernelMap, apply_blocks, landmark_rows
@@ -79,12 +78,6 @@ def _with_weight(task, settings):
     return settings
 
 
-def _one_vs_rest(binary, task, options):
-    extra = {"weightCol": task.weight} if task.weight else {}
-    return C.OneVsRest(classifier=binary, parallelism=options.get("parallelism", 4),
-                       rawPredictionCol="_raw", **COLUMNS, **extra)
-
-
 @dataclass
 class GaussianScores:
     """Log posteriors of independent normal features per class."""
@@ -157,28 +150,18 @@ class LinearScores:
         return x @ self.coefficients.T + self.intercepts
 
 
-def _fit_hinge(rows, task, options, strength, mapping=None):
-    """One linear hinge classifier per class; all of them score in one matrix product."""
-    rows = spread(rows.select("_features", "_code", *[task.weight] * bool(task.weight))).persist()
-    try:
-        fitted = _one_vs_rest(C.LinearSVC(
-            rawPredictionCol="_raw", regParam=strength, maxIter=options["max_iter"], tol=options["tol"],
-            standardization=False), task, options).fit(rows)
-    finally:
-        rows.unpersist()
-    model = LinearScores(task.classes[:len(fitted.models)],
-                         np.array([m.coefficients.toArray() for m in fitted.models]),
-                         np.array([m.intercept for m in fitted.models]), mapping)
-    return discriminant.predict_class(task.test, task.features, model)
+def _linear(task, fitted, mapping=None):
+    return discriminant.predict_class(task.test, task.features, LinearScores(task.classes, *fitted, mapping))
 
 
 def _hinge(task, options):
-    return _fit_hinge(_coded(task.train, task), task, options, options["alpha"])
+    return _linear(task, hinge.averaged_descent(
+        task.train, task.features, _code(task), len(task.classes), options["alpha"], options["max_iter"], options["tol"], task.weight))
 
 
 def _linear_svm(task, options):
-    strength = 1.0 / (options["c"] * task.train.count())
-    return _fit_hinge(_coded(task.train, task), task, options, strength)
+    return _linear(task, hinge.squared_hinge(
+        task.train, task.features, _code(task), len(task.classes), options["c"], options["max_iter"], options["tol"], task.weight))
 
 
 def _network(task, options):
@@ -220,10 +203,10 @@ def _rbf_svm(task, options):
         spread = marks.var()
         gamma = 1.0 / (len(task.features) * spread) if spread > 0 else 1.0
     mapping = KernelMap(marks, "rbf", gamma)
-    mapped = apply_blocks(task.train, task.features, mapping, name="_map").withColumn(
-        "_features", array_to_vector("_map")).withColumn("_code", _code(task))
-    strength = 1.0 / (options["c"] * task.train.count())
-    return _fit_hinge(mapped, task, options, strength, mapping)
+    alpha = 1.0 / (options["c"] * task.train.count())
+    return _linear(task, hinge.averaged_descent(
+        task.train, task.features, _code(task), len(task.classes), alpha, options["max_iter"], options["tol"], task.weight,
+        mapping=mapping), mapping)
 
 
 class StumpVotes:
@@ -339,7 +322,7 @@ REGISTRY = {
     "adaboost": Spec(_adaboost, scaled=False, weighted=False, sweep=False,
                      options=dict(rounds=100, max_bins=64)),
     "mlp": Spec(_spark_ml(_network), weighted=False, options=dict(hidden=[64, 32], max_iter=60, tol=1e-4, seed=42)),
-    "linear_svm": Spec(_linear_svm, sweep=False, options=dict(c=1.0, max_iter=2000, tol=1e-4)),
+    "linear_svm": Spec(_linear_svm, sweep=False, options=dict(c=1.0, max_iter=2000, tol=1e-6)),
     "logistic": Spec(_spark_ml(_logistic), options=dict(max_iter=1000, reg=1e-6, tol=1e-4)),
     "knn": Spec(_knn, heavy=True, sweep=False, weighted=False, options=dict(k=5)),
     "svm": Spec(_rbf_svm, heavy=True, sweep=False, options=dict(c=1.0, gamma=None, landmarks=1000, max_iter=100, tol=1e-3)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlab.operators import boosting, discriminant, metrics, models, prep, reduce, sampling
+from flowlab.operators import boosting, discriminant, hinge, metrics, models, prep, reduce, sampling
 from flowlab.plans import fixtures as X
 from flowlab.plans.registry import query
 from flowlab.session import materialised
@@ -146,6 +146,37 @@ for _key, _model in (("clf_sgd_hinge", "sgd"),
         return predictions(model, spark, sf)
 
 
+# One-against-rest squared hinge on one standardised feature, by Newton steps over a weight and an intercept.
+# Rows with equal values and label are one row with a number.
+def newton_hinge_sql(steps):
+    yield "g AS (SELECT z_quantity AS z, label, CAST(count(*) AS DOUBLE) AS n FROM scaled WHERE is_train GROUP BY ALL)"
+    yield ("rows AS (SELECT z, n, class, CASE WHEN label = class THEN 1.0 ELSE -1.0 END AS y FROM g, "
+           "(SELECT DISTINCT label AS class FROM g))")
+    yield "w0 AS (SELECT DISTINCT class, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b FROM rows)"
+    for k in range(steps):
+        slack = "greatest(1 - y * (w * z + b), 0)"
+        live = f"(CASE WHEN {slack} > 0 THEN n ELSE 0 END)"
+        yield (f"m{k} AS (SELECT class, w, b, w - 2 * sum(n * {slack} * y * z) AS gw, b - 2 * sum(n * {slack} * y) AS gb, "
+               f"1 + 2 * sum({live} * z * z) AS hw, 2 * sum({live} * z) AS hc, 1 + 2 * sum({live}) AS hb "
+               f"FROM rows JOIN w{k} USING (class) GROUP BY class, w, b)")
+        yield (f"w{k + 1} AS (SELECT class, w - (hb * gw - hc * gb) / (hw * hb - hc * hc) AS w, "
+               f"b - (hw * gb - hc * gw) / (hw * hb - hc * hc) AS b FROM m{k})")
+
+
+@query("linear_svm_weights", X.with_sql(
+    X.FLOWS_SQL, *nb_sql("flows", "flow_id", ["quantity"])[:5], *newton_hinge_sql(20), """
+SELECT class, round(w, 5) AS weight, round(b, 5) AS intercept FROM w20"""))
+def _(spark, sf):
+    parts = materialised(sampling.stratified_split(
+        X.flows(spark, sf).select("flow_id", "label", "quantity"), "label", ["flow_id"], 0.4)).where("is_train")
+    (train,) = prep.prepare(parts, [parts], ["quantity"])
+    classes = models.class_list(train, "label")
+    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1
+    w, b = hinge.squared_hinge(train, ["quantity"], code, len(classes), 1.0)
+    rows = [(c, round(float(x), 5), round(float(y), 5)) for c, x, y in zip(classes, w[:, 0], b)]
+    return spark.createDataFrame(rows, "class string, weight double, intercept double")
+
+
 # Boosted stumps in SQL: two rounds of softmax gradients, curvatures and gains over three columns with
 # fewer values than bins. Rows with equal values and label are one row with a number.
 STUMP_FEATURES = ["quantity", "discount", "tax"]

@@ -84,25 +84,40 @@ def numeric_matrix(pdf, columns):
     return pdf[columns].to_numpy(dtype=np.float64, na_value=np.nan)
 
 
-def tree_sum(df, columns, batch_sums):
+def tree_sum(df, columns, batch_sums, few=False):
     """Sum named float arrays over a distributed table.
 
     ``batch_sums(pdf)`` turns one Arrow batch into ``{key: 1-d array}``. Every
     task adds up its own batches and ships one array per key; the partial arrays
     are then added on ``FAN_IN`` lanes per key, so neither one task nor the
     driver meets one array per input partition. The result ``{key: array}`` is
-    on the driver: its size depends on keys and columns, never on the rows."""
+    on the driver: its size depends on keys and columns, never on the rows.
+    ``few`` tells that the table has at most ``FAN_IN`` partitions: then one
+    stage is enough."""
+    return task_sums(df, columns, lambda batches: _add_up(batch_sums(pdf) for pdf in batches), few)
+
+
+def task_sums(df, columns, run, few=False):
+    """Like ``tree_sum``, with ``run(batches)`` turning all batches of a task into ``{key: 1-d array}``."""
     def first(batches):
-        yield from _as_frames(_add_up(batch_sums(pdf) for pdf in batches if len(pdf)))
+        yield from _as_frames(run(pdf for pdf in batches if len(pdf)))
 
     def again(batches):
         yield from _as_frames(_add_up(
             {key: np.asarray(part, dtype=np.float64)}
             for pdf in batches for key, part in zip(pdf["key"], pdf["total"])))
 
-    parts = spread(df.select(*ticks(columns))).mapInPandas(first, _PARTS)
-    merged = parts.repartition("lane", "key").mapInPandas(again, _PARTS)
-    return _add_up({r["key"]: np.asarray(r["total"])} for r in merged.toLocalIterator())
+    if few:
+        rows = df.select(*ticks(columns)).mapInPandas(first, _PARTS).collect()
+    else:
+        parts = spread(df.select(*ticks(columns))).mapInPandas(first, _PARTS)
+        rows = parts.repartition("lane", "key").mapInPandas(again, _PARTS).toLocalIterator()
+    return _add_up({r["key"]: np.asarray(r["total"])} for r in rows)
+
+
+def is_few(table):
+    """Whether a table that is read from files has at most ``FAN_IN`` partitions."""
+    return table.rdd.getNumPartitions() <= FAN_IN
 
 
 _PARTS = "lane int, key string, total array<double>"
