@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.sql import functions as F
 
-from flowlab.operators import boosting, discriminant, hinge
+from flowlab.operators import boosting, discriminant, hinge, network
 from flowlab.operators.neighbors import knn_join, knn_vote
 from flowlab.operators.prep import label_codes, prepare, vector_of, with_class_weight
 from flowlab.operators.reduce import KernelMap, apply_blocks, landmark_rows
@@ -165,10 +165,9 @@ def _linear_svm(task, options):
 
 
 def _network(task, options):
-    return C.MultilayerPerceptronClassifier(
-        layers=[len(task.features), *options["hidden"], len(task.classes)],
-        maxIter=options["max_iter"], tol=options["tol"], seed=options["seed"], rawPredictionCol="_raw",
-        probabilityCol="_p", **COLUMNS)
+    model = network.fit(task.train, task.features, _code(task), task.ids, task.classes, options["hidden"], options["max_iter"],
+                        options["tol"], options["patience"], seed=options["seed"])
+    return discriminant.predict_class(task.test, task.features, model)
 
 
 def _lda(task, options):
@@ -321,7 +320,7 @@ REGISTRY = {
         _BOOST, rounds=300, max_depth=6, step=0.1, policy="symmetric", ridge=3.0, least_curvature=0.0)),
     "adaboost": Spec(_adaboost, scaled=False, weighted=False, sweep=False,
                      options=dict(rounds=100, max_bins=64)),
-    "mlp": Spec(_spark_ml(_network), weighted=False, options=dict(hidden=[64, 32], max_iter=60, tol=1e-4, seed=42)),
+    "mlp": Spec(_network, weighted=False, options=dict(hidden=[64, 32], max_iter=60, tol=1e-4, patience=10, seed=42)),
     "linear_svm": Spec(_linear_svm, sweep=False, options=dict(c=1.0, max_iter=2000, tol=1e-6)),
     "logistic": Spec(_spark_ml(_logistic), options=dict(max_iter=1000, reg=1e-6, tol=1e-4)),
     "knn": Spec(_knn, heavy=True, sweep=False, weighted=False, options=dict(k=5)),
