@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,9 +11,6 @@ from flowlab.operators.quantiles import group_medians, pair_rank_sums
 from flowlab.operators.sampling import undersample
 from flowlab.tables import local_table, numeric_matrix, ref, spread, ticks, tree_sum
 
-# A capped base sample of at most this many values is shipped to the tasks.
-SHIPPED_VALUES = 20_000_000
-
 
 def group_median_table(df, label, features, base):
     """Median per feature for the base class and for everything else."""
@@ -72,69 +68,6 @@ def _auc(sums):
                     (F.abs(auc - 0.5) * 2).alias("separation")))
 
 
-def base_sample(df, label, ids, base, cap, seed=0):
-    """The base class, cut to ``cap`` rows when it has more."""
-    rows = df.where(ref(label) == F.lit(base))
-    if cap is None:
-        return rows
-    return undersample(rows, label, ids, base, cap, seed)
-
-
-def capped_auc(df, label, ids, features, base, cap, seed=0):
-    """AUC against a base class capped at ``cap`` rows, missing values filled with the
-    base medians. The capped base is small by construction, so it travels to the
-    other rows as sorted arrays and those are never shuffled; only sums per class
-    and feature are. Returns (auc table, filled other rows, base medians)."""
-    features = list(features)
-    if cap * len(features) > SHIPPED_VALUES:
-        raise ValueError("cap too large to ship; use feature_auc for the uncapped result")
-    sample = base_sample(df, label, ids, base, cap, seed).select(
-        *[ref(f).cast("double").alias(f) for f in features]).toPandas()
-    medians = {f: _none(sample[f].median()) for f in features}
-    filled_base = {f: np.sort(sample[f].fillna(medians[f] if medians[f] is not None else np.nan)
-                              .to_numpy(dtype=np.float64)) for f in features}
-    others = df.where(ref(label).isNotNull() & (ref(label) != F.lit(base))).withColumns({
-        f: F.coalesce(ref(f).cast("double"), F.lit(medians[f]).cast("double")) for f in features})
-    shipped = df.sparkSession.sparkContext.broadcast(filled_base)
-
-    def wins(batches):
-        for pdf in batches:
-            codes, names = pd.factorize(pdf["class"])
-            parts = []
-            for f in features:
-                values = pdf[f].to_numpy(dtype=np.float64, na_value=np.nan)
-                there = ~np.isnan(values)
-                code, value = codes[there], values[there]
-                sorted_base = shipped.value[f]
-                twice = (np.searchsorted(sorted_base, value, "left").astype(np.int64)
-                         + np.searchsorted(sorted_base, value, "right"))
-                frame = pd.DataFrame({"code": code, "twice": twice, "value": value})
-                part = frame.groupby("code").agg(
-                    n=("twice", "size"), wins2=("twice", "sum"),
-                    lowest=("value", "min"), highest=("value", "max")).reset_index()
-                part["feature"] = f
-                parts.append(part)
-            out = pd.concat(parts, ignore_index=True)
-            out["class"] = names.to_numpy()[out["code"]] if hasattr(names, "to_numpy") else names[out["code"]]
-            yield out[["class", "feature", "n", "wins2", "lowest", "highest"]]
-
-    sums = (spread(others.select(ref(label).alias("class"), *[ref(f) for f in features]))
-            .mapInPandas(wins, "class string, feature string, n bigint, wins2 bigint, "
-                               "lowest double, highest double")
-            .groupBy("class", "feature").agg(
-                F.sum("n").alias("n"), F.sum("wins2").alias("wins2"),
-                F.min("lowest").alias("lowest"), F.max("highest").alias("highest")))
-    edges = [(f, int((~np.isnan(v)).sum()), float(v[0]), float(v[-1])) for f, v in filled_base.items()
-             if len(v) and not np.isnan(v).any()]
-    base_table = local_table(df.sparkSession, edges,
-                             "feature string, n_base bigint, base_low double, base_high double")
-    joined = sums.join(base_table, "feature").select(
-        "class", "feature", "n", "n_base", "wins2",
-        F.least("lowest", "base_low").alias("lowest"),
-        F.greatest("highest", "base_high").alias("highest"))
-    return _auc(joined), others, medians
-
-
 def _none(x):
     return None if x is None or np.isnan(x) else float(x)
 
@@ -152,6 +85,11 @@ def filled_auc(df, label, features, base):
     return feature_auc(filled, label, features, base), filled.where(ref(label) != F.lit(base)), medians
 
 
+def capped_auc(df, label, ids, features, base, cap, seed=0):
+    """The same with the base class cut to ``cap`` rows if it has more."""
+    return filled_auc(undersample(df, label, ids, base, cap, seed), label, features, base)
+
+
 def signatures(df, label, ids, features, base, top=5, base_cap=None, seed=0):
     """Per class, the ``top`` features that separate it best from the base class on
     their own, with direction and both medians. Equal scores go to the feature

@@ -55,26 +55,34 @@ def _(spark, sf):
                    ["auc", "separation"])
 
 
-MEDIANS_SQL = "medians AS (SELECT " + ", ".join(
-    f"median({f}) AS {f}" for f in X.FLOW_FEATURES) + " FROM flows WHERE label = 'BENIGN')"
-FILLED_SQL = "filled AS (SELECT label, " + ", ".join(
-    f"coalesce(c.{f}, m.{f}) AS {f}" for f in X.FLOW_FEATURES) + " FROM flows c, medians m)"
-
-
-@query("signatures", X.with_sql(
-    X.FLOWS_SQL, MEDIANS_SQL, FILLED_SQL, long_sql("filled", "label", X.FLOW_FEATURES),
-    *auc_sql("long"), """
+def signatures_sql(source):
+    """SQL twin of the class signatures over ``source``."""
+    medians = "medians AS (SELECT " + ", ".join(f"median({f}) AS {f}" for f in X.FLOW_FEATURES) + f" FROM {source} WHERE label = 'BENIGN')"
+    filled = "filled AS (SELECT label, " + ", ".join(
+        f"coalesce(c.{f}, m.{f}) AS {f}" for f in X.FLOW_FEATURES) + f" FROM {source} c, medians m)"
+    return medians, filled, long_sql("filled", "label", X.FLOW_FEATURES), *auc_sql("long"), """
 ranked AS (SELECT *, abs(auc - 0.5) * 2 AS separation, row_number() OVER (PARTITION BY class
     ORDER BY abs(auc - 0.5) * 2 DESC, feature DESC, auc DESC) AS rank FROM auc)""", """
 mid AS (SELECT label, feature, median(value) AS median FROM long GROUP BY 1, 2)""", """
 SELECT class, CAST(rank AS INTEGER) AS rank, r.feature, round(separation, 3) AS separation,
   CASE WHEN auc > 0.5 THEN 'higher' ELSE 'lower' END AS class_is, a.median AS median_class, b.median AS median_base, n
 FROM ranked r JOIN mid a ON a.label = r.class AND a.feature = r.feature
-  JOIN mid b ON b.label = 'BENIGN' AND b.feature = r.feature WHERE rank <= 5"""))
+  JOIN mid b ON b.label = 'BENIGN' AND b.feature = r.feature WHERE rank <= 5"""
+
+
+@query("signatures", X.with_sql(X.FLOWS_SQL, *signatures_sql("flows")))
 def _(spark, sf):
     return separability.signatures(X.flows(spark, sf), "label", ["flow_id"], X.FLOW_FEATURES, X.BENIGN)
 
 
+# Against a sample of the base class; all other rows count.
+@query("signatures_base_sample", X.with_sql(X.FLOWS_SQL, """capped AS (SELECT * FROM (SELECT *,
+  row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', '0', flow_id))) AS place FROM flows)
+  WHERE label <> 'BENIGN' OR place <= 3000)""", *signatures_sql("capped")))
+def _(spark, sf):
+    return separability.signatures(X.flows(spark, sf), "label", ["flow_id"], X.FLOW_FEATURES, X.BENIGN, base_cap=3000)
+
+
 SHUFFLED = ["quantity", "price", "discount", "tax"]
 RANK_SQL = """ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', 'stay', flow_id)), flow_id) - 1 AS place,
   count(*) OVER () AS total FROM flows)"""
