@@ -5,12 +5,17 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlab.session import shared_dir
 
 
+# Edges up to which one task finds all components.
+ONE_TASK = 50_000
+
+
 def scratch(spark, name):
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
@@ -70,15 +75,39 @@ def running(df, order, sums, name="running"):
             .drop(*[f"_{c}" for c in sums]))
 
 
+def _forest(batches):
+    """Smallest reachable node of every node, for the edges of one task."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    nodes = [x for x in root if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())],
+                                     names=["node", "root"])
+
+
 def components(edges):
     """Smallest reachable node of every node of an undirected graph (columns u, v, long).
 
     Alternating stars: neighbours are hung to the smallest node around, first for larger then for
-    smaller neighbours, until nothing changes. Every round is stored, so lineage stays short.
+    smaller neighbours, until nothing changes. Every round is stored, so lineage stays short. At most
+    ``ONE_TASK`` edges are joined up in one task instead.
     Returns a table (node, root); nodes without edges are absent."""
     spark = edges.sparkSession
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                    .distinct(), "edges")
+    if edges.count() <= ONE_TASK:
+        found = stored(edges.coalesce(1).mapInArrow(_forest, "node long, root long"), "roots")
+        removed(spark, edges)
+        return found
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

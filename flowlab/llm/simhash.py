@@ -454,21 +454,23 @@ def postings(docs, width, similar, shingles):
                   .mapInArrow(shared, POSTINGS), "postings")
 
 
-def _possible(i, j, node, size, place, similar):
+def _possible(i, j, node, size, place, similar, root=None):
     """Of pairs of posting rows of a token those whose sets can be similar: by their sizes, and by what
     is left of both behind the token, if it is the first that they share."""
     least = np.ceil(similar / (1 + similar) * (size[i] + size[j]) - 1e-9)
     keep = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
     keep &= np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j]) - 1e-9
     i, j = i[keep], j[keep]
-    pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+    i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+    columns = [node[i], node[j]] if root is None else [node[i], node[j], root[i], root[j]]
+    pairs = np.unique(np.stack(columns, 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T], names=["u", "v", "u_root", "v_root"][: len(columns)])
 
 
 def _posted_pairs(table, similar, tasks, how):
     """Distinct pairs (u, v) that share a token and can be similar. ``how`` is "size": neighbours by size;
     a number: in an order drawn anew for each number, neighbours with different roots; "all": all pairs
-    with different roots. The last two need a column ``root``."""
+    with different roots. The last two need a column ``root`` and give both roots too."""
     rooted = how != "size"
 
     def work(batches):
@@ -487,7 +489,7 @@ def _posted_pairs(table, similar, tasks, how):
             i = np.flatnonzero(token[1:] == token[:-1])
             if rooted:
                 i = i[root[0][i] != root[0][i + 1]]
-            yield _possible(i, i + 1, node, size, place, similar)
+            yield _possible(i, i + 1, node, size, place, similar, *root)
             return
         # partners of a row stand behind the run of its root, up to the end of its token
         cut = token[1:] != token[:-1]
@@ -500,10 +502,11 @@ def _posted_pairs(table, similar, tasks, how):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 4 * PAIRS_AT_ONCE, "right")))
             i = np.repeat(np.arange(a, b), n[a:b])
             j = np.arange(len(i)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + np.repeat(start[a:b], n[a:b])
-            yield _possible(i, j, node, size, place, similar)
+            yield _possible(i, j, node, size, place, similar, *root)
             a = b
 
-    return table.repartition(tasks, "token").mapInArrow(work, "u long, v long").distinct()
+    schema = "u long, v long" + ", u_root long, v_root long" * rooted
+    return table.repartition(tasks, "token").mapInArrow(work, schema).distinct()
 
 
 def _run_ends(cut):
@@ -571,18 +574,19 @@ def _likely(pairs, drawn, similar):
             both, d = np.asarray(batch.column("both")), np.zeros(batch.num_rows, np.int64)
             for k in range(0, len(a), SKETCHES_AT_ONCE):
                 d[k: k + SKETCHES_AT_ONCE] = (a[k: k + SKETCHES_AT_ONCE] != b[k: k + SKETCHES_AT_ONCE]).sum(1)
-            yield batch.select(["u", "v"]).filter(pa.array(both - d >= similar * (both + d) - 1e-9))
+            yield batch.select(kept).filter(pa.array(both - d >= similar * (both + d) - 1e-9))
 
     left, right = (drawn.select(F.col("node").alias(x), F.col("sketch").alias(y), F.col("size").alias(f"_{x}")) for x, y in ("ua", "vb"))
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", (F.col("_u") + F.col("_v")).cast("long").alias("both"))
-    return joined.mapInArrow(work, "u long, v long")
+    kept = pairs.columns
+    joined = pairs.join(left, "u").join(right, "v").select(*kept, "a", "b", (F.col("_u") + F.col("_v")).cast("long").alias("both"))
+    return joined.mapInArrow(work, pairs.schema)
 
 
 def _similar_pairs(pairs, sets, similar):
     """A stored table of those pairs of sets that are similar enough, counted on the sets."""
     left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"_{x}")) for x in "uv")
     both = F.size(F.array_intersect("_u", "_v"))
-    return stored(pairs.join(left, "u").join(right, "v").select("u", "v", (
+    return stored(pairs.join(left, "u").join(right, "v").select(*pairs.columns, (
         both / (F.size("_u") + F.size("_v") - both) >= similar).alias("ok")).where("ok").drop("ok"), "similar")
 
 
@@ -590,14 +594,32 @@ def _nodes_of(pairs):
     return stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "needed")
 
 
-def _left_apart(table, roots):
-    """A stored table of the prefix rows of tokens that still stand in several components. ``roots`` tells
-    the component of a row's ``root`` (node, root)."""
+def _left_apart(table, roots, tasks):
+    """A stored table of the prefix rows of tokens that still stand in several components, where one row of
+    each token has in ``apart`` twice the number of its pairs that do. ``roots`` tells the component of a
+    row's ``root`` (node, root)."""
     known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     now = table.join(known, table["root"] == known["_node"], "left").select(
         "token", "node", "size", "place", F.coalesce("_root", "root").alias("root"))
-    several = now.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
-    return stored(now.join(several, "token", "left_semi"), "apart")
+
+    def work(batches):
+        columns = _columns(batches, ["token", "node", "size", "place", "root"])
+        if columns is None:
+            return
+        order = np.lexsort((columns[4], columns[0]))
+        columns = [c[order] for c in columns]
+        token, root = columns[0], columns[4]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        run = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (root[1:] != root[:-1])))
+        n, own = np.diff(np.append(first, len(token))), np.diff(np.append(run, len(token)))
+        pairs = n * n - np.add.reduceat(own * own, np.searchsorted(run, first))
+        apart = np.zeros(len(token), np.int64)
+        apart[first] = pairs
+        keep = np.repeat(pairs > 0, n)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*columns, apart]],
+                                         names=["token", "node", "size", "place", "root", "apart"])
+
+    return stored(now.repartition(tasks, "token").mapInArrow(work, POSTINGS + ", root long, apart long"), "apart")
 
 
 def similar_links(docs, rows, nodes, width, most, similar):
@@ -618,33 +640,33 @@ def similar_links(docs, rows, nodes, width, most, similar):
     sets = _sets(docs, needed, width)
     links = _similar_pairs(asked, sets, similar)
     removed(spark, sets, needed, asked)
-    apart = _left_apart(table.withColumn("root", F.col("node")), components(links))
+    apart = _left_apart(table.withColumn("root", F.col("node")), components(links), tasks)
     removed(spark, table)
+    held, known = [], None
     for k in range(MATCHINGS + 1):
-        per_root = apart.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
-        per_token = per_root.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        # twice the pairs that are apart, and rows
-        double, n = per_token.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("own")), F.lit(0)),
-                                  F.coalesce(F.sum("n"), F.lit(0))).first()
+        double, n = apart.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.count(F.lit(1))).first()
         last = last or k == MATCHINGS or double <= 2 * PAIRS_LEFT * n
         pairs = stored(_likely(_posted_pairs(apart, similar, tasks, "all" if last else k), drawn, similar), "pairs")
         met = pairs.count()
+        # texts are read again only for sets that no round has asked for before
         needed = _nodes_of(pairs)
-        sets = _sets(docs, needed, width)
+        missing = needed if known is None else stored(needed.join(known, "node", "left_anti"), "needed")
+        if known is None or not missing.isEmpty():
+            held.append(_sets(docs, missing, width))
+            sets = held[0] if len(held) == 1 else sets.unionByName(held[-1])
+            known = sets.select("node")
         found = _similar_pairs(pairs, sets, similar)
-        links = links.union(found)
-        removed(spark, pairs, needed, sets)
+        links = links.union(found.select("u", "v"))
+        removed(spark, pairs, *{id(t): t for t in (needed, missing)}.values())
         if last:
             break
         # rounds go on while they merge
         last = found.count() * WORTHWHILE < met
-        homes = apart.select("node", "root").distinct()
-        ends = found.join(homes.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(
-            homes.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
-        fresh = _left_apart(apart, components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        merged = components(found.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
+        fresh = _left_apart(apart.drop("apart"), merged, tasks)
         removed(spark, apart)
         apart = fresh
-    removed(spark, drawn, apart)
+    removed(spark, drawn, apart, *held)
     return links
 
 

@@ -91,3 +91,15 @@ def test_clean_keeps_what_is_not_reported(spark, sf):
     assert tiling.clean(odd, items).count() == 3
     assert tiling.clean(odd, items.where("false")).count() == 3
     assert tiling.clean(odd.where("false"), items).count() == 0
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    from flowlab.llm import frames
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    one = {r["node"]: r["root"] for r in frames.components(df).collect()}
+    monkeypatch.setattr(frames, "ONE_TASK", 0)
+    assert one == {r["node"]: r["root"] for r in frames.components(df).collect()}
+    assert all(one[1001 + i] == 1000 for i in range(40)) and frames.components(df.where("false")).count() == 0
