@@ -138,7 +138,7 @@ def _(spark, sf):
 
 for _key, _model in (("clf_sgd_hinge", "sgd"),
                      ("clf_random_forest", "random_forest"), ("clf_gbt_ovr", "hist_gb"), ("clf_gbt_deep", "xgboost"),
-                     ("clf_gbt_leaves", "lightgbm"), ("clf_gbt_symmetric", "catboost"),
+                     ("clf_gbt_leaves", "lightgbm"),
                      ("clf_adaboost", "adaboost"), ("clf_mlp", "mlp"), ("clf_linear_svm", "linear_svm"),
                      ("clf_logistic", "logistic"), ("clf_rbf_svm", "svm")):
     @query(_key)
