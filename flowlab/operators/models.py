@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowlab.operators import boosting, discriminant, hinge, network
 from flowlab.operators.neighbors import knn_join, knn_vote
 from flowlab.operators.prep import label_codes, prepare, vector_of, with_class_weight
-from flowlab.operators.reduce import KernelMap, apply_blocks, landmark_rows
+from flowlab.operators.reduce import KernelMap, landmark_rows
 from flowlab.session import dropped, materialised
 from flowlab.tables import ref, settled, spread, tick, ticks, tree_sum
 

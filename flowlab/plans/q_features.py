@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import importance, neighbors, quantiles, reduce, runs, sampling, separability
 from flowlab.plans import fixtures as X
-from flowlab.plans.q_metrics import COUNTS_SQL, rounded, tallies_sql
+from flowlab.plans.q_metrics import rounded, tallies_sql
 from flowlab.plans.registry import query
 
 SIDE = "CASE WHEN label = 'BENIGN' THEN 'base' ELSE 'other' END"
