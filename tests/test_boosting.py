@@ -120,3 +120,24 @@ def test_refused_and_pure(spark):
     assert table.count() == 3
     out = models.fit_predict("lightgbm", df, df, "label", ["id"], FEATURES, rounds=3)
     assert out.where("prediction = label").count() > 60
+
+
+def test_rows_alike_in_all_bins_are_one(spark, monkeypatch):
+    written = []
+
+    def seen(df, name="table"):
+        written.append(real(df, name))
+        return written[-1]
+
+    real = boosting.materialised
+    monkeypatch.setattr(boosting, "materialised", seen)
+    monkeypatch.setattr(boosting, "dropped", lambda *tables: None)
+    df = frame(spark, 300, 6).selectExpr("id", "label", "few", "round(u) AS u", "round(v) AS v")
+    many, names, growth = df.crossJoin(spark.range(20).select("id").withColumnRenamed("id", "copy")), ["u", "v", "few"], Growth(rounds=2, depth=2)
+    model = boosting.fit(many, names, "label", ["a", "b", "c"], growth)
+    cells = df.select("label", *names).distinct().count()
+    assert written[0].count() == cells < 300
+    assert written[0].selectExpr("sum(weight)").first()[0] == 6_000
+    weighted = boosting.fit(df.selectExpr("*", "20.0 AS weight"), names, "label", ["a", "b", "c"], growth, weight="weight")
+    x = df.toPandas()[names].to_numpy()
+    assert np.allclose(model.scores(x), weighted.scores(x))
