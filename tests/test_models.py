@@ -187,6 +187,22 @@ def test_boosted_stumps_match_plain_boosting(spark):
     assert (got == names[votes.argmax(axis=1)]).all()
 
 
+def test_stumps_keep_rows_alike_once(spark, monkeypatch):
+    written, real = [], models.materialised
+
+    def seen(df, *name):
+        written.append(real(df, *name))
+        return written[-1]
+
+    monkeypatch.setattr(models, "materialised", seen)
+    monkeypatch.setattr(models, "dropped", lambda *tables: None)
+    df = spark.range(2_000).selectExpr("id", "cast(id % 4 as double) AS u", "cast(id % 3 as double) AS v",
+                                       "if(id % 4 > 1, 'a', if(id % 3 = 0, 'b', 'c')) AS label")
+    out = models.fit_predict("adaboost", df, df, "label", ["id"], ["u", "v"], rounds=5)
+    assert out.where("prediction = label").count() == 2_000
+    assert [t.count() for t in written] == [12]
+
+
 def test_finished_runs_are_skipped(blobs):
     train, test = blobs
     df = train.unionByName(test)
