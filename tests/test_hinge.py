@@ -66,3 +66,19 @@ def test_no_rows_and_registry(spark):
     for name, options in (("sgd", dict(max_iter=15)), ("linear_svm", {}), ("svm", dict(landmarks=60))):
         out = models.fit_predict(name, df, df, "label", ["id"], NAMES, **options)
         assert out.where("prediction = label").count() > 320, name
+
+
+def test_long_rows_end_near_the_minimum(spark, monkeypatch):
+    passes, real = [], hinge.task_sums
+
+    def seen(*args):
+        passes.append(real(*args))
+        return passes[-1]
+
+    monkeypatch.setattr(hinge, "task_sums", seen)
+    df = frame(spark, 2_000, 4).selectExpr("*", "u * 30000 AS x", "v * 30000 AS y", "w * 30000 AS z").coalesce(2)
+    w, b = hinge.averaged_descent(df, ["x", "y", "z"], F.col("code"), 3, 1e-4, max_iter=100)
+    assert len(passes) < 60
+    pdf = df.toPandas()
+    y = np.where(pdf["code"].to_numpy()[:, None] == np.arange(3), 1.0, -1.0)
+    assert np.maximum(1 - y * (pdf[["x", "y", "z"]].to_numpy() @ w.T + b), 0).mean(0).sum() < 1.5
