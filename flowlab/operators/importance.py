@@ -37,18 +37,24 @@ def shuffled_copies(df, ids, features, repeats, seed=0):
     """Every row once per (feature, repeat), with that feature's values shuffled.
 
     Rows get one random rank. A rank's values are sent to the ranks that receive them, so only
-    (rank, feature, repeat, value) is multiplied and joined with the rows once."""
+    the receiving rank, the number of the shuffle and the value are multiplied and joined with the
+    rows once, rank and number as one long."""
     rows = df.count()
-    base = rank_by_key(df.withColumn("_key", order_key("stay", ids)), "_key", name="_rank",
-                       rows=rows).withColumn("_rank", F.col("_rank") - 1).drop("_key")
+    # both sides of the join read the ranks, so they are found and written once
+    base = materialised(rank_by_key(df.withColumn("_key", order_key("stay", ids)), "_key", name="_rank",
+                                    rows=rows).withColumn("_rank", F.col("_rank") - 1).drop("_key"), "ranked")
+    steps = shuffle_steps(features, repeats, rows, seed)
     # a product of two ranks may need more than 64 bits
     rank, n = F.col("_rank").cast("decimal(19,0)"), F.lit(max(rows, 1)).cast("decimal(19,0)")
+    runs = len(steps)
     sent = F.inline(F.array(*[
-        F.struct(((rank * F.lit(factor).cast("decimal(18,0)") + F.lit(offset)) % n).cast("bigint").alias("_to"),
-                 F.lit(feature).alias("feature"), F.lit(repeat).alias("repeat"),
+        F.struct((((rank * F.lit(factor).cast("decimal(18,0)") + F.lit(offset)) % n).cast("bigint") * runs + run).alias("_slot"),
                  ref(feature).cast("double").alias("_moved"))
-        for (feature, repeat), (factor, offset) in shuffle_steps(features, repeats, rows, seed).items()]))
-    out = base.select(sent).join(base, F.col("_to") == F.col("_rank")).drop("_to", "_rank")
+        for run, ((feature, _), (factor, offset)) in enumerate(steps.items())]))
+    named = F.array(*[F.struct(F.lit(feature).alias("feature"), F.lit(repeat).alias("repeat")) for feature, repeat in steps])
+    out = base.select(sent).join(base, F.expr(f"_slot div {runs}") == F.col("_rank")).drop("_rank")
+    out = out.withColumn("_run", F.get(named, (F.col("_slot") % runs).cast("int"))).select(
+        "_run.feature", "_run.repeat", "_moved", *ticks(df.columns))
     return out.withColumns({
         f: F.when(F.col("feature") == F.lit(f), F.col("_moved")).otherwise(ref(f).cast("double"))
         for f in features}).drop("_moved")

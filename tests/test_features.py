@@ -264,3 +264,22 @@ def test_order_statistics_of_awkward_values(spark):
     want = {(key, r): float(sorted_x[r - 1]) for key in ("a", None) for r in wanted if r <= len(x)} | {("one", 1): 2.5}
     assert {(r["key"], r["rank"]): r["value"] for r in got} == want and len(got) == len(want)
     assert quantiles.order_statistics(values.where("false"), ["key"], [F.lit(1)]).count() == 0
+
+
+def test_shuffled_copies_rank_once_and_send_two_numbers(spark):
+    from flowlab.operators import importance
+
+    df = spark.range(60).selectExpr("id", "cast(id as double) AS u", "cast(id * 2 as double) AS v").repartition(8)
+    out = importance.shuffled_copies(df, ["id"], ["u", "v"], 2)
+    assert out.columns == ["feature", "repeat", "id", "u", "v"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "_slot" in plan
+    rows = out.collect()
+    assert len(rows) == 240
+    for feature, other in (("u", "v"), ("v", "u")):
+        for repeat in (0, 1):
+            mine = [r for r in rows if (r["feature"], r["repeat"]) == (feature, repeat)]
+            factor = {"u": 1.0, "v": 2.0}
+            assert sorted(r[feature] for r in mine) == [factor[feature] * i for i in range(60)]
+            assert all(r[other] == factor[other] * r["id"] for r in mine)
+            assert any(r[feature] != factor[feature] * r["id"] for r in mine)
