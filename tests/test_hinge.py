@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,24 @@ def test_long_rows_end_near_the_minimum(spark, monkeypatch):
     pdf = df.toPandas()
     y = np.where(pdf["code"].to_numpy()[:, None] == np.arange(3), 1.0, -1.0)
     assert np.maximum(1 - y * (pdf[["x", "y", "z"]].to_numpy() @ w.T + b), 0).mean(0).sum() < 1.5
+
+
+def test_kernel_values_alone_give_the_machine_of_mapped_rows(spark, monkeypatch):
+    """Descent on kernel values has the weights of descent on rows that were mapped before, and maps none."""
+    from flowlab.operators.reduce import KernelMap
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 2))
+    code = (x[:, 0] * x[:, 1] > 0).astype(int)
+    mapping = KernelMap(x[:30], "rbf", 0.5)
+    mapped = mapping.project(x)
+    names = [f"z{i}" for i in range(mapped.shape[1])]
+    plain = spark.createDataFrame(pd.DataFrame(mapped, columns=names).assign(code=code)).coalesce(1)
+    raw = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(code=code)).coalesce(1)
+    wanted = hinge.averaged_descent(plain, names, F.col("code"), 2, 1e-3, max_iter=4)
+    monkeypatch.delattr(KernelMap, "project")
+    found = hinge.averaged_descent(raw, ["a", "b"], F.col("code"), 2, 1e-3, max_iter=4, mapping=mapping)
+    assert np.allclose(found[0], wanted[0], atol=1e-6) and np.allclose(found[1], wanted[1], atol=1e-6)
+    scores = models.LinearScores([0, 1], *found, mapping).scores(x)
+    assert np.allclose(scores, mapped @ wanted[0].T + wanted[1], atol=1e-5)
+    assert (scores.argmax(axis=1) == code).mean() > 0.9
