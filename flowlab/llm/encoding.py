@@ -16,6 +16,8 @@ from flowlab.llm.text import SPACE, buffer_of, edges_of, hash_spans
 
 # Bytes of text that are encoded together: what is new in them is merged into what is known once.
 ENCODED_BYTES = 2 << 20
+# Pieces that go through the library together.
+TOGETHER = 8_192
 # Pieces that a worker remembers (about 30 bytes each) before it starts anew.
 REMEMBERED = 1_500_000
 
@@ -89,12 +91,17 @@ class Encoder:
         known[inside] = self.keys[at[inside]] == unique[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = data.tobytes()
-            pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            raw, sizes, ids = data.tobytes(), [], [self.ids]
+            # the library's results are some hundred bytes a piece, so only a few are there at a time
+            for a in range(0, len(new), TOGETHER):
+                some = new[a: a + TOGETHER]
+                pieces = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[some].tolist(), ends[some].tolist())]
+                encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+                sizes += map(len, encoded)
+                ids.append(np.array([i for e in encoded for i in e], np.uint32))
+            size = np.array(sizes, np.int64)
             first = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.array([i for e in encoded for i in e], np.uint32)])
+            self.ids = np.concatenate(ids)
             keys = np.concatenate([self.keys, unique[new]])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]

@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.encoding import ENCODED_BYTES, worker_encoder
+from flowlab.llm.encoding import worker_encoder
 from flowlab.llm.frames import partitions_for, stored
 from flowlab.llm.text import slices
 from flowlab.tables import ship, unpack
 
+# Bytes of text that are encoded together; half of what the encoder takes elsewhere, since the pipeline's workers
+# come here with memory of the stages before.
+PACKED_BYTES = 1 << 20
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -28,8 +32,9 @@ def pieces_of(docs, tokenizer, end_id=0, capacity=2048):
     tokens with the short piece in front. Null texts count as empty and have the end id alone."""
     def work(batches):
         encoder = worker_encoder(tokenizer, "blank_led")
+        pa.default_memory_pool().release_unused()
         for batch in batches:
-            for first, texts in slices(batch.column("text"), ENCODED_BYTES):
+            for first, texts in slices(batch.column("text"), PACKED_BYTES):
                 ids, counts = encoder.encode(texts)
                 keys, rows = batch.column("doc_id").slice(first, len(texts)), []
                 at = 0

@@ -59,7 +59,8 @@ def slices(column, max_bytes=SLICE_BYTES):
     """Cut a string array into (first row, array) pieces of about max_bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     if not len(sizes):
         return
