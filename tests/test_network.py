@@ -55,3 +55,17 @@ def test_learns_a_ring_and_refuses_nothing_to_learn(spark):
         network.fit(train.where("false"), NAMES, F.col("code"), ["id"], ["in", "out"])
     with pytest.raises(ValueError, match="unit"):
         network.fit(train, NAMES, F.col("code"), ["id"], ["in", "out"], hidden=(-1,))
+
+
+def test_gradient_matches_differences_of_the_loss():
+    rng = np.random.default_rng(5)
+    x, code = rng.normal(size=(20, 3)), rng.integers(0, 3, 20)
+    sizes, weights = [3, 6, 4, 3], network.start([3, 6, 4, 3], 1)
+
+    def loss(w):
+        out = network.Network([0, 1, 2], sizes, w).scores(x)
+        return (np.log(np.exp(out).sum(axis=1)) - out[np.arange(20), code]).mean()
+
+    found = network.Network([0, 1, 2], sizes, weights).gradient(x, code, 0.0)
+    near = [(loss(weights + 1e-6 * e) - loss(weights - 1e-6 * e)) / 2e-6 for e in np.eye(len(weights))]
+    assert np.allclose(found, near, atol=1e-6)
