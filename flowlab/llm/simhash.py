@@ -35,12 +35,12 @@ PAIRS_AT_ONCE, SKETCHES_AT_ONCE = 1 << 16, 1 << 14
 # Least and most buckets (as powers of two) in which shingles are counted to tell rare ones, and
 # shingles a bucket; they steer the work only. Buckets of a piece that is added up in one task.
 RARITY_BITS, RARITY_SHARE, RARITY_PIECE = (16, 23), 16, 1 << 16
-# Prefix rows that a task gets; bits of a filter per wanted set, most bits (as a power of two), and bits
-# of a piece of it.
-PREFIX_ROWS, FILTER_BITS, MOST_BITS, FILTER_PIECE = 1 << 19, 16, 31, 1 << 19
-# Rounds in which rows of a token meet one other each before all pairs that are left are looked at, and
-# how many pairs a row may be left with on average.
-MATCHINGS, PAIRS_LEFT = 8, 4
+# Prefix rows that a task gets, without and with their sketches; bits of a filter per wanted set, most bits
+# (as a power of two), and bits of a piece of it.
+PREFIX_ROWS, SKETCHED_ROWS, FILTER_BITS, MOST_BITS, FILTER_PIECE = 1 << 19, 1 << 17, 16, 31, 1 << 19
+# Rounds in which a token may give forests of its likely pairs before all that are left are looked at, how
+# many pairs a row a token gives at once, and forests of a token that has more.
+MATCHINGS, PAIRS_LEFT, FORESTS = 8, 4, 2
 # A round is followed by another if at least one in so many of its pairs is similar.
 WORTHWHILE = 50
 POSTINGS = "token long, node long, size int, place int"
@@ -454,59 +454,137 @@ def postings(docs, width, similar, shingles):
                   .mapInArrow(shared, POSTINGS), "postings")
 
 
-def _possible(i, j, node, size, place, similar, root=None):
-    """Of pairs of posting rows of a token those whose sets can be similar: by their sizes, and by what
-    is left of both behind the token, if it is the first that they share."""
+def _possible(i, j, size, place, similar):
+    """Which pairs of posting rows of a token have sets that can be similar: by their sizes, and by what is
+    left of both behind the token, if it is the first that they share."""
     least = np.ceil(similar / (1 + similar) * (size[i] + size[j]) - 1e-9)
     keep = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
-    keep &= np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j]) - 1e-9
-    i, j = i[keep], j[keep]
+    return keep & (np.minimum(size[i], size[j]) >= similar * np.maximum(size[i], size[j]) - 1e-9)
+
+
+def _distinct_pairs(i, j, node, root=None):
+    """Pairs of posting rows as distinct pairs of nodes, with their roots if given, the smaller node first."""
     i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
     columns = [node[i], node[j]] if root is None else [node[i], node[j], root[i], root[j]]
-    pairs = np.unique(np.stack(columns, 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T], names=["u", "v", "u_root", "v_root"][: len(columns)])
-
+    return np.unique(np.stack(columns, 1), axis=0).T
 
-def _posted_pairs(table, similar, tasks, how):
-    """Distinct pairs (u, v) that share a token and can be similar. ``how`` is "size": neighbours by size;
-    a number: in an order drawn anew for each number, neighbours with different roots; "all": all pairs
-    with different roots. The last two need a column ``root`` and give both roots too."""
-    rooted = how != "size"
 
+def _posted_pairs(table, similar, tasks):
+    """Distinct pairs (u, v) of neighbours by size among the rows of a token that can be similar."""
     def work(batches):
-        columns = _columns(batches, ["token", "node", "size", "place", "root"][: 5 if rooted else 4])
+        columns = _columns(batches, ["token", "node", "size", "place"])
         if columns is None:
             return
-        token, node, size, place, *root = columns
-        if how == "all":
-            second = root[0]
-        else:
-            second = size if how == "size" else mix(node.view(U64) + U64(0x9E3779B97F4A7C15 * (how + 1) & (1 << 64) - 1))
-        order = np.lexsort((node, second, token))
-        token, node, size, place, *root = (x[order] for x in columns)
-        size, place = size.astype(np.int64), place.astype(np.int64)
-        if how != "all":
-            i = np.flatnonzero(token[1:] == token[:-1])
-            if rooted:
-                i = i[root[0][i] != root[0][i + 1]]
-            yield _possible(i, i + 1, node, size, place, similar, *root)
+        order = np.lexsort((columns[1], columns[2], columns[0]))
+        token, node, size, place = (x[order].astype(np.int64) for x in columns)
+        i = np.flatnonzero(token[1:] == token[:-1])
+        i = i[_possible(i, i + 1, size, place, similar)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _distinct_pairs(i, i + 1, node)], names=["u", "v"])
+
+    return table.repartition(tasks, "token").mapInArrow(work, "u long, v long").distinct()
+
+
+def _apart_pairs(apart, drawn, similar, every):
+    """Distinct pairs (u, v, u_root, v_root, more) that share a token, have different roots, and that neither
+    sizes and places nor sketches prove too unlike. A token with more than ``PAIRS_LEFT`` of them a row only
+    gives forests of those that look most alike, and sets ``more``, so that no group gives more pairs than a
+    few for each of its rows; with ``every`` it gives all."""
+    tasks = max(partitions_for(apart.sparkSession), apart.count() // SKETCHED_ROWS)
+    names = ["token", "node", "size", "place", "root"]
+
+    def work(batches):
+        columns, sketch = [[] for _ in names], []
+        for batch in batches:
+            for column, name in zip(columns, names):
+                column.append(np.asarray(batch.column(name)).astype(np.int64))
+            sketch.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS))
+        if not sketch:
             return
+        columns, sketch = [np.concatenate(c) for c in columns], np.concatenate(sketch)
+        order = np.lexsort((columns[1], columns[4], columns[0]))
+        (token, node, size, place, root), sketch = (c[order] for c in columns), sketch[order]
         # partners of a row stand behind the run of its root, up to the end of its token
         cut = token[1:] != token[:-1]
-        until = _run_ends(cut)
-        start = _run_ends(cut | (root[0][1:] != root[0][:-1]))
-        n = until - start
-        total = np.cumsum(n)
-        a = 0
-        while a < len(n):
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 4 * PAIRS_AT_ONCE, "right")))
+        start = _run_ends(cut | (root[1:] != root[:-1]))
+        n = _run_ends(cut) - start
+        group = np.cumsum(np.append(0, cut))
+        first = np.flatnonzero(np.append(True, cut))
+        rows = np.diff(np.append(first, len(token)))
+
+        def likely(a, b):
             i = np.repeat(np.arange(a, b), n[a:b])
             j = np.arange(len(i)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + np.repeat(start[a:b], n[a:b])
-            yield _possible(i, j, node, size, place, similar, *root)
-            a = b
-
-    schema = "u long, v long" + ", u_root long, v_root long" * rooted
-    return table.repartition(tasks, "token").mapInArrow(work, schema).distinct()
+            keep = _possible(i, j, size, place, similar)
+            i, j = i[keep], j[keep]
+            keep = _alike(sketch, i, j, size[i] + size[j], similar)
+            return i[keep], j[keep]
+
+        def batch_of(i, j, more):
+            pairs = _distinct_pairs(i, j, node, root)
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in pairs), pa.array(np.full(pairs.shape[1], more))],
+                                              names=["u", "v", "u_root", "v_root", "more"])
+
+        i, j = np.empty(0, np.int64), np.empty(0, np.int64)
+        large = np.zeros(len(rows), bool)
+        for a, b in _runs_of(n, 4 * PAIRS_AT_ONCE):
+            x, y = likely(a, b)
+            if every:
+                yield batch_of(x, y, False)
+                continue
+            i, j = np.append(i, x), np.append(j, y)
+            large |= np.bincount(group[i], minlength=len(rows)) > PAIRS_LEFT * rows
+            # of tokens whose rows are all there the pairs go; a large token keeps forests only
+            over = large[group[i]]
+            kept = np.flatnonzero(over)[_forests(root[i[over]], root[j[over]], similarity(sketch, i[over], j[over]))]
+            done = np.ones(len(i), bool) if b == len(token) else group[i] < group[b]
+            forest = np.zeros(len(i), bool)
+            forest[kept] = True
+            yield batch_of(i[done & ~over], j[done & ~over], False)
+            yield batch_of(i[done & forest], j[done & forest], True)
+            wait = ~done & (forest | ~over)
+            i, j = i[wait], j[wait]
+
+    sketched = apart.join(drawn.select("node", "sketch"), "node").select(*names, "sketch")
+    return sketched.repartition(tasks, "token").mapInArrow(
+        work, "u long, v long, u_root long, v_root long, more boolean").groupBy("u", "v", "u_root", "v_root").agg(
+        F.max("more").alias("more"))
+
+
+def _runs_of(n, most):
+    """Ranges of rows with about ``most`` of ``n`` together, a row at least."""
+    total, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _forests(a, b, weight):
+    """Places of the edges of a heaviest forest between the nodes ``a`` and ``b``, then of one of what is left,
+    up to ``FORESTS`` in all."""
+    names, ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), return_inverse=True)
+    ends, order = ends.reshape(2, -1), np.argsort(-weight, kind="stable")
+    # of the edges between the same two nodes only the heaviest can be in a forest
+    order = order[np.sort(np.unique(ends[0][order] * len(names) + ends[1][order], return_index=True)[1])]
+    taken = []
+    for _ in range(FORESTS):
+        root, left = list(range(len(names))), []
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for at, x, y in zip(order.tolist(), ends[0][order].tolist(), ends[1][order].tolist()):
+            x, y = find(x), find(y)
+            if x == y:
+                left.append(at)
+            else:
+                root[x] = y
+                taken.append(at)
+        order = np.array(left, np.int64)
+    return np.array(taken, np.int64)
 
 
 def _run_ends(cut):
@@ -540,9 +618,12 @@ def _filter(nodes):
         return pd.DataFrame({"piece": rows["piece"].iloc[:1], "bits": [pa.compress(total.tobytes(), codec="zstd", asbytes=True)]})
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in nodes.mapInArrow(work, "piece int, bits binary").groupBy("piece").applyInPandas(either, "piece int, bits binary").toLocalIterator():
+    # an iterator outlives its query, and shuffle files may go with the query
+    packed = stored(nodes.mapInArrow(work, "piece int, bits binary").groupBy("piece").applyInPandas(either, "piece int, bits binary"), "filter")
+    for r in packed.toLocalIterator():
         at = r["piece"] * FILTER_PIECE // 8
         out[at: at + FILTER_PIECE // 8] = np.frombuffer(pa.decompress(bytes(r["bits"]), FILTER_PIECE // 8, codec="zstd", asbytes=True), np.uint8)
+    removed(nodes.sparkSession, packed)
     return out, shift
 
 
@@ -564,17 +645,24 @@ def _sets(docs, nodes, width):
     return stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
 
-def _likely(pairs, drawn, similar):
-    """Pairs without those that the sketches prove too unlike: a bin whose smallest hashes differ has a
+def _alike(drawn, i, j, both, similar):
+    """Which pairs of sketches don't prove their sets too unlike: a bin whose smallest hashes differ has a
     shingle that only one of both sets has, and bins share no shingles, so sets of a and b shingles with d
-    such bins have at most (a + b - d) / (a + b + d) in common. ``drawn`` has the nodes' sketch and size."""
+    such bins have at most (a + b - d) / (a + b + d) in common. ``both`` is a + b."""
+    d = np.zeros(len(i), np.int64)
+    for k in range(0, len(i), SKETCHES_AT_ONCE):
+        d[k: k + SKETCHES_AT_ONCE] = (drawn[i[k: k + SKETCHES_AT_ONCE]] != drawn[j[k: k + SKETCHES_AT_ONCE]]).sum(1)
+    return both - d >= similar * (both + d) - 1e-9
+
+
+def _likely(pairs, drawn, similar):
+    """Pairs without those that the sketches prove too unlike. ``drawn`` has the nodes' sketch and size."""
     def work(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a", "b"))
-            both, d = np.asarray(batch.column("both")), np.zeros(batch.num_rows, np.int64)
-            for k in range(0, len(a), SKETCHES_AT_ONCE):
-                d[k: k + SKETCHES_AT_ONCE] = (a[k: k + SKETCHES_AT_ONCE] != b[k: k + SKETCHES_AT_ONCE]).sum(1)
-            yield batch.select(kept).filter(pa.array(both - d >= similar * (both + d) - 1e-9))
+            at = np.arange(batch.num_rows)
+            yield batch.select(kept).filter(pa.array(
+                _alike(np.concatenate([a, b]), at, at + len(at), np.asarray(batch.column("both")), similar)))
 
     left, right = (drawn.select(F.col("node").alias(x), F.col("sketch").alias(y), F.col("size").alias(f"_{x}")) for x, y in ("ua", "vb"))
     kept = pairs.columns
@@ -595,9 +683,8 @@ def _nodes_of(pairs):
 
 
 def _left_apart(table, roots, tasks):
-    """A stored table of the prefix rows of tokens that still stand in several components, where one row of
-    each token has in ``apart`` twice the number of its pairs that do. ``roots`` tells the component of a
-    row's ``root`` (node, root)."""
+    """A stored table of the prefix rows of tokens that still stand in several components. ``roots`` tells the
+    component of a row's ``root`` (node, root)."""
     known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     now = table.join(known, table["root"] == known["_node"], "left").select(
         "token", "node", "size", "place", F.coalesce("_root", "root").alias("root"))
@@ -610,32 +697,27 @@ def _left_apart(table, roots, tasks):
         columns = [c[order] for c in columns]
         token, root = columns[0], columns[4]
         first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        run = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (root[1:] != root[:-1])))
-        n, own = np.diff(np.append(first, len(token))), np.diff(np.append(run, len(token)))
-        pairs = n * n - np.add.reduceat(own * own, np.searchsorted(run, first))
-        apart = np.zeros(len(token), np.int64)
-        apart[first] = pairs
-        keep = np.repeat(pairs > 0, n)
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*columns, apart]],
-                                         names=["token", "node", "size", "place", "root", "apart"])
+        keep = np.repeat(np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first), np.diff(np.append(first, len(token))))
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["token", "node", "size", "place", "root"])
 
-    return stored(now.repartition(tasks, "token").mapInArrow(work, POSTINGS + ", root long, apart long"), "apart")
+    return stored(now.repartition(tasks, "token").mapInArrow(work, POSTINGS + ", root long"), "apart")
 
 
 def similar_links(docs, rows, nodes, width, most, similar):
     """Links (u, v) whose components are those of all pairs of shingle sets that are similar enough.
 
-    Pairs of the index and neighbours by size come first. Then, in rounds, each prefix row of a token that
-    still stands in several components meets one row of another component; what is found similar merges,
-    so that a family of alike texts becomes one component without all its pairs being looked at. At last
-    every pair that is still apart is counted, so none is missed."""
+    Pairs of the index and neighbours by size come first. Then, in rounds, the tokens that still stand in
+    several components give their likely pairs between these, all of them or, if they are many, forests of
+    those that look most alike; what is found similar merges, so that a family of alike texts becomes one
+    component without all its pairs being counted. The last round counts every likely pair that is still
+    apart, so none is missed."""
     spark = docs.sparkSession
     shingles = int(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     table = postings(docs, width, similar, shingles)
     tasks = max(partitions_for(spark), table.count() // PREFIX_ROWS)
     near = near_links(nodes, most, similar).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    drawn, last = stored(nodes.select("node", "sketch", "size"), "drawn"), False
-    asked = stored(_likely(near.union(_posted_pairs(table, similar, tasks, "size")).distinct(), drawn, similar), "pairs")
+    drawn, every = stored(nodes.select("node", "sketch", "size"), "drawn"), False
+    asked = stored(_likely(near.union(_posted_pairs(table, similar, tasks)).distinct(), drawn, similar), "pairs")
     needed = _nodes_of(asked)
     sets = _sets(docs, needed, width)
     links = _similar_pairs(asked, sets, similar)
@@ -644,10 +726,11 @@ def similar_links(docs, rows, nodes, width, most, similar):
     removed(spark, table)
     held, known = [], None
     for k in range(MATCHINGS + 1):
-        double, n = apart.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.count(F.lit(1))).first()
-        last = last or k == MATCHINGS or double <= 2 * PAIRS_LEFT * n
-        pairs = stored(_likely(_posted_pairs(apart, similar, tasks, "all" if last else k), drawn, similar), "pairs")
-        met = pairs.count()
+        pairs = stored(_apart_pairs(apart, drawn, similar, every or k == MATCHINGS), "pairs")
+        met, more = pairs.agg(F.count(F.lit(1)), F.max("more")).first()
+        if not met:
+            removed(spark, pairs)
+            break
         # texts are read again only for sets that no round has asked for before
         needed = _nodes_of(pairs)
         missing = needed if known is None else stored(needed.join(known, "node", "left_anti"), "needed")
@@ -658,12 +741,12 @@ def similar_links(docs, rows, nodes, width, most, similar):
         found = _similar_pairs(pairs, sets, similar)
         links = links.union(found.select("u", "v"))
         removed(spark, pairs, *{id(t): t for t in (needed, missing)}.values())
-        if last:
+        if not more:
             break
         # rounds go on while they merge
-        last = found.count() * WORTHWHILE < met
+        every = found.count() * WORTHWHILE < met
         merged = components(found.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")))
-        fresh = _left_apart(apart.drop("apart"), merged, tasks)
+        fresh = _left_apart(apart, merged, tasks)
         removed(spark, apart)
         apart = fresh
     removed(spark, drawn, apart, *held)

@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from flowlab.llm import simhash, tiling
+from flowlab.llm import frames, simhash, tiling
 
 
 def family(n, seed, size=60, copies=1):
@@ -94,8 +95,6 @@ def test_clean_keeps_what_is_not_reported(spark, sf):
 
 
 def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
-    from flowlab.llm import frames
-
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
     df = spark.createDataFrame(edges, "u long, v long").repartition(5)
@@ -103,3 +102,38 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(frames, "ONE_TASK", 0)
     assert one == {r["node"]: r["root"] for r in frames.components(df).collect()}
     assert all(one[1001 + i] == 1000 for i in range(40)) and frames.components(df.where("false")).count() == 0
+
+
+def test_a_large_group_gives_a_few_pairs_a_row(spark):
+    n = 120
+    apart = spark.createDataFrame([(7, k, 100, 0, k) for k in range(n)], "token long, node long, size int, place int, root long")
+    drawn = spark.createDataFrame([(k, bytearray([1] * 250 + [1 + k % 3] * 6)) for k in range(n)], "node long, sketch binary")
+    few = simhash._apart_pairs(apart.repartition(3), drawn, 0.8, False).collect()
+    assert n - 1 <= len(few) <= simhash.FORESTS * (n - 1) and all(r["more"] and r["u"] < r["v"] for r in few)
+    # the most alike go first, and the forest holds the group together
+    assert sum((r["u"] - r["v"]) % 3 == 0 for r in few) >= n - 3
+    edges = spark.createDataFrame([(r["u"], r["v"]) for r in few], "u long, v long")
+    assert {r["root"] for r in frames.components(edges).collect()} == {0}
+    every = simhash._apart_pairs(apart, drawn, 0.8, True).collect()
+    assert {(r["u"], r["v"]) for r in every} == {(u, v) for v in range(n) for u in range(v)} and not any(r["more"] for r in every)
+    # sketches that prove sets unlike, and sets of one component
+    unlike = drawn.select("node", F.expr("unhex(repeat(lpad(hex(node + 1), 2, '0'), 256))").alias("sketch"))
+    assert simhash._apart_pairs(apart, unlike, 0.8, True).count() == 0
+    assert simhash._apart_pairs(apart.withColumn("root", F.lit(0).cast("long")), drawn, 0.8, True).count() == 0
+
+
+def test_forests_connect_what_all_edges_connect():
+    rng = np.random.default_rng(1)
+    a, b, weight = rng.integers(0, 40, 300), rng.integers(0, 40, 300) + 40, rng.random(300)
+    taken = simhash._forests(a, b, weight)
+    assert len(taken) <= simhash.FORESTS * 79 and len(set(taken.tolist())) == len(taken) and np.argmax(weight) in taken
+
+    def parts(edges):
+        root = list(range(80))
+        for _ in range(80):
+            for x, y in edges:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    assert parts(list(zip(a, b))) == parts(list(zip(a[taken], b[taken])))
+    assert len(simhash._forests(a[:0], b[:0], weight[:0])) == 0
