@@ -283,3 +283,22 @@ def test_shuffled_copies_rank_once_and_send_two_numbers(spark):
             assert sorted(r[feature] for r in mine) == [factor[feature] * i for i in range(60)]
             assert all(r[other] == factor[other] * r["id"] for r in mine)
             assert any(r[feature] != factor[feature] * r["id"] for r in mine)
+
+
+def test_cells_of_one_task_share_the_base_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = spark.createDataFrame([(k, rng.normal(size=24).tolist()) for k in range(300)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(k, rng.normal(size=24).tolist()) for k in range(200)], "id long, vector array<double>")
+    sent, kind = [], type(base)
+    real = kind.sortWithinPartitions
+
+    def counted(self, *columns, **settings):
+        sent.append(self.count())
+        return real(self, *columns, **settings)
+
+    monkeypatch.setattr(kind, "sortWithinPartitions", counted)
+    got = neighbors.knn_join(queries, base, 3, shipped_values=0, block_rows=3)
+    assert len(sent) == 1 and 0 < sent[0] <= 200 + 300 * spark.sparkContext.defaultParallelism
+    want = neighbors.knn_join(queries, base, 3)
+    columns = ["query", "neighbour", "rank"]
+    assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
