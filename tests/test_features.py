@@ -302,3 +302,36 @@ def test_cells_of_one_task_share_the_base_rows(spark, monkeypatch):
     want = neighbors.knn_join(queries, base, 3)
     columns = ["query", "neighbour", "rank"]
     assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
+
+
+def test_ranks_of_large_tables_are_multiplied_whole():
+    n = (1 << 38) + 7
+    rank = np.array([0, 1, n // 2, n - 1])
+    factor, offset = n - 12345, n - 3
+    assert importance.receivers(rank, factor, offset, n).tolist() == [(factor * int(r) + offset) % n for r in rank]
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_importance_of_a_forest_by_its_bins(spark, monkeypatch, blocks):
+    """Counts by bins equal those of scored copies, without a copy of any row being written or scored."""
+    from flowlab.operators import models
+
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 8, 700).astype(float), rng.normal(size=700).round(2)
+    label = np.where(rng.random(700) < 0.1, "z", np.where(u > 4, "x", "y"))
+    rows = [(int(i), float(a), float(b), str(c) if i % 50 else None, 0.0) for i, (a, b, c) in enumerate(zip(u, v, label))]
+    df = spark.createDataFrame(rows, "id long, u double, v double, label string, w double").repartition(5)
+    names = ["v", "u", "w"]
+    fitted = models.fit_model("random_forest", df.where("label <> 'z'"), "label", ["id"], names, trees=7, max_depth=6)
+    wanted = importance.permutation_importance(df, ["id"], names, "label", fitted.predict, 2).collect()
+    counts = importance.confusion_counts(fitted.predict(importance.shuffled_copies(df, ["id"], names, 2)), by=["feature", "repeat"]).collect()
+    plain = importance.confusion_counts(fitted.predict(df)).collect()
+    monkeypatch.setattr(importance, "shuffled_copies", None)
+    monkeypatch.setattr(importance, "SENT_ROWS", 100)
+    monkeypatch.setattr(importance, "BLOCK_VALUES", 9 * 700 // blocks)
+    found = importance.permutation_importance(df, ["id"], names, "label", None, 2, forest=fitted.forest).collect()
+    assert [r["feature"] for r in found] == [r["feature"] for r in wanted]
+    for a, b in zip(found, wanted):
+        assert list(a)[1:] == pytest.approx(list(b)[1:], abs=1e-12)
+    by_bins = importance.forest_counts(df, ["id"], names, "label", fitted.forest, 2).collect()
+    assert {tuple(r) for r in by_bins} == {tuple(r) for r in counts} | {(None, None, *r) for r in plain}

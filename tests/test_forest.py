@@ -86,3 +86,23 @@ def test_the_registry_grows_this_forest(spark):
     assert (out.label == out.prediction).mean() > 0.97
     with pytest.raises(ValueError):
         forest.fit(df, FEATURES, "label", ["nobody"], trees=2)
+
+
+def test_a_level_without_any_split(spark):
+    """Rows alike in all features with two classes: no node can be split, and the roots are leaves."""
+    df = spark.createDataFrame([(1.0, 2.0, c) for c in "xxy"], "a double, b double, label string")
+    model = forest.fit(df, ["a", "b"], "label", ["x", "y"], trees=5)
+    assert (model.feature == -1).all() and len(model.feature) == 5
+
+
+@pytest.mark.parametrize("known", [1 << 22, 0])
+def test_guesses_are_the_classes_of_the_scores(spark, monkeypatch, known):
+    pdf, df = rows(spark)
+    monkeypatch.setattr(forest, "KNOWN", known)
+    model = forest.fit(df, FEATURES, "label", ["x", "y", "z"], trees=9, seed=2)
+    x = np.random.default_rng(1).uniform(-2, 11, (3000, 3))
+    guesses = forest.Guesses(model)
+    for some in (x, x[::-1]):
+        assert (guesses.of(model.binned(some)) == model.scores(some).argmax(axis=1)).all()
+    monkeypatch.setattr(guesses, "told_apart", False)
+    assert (guesses.of(model.binned(x)) == model.scores(x).argmax(axis=1)).all()
