@@ -104,3 +104,44 @@ def test_kernel_values_alone_give_the_machine_of_mapped_rows(spark, monkeypatch)
     scores = models.LinearScores([0, 1], *found, mapping).scores(x)
     assert np.allclose(scores, mapped @ wanted[0].T + wanted[1], atol=1e-5)
     assert (scores.argmax(axis=1) == code).mean() > 0.9
+
+
+def test_powers_from_the_table_are_the_kernel():
+    """Near, equal and far rows, in blocks of any length, with values written in place."""
+    from flowlab.operators.reduce import KernelMap, kernel_values
+
+    rng = np.random.default_rng(2)
+    marks = rng.normal(size=(40, 3))
+    x = np.concatenate([rng.normal(size=(300, 3)) * 3, marks, [[1e5, 0, 0], [0, -60.0, 0]]])
+    mapping, out = KernelMap(marks, "rbf", 0.4), np.empty((len(x), 40))
+    assert mapping.values(x, out) is out
+    wanted = kernel_values("rbf", x, marks, 0.4)
+    assert np.allclose(out, wanted, rtol=1e-11, atol=1e-300) and out[-2].max() == 0.0
+    assert (mapping.values(x) == out).all()
+    assert np.allclose(KernelMap(marks, "poly", 0.4).values(x), kernel_values("poly", x, marks, 0.4))
+
+
+@pytest.mark.parametrize("few", [0, 6])
+def test_only_rows_that_pull_are_multiplied_with_the_map(monkeypatch, few):
+    """Steps without a pull only shrink; weights and their sum over all steps are those of mapped rows."""
+    from flowlab.operators.reduce import KernelMap
+
+    monkeypatch.setattr(hinge, "FEW", few)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(160, 2)), np.ones((160, 1))], axis=1)
+    mapping = KernelMap(x[:25, :2], "rbf", 0.5)
+    mapped = np.concatenate([mapping.project(x[:, :2]), np.ones((160, 1))], axis=1)
+    width, products = mapping.weights.shape[1], []
+    kernel, plain = hinge.KernelMachine(np.zeros((3, 26)), mapping), hinge.LinearMachine(np.zeros((3, width + 1)))
+    real = kernel._products
+    monkeypatch.setattr(kernel, "_products", lambda vectors: products.append(len(vectors)) or real(vectors))
+    pulls = np.zeros((160, 3))
+    pulls[[3, 4, 70], 1], pulls[[4, 70, 90], 0], pulls[70, 2] = -1.0, 2.0, 0.5
+    for (a, near), (_, rows) in zip(kernel.steps(x), plain.steps(mapped)):
+        assert np.allclose(kernel.margins(near), plain.margins(rows), atol=1e-8)
+        for machine, some in ((kernel, near), (plain, rows)):
+            machine.step(0.9, 0.3, pulls[a: a + len(some)], some)
+    assert products == [2, 2]  # batches 0 and 2: two rows or two classes, and two rows of three classes
+    for found, wanted in zip(kernel.ended(), plain.ended()):
+        assert np.allclose(found[:, :-1] @ mapping.weights, wanted[:, :-1], atol=1e-8)
+        assert np.allclose(found[:, -1], wanted[:, -1])
