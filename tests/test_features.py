@@ -335,3 +335,22 @@ def test_importance_of_a_forest_by_its_bins(spark, monkeypatch, blocks):
         assert list(a)[1:] == pytest.approx(list(b)[1:], abs=1e-12)
     by_bins = importance.forest_counts(df, ["id"], names, "label", fitted.forest, 2).collect()
     assert {tuple(r) for r in by_bins} == {tuple(r) for r in counts} | {(None, None, *r) for r in plain}
+
+
+def test_rank_sums_take_no_list_of_a_values_classes(spark, monkeypatch):
+    """Wins counted pair by pair, with ties across classes, missing labels and values, in several ranges."""
+    from pyspark.sql import functions
+
+    monkeypatch.delattr(functions, "collect_list")
+    rng = np.random.default_rng(6)
+    rows = [("abc"[i % 3] if i % 11 else None, float(v) if i % 13 else None, -0.0 if v % 2 else 0.0)
+            for i, v in enumerate(rng.integers(0, 9, 400))]
+    df = spark.createDataFrame(rows, "label string, u double, z double")
+    found = {(r["class"], r["feature"]): r for r in quantiles.pair_rank_sums(df, "label", "a", ["u", "z"], 50).collect()}
+    assert set(found) == {(c, f) for c in "bc" for f in "uz"}
+    for (c, f), r in found.items():
+        at = 1 if f == "u" else 2
+        own, base = ([x[at] for x in rows if x[0] == k and x[at] is not None] for k in (c, "a"))
+        assert (r["n"], r["n_base"]) == (len(own), len(base))
+        assert r["wins2"] == sum((x > y) + (x >= y) for x in own for y in base)
+        assert (r["lowest"], r["highest"]) == (min(own + base), max(own + base))
